@@ -1,0 +1 @@
+"""Plan shapes shared by many operators."""
