@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,20 @@ def local_session(cores: int | str = "*", name: str = "tabulight") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+
+    Only a session that sets none (a local one, as in tests) gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tabulight-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
