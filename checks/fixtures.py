@@ -47,7 +47,7 @@ DERIVED = {
     # text with broken characters, placeholders and numbers in between
     "noisy_documents": """
         SELECT doc_id,
-          CASE WHEN doc_id % 7 = 0 THEN concat(text, chr(65533)) WHEN doc_id % 11 = 0 THEN concat(text, chr(7))
+          CASE WHEN doc_id % 7 = 0 THEN concat(text, '�') WHEN doc_id % 11 = 0 THEN concat(text, chr(7))
                WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS text,
           CASE WHEN doc_id % 6 = 0 THEN concat(lang, ' ') ELSE lang END AS lang,
           CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS STRING) ELSE source END AS source, n_chars

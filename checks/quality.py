@@ -145,7 +145,7 @@ OUTLIERS = each(["c_custkey", "acctbal", "mostly_zero", "c_nationkey"], """
              CASE WHEN p."column" = 'mixed_code' THEN 'mixed types' END,
              CASE WHEN d = 1 AND missing < rows THEN 'constant' END,
              CASE WHEN d = rows AND p."column" IN ('segment', 'mixed_code', 'const_col', 'empty_col') THEN 'all unique' END],
-             x -> x IS NOT NULL), ', ') AS issues
+             lambda x: x IS NOT NULL), ', ') AS issues
     FROM ({PER_COLUMN}) p LEFT JOIN ({OUTLIERS}) o ON p."column" = o."column" """))
 def _(t):
     return quality.column_quality(t.dirty_customer, TYPES).withColumn("issues", F.concat_ws(", ", "issues"))
@@ -161,7 +161,13 @@ def _(t):
         SELECT 'l_extendedprice', var_samp(l_extendedprice) FROM lineitem UNION ALL
         SELECT 'l_discount', var_samp(l_discount) FROM lineitem UNION ALL
         SELECT 'l_tax', var_samp(l_tax) FROM lineitem) QUALIFY rank <= 5
-    UNION ALL SELECT 'date', 1, 'l_shipdate'""")
+    UNION ALL SELECT 'date', 1, 'l_shipdate'
+    UNION ALL SELECT 'id', 1, "column" FROM (SELECT * FROM (
+        SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) / count(*) AS share FROM lineitem UNION ALL
+        SELECT 'l_partkey', count(DISTINCT l_partkey) / count(*) FROM lineitem UNION ALL
+        SELECT 'l_extendedprice', count(DISTINCT l_extendedprice) / count(*) FROM lineitem UNION ALL
+        SELECT 'l_shipdate', count(DISTINCT l_shipdate) / count(*) FROM lineitem)
+        WHERE share >= 0.95 ORDER BY share DESC, "column" DESC LIMIT 1)""")
 def _(t):
     types = dict.fromkeys(t.lineitem.columns, "NUM") | {"l_returnflag": "TEXT", "l_linestatus": "TEXT", "l_shipdate": "DATE"}
     return quality.key_fields(t.lineitem, types)

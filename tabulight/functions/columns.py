@@ -1,4 +1,9 @@
-"""Typed views of a column: number, timestamp, text, and the four notions of "missing"."""
+"""Typed views of a column: number, timestamp, text, and the four notions of "missing".
+
+The building blocks are SQL text, because a profile needs hundreds of expressions and one
+parsed text is far cheaper to build than a tree of calls. ``number``, ``value`` and so on
+wrap them as columns.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +22,6 @@ NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][f
 LONGEST_DATE_TEXT = 30
 
 
-def col(name: str) -> Column:
-    """Reference a top-level column whatever characters its name has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def data_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
@@ -50,50 +50,66 @@ def names_where(df: DataFrame, test) -> list[str]:
     return [c for c in df.columns if test(df, c)]
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+# --- SQL text ---------------------------------------------------------------------
+
+def name_sql(name: str) -> str:
+    """Reference to a top-level column whatever characters its name has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def texts_sql(texts) -> str:
+    return ", ".join(text_sql(t) for t in texts)
 
 
-def text_as_number(c: Column) -> Column:
+def double_sql(x: float | None) -> str:
+    """Exact double literal (a bare 0.1 would be a decimal)."""
+    return "double(null)" if x is None else f"double('{float(x)!r}')"
+
+
+def strip_sql(e: str) -> str:
+    return f"btrim({e}, '{''.join(f'\\u{ord(ch):04x}' for ch in WHITESPACE)}')"
+
+
+def text_number_sql(e: str) -> str:
     """Double when the text is a plain number, else NULL ("1d" and "1,000" are not numbers)."""
-    stripped = strip(c)
-    return F.when(stripped.rlike(NUMBER_SHAPE), stripped.try_cast("double"))
+    stripped = strip_sql(e)
+    return f"case when {stripped} rlike r'{NUMBER_SHAPE}' then try_cast({stripped} as double) end"
 
 
-def number(df: DataFrame, name: str) -> Column:
+def number_sql(df: DataFrame, name: str) -> str:
     """The column as double; NaN and unparseable values become NULL."""
-    c = col(name)
     if is_floating(df, name):
-        return F.when(~F.isnan(c), c.cast("double"))
+        return f"nanvl(double({name_sql(name)}), null)"
     if is_numeric(df, name) or is_boolean(df, name):
-        return c.cast("double")
-    if is_text(df, name):
-        return text_as_number(c)
-    return F.lit(None).cast("double")
+        return f"cast({name_sql(name)} as double)"
+    return text_number_sql(name_sql(name)) if is_text(df, name) else "double(null)"
 
 
-def text_as_timestamp(c: Column, formats=tuple(vocab.DATE_FORMATS)) -> Column:
+def text_timestamp_sql(e: str, formats=tuple(vocab.DATE_FORMATS)) -> str:
     """First of the known formats that fits; the shape test keeps the parser off prose."""
-    short = F.when(F.length(c) <= LONGEST_DATE_TEXT, c)
-    return F.coalesce(
-        *[F.when(short.rlike(shape), F.try_to_timestamp(short, F.lit(fmt))) for fmt, shape in formats]
-    ).cast("timestamp_ntz")
+    tries = ", ".join(
+        f"case when length({e}) <= {LONGEST_DATE_TEXT} and {e} rlike r'{shape}' then try_to_timestamp({e}, '{fmt}') end"
+        for fmt, shape in formats)
+    return f"cast(coalesce({tries}, null) as timestamp_ntz)"
 
 
-def timestamp(df: DataFrame, name: str) -> Column:
+def timestamp_sql(df: DataFrame, name: str) -> str:
     if is_datetime(df, name):
-        return col(name).cast("timestamp_ntz")
-    if is_text(df, name):
-        return text_as_timestamp(col(name))
-    return F.lit(None).cast("timestamp_ntz")
+        return f"cast({name_sql(name)} as timestamp_ntz)"
+    return text_timestamp_sql(name_sql(name)) if is_text(df, name) else "cast(null as timestamp_ntz)"
 
 
-def value(df: DataFrame, name: str) -> Column:
+def value_sql(df: DataFrame, name: str) -> str:
     """The column itself with NaN turned into NULL."""
-    return F.when(~F.isnan(col(name)), col(name)) if is_floating(df, name) else col(name)
+    c = name_sql(name)
+    return f"nanvl({c}, null)" if is_floating(df, name) else c
 
 
-def is_missing(df: DataFrame, name: str, level: str = "M0", none_word: bool = False) -> Column:
+def missing_sql(df: DataFrame, name: str, level: str = "M0", none_word: bool = False) -> str:
     """Missing-value test.
 
     M0 NULL/NaN; M1 also blank text; M2 also 'nan' and 'undefined' (and 'None' with
@@ -101,16 +117,38 @@ def is_missing(df: DataFrame, name: str, level: str = "M0", none_word: bool = Fa
     """
     if level not in ("M0", "M1", "M2", "M3"):
         raise ValueError(f"unknown missing level {level!r}")
-    c = col(name)
-    null = c.isNull() | F.isnan(c) if is_floating(df, name) else c.isNull()
+    c = name_sql(name)
+    null = f"({c} is null or isnan({c}))" if is_floating(df, name) else f"({c} is null)"
     if level == "M0" or not is_text(df, name):
         return null
     if level == "M1":
-        return null | (F.trim(c) == "")
+        return f"({null} or trim({c}) = '')"
     if level == "M2":
         words = ["nan", "undefined"] + (["None"] if none_word else [])
-        return null | (F.trim(c) == "") | c.isin(words)
-    return null | F.lower(strip(c)).isin(vocab.MISSING_WORDS)
+        return f"({null} or trim({c}) = '' or {c} in ({texts_sql(words)}))"
+    return f"({null} or lower({strip_sql(c)}) in ({texts_sql(vocab.MISSING_WORDS)}))"
+
+
+# --- columns ----------------------------------------------------------------------
+
+def col(name: str) -> Column:
+    return F.col(name_sql(name))
+
+
+def number(df: DataFrame, name: str) -> Column:
+    return F.expr(number_sql(df, name))
+
+
+def timestamp(df: DataFrame, name: str) -> Column:
+    return F.expr(timestamp_sql(df, name))
+
+
+def value(df: DataFrame, name: str) -> Column:
+    return F.expr(value_sql(df, name))
+
+
+def is_missing(df: DataFrame, name: str, level: str = "M0", none_word: bool = False) -> Column:
+    return F.expr(missing_sql(df, name, level, none_word))
 
 
 def either(conditions: list[Column]) -> Column:
@@ -133,8 +171,3 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def severity(pct: Column, high: float, medium: float) -> Column:
     return F.when(pct > high, "HIGH").when(pct > medium, "MEDIUM").otherwise("LOW")
-
-
-def any_word(c: Column, words: list[str]) -> Column:
-    """True when one of the words occurs anywhere in the text."""
-    return either([c.contains(w) for w in words])

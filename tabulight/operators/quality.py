@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tabulight.functions import vocab
 from tabulight.functions.columns import (
-    any_word, col, count_if, data_type, is_datetime, is_floating, is_missing, is_numeric, is_text,
-    names_where, number, percent, severity, strip, timestamp, value,
+    count_if, data_type, is_datetime, is_floating, is_numeric, is_text, missing_sql, name_sql, names_where,
+    number_sql, percent, severity, strip_sql, timestamp_sql, value, value_sql,
 )
 from tabulight.operators.rows import sample_values
 from tabulight.operators.schema import semantic_types
-from tabulight.operators.stats import iqr_outliers_basic, numbers
+from tabulight.operators.stats import iqr_outliers_basic
 from tabulight.plans.profile import (
-    column_profile, distinct_profile, empty_like, literal_rows, quoted, union_all,
+    column_profile, distinct_profile, empty_like, literal_rows, union_all,
 )
 
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -22,15 +22,21 @@ LOOKS_NUMERIC = r"^(?=.*[0-9])(?!.*-.*-)(?!.*\..*\.)[0-9.\-]+$"   # digits with
 
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, nulls): NULL or NaN."""
-    return column_profile(df, df.columns, {"nulls": ("bigint", lambda c: count_if(is_missing(df, c, "M0")))}).drop("position")
+    return column_profile(df, df.columns, {"nulls": ("bigint", _count_missing(df, "M0"))}).drop("position")
+
+
+def _count_missing(df: DataFrame, level: str):
+    return lambda c: f"count_if({missing_sql(df, c, level)})"
+
+
+def _rows(c: str) -> str:
+    return "count(*)"
 
 
 def _missing(df: DataFrame) -> DataFrame:
-    word = lambda c: is_missing(df, c, "M3")
     return column_profile(df, df.columns, {
-        "rows": ("bigint", lambda c: F.count("*")),
-        "nulls": ("bigint", lambda c: count_if(is_missing(df, c, "M0"))),
-        "total_missing": ("bigint", lambda c: count_if(word(c))),
+        "rows": ("bigint", _rows), "nulls": ("bigint", _count_missing(df, "M0")),
+        "total_missing": ("bigint", _count_missing(df, "M3")),
     })
 
 
@@ -53,11 +59,10 @@ def missing_totals(df: DataFrame) -> DataFrame:
 
 def null_blank_report(df: DataFrame) -> DataFrame:
     """(column, nulls, blanks, total_missing, missing_pct) with blank meaning empty text."""
-    blank = lambda c: count_if(F.trim(col(c)) == "") if is_text(df, c) else F.count(F.lit(None))
+    blank = lambda c: f"count_if(trim({name_sql(c)}) = '')" if is_text(df, c) else "0L"
     total = F.col("nulls") + F.col("blanks")
     return column_profile(df, df.columns, {
-        "rows": ("bigint", lambda c: F.count("*")),
-        "nulls": ("bigint", lambda c: count_if(is_missing(df, c, "M0"))), "blanks": ("bigint", blank),
+        "rows": ("bigint", _rows), "nulls": ("bigint", _count_missing(df, "M0")), "blanks": ("bigint", blank),
     }).select("column", "nulls", "blanks", total.alias("total_missing"), percent(total, F.col("rows")).alias("missing_pct"))
 
 
@@ -67,8 +72,7 @@ def missing_panel(df: DataFrame, schema: dict[str, str], search: str = "", ascen
         (c, {"NUM": "Numeric", "DATE": "Date"}.get(schema.get(c), "Categorical")) for c in df.columns
     ], "column string, data_type string")
     panel = column_profile(df, df.columns, {
-        "missing_count": ("bigint", lambda c: count_if(is_missing(df, c, "M2"))),
-        "total_rows": ("bigint", lambda c: F.count("*")),
+        "missing_count": ("bigint", _count_missing(df, "M2")), "total_rows": ("bigint", _rows),
     }).where("missing_count > 0").join(F.broadcast(kinds), "column")
     if search:
         panel = panel.where(F.lower("column").contains(search.lower()))
@@ -99,16 +103,18 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, distinct_count) of non-null values."""
-    return distinct_profile(df, df.columns, lambda c: value(df, c), approx)
+    return distinct_profile(df, df.columns, lambda c: value_sql(df, c), approx)
 
 
 def _spread(df: DataFrame) -> DataFrame:
     """(column, position, filled, constant): one distinct value shows as minimum = maximum."""
-    flat = lambda c: isinstance(data_type(df, c), T.AtomicType)
-    same = lambda c: F.min(value(df, c)) == F.max(value(df, c)) if flat(c) else F.count_distinct(col(c)) == 1
+    def same(c: str) -> str:
+        v = value_sql(df, c)
+        ordered = isinstance(data_type(df, c), T.AtomicType)
+        return f"coalesce({f'min({v}) = max({v})' if ordered else f'count(distinct {v}) = 1'}, false)"
+
     return column_profile(df, df.columns, {
-        "filled": ("bigint", lambda c: F.count(value(df, c))),
-        "constant": ("boolean", lambda c: F.coalesce(same(c), F.lit(False))),
+        "filled": ("bigint", lambda c: f"count({value_sql(df, c)})"), "constant": ("boolean", same),
     })
 
 
@@ -120,11 +126,11 @@ def empty_and_constant(df: DataFrame) -> DataFrame:
 
 def consistency_pct(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """(checked, bad, consistency_pct): values that parse as their declared type."""
-    parse = {"NUM": number, "MIXED": number, "DATE": timestamp}
+    parse = {"NUM": number_sql, "MIXED": number_sql, "DATE": timestamp_sql}
     checked = [c for c in df.columns if schema.get(c) in parse]
     facts = column_profile(df, checked, {
-        "checked": ("bigint", lambda c: F.count(value(df, c))),
-        "good": ("bigint", lambda c: F.count(parse[schema[c]](df, c))),
+        "checked": ("bigint", lambda c: f"count({value_sql(df, c)})"),
+        "good": ("bigint", lambda c: f"count({parse[schema[c]](df, c)})"),
     }).agg(F.coalesce(F.sum("checked"), F.lit(0)).alias("checked"),
            F.coalesce(F.sum(F.col("checked") - F.col("good")), F.lit(0)).alias("bad"))
     good = 1 - F.col("bad") / F.greatest(F.col("checked"), F.lit(1))
@@ -132,10 +138,10 @@ def consistency_pct(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def _encoding(df: DataFrame):
-    def count(c: str) -> Column:
+    def count(c: str) -> str:
         if not is_text(df, c):
-            return F.count(F.lit(None))
-        return count_if(col(c).contains("�")) + count_if(col(c).rlike(CONTROL_CHARACTERS))
+            return "0L"
+        return f"count_if(contains({name_sql(c)}, '\\ufffd')) + count_if({name_sql(c)} rlike r'{CONTROL_CHARACTERS}')"
     return count
 
 
@@ -148,10 +154,10 @@ def mixed_and_whitespace(df: DataFrame) -> DataFrame:
     """(column, issue): numbers among other text; padded values in columns with 2-20 values."""
     texts = names_where(df, is_text)
     facts = column_profile(df, texts, {
-        "filled": ("bigint", lambda c: F.count(col(c))),
-        "numeric": ("bigint", lambda c: count_if(col(c).rlike(LOOKS_NUMERIC))),
-        "padded": ("boolean", lambda c: F.coalesce(F.bool_or(strip(col(c)) != col(c)), F.lit(False))),
-    }).join(F.broadcast(distinct_profile(df, texts, lambda c: col(c))), "column")
+        "filled": ("bigint", lambda c: f"count({name_sql(c)})"),
+        "numeric": ("bigint", lambda c: f"count_if({name_sql(c)} rlike r'{LOOKS_NUMERIC}')"),
+        "padded": ("boolean", lambda c: f"coalesce(bool_or({strip_sql(name_sql(c))} != {name_sql(c)}), false)"),
+    }).join(F.broadcast(distinct_profile(df, texts, name_sql)), "column")
     mixed = facts.where("numeric > 0 AND numeric < filled").select("column", F.lit("mixed types").alias("issue"))
     padded = facts.where("padded AND distinct_count BETWEEN 2 AND 20").select("column", F.lit("outer whitespace").alias("issue"))
     return mixed.unionByName(padded)
@@ -165,9 +171,7 @@ def column_quality(df: DataFrame, schema: dict[str, str], outliers: DataFrame |
     distinct = distinct_counts(df) if distinct is None else distinct
     types = literal_rows(df, [(c, schema.get(c, "TEXT")) for c in df.columns], "column string, type string")
     facts = column_profile(df, df.columns, {
-        "rows": ("bigint", lambda c: F.count("*")),
-        "missing": ("bigint", lambda c: count_if(is_missing(df, c, "M3"))),
-        "bad_text": ("bigint", _encoding(df)),
+        "rows": ("bigint", _rows), "missing": ("bigint", _count_missing(df, "M3")), "bad_text": ("bigint", _encoding(df)),
     })
     pct = percent(F.col("missing"), F.col("rows"), 1)
     ambiguous = F.col("type").isin("TEXT", "MIXED")
@@ -196,11 +200,9 @@ def key_fields(df: DataFrame, schema: dict[str, str], distinct: DataFrame | None
     the date the first DATE type or date-like name; the NUM columns left over are measures.
     """
     distinct = distinct_counts(df) if distinct is None else distinct
-    v = numbers(df)
     facts = column_profile(df, df.columns, {
-        "rows": ("bigint", lambda c: F.count("*")),
-        "filled": ("bigint", lambda c: F.count(value(df, c))),
-        "variance": ("double", lambda c: F.var_samp(v(c)) if schema.get(c) == "NUM" else F.max(F.lit(None))),
+        "rows": ("bigint", _rows), "filled": ("bigint", lambda c: f"count({value_sql(df, c)})"),
+        "variance": ("double", lambda c: f"var_samp({number_sql(df, c)})" if schema.get(c) == "NUM" else "null"),
     }).join(F.broadcast(distinct), "column")
     share = F.col("distinct_count") / F.greatest(F.col("filled"), F.lit(1))
     parts = F.split(F.regexp_replace(F.lower(F.trim("column")), "[_\\s]+", " "), " ")
@@ -257,14 +259,12 @@ def dataset_size(df: DataFrame) -> DataFrame:
     for c in df.columns:
         kind = data_type(df, c)
         if is_text(df, c) or isinstance(kind, T.BinaryType):
-            parts.append(F.coalesce(F.sum(F.octet_length(col(c))), F.lit(0)))
+            parts.append(f"coalesce(sum(octet_length({name_sql(c)})), 0)")
         elif isinstance(kind, T.AtomicType):
             fixed += widths.get(type(kind), 8)
         else:
-            parts.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(col(c))))), F.lit(0)))
-    total = F.count("*") * fixed
-    for p in parts:
-        total = total + p
+            parts.append(f"coalesce(sum(octet_length(to_json(struct({name_sql(c)})))), 0)")
+    total = F.expr(" + ".join([f"count(*) * {fixed}", *parts]))
     mb = F.round(F.col("bytes") / (1024 * 1024), 2)
     label = F.when(mb < 1, F.concat(F.round(F.col("bytes") / 1024, 1).cast("string"), F.lit(" KB"))).otherwise(
         F.concat(mb.cast("string"), F.lit(" MB")))
@@ -303,25 +303,22 @@ def catalog_profile(df: DataFrame) -> DataFrame:
     for c in df.columns:
         dated = is_datetime(df, c) or meaning_tag(c) == "date"
         kinds[c] = "number" if is_numeric(df, c) else "date" if dated else "other"
-    v = numbers(df)
-    of = lambda kind, make: lambda c: make(c) if kinds[c] in kind else F.max(F.lit(None))
+    def of(kind: str, make: str):
+        return lambda c: make.format(number_sql(df, c) if kind == "number" else name_sql(c)) if kinds[c] == kind else "null"
+
     facts = column_profile(df, df.columns, {
-        "nulls": ("bigint", lambda c: count_if(is_missing(df, c, "M1"))),
-        "min_number": ("double", of(("number",), lambda c: F.min(v(c)))),
-        "max_number": ("double", of(("number",), lambda c: F.max(v(c)))),
-        "average": ("double", of(("number",), lambda c: F.round(F.avg(v(c)), 2))),
-        "min_text": ("string", of(("date",), lambda c: F.min(col(c)))),
-        "max_text": ("string", of(("date",), lambda c: F.max(col(c)))),
+        "nulls": ("bigint", _count_missing(df, "M1")),
+        "min_number": ("double", of("number", "min({})")), "max_number": ("double", of("number", "max({})")),
+        "average": ("double", of("number", "round(avg({}), 2)")),
+        "min_text": ("string", of("date", "min({})")), "max_text": ("string", of("date", "max({})")),
     })
     tags = literal_rows(df, [(c, meaning_tag(c), kinds[c]) for c in df.columns], "column string, meaning string, kind string")
     counted = [c for c in df.columns if kinds[c] != "date"]
-    distinct = distinct_profile(df, counted, lambda c: value(df, c))
+    distinct = distinct_profile(df, counted, lambda c: value_sql(df, c))
     small = [r["column"] for r in distinct.where("distinct_count <= 30").collect() if kinds[r["column"]] == "other"]
-    values = (
-        column_profile(df, small, {     # at most 30 distinct values each, known from the count
-            "values": ("array<string>", lambda c: F.slice(F.array_sort(F.collect_set(col(c).cast("string"))), 1, 15)),
-        }).drop("position") if small else empty_like(df, "column string, values array<string>")
-    )
+    values = column_profile(df, small, {    # at most 30 distinct values each, known from the count
+        "values": ("array<string>", lambda c: f"slice(array_sort(collect_set(cast({name_sql(c)} as string))), 1, 15)"),
+    }).drop("position")
     return (
         facts.join(F.broadcast(tags), "column").join(F.broadcast(distinct), "column", "left")
         .join(F.broadcast(values), "column", "left")
@@ -345,7 +342,7 @@ def _one_row(*frames: DataFrame) -> DataFrame:
     """One-row frames side by side, each read as a scalar subquery."""
     first, *rest = frames
     for frame in rest:
-        packed = frame.select(F.struct(*quoted(frame.columns))).scalar()
+        packed = frame.select(F.struct(*frame.columns)).scalar()
         first = first.withColumn("_packed", packed).select("*", *[
             F.col("_packed").getField(c).alias(c) for c in frame.columns]).drop("_packed")
     return first
@@ -358,9 +355,8 @@ def trust_score(df: DataFrame, schema: dict[str, str]) -> DataFrame:
         F.sum("nulls").alias("null_cells"),
         # at most one entry per column of the table
         F.array_sort(F.collect_list(F.when(F.col("nulls") > 0, F.struct("column", "nulls")))).alias("gaps"))
-    parsed = df.agg(F.count("*").alias("table_rows"), *(
-        [count_if(timestamp(df, c).isNull() & value(df, c).isNotNull()).alias("bad_dates") for c in dates]
-        or [F.count(F.lit(None)).alias("bad_dates")]))
+    bad = f"count({value_sql(df, dates[0])}) - count({timestamp_sql(df, dates[0])})" if dates else "0L"
+    parsed = df.agg(F.count("*").alias("table_rows"), F.expr(bad).alias("bad_dates"))
     facts = _one_row(parsed, gaps, duplicate_count(df).select("duplicates"))
     rows, cells = F.col("table_rows"), F.col("table_rows") * len(df.columns)
     penalty = (
@@ -390,9 +386,9 @@ def forecast_safety(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 def date_range(df: DataFrame, name: str) -> DataFrame:
     """(first_date, last_date) as yyyy-MM-dd."""
-    day = timestamp(df, name)
-    return df.agg(F.date_format(F.min(day), "yyyy-MM-dd").alias("first_date"),
-                  F.date_format(F.max(day), "yyyy-MM-dd").alias("last_date"))
+    day = timestamp_sql(df, name)
+    return df.agg(F.expr(f"date_format(min({day}), 'yyyy-MM-dd') as first_date"),
+                  F.expr(f"date_format(max({day}), 'yyyy-MM-dd') as last_date"))
 
 
 def quality_facts(df: DataFrame, schema: dict[str, str], outliers: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.functions.columns import col, count_if, data_type, is_missing, number, value
+from tabulight.functions.columns import col, count_if, data_type, is_missing, number, number_sql, value
 from tabulight.operators.quality import missing_panel
 from tabulight.plans.quantiles import quantiles
 
@@ -26,7 +26,7 @@ def missing_detail(df: DataFrame, name: str, schema: dict[str, str]) -> DataFram
     numeric = schema.get(name) == "NUM"
     v = number(df, name)
     mean = F.round(F.avg(F.when(~_gap(df, name), v)), 2) if numeric else F.max(F.lit(None).cast("double"))
-    median = quantiles(df, [name], [0.5], lambda c: number(df, c))[name][0] if numeric else None
+    median = quantiles(df, [name], [0.5], lambda c: number_sql(df, c))[name][0] if numeric else None
     mode = _mode(df, name, v if numeric else col(name).cast("string"))
     shown = F.round(mode.scalar(), 2).cast("string") if numeric else mode.scalar()
     return df.agg(F.count("*").alias("total_rows"), count_if(_gap(df, name)).alias("missing_count"), mean.alias("mean")).select(
@@ -57,7 +57,7 @@ def _replacement(df: DataFrame, name: str, method: str, custom, schema: dict[str
     if method == "mean":
         return F.round(df.agg(F.avg(v)).scalar(), 2).cast(kind)
     if method == "median":
-        return F.round(F.lit(quantiles(df, [name], [0.5], lambda c: number(df, c))[name][0]).cast("double"), 2).cast(kind)
+        return F.round(F.lit(quantiles(df, [name], [0.5], lambda c: number_sql(df, c))[name][0]).cast("double"), 2).cast(kind)
     mode = _mode(df, name, v if numeric else value(df, name)).scalar()
     return (F.round(mode, 2) if numeric else mode).cast(kind)
 

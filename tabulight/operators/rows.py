@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulight.functions.columns import col, data_type, names_where, number, value
+from tabulight.functions.columns import col, data_type, names_where, number, text_sql, value_sql
 from tabulight.operators.filters import apply_filters, search_text
 from tabulight.plans.profile import column_profile, literal_rows
 
@@ -94,16 +94,18 @@ def sample_values(df: DataFrame, k: int = 3) -> DataFrame:
     aggregate without a shuffle; long text is cut at 100 characters for display only.
     """
     columns = names_where(df, lambda d, c: isinstance(data_type(d, c), T.AtomicType))
-    last: dict[str, Column] = {}
+    last: dict[str, str] = {}
     samples = []
+
+    def above(c: str) -> str:
+        v = value_sql(df, c)
+        return f"case when {v} > cast({text_sql(last[c])} as {data_type(df, c).simpleString()}) then {v} end" if c in last else v
+
     for rank in range(1, k + 1):
-        smallest = column_profile(df, columns, {
-            "sample": ("string", lambda c: F.min(F.when(value(df, c) > last[c], value(df, c)) if c in last else value(df, c)))
-        })
-        found = {r["column"]: r["sample"] for r in smallest.where("sample is not null").collect()}
-        samples += [(c, rank, s[:100] + "..." if len(s) > 100 else s) for c, s in found.items()]
-        last = {c: F.lit(s).cast(data_type(df, c)) for c, s in found.items()}
-        columns = list(found)
+        smallest = column_profile(df, columns, {"sample": ("string", lambda c: f"min({above(c)})")})
+        last = {r["column"]: r["sample"] for r in smallest.where("sample is not null").collect()}
+        samples += [(c, rank, s[:100] + "..." if len(s) > 100 else s) for c, s in last.items()]
+        columns = list(last)
     return literal_rows(df, samples, "column string, rank int, sample string")
 
 

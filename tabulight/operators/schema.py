@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabulight.functions import vocab
 from tabulight.functions.columns import (
-    col, count_if, data_type, is_boolean, is_datetime, is_numeric, is_text, names_where, number,
-    strip, text_as_number, text_as_timestamp, timestamp,
+    col, data_type, is_boolean, is_datetime, is_numeric, is_text, name_sql, names_where, number_sql, strip_sql,
+    text_number_sql, text_timestamp_sql, texts_sql, timestamp_sql,
 )
 from tabulight.plans.profile import column_profile, literal_rows
 
@@ -21,9 +21,9 @@ def classify_columns(df: DataFrame) -> DataFrame:
     Text needs at least max(10, 30 % of the rows) parseable values to count as numeric or date.
     """
     counted = column_profile(df, df.columns, {
-        "n": ("bigint", lambda c: F.count("*")),
-        "numbers": ("bigint", lambda c: F.count(number(df, c)) if is_text(df, c) else F.count(F.lit(None))),
-        "dates": ("bigint", lambda c: F.count(timestamp(df, c)) if is_text(df, c) else F.count(F.lit(None))),
+        "n": ("bigint", lambda c: "count(*)"),
+        "numbers": ("bigint", lambda c: f"count({number_sql(df, c)})" if is_text(df, c) else "0L"),
+        "dates": ("bigint", lambda c: f"count({timestamp_sql(df, c)})" if is_text(df, c) else "0L"),
     })
     enough = F.greatest(F.lit(CLASS_MIN), F.floor(F.col("n") * CLASS_SHARE))
     native_numeric = names_where(df, lambda d, c: is_numeric(d, c) or is_boolean(d, c))
@@ -56,18 +56,19 @@ def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, s
     """Two scans at most: parse counts first, then date and flag tests where still open."""
     rows = df.limit(sample_rows) if sample_rows else df
     texts, integers = names_where(df, is_text), names_where(df, lambda d, c: isinstance(data_type(d, c), T.IntegralType))
-    flag_word = lambda c: F.lower(strip(col(c))).isin(vocab.BOOLEAN_WORDS)
+    flag_word = lambda c: f"lower({strip_sql(name_sql(c))}) in ({texts_sql(vocab.BOOLEAN_WORDS)})"
     facts = {
         r["column"]: r for r in column_profile(rows, texts + integers, {
-            "filled": ("bigint", lambda c: F.count(col(c))),
-            "numbers": ("bigint", lambda c: F.count(text_as_number(col(c))) if c in texts else F.count(col(c))),
-            "not_flags": ("bigint", lambda c: count_if(~flag_word(c) if c in texts else ~col(c).isin(0, 1))),
-            "low": ("string", lambda c: F.min(col(c))),
-            "high": ("string", lambda c: F.max(col(c))),
+            "filled": ("bigint", lambda c: f"count({name_sql(c)})"),
+            "numbers": ("bigint", lambda c: f"count({text_number_sql(name_sql(c)) if c in texts else name_sql(c)})"),
+            "not_flags": ("bigint", lambda c: f"count_if(not {flag_word(c)})" if c in texts else f"count_if({name_sql(c)} not in (0, 1))"),
+            "low": ("string", lambda c: f"min({name_sql(c)})"),
+            "high": ("string", lambda c: f"max({name_sql(c)})"),
         }).collect()
     }
     flags = [c for c, f in facts.items() if f["filled"] and not f["not_flags"] and f["low"] != f["high"]]
-    other = {c: ~col(c).isin(facts[c]["low"], facts[c]["high"]) for c in flags if c in texts}
+    other = {c: f"case when {name_sql(c)} not in ({texts_sql((facts[c]['low'], facts[c]['high']))}) then {name_sql(c)} end"
+             for c in flags if c in texts}
     dates = [
         c for c in texts if facts[c]["filled"] and c not in flags
         and facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]
@@ -75,14 +76,13 @@ def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, s
     open_flags, date_counts = {}, {}
     if other:   # a flag column has two or three spellings, not more
         open_flags = {r["column"]: r for r in column_profile(rows, list(other), {
-            "low": ("string", lambda c: F.min(F.when(other[c], col(c)))),
-            "high": ("string", lambda c: F.max(F.when(other[c], col(c)))),
+            "low": ("string", lambda c: f"min({other[c]})"), "high": ("string", lambda c: f"max({other[c]})"),
         }).collect()}
     not_flags = [c for c in open_flags if open_flags[c]["low"] != open_flags[c]["high"]]
     flags = [c for c in flags if c not in not_flags]
     dates += [c for c in not_flags if facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]]
     if dates:
-        formats = {f"f{i}": ("bigint", lambda c, f=f: F.count(text_as_timestamp(col(c), [f])))
+        formats = {f"f{i}": ("bigint", lambda c, f=f: f"count({text_timestamp_sql(name_sql(c), [f])})")
                    for i, f in enumerate(vocab.DATE_FORMATS)}
         date_counts = {r["column"]: max(r[k] for k in formats)
                        for r in column_profile(rows, dates, formats).collect()}

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.functions.columns import col, number, percent, value
+from tabulight.functions.columns import col, number, number_sql, percent, text_sql, value, value_sql
 from tabulight.operators.filters import apply_filters, resolve_name, search_text
 from tabulight.operators.rows import drill_table, scatter_points
-from tabulight.operators.stats import numbers
-from tabulight.plans.profile import column_profile, empty_like, literal_rows, union_all
+from tabulight.plans.profile import column_profile, empty_like, inline_sql, literal_rows, struct_sql
 
 CATEGORY_VALUES = (2, 50)
 SEGMENT_VALUES = (2, 30)
@@ -22,8 +21,8 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def column_averages(df: DataFrame, numeric: list[str]) -> DataFrame:
     """(column, average) with two decimals."""
-    v = numbers(df)
-    return column_profile(df, numeric, {"average": ("double", lambda c: F.round(F.avg(v(c)), 2))}).drop("position")
+    return column_profile(df, numeric, {
+        "average": ("double", lambda c: f"round(avg({number_sql(df, c)}), 2)")}).drop("position")
 
 
 def as_label(df: DataFrame, name: str) -> Column:
@@ -58,11 +57,11 @@ def category_table(df: DataFrame, categories: list[str], metric: str | None = No
     schema = "column string, position int, value string, count bigint, sum double, mean double, measured bigint, total bigint, pct double, values bigint"
     if not categories:
         return empty_like(df, schema)
-    v = number(df, metric) if metric else F.lit(None).cast("double")
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), as_label(df, c).alias("value"))
+    entries = [struct_sql(column=text_sql(c), position=str(i), value=f"cast({value_sql(df, c)} as string)")
                for i, c in enumerate(categories)]
     groups = (
-        df.select(v.alias("v"), F.inline(F.array(*entries))).where("value is not null")
+        df.selectExpr(f"{number_sql(df, metric) if metric else 'double(null)'} as v", inline_sql(entries))
+        .where("value is not null")
         .groupBy("column", "position", "value")
         .agg(F.count("*").alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.count("v").alias("measured"))
     )

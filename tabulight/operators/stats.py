@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabulight.functions import vocab
-from tabulight.functions.columns import count_if, number, percent, severity
+from tabulight.functions.columns import (
+    double_sql, number, number_sql, percent, severity, text_sql,
+)
 from tabulight.operators.timeseries import monthly_means
 from tabulight.plans.profile import (
-    column_modes, column_profile, empty_like, literal_rows, union_all,
+    column_modes, column_profile, empty_like, inline_sql, literal_rows, struct_sql, union_all,
 )
 from tabulight.plans.quantiles import quantiles
 
@@ -23,7 +25,8 @@ PAIRS_PER_SCAN = 28
 
 
 def numbers(df: DataFrame):
-    return lambda c: number(df, c)
+    """Column name to the SQL of its numeric value."""
+    return lambda c: number_sql(df, c)
 
 
 def quartiles(df: DataFrame, columns: list[str], approx: bool = False) -> dict[str, list[float | None]]:
@@ -31,7 +34,7 @@ def quartiles(df: DataFrame, columns: list[str], approx: bool = False) -> dict[s
     if not columns:
         return {}
     if approx:
-        row = df.agg(*[F.percentile_approx(number(df, c), [0.25, 0.5, 0.75]).alias(f"q{i}")
+        row = df.agg(*[F.expr(f"percentile_approx({number_sql(df, c)}, array(0.25, 0.5, 0.75)) as q{i}")
                        for i, c in enumerate(columns)]).first()
         return {c: list(row[i]) if row[i] else [None] * 3 for i, c in enumerate(columns)}
     return quantiles(df, columns, [0.25, 0.5, 0.75], numbers(df))
@@ -44,12 +47,12 @@ def stat_summary(df: DataFrame, columns: list[str], limit: int = 10, approx: boo
     v = numbers(df)
     quarts = quarts or quartiles(df, columns, approx)
     moments = column_profile(df, columns, {
-        "count": ("bigint", lambda c: F.count(v(c))),
-        "mean": ("double", lambda c: F.avg(v(c))),
-        "std": ("double", lambda c: F.stddev_samp(v(c))),
-        "variance": ("double", lambda c: F.var_samp(v(c))),
-        "min": ("double", lambda c: F.min(v(c))),
-        "max": ("double", lambda c: F.max(v(c))),
+        "count": ("bigint", lambda c: f"count({v(c)})"),
+        "mean": ("double", lambda c: f"avg({v(c)})"),
+        "std": ("double", lambda c: f"stddev_samp({v(c)})"),
+        "variance": ("double", lambda c: f"var_samp({v(c)})"),
+        "min": ("double", lambda c: f"min({v(c)})"),
+        "max": ("double", lambda c: f"max({v(c)})"),
     })
     quarter_rows = literal_rows(
         df, [(c, *quarts[c]) for c in columns], "column string, q1 double, median double, q3 double"
@@ -78,12 +81,12 @@ def notable_stats(summary: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(q: list[float | None]) -> tuple[Column, Column]:
+def _bounds(q: list[float | None]) -> tuple[str, str]:
     """Outlier limits as literals; NULL limits (no numbers) match nothing."""
     if q[0] is None:
-        return F.lit(None).cast("double"), F.lit(None).cast("double")
+        return double_sql(None), double_sql(None)
     iqr = q[2] - q[0]
-    return F.lit(float(q[0] - 1.5 * iqr)), F.lit(float(q[2] + 1.5 * iqr))
+    return double_sql(q[0] - 1.5 * iqr), double_sql(q[2] + 1.5 * iqr)
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], min_count: int = 10, skip_zero_iqr: bool = False,
@@ -92,13 +95,13 @@ def iqr_outliers(df: DataFrame, columns: list[str], min_count: int = 10, skip_ze
     v = numbers(df)
     quarts = quarts or quartiles(df, columns)
     limits = {c: _bounds(quarts[c]) for c in columns}
-    outside = lambda c: (v(c) < limits[c][0]) | (v(c) > limits[c][1])
+    outside = lambda c: f"case when {v(c)} < {limits[c][0]} or {v(c)} > {limits[c][1]} then {v(c)} end"
     counted = column_profile(df, columns, {
-        "count": ("bigint", lambda c: F.count(v(c))),
-        "low_outliers": ("bigint", lambda c: count_if(v(c) < limits[c][0])),
-        "high_outliers": ("bigint", lambda c: count_if(v(c) > limits[c][1])),
-        "min_outlier": ("double", lambda c: F.min(F.when(outside(c), v(c)))),
-        "max_outlier": ("double", lambda c: F.max(F.when(outside(c), v(c)))),
+        "count": ("bigint", lambda c: f"count({v(c)})"),
+        "low_outliers": ("bigint", lambda c: f"count_if({v(c)} < {limits[c][0]})"),
+        "high_outliers": ("bigint", lambda c: f"count_if({v(c)} > {limits[c][1]})"),
+        "min_outlier": ("double", lambda c: f"min({outside(c)})"),
+        "max_outlier": ("double", lambda c: f"max({outside(c)})"),
     })
     quarter_rows = literal_rows(
         df, [(c, quarts[c][0], quarts[c][2]) for c in columns], "column string, q1 double, q3 double"
@@ -134,7 +137,7 @@ def outlier_bounds(df: DataFrame, columns: list[str], quarts: dict | None = None
 def outlier_rows(df: DataFrame, name: str, quarts: dict | None = None) -> DataFrame:
     """The rows whose value lies outside the limits."""
     low, high = _bounds((quarts or quartiles(df, [name]))[name])
-    return df.where((number(df, name) < low) | (number(df, name) > high))
+    return df.where(f"{number_sql(df, name)} < {low} or {number_sql(df, name)} > {high}")
 
 
 def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
@@ -145,38 +148,33 @@ def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
     """
     v = numbers(df)
     facts = df.agg(F.count("*").alias("n"), *[
-        f.alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg(v(c))), ("c", F.count(v(c))))
+        F.expr(f"{f}({v(c)}) as {k}{i}") for i, c in enumerate(columns) for k, f in (("m", "avg"), ("c", "count"))
     ]).first()
-    mean = {c: facts[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
     full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
-    shifted = df.select(*[(v(c) - F.lit(mean[c])).alias(f"d{i}") for i, c in enumerate(columns)])
-    at = {c: F.col(f"d{i}") for i, c in enumerate(columns)}
+    shifted = df.selectExpr(*[f"{v(c)} - {double_sql(facts[f'm{i}'] or 0.0)} as d{i}" for i, c in enumerate(columns)])
+    at = {c: f"d{i}" for i, c in enumerate(columns)}
     frames = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch, sums, names = pairs[start:start + PAIRS_PER_SCAN], [], {}
+        sums: dict[str, str] = {}       # aggregate SQL -> its name, so equal sums are asked once
 
-        def total(expression: Column, key: tuple) -> Column:
-            if key not in names:
-                names[key] = f"t{len(names)}"
-                sums.append(F.sum(expression).alias(names[key]))
-            return F.col(names[key])
+        def total(e: str) -> str:
+            return sums.setdefault(f"sum({e})", f"t{len(sums)}")
 
         rows = []
-        for a, b in batch:
-            shared = a in full and b in full
-            x = at[a] if shared else F.when(at[b].isNotNull(), at[a])
-            y = at[b] if shared else F.when(at[a].isNotNull(), at[b])
-            kx, ky = ((a,), (b,)) if shared else ((a, b, "x"), (a, b, "y"))
-            n = total(F.when((at[a] * at[b]).isNotNull(), 1.0), ("n",) if shared else (a, b, "n"))
-            sx, sy = total(x, (*kx, "s")), total(y, (*ky, "s"))
-            xx, yy = total(x * x, (*kx, "q")), total(y * y, (*ky, "q"))
-            cross = total(at[a] * at[b], (a, b, "p")) - F.try_divide(sx * sy, n)
-            spread = F.sqrt(F.greatest(xx - F.try_divide(sx * sx, n), F.lit(0.0))) * F.sqrt(
-                F.greatest(yy - F.try_divide(sy * sy, n), F.lit(0.0)))
-            r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(cross, spread)))
-            rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                 F.when(spread > 0, F.round(r, 4)).alias("r")))
-        frames.append(shifted.agg(*sums).select(F.inline(F.array(*rows))))
+        for a, b in pairs[start:start + PAIRS_PER_SCAN]:
+            x, y, n = at[a], at[b], "1"
+            if not (a in full and b in full):
+                x, y = f"case when {at[b]} is not null then {at[a]} end", f"case when {at[a]} is not null then {at[b]} end"
+                n = f"if({at[a]} is null or {at[b]} is null, 0, 1)"
+            n, sx, sy = total(n), total(x), total(y)
+            cross = f"({total(f'{at[a]} * {at[b]}')} - try_divide({sx} * {sy}, {n}))"
+            spread = "sqrt(greatest({} - try_divide({} * {}, {}), 0)) * sqrt(greatest({} - try_divide({} * {}, {}), 0))".format(
+                total(f"({x}) * ({x})"), sx, sx, n, total(f"({y}) * ({y})"), sy, sy, n)
+            rows.append(struct_sql(
+                var1=text_sql(a), var2=text_sql(b),
+                r=f"round(greatest(-1D, least(1D, try_divide({cross}, {spread}))), 4)"))
+        wide = shifted.agg(*[F.expr(f"{e} as {name}") for e, name in sums.items()])
+        frames.append(wide.selectExpr(inline_sql(rows)))
     return union_all(frames)
 
 
@@ -229,8 +227,8 @@ def primary_metric(df: DataFrame, columns: list[str]) -> str | None:
         return named[0]
     v = numbers(df)
     spread = column_profile(df, columns, {
-        "n": ("bigint", lambda c: F.count(v(c))),
-        "variance": ("double", lambda c: F.var_samp(v(c))),
+        "n": ("bigint", lambda c: f"count({v(c)})"),
+        "variance": ("double", lambda c: f"var_samp({v(c)})"),
     }).where("n >= 5")
     best = spread.orderBy(F.desc("variance"), "position").limit(1).collect()
     return best[0]["column"] if best else columns[0]
@@ -245,13 +243,13 @@ def zscore_anomalies(df: DataFrame, columns: list[str], limit: int = 5) -> DataF
     columns = columns[:limit]
     v = numbers(df)
     facts = {r["column"]: r for r in column_profile(df, columns, {
-        "n": ("bigint", lambda c: F.count(v(c))), "mean": ("double", lambda c: F.avg(v(c))),
-        "std": ("double", lambda c: F.stddev_samp(v(c))),
+        "n": ("bigint", lambda c: f"count({v(c)})"), "mean": ("double", lambda c: f"avg({v(c)})"),
+        "std": ("double", lambda c: f"stddev_samp({v(c)})"),
     }).collect()}
     usable = [c for c in columns if facts[c]["n"] >= 15 and facts[c]["std"]]
-    far = lambda c: F.abs(v(c) - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std"]) > 3
+    far = lambda c: f"abs({v(c)} - {double_sql(facts[c]['mean'])}) / {double_sql(facts[c]['std'])} > 3"
     counted = column_profile(df, usable, {
-        "n": ("bigint", lambda c: F.count(v(c))), "far": ("bigint", lambda c: count_if(far(c))),
+        "n": ("bigint", lambda c: f"count({v(c)})"), "far": ("bigint", lambda c: f"count_if({far(c)})"),
     })
     pct = percent(F.col("far"), F.col("n"))
     return counted.where(pct > 0).select(
@@ -284,9 +282,9 @@ def period_spikes(df: DataFrame, date: str, columns: list[str], limit: int = 2)
 def _sign_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     v = numbers(df)
     return column_profile(df, columns, {
-        "rows": ("bigint", lambda c: F.count("*")),
-        "zeros": ("bigint", lambda c: count_if(v(c) == 0)),
-        "negatives": ("bigint", lambda c: count_if(v(c) < 0)),
+        "rows": ("bigint", lambda c: "count(*)"),
+        "zeros": ("bigint", lambda c: f"count_if({v(c)} = 0)"),
+        "negatives": ("bigint", lambda c: f"count_if({v(c)} < 0)"),
     })
 
 

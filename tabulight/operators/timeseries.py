@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulight.functions.columns import number, timestamp
-from tabulight.plans.profile import empty_like, union_all
+from tabulight.functions.columns import number, number_sql, text_sql, timestamp, timestamp_sql
+from tabulight.plans.profile import empty_like, inline_sql, struct_sql, union_all
 from tabulight.plans.ranking import with_position
 
 EMPTY_MONTHS = "date_column string, metric string, month string, mean double, sum double, count bigint"
@@ -24,19 +24,15 @@ def monthly_means(df: DataFrame, date: str, metrics: list[str]) -> DataFrame:
     if not metrics:
         return empty_like(df, EMPTY_MONTHS)
     wide = (
-        df.select(F.date_format(timestamp(df, date), "yyyy-MM").alias("month"),
-                  *[number(df, m).alias(f"v{i}") for i, m in enumerate(metrics)])
-        .where("month is not null")
-        .groupBy("month").agg(*[
-            f(f"v{i}").alias(f"{name}{i}") for i in range(len(metrics))
-            for name, f in (("mean", F.avg), ("sum", F.sum), ("count", F.count))])
-    )
-    rows = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{n}{i}").alias(n) for n in ("mean", "sum", "count")])
-            for i, m in enumerate(metrics)]
-    return (
-        wide.select("month", F.inline(F.array(*rows))).where("count > 0")
-        .select(F.lit(date).alias("date_column"), "metric", "month", "mean", "sum", "count")
+        df.selectExpr(f"date_format({timestamp_sql(df, date)}, 'yyyy-MM') as month",
+                      *[f"{number_sql(df, m)} as v{i}" for i, m in enumerate(metrics)])
+        .where("month is not null").groupBy("month")
+        .agg(*[F.expr(f"{f}(v{i}) as {f}{i}") for i in range(len(metrics)) for f in ("avg", "sum", "count")])
     )
+    rows = inline_sql([
+        struct_sql(date_column=text_sql(date), metric=text_sql(m), month="month", mean=f"avg{i}", sum=f"sum{i}", count=f"count{i}")
+        for i, m in enumerate(metrics)])
+    return wide.selectExpr(rows).where("count > 0")
 
 
 def monthly(df: DataFrame, date: str, metric: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Profiling a table column by column would scan it once per column. Here every metric of
 every column is an aggregate of the same scan; the single wide row is then spread into
-(column, position, metrics...) rows.
+(column, position, metrics...) rows. Metrics are written as SQL text.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabulight.functions.columns import col
+from tabulight.functions.columns import text_sql
 
 MAX_AGGREGATES = 200  # beyond this one scan is split in several, to keep generated code small
-
 DISTINCTS_PER_SCAN = 16  # every exact distinct count adds a copy of its column to the shuffle
 
+AsSql = Callable[[str], str]
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -27,13 +28,26 @@ def empty_like(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
+def literal_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A frame of facts already known on the driver (at most a few per column)."""
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def struct_sql(**fields: str) -> str:
+    return "struct(" + ", ".join(f"{sql} as `{name}`" for name, sql in fields.items()) + ")"
+
+
+def inline_sql(structs: list[str]) -> str:
+    """One output row per struct of the same shape."""
+    return f"inline(array({', '.join(structs)}))"
+
+
 def column_profile(
-    df: DataFrame, columns: list[str], metrics: dict[str, tuple[str, Callable[[str], Column]]],
-    per_scan: int | None = None,
+    df: DataFrame, columns: list[str], metrics: dict[str, tuple[str, AsSql]], per_scan: int | None = None,
 ) -> DataFrame:
-    """(column, position, *metrics); a metric is (SQL type, column name -> aggregate)."""
+    """(column, position, *metrics); a metric is (SQL type, column name -> aggregate SQL)."""
     if not columns:
-        fields = ", ".join(f"{name} {kind}" for name, (kind, _) in metrics.items())
+        fields = ", ".join(f"`{name}` {kind}" for name, (kind, _) in metrics.items())
         return empty_like(df, f"column string, position int, {fields}")
     per_scan = per_scan or max(1, MAX_AGGREGATES // max(1, len(metrics)))
     position = {c: i for i, c in enumerate(df.columns)}
@@ -41,55 +55,37 @@ def column_profile(
     for start in range(0, len(columns), per_scan):
         batch = columns[start:start + per_scan]
         wide = df.agg(*[
-            make(c).cast(kind).alias(f"{i}_{name}")
+            F.expr(f"cast({make(c)} as {kind}) as `{i}_{name}`")
             for i, c in enumerate(batch) for name, (kind, make) in metrics.items()
         ])
-        rows = [
-            F.struct(
-                F.lit(c).alias("column"), F.lit(position[c]).alias("position"),
-                *[F.col(f"{i}_{name}").alias(name) for name in metrics],
-            )
+        frames.append(wide.selectExpr(inline_sql([
+            struct_sql(column=text_sql(c), position=str(position[c]), **{name: f"`{i}_{name}`" for name in metrics})
             for i, c in enumerate(batch)
-        ]
-        frames.append(wide.select(F.inline(F.array(*rows))))
+        ])))
     return union_all(frames)
 
 
-def column_values(df: DataFrame, columns: list[str], as_value: Callable[[str], Column], keep=()) -> DataFrame:
+def column_values(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
     """Long (column, value) rows with non-null values; all values share one type."""
-    entries = [F.struct(F.lit(c).alias("column"), as_value(c).alias("value")) for c in columns]
-    return (
-        df.select(*keep, F.inline(F.array(*entries)))
-        .where(F.col("value").isNotNull())
-    )
+    entries = [struct_sql(column=text_sql(c), value=as_value(c)) for c in columns]
+    return df.selectExpr(inline_sql(entries)).where("value is not null")
 
 
-def value_counts(df: DataFrame, columns: list[str], as_value: Callable[[str], Column]) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
     """(column, value, n): one shuffle of the distinct values, equal values merged before it."""
     return column_values(df, columns, as_value).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def distinct_profile(df: DataFrame, columns: list[str], as_value: Callable[[str], Column],
-                     approx: bool = False) -> DataFrame:
+def distinct_profile(df: DataFrame, columns: list[str], as_value: AsSql, approx: bool = False) -> DataFrame:
     """(column, distinct_count) for non-null values; exact unless ``approx``."""
-    count = F.approx_count_distinct if approx else F.count_distinct
+    count = "approx_count_distinct({})" if approx else "count(distinct {})"
     return column_profile(
-        df, columns, {"distinct_count": ("bigint", lambda c: count(as_value(c)))},
+        df, columns, {"distinct_count": ("bigint", lambda c: count.format(as_value(c)))},
         per_scan=MAX_AGGREGATES if approx else DISTINCTS_PER_SCAN,
     ).drop("position")
 
 
-def column_modes(df: DataFrame, columns: list[str], as_value: Callable[[str], Column]) -> DataFrame:
+def column_modes(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
     """(column, mode): most frequent value, smallest on ties; no per-group value map."""
     return value_counts(df, columns, as_value).groupBy("column").agg(
-        F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("mode")
-    )
-
-
-def literal_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A frame of facts already known on the driver (at most a few per column)."""
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def quoted(names: list[str]) -> list[Column]:
-    return [col(n) for n in names]
+        F.expr("min_by(value, struct(-n, value)) as mode"))

@@ -17,9 +17,9 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulight.functions.columns import either
+from tabulight.functions.columns import double_sql
 
 SMALL_ROWS = 20_000      # below this a column is ordered as it is
 FENCE_ROWS = 1_000_000   # a fenced part may hold this many rows when it is ordered
@@ -45,31 +45,29 @@ class Slot:
     def fence(self) -> tuple[str, float, float]:
         return self.column, self.low, self.high
 
-    def holds(self, values: dict[str, Column]) -> Column:
-        v = values[self.column]
-        return (v >= F.lit(self.low)) & (v <= F.lit(self.high))
+    def holds(self, values: dict[str, str]) -> str:
+        return f"({values[self.column]} between {double_sql(self.low)} and {double_sql(self.high)})"
 
 
-def _proposed(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> list[list[float]]:
+def _proposed(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[list[float]]:
     """Two values around each slot's ranks, from a sketch of the rows inside its fences."""
     fences = {s.fence: s for s in slots}
     name = {fence: f"s{i}" for i, fence in enumerate(fences)}
     grouped = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("part")).agg(*[
-        F.kll_sketch_agg_double(F.when(s.holds(values), values[s.column]), F.lit(SKETCH_SIZE)).alias(name[f])
+        F.expr(f"kll_sketch_agg_double(case when {s.holds(values)} then {values[s.column]} end, {SKETCH_SIZE}) as {name[f]}")
         for f, s in fences.items()
     ])
-    merged = grouped.agg(*[F.kll_merge_agg_double(n).alias(n) for n in name.values()])
+    merged = grouped.agg(*[F.expr(f"kll_merge_agg_double({n}) as {n}") for n in name.values()])
     asked = []
     for i, s in enumerate(slots):
         shares = [(s.first - s.below) / s.inside - MARGIN, (s.last - s.below + 1) / s.inside + MARGIN]
-        asked.append(F.kll_sketch_get_quantile_double(
-            name[s.fence], F.array(*[F.lit(min(1.0, max(0.0, x))) for x in shares])
-        ).alias(f"f{i}"))
-    row = merged.select(*asked).first()
+        shares = ", ".join(double_sql(min(1.0, max(0.0, x))) for x in shares)
+        asked.append(f"kll_sketch_get_quantile_double({name[s.fence]}, array({shares})) as f{i}")
+    row = merged.selectExpr(*asked).first()
     return [list(row[i]) for i in range(len(slots))]
 
 
-def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> list[Slot]:
+def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[Slot]:
     """Move each slot to the tightest fences that the exact counts allow."""
     proposed = _proposed(df, slots, values)
     wanted: dict[tuple[str, float], int] = {}
@@ -77,9 +75,8 @@ def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> li
         for f in fences:
             wanted.setdefault((s.column, f), len(wanted))
     counts = df.agg(*[
-        F.count(F.when(test, 1)).alias(f"{kind}{i}")
-        for (c, f), i in wanted.items()
-        for kind, test in (("lt", values[c] < F.lit(f)), ("le", values[c] <= F.lit(f)))
+        F.expr(f"count_if({values[c]} {sign} {double_sql(f)}) as {kind}{i}")
+        for (c, f), i in wanted.items() for kind, sign in (("lt", "<"), ("le", "<="))
     ]).first()
     closed = []
     for s, fences in zip(slots, proposed):
@@ -94,15 +91,13 @@ def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> li
     return closed
 
 
-def _order(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> dict[Slot, tuple[float, float]]:
+def _order(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> dict[Slot, tuple[float, float]]:
     """Order the rows inside the fences and read off the ranks."""
-    entries = F.array_compact(F.array(*[
-        F.when(s.holds(values), F.struct(F.lit(i).alias("slot"), values[s.column].alias("value")))
-        for i, s in enumerate(slots)
-    ]))
+    entries = ", ".join(
+        f"case when {s.holds(values)} then struct({i} as slot, {values[s.column]} as value) end" for i, s in enumerate(slots))
     counted = (
-        df.where(either([s.holds(values) for s in slots]))
-        .select(F.inline(entries)).groupBy("slot", "value").agg(F.count("*").alias("n"))
+        df.where(" or ".join(s.holds(values) for s in slots))
+        .selectExpr(f"inline(array_compact(array({entries})))").groupBy("slot", "value").agg(F.count("*").alias("n"))
     )
     upto = F.sum("n").over(W.partitionBy("slot").orderBy("value"))
 
@@ -117,7 +112,7 @@ def _order(df: DataFrame, slots: list[Slot], values: dict[str, Column]) -> dict[
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], as_number: Callable[[str], Column],
+    df: DataFrame, columns: list[str], probs: list[float], as_number: Callable[[str], str],
     small_rows: int = SMALL_ROWS, fence_rows: int = FENCE_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each column; None for a column without numbers."""
@@ -129,11 +124,11 @@ def quantiles(
 
 
 def _quantiles(df, columns, probs, as_number, small_rows, fence_rows):
-    numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    values = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
+    numbers = df.selectExpr(*[f"{as_number(c)} as v{i}" for i, c in enumerate(columns)])
+    values = {c: f"v{i}" for i, c in enumerate(columns)}
     sizes = numbers.agg(*[
-        f.alias(f"{name}{i}") for i in range(len(columns))
-        for name, f in (("n", F.count(f"v{i}")), ("lo", F.min(f"v{i}")), ("hi", F.max(f"v{i}")))
+        F.expr(f"{f}(v{i}) as {name}{i}") for i in range(len(columns))
+        for name, f in (("n", "count"), ("lo", "min"), ("hi", "max"))
     ]).first()
     slots, weight = {}, {}
     for i, c in enumerate(columns):

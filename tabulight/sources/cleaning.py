@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tabulight.functions import vocab
-from tabulight.functions.columns import col, count_if, is_text, names_where, strip, text_as_number, value
+from tabulight.functions.columns import (
+    is_text, name_sql, names_where, strip_sql, text_number_sql, texts_sql, value_sql,
+)
 from tabulight.plans.profile import column_profile
 
 
 def null_sentinels(df: DataFrame, sentinels: list[str] = vocab.NULL_SENTINELS) -> DataFrame:
     """Text cells that are exactly one of the tokens become NULL."""
-    return df.select(*[
-        F.when(~col(c).isin(sentinels), col(c)).alias(c) if is_text(df, c) else col(c)
-        for c in df.columns
-    ])
+    return _with_texts(df, lambda c: f"case when {c} not in ({texts_sql(sentinels)}) then {c} end")
+
+
+def _with_texts(df: DataFrame, change, names: list[str] | None = None) -> DataFrame:
+    """The table with each text column replaced by an expression of it."""
+    names = names_where(df, is_text) if names is None else names
+    return df.selectExpr(*[
+        f"{change(name_sql(c))} as {name_sql(c)}" if c in names else name_sql(c) for c in df.columns])
 
 
 def clean_names(names: list[str]) -> list[str]:
@@ -38,30 +44,26 @@ def clean_names(names: list[str]) -> list[str]:
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Without columns that are all NULL, then without rows that are all NULL."""
-    filled = column_profile(df, df.columns, {"n": ("bigint", lambda c: F.count(value(df, c)))})
+    filled = column_profile(df, df.columns, {"n": ("bigint", lambda c: f"count({value_sql(df, c)})")})
     keep = {r["column"] for r in filled.where("n > 0").collect()}
-    return df.select(*[col(c) for c in df.columns if c in keep]).na.drop("all")
+    return df.selectExpr(*[name_sql(c) for c in df.columns if c in keep]).na.drop("all")
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """Text columns in which every non-null value is a number become double."""
     texts = names_where(df, is_text)
     numeric = column_profile(df, texts, {
-        "filled": ("bigint", lambda c: F.count(col(c))),
-        "numbers": ("bigint", lambda c: count_if(text_as_number(col(c)).isNotNull())),
+        "filled": ("bigint", lambda c: f"count({name_sql(c)})"),
+        "numbers": ("bigint", lambda c: f"count({text_number_sql(name_sql(c))})"),
     })
-    convert = {r["column"] for r in numeric.where("filled > 0 AND filled = numbers").collect()}
-    return df.select(*[
-        text_as_number(col(c)).alias(c) if c in convert else col(c) for c in df.columns
-    ])
+    convert = [r["column"] for r in numeric.where("filled > 0 AND filled = numbers").collect()]
+    return _with_texts(df, text_number_sql, convert)
 
 
 def strip_strings(df: DataFrame) -> DataFrame:
     """Text without outer whitespace; blank, "nan" and "None" become NULL."""
-    return df.select(*[
-        F.when(~strip(col(c)).isin("", "nan", "None"), strip(col(c))).alias(c) if is_text(df, c) else col(c)
-        for c in df.columns
-    ])
+    return _with_texts(
+        df, lambda c: f"case when {strip_sql(c)} not in ('', 'nan', 'None') then {strip_sql(c)} end")
 
 
 def clean_table(df: DataFrame) -> DataFrame:
