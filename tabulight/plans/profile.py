@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabulight.functions.columns import text_sql
 
 MAX_AGGREGATES = 200  # beyond this one scan is split in several, to keep generated code small
-DISTINCTS_PER_SCAN = 16  # every exact distinct count adds a copy of its column to the shuffle
 
 AsSql = Callable[[str], str]
 
@@ -65,27 +64,30 @@ def column_profile(
     return union_all(frames)
 
 
-def column_values(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
-    """Long (column, value) rows with non-null values; all values share one type."""
-    entries = [struct_sql(column=text_sql(c), value=as_value(c)) for c in columns]
-    return df.selectExpr(inline_sql(entries)).where("value is not null")
+def value_counts(df: DataFrame, name: str, as_value: AsSql) -> DataFrame:
+    """(value, n) of one column without NULL: equal values merge before the shuffle."""
+    return df.selectExpr(f"{as_value(name)} as value").where("value is not null").groupBy("value").agg(
+        F.count("*").alias("n"))
 
 
-def value_counts(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
-    """(column, value, n): one shuffle of the distinct values, equal values merged before it."""
-    return column_values(df, columns, as_value).groupBy("column", "value").agg(F.count("*").alias("n"))
+def _per_column(df: DataFrame, columns: list[str], as_value: AsSql, result: str) -> DataFrame:
+    """One aggregate of the value counts per column, all in one query.
+
+    Each column is read and shuffled on its own, in its own type. That reads the same bytes as
+    one scan of a columnar file and avoids a copy of every row per column.
+    """
+    return union_all([
+        value_counts(df, c, as_value).agg(F.expr(result)).select(F.lit(c).alias("column"), "*") for c in columns])
 
 
 def distinct_profile(df: DataFrame, columns: list[str], as_value: AsSql, approx: bool = False) -> DataFrame:
     """(column, distinct_count) for non-null values; exact unless ``approx``."""
-    count = "approx_count_distinct({})" if approx else "count(distinct {})"
-    return column_profile(
-        df, columns, {"distinct_count": ("bigint", lambda c: count.format(as_value(c)))},
-        per_scan=MAX_AGGREGATES if approx else DISTINCTS_PER_SCAN,
-    ).drop("position")
+    if approx or not columns:
+        return column_profile(df, columns, {
+            "distinct_count": ("bigint", lambda c: f"approx_count_distinct({as_value(c)})")}).drop("position")
+    return _per_column(df, columns, as_value, "count(*) as distinct_count")
 
 
 def column_modes(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:
-    """(column, mode): most frequent value, smallest on ties; no per-group value map."""
-    return value_counts(df, columns, as_value).groupBy("column").agg(
-        F.expr("min_by(value, struct(-n, value)) as mode"))
+    """(column, mode): most frequent value, smallest on ties; no map of all values anywhere."""
+    return _per_column(df, columns, as_value, "min_by(value, struct(-n, value)) as mode")

@@ -49,44 +49,50 @@ class Slot:
         return f"({values[self.column]} between {double_sql(self.low)} and {double_sql(self.high)})"
 
 
+def _sketch(df: DataFrame, wanted: dict[str, str], extra: dict[str, str] = {}) -> DataFrame:
+    """One row with a merged sketch per name; ``extra`` are count/min/max asked in the same scan."""
+    again = {"count": "sum", "min": "min", "max": "max"}
+    parts = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("part")).agg(
+        *[F.expr(f"kll_sketch_agg_double({e}, {SKETCH_SIZE}) as {n}") for n, e in wanted.items()],
+        *[F.expr(f"{e} as {n}") for n, e in extra.items()])
+    return parts.agg(
+        *[F.expr(f"kll_merge_agg_double({n}) as {n}") for n in wanted],
+        *[F.expr(f"{again[e.split('(')[0]]}({n}) as {n}") for n, e in extra.items()])
+
+
+def _read_off(sketch: str, shares: list[float]) -> str:
+    inside = ", ".join(double_sql(min(1.0, max(0.0, x))) for x in shares)
+    return f"case when kll_sketch_get_n_double({sketch}) > 0 then kll_sketch_get_quantile_double({sketch}, array({inside})) end"
+
+
 def _proposed(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[list[float]]:
     """Two values around each slot's ranks, from a sketch of the rows inside its fences."""
     fences = {s.fence: s for s in slots}
     name = {fence: f"s{i}" for i, fence in enumerate(fences)}
-    grouped = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("part")).agg(*[
-        F.expr(f"kll_sketch_agg_double(case when {s.holds(values)} then {values[s.column]} end, {SKETCH_SIZE}) as {name[f]}")
-        for f, s in fences.items()
-    ])
-    merged = grouped.agg(*[F.expr(f"kll_merge_agg_double({n}) as {n}") for n in name.values()])
-    asked = []
-    for i, s in enumerate(slots):
-        shares = [(s.first - s.below) / s.inside - MARGIN, (s.last - s.below + 1) / s.inside + MARGIN]
-        shares = ", ".join(double_sql(min(1.0, max(0.0, x))) for x in shares)
-        asked.append(f"kll_sketch_get_quantile_double({name[s.fence]}, array({shares})) as f{i}")
-    row = merged.selectExpr(*asked).first()
+    sketches = _sketch(df, {
+        name[f]: f"case when {s.holds(values)} then {values[s.column]} end" for f, s in fences.items()})
+    row = sketches.selectExpr(*[
+        _read_off(name[s.fence], [(s.first - s.below) / s.inside - MARGIN, (s.last - s.below + 1) / s.inside + MARGIN])
+        + f" as f{i}" for i, s in enumerate(slots)]).first()
     return [list(row[i]) for i in range(len(slots))]
 
 
-def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[Slot]:
+def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str], proposed: list[list[float]]) -> list[Slot]:
     """Move each slot to the tightest fences that the exact counts allow."""
-    proposed = _proposed(df, slots, values)
-    wanted: dict[tuple[str, float], int] = {}
-    for s, fences in zip(slots, proposed):
-        for f in fences:
-            wanted.setdefault((s.column, f), len(wanted))
+    wanted: dict[tuple[str, str, float], str] = {}
+    for s, (low, high) in zip(slots, proposed):
+        for test in ((s.column, "<", low), (s.column, "<=", high)):
+            wanted.setdefault(test, f"c{len(wanted)}")
     counts = df.agg(*[
-        F.expr(f"count_if({values[c]} {sign} {double_sql(f)}) as {kind}{i}")
-        for (c, f), i in wanted.items() for kind, sign in (("lt", "<"), ("le", "<="))
+        F.expr(f"count_if({values[c]} {sign} {double_sql(f)}) as {name}") for (c, sign, f), name in wanted.items()
     ]).first()
     closed = []
-    for s, fences in zip(slots, proposed):
+    for s, (f, g) in zip(slots, proposed):
         low, below, high, upto = s.low, s.below, s.high, s.below + s.inside
-        for f in fences:
-            i = wanted[(s.column, f)]
-            if counts[f"lt{i}"] <= s.first and f > low:
-                low, below = f, counts[f"lt{i}"]
-            if counts[f"le{i}"] > s.last and f < high:
-                high, upto = f, counts[f"le{i}"]
+        if counts[wanted[(s.column, "<", f)]] <= s.first and f > low:
+            low, below = f, counts[wanted[(s.column, "<", f)]]
+        if counts[wanted[(s.column, "<=", g)]] > s.last and g < high:
+            high, upto = g, counts[wanted[(s.column, "<=", g)]]
         closed.append(Slot(s.column, s.first, s.last, below, upto - below, low, high))
     return closed
 
@@ -126,29 +132,34 @@ def quantiles(
 def _quantiles(df, columns, probs, as_number, small_rows, fence_rows):
     numbers = df.selectExpr(*[f"{as_number(c)} as v{i}" for i, c in enumerate(columns)])
     values = {c: f"v{i}" for i, c in enumerate(columns)}
-    sizes = numbers.agg(*[
-        F.expr(f"{f}(v{i}) as {name}{i}") for i in range(len(columns))
-        for name, f in (("n", "count"), ("lo", "min"), ("hi", "max"))
-    ]).first()
-    slots, weight = {}, {}
+    shares = [x for p in probs for x in (p - MARGIN, p + MARGIN)]
+    sizes = _sketch(
+        numbers, {f"s{i}": v for i, v in enumerate(values.values())},
+        {f"{n}{i}": f"{f}({v})" for i, v in enumerate(values.values()) for n, f in (("n", "count"), ("lo", "min"), ("hi", "max"))},
+    ).selectExpr("*", *[f"{_read_off(f's{i}', shares)} as f{i}" for i in range(len(columns))]).drop(
+        *[f"s{i}" for i in range(len(columns))]).first()
+    slots, weight, proposed = {}, {}, {}
     for i, c in enumerate(columns):
         n = sizes[f"n{i}"]
-        for p in probs if n else []:
+        for j, p in enumerate(probs) if n else []:
             place = p * (n - 1)
             first, last = math.floor(place), math.ceil(place)
             slots[(c, p)] = Slot(c, first, last, 0, n, sizes[f"lo{i}"], sizes[f"hi{i}"])
             weight[(c, p)] = place - first
+            proposed[(c, p)] = sizes[f"f{i}"][2 * j:2 * j + 2]
 
-    limit, waiting = small_rows, list(slots)
+    limit, waiting, first_round = small_rows, list(slots), True
     while True:
         waiting = [k for k in waiting if slots[k].low < slots[k].high and slots[k].inside > limit]
         if not waiting:
             break
-        closed = _close_in(numbers, [slots[k] for k in waiting], values)
+        now = [slots[k] for k in waiting]
+        fences = [proposed[k] for k in waiting] if first_round else _proposed(numbers, now, values)
+        closed = _close_in(numbers, now, values, fences)
         moved = [k for k, s in zip(waiting, closed) if s.inside < slots[k].inside]
         slots.update(zip(waiting, closed))
         # fences that cannot move enclose neighbouring values only: ready to be ordered
-        limit, waiting = fence_rows, moved
+        limit, waiting, first_round = fence_rows, moved, False
 
     ranked = {s: (s.low, s.low) for s in slots.values() if s.low == s.high}
     open_slots = [s for s in dict.fromkeys(slots.values()) if s.low < s.high]
