@@ -9,7 +9,7 @@ from tabulight.functions.columns import (
     col, data_type, is_boolean, is_datetime, is_numeric, is_text, name_sql, names_where, number_sql, strip_sql,
     text_number_sql, text_timestamp_sql, texts_sql, timestamp_sql,
 )
-from tabulight.plans.profile import column_profile, literal_rows
+from tabulight.plans.profile import column_profile, distinct_profile, literal_rows
 
 NUM_SHARE, DATE_SHARE, MIXED_SHARE, MIXED_MIN = 0.90, 0.80, 0.20, 5
 CLASS_SHARE, CLASS_MIN = 0.3, 10
@@ -53,7 +53,7 @@ def detect_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
 
 
 def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, str]:
-    """Two scans at most: parse counts first, then date and flag tests where still open."""
+    """Two scans at most: parse counts first, then distinct flags and date formats where still open."""
     rows = df.limit(sample_rows) if sample_rows else df
     texts, integers = names_where(df, is_text), names_where(df, lambda d, c: isinstance(data_type(d, c), T.IntegralType))
     flag_word = lambda c: f"lower({strip_sql(name_sql(c))}) in ({texts_sql(vocab.BOOLEAN_WORDS)})"
@@ -62,25 +62,14 @@ def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, s
             "filled": ("bigint", lambda c: f"count({name_sql(c)})"),
             "numbers": ("bigint", lambda c: f"count({text_number_sql(name_sql(c)) if c in texts else name_sql(c)})"),
             "not_flags": ("bigint", lambda c: f"count_if(not {flag_word(c)})" if c in texts else f"count_if({name_sql(c)} not in (0, 1))"),
-            "low": ("string", lambda c: f"min({name_sql(c)})"),
-            "high": ("string", lambda c: f"max({name_sql(c)})"),
         }).collect()
     }
-    flags = [c for c, f in facts.items() if f["filled"] and not f["not_flags"] and f["low"] != f["high"]]
-    other = {c: f"case when {name_sql(c)} not in ({texts_sql((facts[c]['low'], facts[c]['high']))}) then {name_sql(c)} end"
-             for c in flags if c in texts}
-    dates = [
-        c for c in texts if facts[c]["filled"] and c not in flags
-        and facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]
-    ]
-    open_flags, date_counts = {}, {}
-    if other:   # a flag column has two or three spellings, not more
-        open_flags = {r["column"]: r for r in column_profile(rows, list(other), {
-            "low": ("string", lambda c: f"min({other[c]})"), "high": ("string", lambda c: f"max({other[c]})"),
-        }).collect()}
-    not_flags = [c for c in open_flags if open_flags[c]["low"] != open_flags[c]["high"]]
-    flags = [c for c in flags if c not in not_flags]
-    dates += [c for c in not_flags if facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]]
+    # only spellings of a few words are left in these columns, so counting them is cheap
+    maybe_flags = [c for c, f in facts.items() if f["filled"] and not f["not_flags"]]
+    distinct = distinct_profile(rows, maybe_flags, name_sql)
+    flags = [r["column"] for r in distinct.collect() if r["distinct_count"] in (2, 3)] if maybe_flags else []
+    dates = [c for c in texts if facts[c]["filled"] and c not in flags and facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]]
+    date_counts = {}
     if dates:
         formats = {f"f{i}": ("bigint", lambda c, f=f: f"count({text_timestamp_sql(name_sql(c), [f])})")
                    for i, f in enumerate(vocab.DATE_FORMATS)}
@@ -119,14 +108,21 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Repeatable sample: the rows with the smallest hash, whatever the partitioning.
+    """Repeatable sample: the n rows with the smallest hash, whatever the partitioning.
 
-    Without ``n``: everything up to 100,000 rows, else 20 % within 5,000..20,000 rows.
+    Without ``n``: everything up to 100,000 rows, else 20 % within 5,000..20,000 rows. Hashes
+    are uniform, so a bound on the hash leaves little more than n rows to be ordered; should it
+    leave fewer, the whole table is ordered instead.
     """
+    total = df.count()
     if n is None:
-        total = df.count()
-        if total <= 100_000:
-            return df
-        n = min(20_000, max(5_000, int(0.2 * total)))
-    key = F.xxhash64(*[col(c) for c in df.columns], F.lit(seed))
-    return df.orderBy(key, *[col(c) for c in df.columns]).limit(n)
+        n = total if total <= 100_000 else min(20_000, max(5_000, int(0.2 * total)))
+    if n >= total:
+        return df
+    columns = [col(c) for c in df.columns]
+    key = F.xxhash64(*columns, F.lit(seed))
+    bound = int(-(2**63) + min(1.0, 1.2 * n / total) * (2**64 - 1))
+    few = df.where(key <= F.lit(min(bound, 2**63 - 1)))
+    if few.count() < n:
+        few = df
+    return few.orderBy(key, *columns).limit(n)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulight.functions.columns import col, number, number_sql, percent, text_sql, value, value_sql
 from tabulight.operators.filters import apply_filters, resolve_name, search_text
 from tabulight.operators.rows import drill_table, scatter_points
-from tabulight.plans.profile import column_profile, empty_like, inline_sql, literal_rows, struct_sql
+from tabulight.plans.profile import column_profile, empty_like, literal_rows, union_all
 
 CATEGORY_VALUES = (2, 50)
 SEGMENT_VALUES = (2, 30)
@@ -51,20 +51,21 @@ def _level(pct: Column) -> Column:
 def category_table(df: DataFrame, categories: list[str], metric: str | None = None,
                    allowed: tuple[int, int] = CATEGORY_VALUES) -> DataFrame:
     """(column, position, value, count, total, pct, sum, mean, measured) for the columns whose
-    number of distinct values is allowed. All columns share one scan and one shuffle; what is
-    left after the cardinality check is at most ``allowed[1]`` rows per column.
+    number of distinct values is allowed.
+
+    Each column is grouped on its own, reading only itself and the metric. After the check of
+    its number of values at most ``allowed[1]`` rows per column are left.
     """
-    schema = "column string, position int, value string, count bigint, sum double, mean double, measured bigint, total bigint, pct double, values bigint"
     if not categories:
-        return empty_like(df, schema)
-    entries = [struct_sql(column=text_sql(c), position=str(i), value=f"cast({value_sql(df, c)} as string)")
-               for i, c in enumerate(categories)]
-    groups = (
-        df.selectExpr(f"{number_sql(df, metric) if metric else 'double(null)'} as v", inline_sql(entries))
-        .where("value is not null")
-        .groupBy("column", "position", "value")
-        .agg(F.count("*").alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.count("v").alias("measured"))
-    )
+        return empty_like(df, "column string, position int, value string, count bigint, sum double, mean double, "
+                              "measured bigint, values bigint, total bigint, pct double")
+    v = number_sql(df, metric) if metric else "double(null)"
+    groups = union_all([
+        df.selectExpr(f"{value_sql(df, c)} as value", f"{v} as v").where("value is not null").groupBy("value")
+        .agg(F.expr("count(*) as count"), F.expr("sum(v) as sum"), F.expr("avg(v) as mean"), F.expr("count(v) as measured"))
+        .selectExpr(f"{text_sql(c)} as column", f"{i} as position", "cast(value as string) as value", "count", "sum", "mean", "measured")
+        for i, c in enumerate(categories)
+    ])
     sizes = groups.groupBy("column").agg(F.count("*").alias("values"), F.sum("count").alias("total")).where(
         F.col("values").between(*allowed))
     return groups.join(F.broadcast(sizes), "column").withColumn("pct", percent(F.col("count"), F.col("total")))

@@ -13,6 +13,8 @@ from itertools import accumulate
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tabulight.session import checkpointed
+
 BUCKET_ROWS = 500_000
 MAX_BUCKETS = 4_000
 
@@ -20,6 +22,7 @@ MAX_BUCKETS = 4_000
 def with_position(df: DataFrame, key: str, order: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``position`` (0-based, by key). Keys are distinct; ``order`` is a double that never
     decreases as the key grows."""
+    df = checkpointed(df)       # read four times below
     total = df.count()
     buckets = min(MAX_BUCKETS, -(-total // bucket_rows))
     if buckets <= 1:
