@@ -267,13 +267,13 @@ def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | No
                             detail.cast("string").alias("detail"))
 
     total = part.agg(F.count("*").alias("n"))
-    share = F.col("nulls") / F.col("n") * 100
+    share = F.try_divide(F.col("nulls") * 100, F.col("n"))
     nulls = quality.null_counts(part).withColumn("n", total.scalar()).where(share > 5)
     copies = quality.duplicate_count(part)
+    repeated = F.try_divide(F.col("duplicates") * 100, F.col("rows"))
     parts = [
         found(nulls, 1, place(df.columns), "missing", F.col("column"), F.round(share, 1)),
-        found(copies.where(F.col("duplicates") / F.col("rows") * 100 > 1), 2, F.lit(0), "duplicates", F.lit("rows"),
-              F.round(F.col("duplicates") / F.col("rows") * 100, 1)),
+        found(copies.where(repeated > 1), 2, F.lit(0), "duplicates", F.lit("rows"), F.round(repeated, 1)),
     ]
     if nums:
         parts.append(found(stats.iqr_outliers(part, nums[:2], 11), 3, place(nums[:2]), "outliers", F.col("column"), F.col("total_outliers")))

@@ -148,8 +148,10 @@ def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
     """
     v = numbers(df)
     facts = df.agg(F.count("*").alias("n"), *[
-        F.expr(f"{f}({v(c)}) as {k}{i}") for i, c in enumerate(columns) for k, f in (("m", "avg"), ("c", "count"))
+        F.expr(f"{f.format(v(c))} as {k}{i}") for i, c in enumerate(columns)
+        for k, f in (("m", "avg({})"), ("c", "count({})"), ("e", "min({0}) = max({0})"))
     ]).first()
+    constant = {c for i, c in enumerate(columns) if facts[f"e{i}"]}
     full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
     shifted = df.selectExpr(*[f"{v(c)} - {double_sql(facts[f'm{i}'] or 0.0)} as d{i}" for i, c in enumerate(columns)])
     at = {c: f"d{i}" for i, c in enumerate(columns)}
@@ -172,7 +174,8 @@ def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
                 total(f"({x}) * ({x})"), sx, sx, n, total(f"({y}) * ({y})"), sy, sy, n)
             rows.append(struct_sql(
                 var1=text_sql(a), var2=text_sql(b),
-                r=f"round(greatest(-1D, least(1D, try_divide({cross}, {spread}))), 4)"))
+                r="double(null)" if {a, b} & constant else
+                f"case when {spread} > 0 then round(greatest(-1D, least(1D, {cross} / ({spread}))), 4) end"))
         wide = shifted.agg(*[F.expr(f"{e} as {name}") for e, name in sums.items()])
         frames.append(wide.selectExpr(inline_sql(rows)))
     return union_all(frames)
