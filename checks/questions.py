@@ -188,7 +188,9 @@ def _(t):
     ])
 
 
-@query("j09_suggest_questions")
+@query("j09_suggest_questions", """
+    SELECT * FROM (VALUES (1, 'List the first 10 rows'), (2, 'How many rows are there?'), (3, 'Where is o_totalprice highest, by o_orderkey?'),
+        (4, 'How does o_totalprice differ between o_orderkey values?'), (5, 'How does o_totalprice move over o_orderdate?')) v(seq, question)""")
 def _(t):
     from tabulight.operators.schema import semantic_types
 

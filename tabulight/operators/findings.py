@@ -11,7 +11,7 @@ from tabulight.functions.columns import col, is_missing, number, percent
 from tabulight.operators import quality, rows, segments, stats, timeseries
 from tabulight.operators.filters import apply_filters
 from tabulight.operators.schema import column_classes
-from tabulight.plans.profile import empty_like, literal_rows, union_all
+from tabulight.plans.profile import empty_like, fetched, literal_rows, union_all
 
 FINDING = "type string, subject string, priority string, v1 double, v2 double"
 ADVICE = "area string, subject string, priority string"
@@ -27,24 +27,15 @@ def _finding(frame: DataFrame, kind: str | Column, subject: str | Column, priori
 class Analysis:
     """Shared intermediate results of one report on one table.
 
-    Every section needs some of the same small frames (a few rows per column). They are kept
-    after first use; ``release`` drops them. The table itself is never cached: each aggregate
-    reads only its own columns.
+    Every section needs some of the same small frames (a few rows per column or month). Each is
+    computed once and its rows are fetched. The table itself is never cached: an aggregate reads
+    only its own columns.
     """
 
     def __init__(self, df: DataFrame, classes: dict[str, list[str]] | None = None):
         self.df = df
         self.classes = classes or column_classes(df)
         self.numeric, self.dates, self.categories = (self.classes[k] for k in ("numeric", "date", "categorical"))
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, frame: DataFrame) -> DataFrame:
-        self._kept.append(frame.persist())
-        return frame
-
-    def release(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
 
     @cached_property
     def metric(self) -> str | None:
@@ -56,43 +47,43 @@ class Analysis:
 
     @cached_property
     def statistics(self) -> DataFrame:
-        return self._keep(stats.stat_summary(self.df, self.numeric, quarts=self.quartiles))
+        return fetched(stats.stat_summary(self.df, self.numeric, quarts=self.quartiles))
 
     @cached_property
     def outliers(self) -> DataFrame:
-        return self._keep(stats.iqr_outliers(self.df, self.numeric, quarts=self.quartiles))
+        return fetched(stats.iqr_outliers(self.df, self.numeric, quarts=self.quartiles))
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return self._keep(stats.correlation_pairs(self.df, self.numeric))
+        return fetched(stats.correlation_pairs(self.df, self.numeric))
 
     @cached_property
     def months(self) -> DataFrame:
-        return self._keep(timeseries.all_months(self.df, self.dates, self.numeric))
+        return fetched(timeseries.all_months(self.df, self.dates, self.numeric))
 
     @cached_property
     def trends(self) -> DataFrame:
-        return timeseries.trend_report(self.df, self.dates, self.numeric, self.months)
+        return fetched(timeseries.trend_report(self.df, self.dates, self.numeric, self.months))
 
     @cached_property
     def category_table(self) -> DataFrame:
-        return self._keep(segments.category_table(self.df, self.categories[:5], self.metric))
+        return segments.category_table(self.df, self.categories[:5], self.metric)
 
     @cached_property
     def segment_extremes(self) -> DataFrame:
-        return self._keep(segments.segment_extremes(self.df, self.categories[:2], self.metric))
+        return fetched(segments.segment_extremes(self.df, self.categories[:2], self.metric))
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        return self._keep(stats.anomalies(self.df, self.numeric, self.dates, self.outliers))
+        return fetched(stats.anomalies(self.df, self.numeric, self.dates, self.outliers))
 
     @cached_property
     def missing(self) -> DataFrame:
-        return self._keep(quality.missing_totals(self.df))
+        return fetched(quality.missing_totals(self.df))
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return self._keep(quality.duplicate_count(self.df))
+        return fetched(quality.duplicate_count(self.df))
 
     # --- findings -----------------------------------------------------------------
 
@@ -146,7 +137,7 @@ class Analysis:
 
     @cached_property
     def insights(self) -> DataFrame:
-        return self._keep(union_all([
+        return fetched(union_all([
             self.insight_concentration(), self.insight_trends(), self.insight_performance_gap(),
             self.insight_correlation(), self.insight_risk()]))
 
@@ -287,12 +278,12 @@ def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | No
     if dates and nums:
         moved = timeseries.trend_by_date(part, dates[0], nums[0])
         parts.append(found(moved, 6, F.lit(0), "trend", F.col("metric"), F.col("change_pct"), F.col("direction")))
-    every = union_all(parts)
-    summary = found(total.where("n > 0").withColumn("none", every.agg(F.count("*") == 0).scalar()).where("none"),
-                    7, F.lit(0), "summary", F.lit("rows"), F.col("n"), F.lit(str(len(df.columns)) + " columns"))
-    nothing = found(total.where("n = 0"), 8, F.lit(0), "no data", F.lit("rows"), F.col("n"))
-    first = every.where(total.select(F.col("n") > 0).scalar()).unionByName(summary).unionByName(nothing).orderBy(
-        "rule_no", "place").limit(limit)
+    n = total.first()["n"]
+    first = fetched(union_all(parts).orderBy("rule_no", "place").limit(limit))
+    if n == 0 or first.isEmpty():
+        first = literal_rows(df, [
+            (7, 0, "summary", "rows", float(n), f"{len(df.columns)} columns") if n else (8, 0, "no data", "rows", 0.0, None)
+        ], first.schema)
     seq = F.row_number().over(W.partitionBy().orderBy("rule_no", "place"))     # at most ``limit`` rows
     return first.select(seq.alias("seq"), "rule", "subject", "value", "detail")
 

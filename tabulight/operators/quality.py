@@ -13,7 +13,7 @@ from tabulight.operators.rows import sample_values
 from tabulight.operators.schema import semantic_types
 from tabulight.operators.stats import iqr_outliers_basic
 from tabulight.plans.profile import (
-    column_profile, distinct_profile, empty_like, literal_rows, union_all,
+    column_profile, distinct_profile, fetched, literal_rows, union_all,
 )
 
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -430,8 +430,8 @@ def overview(df: DataFrame, schema: dict[str, str] | None = None) -> dict[str, D
     """All parts of the overview. Distinct counts and outliers are computed once and shared."""
     schema = schema or semantic_types(df)
     numeric = [c for c in df.columns if schema.get(c) == "NUM" and is_numeric(df, c)]
-    distinct, outliers = distinct_counts(df).persist(), iqr_outliers_basic(df, numeric).persist()
-    facts = quality_facts(df, schema, outliers).persist()
+    distinct, outliers = fetched(distinct_counts(df)), fetched(iqr_outliers_basic(df, numeric))
+    facts = fetched(quality_facts(df, schema, outliers))
     return {
         "facts": facts, "types": type_distribution(df, schema), "keys": key_fields(df, schema, distinct),
         "issues": issue_list(df, schema, facts), "column_quality": column_quality(df, schema, outliers, distinct),
@@ -458,7 +458,7 @@ def overview_report(df: DataFrame, schema: dict[str, str] | None = None) -> Data
     names = {"NUM": "Numeric Columns", "TEXT": "Categorical Columns", "DATE": "Date/Time Columns", "BOOL": "Boolean Columns"}
     kinds = F.create_map(*[x for k, n in names.items() for x in (F.lit(k), F.lit(n))])
     types = parts["types"].where(F.col("type").isin(list(names))).select(
-        F.lit("Column Distribution").alias("section"), F.element_at(kinds, "type").alias("metric"),
+        F.lit("Column Distribution").alias("section"), F.element_at(kinds, F.col("type")).alias("metric"),
         F.col("columns").cast("string").alias("value"))
     joined = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("role") == role, F.struct("rank", "column")))), lambda s: s["column"]), ", ")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulight.functions.columns import col, data_type, names_where, number, text_sql, value_sql
 from tabulight.operators.filters import apply_filters, search_text
-from tabulight.plans.profile import column_profile, literal_rows
+from tabulight.plans.profile import column_profile, fetched, literal_rows
 
 COPIES_PER_ROW = 100_000
 
@@ -134,6 +134,5 @@ def copies_partitions(df: DataFrame) -> int:
 
 def scatter_points(df: DataFrame, x: str, y: str, key: list[str], n: int = 300) -> DataFrame:
     """At most n (x, y) pairs in key order, without pairs that have a NULL; none up to 5 rows."""
-    first = df.orderBy(*[col(k) for k in key]).limit(n).select(number(df, x).alias("x"), number(df, y).alias("y"))
-    enough = first.agg(F.count("*") > 5).scalar()
-    return first.where(enough).dropna()
+    first = fetched(df.orderBy(*[col(k) for k in key]).limit(n).select(number(df, x).alias("x"), number(df, y).alias("y")))
+    return (first if first.count() > 5 else first.limit(0)).dropna()

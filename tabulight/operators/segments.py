@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulight.functions.columns import col, number, number_sql, percent, text_sql, value, value_sql
 from tabulight.operators.filters import apply_filters, resolve_name, search_text
 from tabulight.operators.rows import drill_table, scatter_points
-from tabulight.plans.profile import column_profile, empty_like, literal_rows, union_all
+from tabulight.plans.profile import column_profile, empty_like, fetched, literal_rows, union_all
 
 CATEGORY_VALUES = (2, 50)
 SEGMENT_VALUES = (2, 30)
@@ -48,27 +48,37 @@ def _level(pct: Column) -> Column:
     return F.when(pct > 70, "High").when(pct > 40, "Medium").otherwise("Low")
 
 
+def _groups(df: DataFrame, name: str, position: int, metric: str | None) -> DataFrame:
+    """(column, position, value, count, sum, mean, measured) of one column; reads only it and the metric."""
+    v = number_sql(df, metric) if metric else "double(null)"
+    return (
+        df.selectExpr(f"{value_sql(df, name)} as value", f"{v} as v").where("value is not null").groupBy("value")
+        .agg(F.expr("count(*) as count"), F.expr("sum(v) as sum"), F.expr("avg(v) as mean"), F.expr("count(v) as measured"))
+        .selectExpr(f"{text_sql(name)} as column", f"{position} as position", "cast(value as string) as value",
+                    "count", "sum", "mean", "measured")
+    )
+
+
 def category_table(df: DataFrame, categories: list[str], metric: str | None = None,
                    allowed: tuple[int, int] = CATEGORY_VALUES) -> DataFrame:
-    """(column, position, value, count, total, pct, sum, mean, measured) for the columns whose
-    number of distinct values is allowed.
+    """(column, position, value, count, sum, mean, measured, values, total, pct) for the columns
+    whose number of distinct values is allowed.
 
-    Each column is grouped on its own, reading only itself and the metric. After the check of
-    its number of values at most ``allowed[1]`` rows per column are left.
+    One group more than allowed is enough to see that a column has too many, so each column
+    gives at most ``allowed[1] + 1`` rows; these are fetched once and serve all that follows.
     """
-    if not categories:
-        return empty_like(df, "column string, position int, value string, count bigint, sum double, mean double, "
-                              "measured bigint, values bigint, total bigint, pct double")
-    v = number_sql(df, metric) if metric else "double(null)"
-    groups = union_all([
-        df.selectExpr(f"{value_sql(df, c)} as value", f"{v} as v").where("value is not null").groupBy("value")
-        .agg(F.expr("count(*) as count"), F.expr("sum(v) as sum"), F.expr("avg(v) as mean"), F.expr("count(v) as measured"))
-        .selectExpr(f"{text_sql(c)} as column", f"{i} as position", "cast(value as string) as value", "count", "sum", "mean", "measured")
-        for i, c in enumerate(categories)
-    ])
-    sizes = groups.groupBy("column").agg(F.count("*").alias("values"), F.sum("count").alias("total")).where(
-        F.col("values").between(*allowed))
-    return groups.join(F.broadcast(sizes), "column").withColumn("pct", percent(F.col("count"), F.col("total")))
+    low, high = allowed
+    schema = ("column string, position int, value string, count bigint, sum double, mean double, measured bigint, "
+              "values bigint, total bigint")
+    rows = []
+    if categories:
+        found: dict[str, list] = {}
+        for r in union_all([_groups(df, c, i, metric).limit(high + 1) for i, c in enumerate(categories)]).collect():
+            found.setdefault(r["column"], []).append(tuple(r))
+        for groups in found.values():
+            if low <= len(groups) <= high:
+                rows += [g + (len(groups), sum(x[3] for x in groups)) for g in groups]
+    return literal_rows(df, rows, schema).withColumn("pct", percent(F.col("count"), F.col("total")))
 
 
 def concentration(df: DataFrame, name: str) -> DataFrame:
@@ -138,7 +148,11 @@ def _gaps(table: DataFrame) -> DataFrame:
 
 def segment_extremes(df: DataFrame, categories: list[str], metric: str) -> DataFrame:
     """Like segment_gap without a limit on the number of segments, unrounded."""
-    return _extremes(category_table(df, categories, metric, (1, 2**62))).select(
+    if not categories:
+        return empty_like(df, "column string, position int, best string, worst string, segments bigint, "
+                              "best_mean double, worst_mean double")
+    every = union_all([_groups(df, c, i, metric) for i, c in enumerate(categories)])
+    return _extremes(every).select(
         "column", "position", F.col("best.value").alias("best"), F.col("worst.value").alias("worst"), "segments",
         F.col("best.mean").alias("best_mean"), F.col("worst.mean").alias("worst_mean"))
 
@@ -217,16 +231,24 @@ def series(df: DataFrame, schema: dict[str, str], metric: str | None, dimension:
 
 
 def share_by_category(df: DataFrame, name: str, metric: str, filters: dict | None = None) -> DataFrame:
-    """(kind, label, value): all groups as a pie up to 6, else the 10 largest and "Others" as bars."""
-    sums = _sums(apply_filters(df, filters or {}), name, metric)
-    groups = sums.agg(F.count("*")).scalar()
-    top = sums.orderBy(F.desc_nulls_last("value"), F.asc_nulls_first("key")).limit(BAR_SLICES)
-    named = top.select(F.col("key").alias("named"))
-    rest = sums.join(F.broadcast(named), F.col("key").eqNullSafe(F.col("named")), "left_anti").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
-    others = rest.where("n > 0").select(F.lit("Others").alias("label"), "value")
-    kind = F.when(groups <= PIE_SLICES, "pie").otherwise("bar").alias("kind")
-    return _shown(top).unionByName(others).where(groups > 1).select(kind, "label", "value")
+    """(kind, label, value): all groups as a pie up to 6, else the 10 largest and "Others" as bars.
+
+    The eleven largest groups are fetched; only if there are more than ten, one more aggregate
+    sums the rows of all the others.
+    """
+    rows = apply_filters(df, filters or {})
+    top = _sums(rows, name, metric).orderBy(F.desc_nulls_last("value"), F.asc_nulls_first("key")).limit(BAR_SLICES + 1)
+    known = top.collect()
+    kind = F.lit("pie" if len(known) <= PIE_SLICES else "bar").alias("kind")
+    named = df.sparkSession.createDataFrame(known[:BAR_SLICES] if len(known) > 1 else [], top.schema)
+    shares = _shown(named).select(kind, "label", "value")
+    if len(known) <= BAR_SLICES:
+        return shares
+    keys = [r["key"] for r in known[:BAR_SLICES]]
+    listed = value(df, name).isin([k for k in keys if k is not None])
+    listed = F.coalesce(listed, F.lit(None in keys))      # NULL is a group like any other
+    others = rows.where(~listed).agg(F.coalesce(F.sum(number(df, metric)), F.lit(0.0)).alias("value"))
+    return shares.unionByName(others.select(kind, F.lit("Others").alias("label"), "value"))
 
 
 def frequency_by_category(df: DataFrame, name: str, limit: int = SERIES_POINTS, filters: dict | None = None) -> DataFrame:
@@ -238,9 +260,8 @@ def frequency_by_category(df: DataFrame, name: str, limit: int = SERIES_POINTS,
 
 def timeline(df: DataFrame, date: str, metric: str, limit: int = TIMELINE_POINTS, filters: dict | None = None) -> DataFrame:
     """(label, value): metric sum of the first 50 date values; needs more than one."""
-    points = _sums(apply_filters(df, filters or {}), date, metric).orderBy(F.asc_nulls_first("key")).limit(limit)
-    enough = points.agg(F.count("*") > 1).scalar()
-    return _shown(points).where(enough)
+    points = fetched(_sums(apply_filters(df, filters or {}), date, metric).orderBy(F.asc_nulls_first("key")).limit(limit))
+    return _shown(points if points.count() > 1 else points.limit(0))
 
 
 def stacked_matrix(df: DataFrame, date: str, category: str, metric: str, filters: dict | None = None) -> DataFrame:

@@ -32,6 +32,15 @@ def literal_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) -
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def fetched(frame: DataFrame) -> DataFrame:
+    """The same rows as a local frame, so that several uses do not read the table again.
+
+    Only for results whose size does not grow with the table: a few rows per column, month,
+    chart point or rule.
+    """
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+
+
 def struct_sql(**fields: str) -> str:
     return "struct(" + ", ".join(f"{sql} as `{name}`" for name, sql in fields.items()) + ")"
 

@@ -44,9 +44,7 @@ def compare(spark, con, sf_dir, fn, sql):
     actual = table(df.columns, rows)
     if actual[0] != expected[0]:
         return f"columns {actual[0]} != {expected[0]}", took, len(rows)
-    if len(actual[1]) != len(expected[1]):
-        return f"rows {len(actual[1])} != {len(expected[1])}; only spark {sorted(set(actual[1]) - set(expected[1]))[:3]}, only sql {sorted(set(expected[1]) - set(actual[1]))[:3]}", took, len(rows)
-    different = [(a, b) for a, b in zip(*(actual[1], expected[1])) if a != b]
-    if different:
-        return f"{actual[0]}: {len(different)} of {len(rows)} differ, first {different[:3]}", took, len(rows)
+    if actual[1] != expected[1]:
+        spark_only, sql_only = sorted(set(actual[1]) - set(expected[1]))[:4], sorted(set(expected[1]) - set(actual[1]))[:4]
+        return (f"{len(actual[1])} / {len(expected[1])} rows of {actual[0]}; only spark {spark_only}; only sql {sql_only}"), took, len(rows)
     return None, took, len(rows)
