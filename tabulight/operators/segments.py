@@ -240,7 +240,7 @@ def share_by_category(df: DataFrame, name: str, metric: str, filters: dict | Non
     top = _sums(rows, name, metric).orderBy(F.desc_nulls_last("value"), F.asc_nulls_first("key")).limit(BAR_SLICES + 1)
     known = top.collect()
     kind = F.lit("pie" if len(known) <= PIE_SLICES else "bar").alias("kind")
-    named = df.sparkSession.createDataFrame(known[:BAR_SLICES] if len(known) > 1 else [], top.schema)
+    named = literal_rows(df, known[:BAR_SLICES] if len(known) > 1 else [], top.schema)
     shares = _shown(named).select(kind, "label", "value")
     if len(known) <= BAR_SLICES:
         return shares

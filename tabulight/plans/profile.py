@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabulight.functions.columns import text_sql
+from tabulight.functions.columns import double_sql, name_sql, text_sql
 
 MAX_AGGREGATES = 200  # beyond this one scan is split in several, to keep generated code small
 
@@ -27,9 +27,28 @@ def empty_like(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
+def _literal(v, kind: T.DataType) -> str:
+    if v is None:
+        return f"cast(null as {kind.simpleString()})"
+    if isinstance(kind, T.StringType):
+        return text_sql(v)
+    return double_sql(v) if isinstance(kind, T.DoubleType) else f"cast({v!r} as {kind.simpleString()})"
+
+
 def literal_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A frame of facts already known on the driver (at most a few per column)."""
-    return df.sparkSession.createDataFrame(rows, schema)
+    """A frame of facts already known on the driver (at most a few per column).
+
+    Written as VALUES where the types allow it: Spark then knows the rows while planning and
+    starts no tasks to read them.
+    """
+    spark = df.sparkSession
+    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kinds = [f.dataType for f in struct]
+    simple = all(isinstance(k, (T.StringType, T.IntegerType, T.LongType, T.DoubleType, T.BooleanType)) for k in kinds)
+    if not rows or not simple or any(isinstance(v, str) and "${" in v for r in rows for v in r):
+        return spark.createDataFrame(rows, struct)
+    values = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds)) + ")" for r in rows)
+    return spark.sql(f"select * from values {values} as t({', '.join(name_sql(f.name) for f in struct)})")
 
 
 def fetched(frame: DataFrame) -> DataFrame:
@@ -38,7 +57,7 @@ def fetched(frame: DataFrame) -> DataFrame:
     Only for results whose size does not grow with the table: a few rows per column, month,
     chart point or rule.
     """
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+    return literal_rows(frame, frame.collect(), frame.schema)
 
 
 def struct_sql(**fields: str) -> str:
