@@ -19,7 +19,7 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
-LONGEST_DATE_TEXT = 30
+DATE_TEXT_LENGTHS = (8, 30)     # from 1/1/2020 to the longest month name with padding
 
 
 def data_type(df: DataFrame, name: str) -> T.DataType:
@@ -90,11 +90,14 @@ def number_sql(df: DataFrame, name: str) -> str:
 
 
 def text_timestamp_sql(e: str, formats=tuple(vocab.DATE_FORMATS)) -> str:
-    """First of the known formats that fits; the shape test keeps the parser off prose."""
-    tries = ", ".join(
-        f"case when length({e}) <= {LONGEST_DATE_TEXT} and {e} rlike r'{shape}' then try_to_timestamp({e}, '{fmt}') end"
-        for fmt, shape in formats)
-    return f"cast(coalesce({tries}, null) as timestamp_ntz)"
+    """First of the known formats that fits.
+
+    Every format has a year of four digits; that and the shape tests keep the parser off prose.
+    """
+    low, high = DATE_TEXT_LENGTHS
+    tries = ", ".join(f"case when {e} rlike r'{shape}' then try_to_timestamp({e}, '{fmt}') end" for fmt, shape in formats)
+    return (f"cast(case when length({e}) between {low} and {high} and {e} rlike r'\\d{{4}}' "
+            f"then coalesce({tries}, null) end as timestamp_ntz)")
 
 
 def timestamp_sql(df: DataFrame, name: str) -> str:

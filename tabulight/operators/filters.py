@@ -79,7 +79,8 @@ def search_text(df: DataFrame, text: str, schema: dict[str, str]) -> DataFrame:
     columns = [c for c in df.columns if schema.get(c) in ("TEXT", "MIXED")]
     if not text or not columns:
         return df
-    return df.where(either([col(c).cast("string").ilike(f"%{text}%") for c in columns]))
+    pattern = "%" + text.replace("\\", "\\\\") + "%"       # a backslash is an ordinary character here
+    return df.where(either([col(c).cast("string").ilike(pattern) for c in columns]))
 
 
 def keyword_search(df: DataFrame, question: str, columns: list[str]) -> DataFrame:
@@ -114,20 +115,22 @@ class RejectedQuery(ValueError):
 
 
 def sql_readonly(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
-    """Run a user's SELECT over the named views (default name: dataset).
+    """Run a user's SELECT over the named views.
 
     The text is cut to its first SELECT/WITH, must not contain a changing keyword, must
-    mention a view and must analyse; Spark then plans it like any other query. A WITH may
-    lead into a changing command, so commands that Spark would run at once are refused too.
+    mention a view and must analyse; Spark then plans it like any other query. What a SELECT or
+    WITH can also start in Spark - MERGE, scripts, calls into the JVM - is refused as well.
     """
     text = re.sub(r"```(sql)?\s*", "", query.strip(), flags=re.IGNORECASE).strip()
     start = re.search(r"\b(SELECT|WITH)\b", text, re.IGNORECASE)
     if not start:
         raise RejectedQuery("only SELECT or WITH queries can be run")
     text = text[start.start():].strip().rstrip(";")
-    for word in vocab.DENIED_SQL_WORDS + ["CREATE", "MERGE", "REPLACE TABLE", "OVERWRITE"]:
+    for word in vocab.DENIED_SQL_WORDS + ["MERGE", "reflect", "try_reflect", "java_method"]:
         if re.search(rf"\b{word}\b", text, re.IGNORECASE):
             raise RejectedQuery(f"{word} is not allowed")
+    if re.search(r"\b(TRANSFORM|MAP|REDUCE)\b.*\bUSING\s*['\"]", text, re.IGNORECASE | re.DOTALL):
+        raise RejectedQuery("scripts are not allowed")
     if not any(re.search(rf"\b{re.escape(v)}\b", text, re.IGNORECASE) for v in views):
         raise RejectedQuery("the query mentions none of the views: " + ", ".join(sorted(views)))
     for name, frame in views.items():

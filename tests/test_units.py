@@ -116,7 +116,8 @@ def test_filter_specifications(spark):
 
 @pytest.mark.parametrize("sql", [
     "DROP TABLE dataset", "WITH x AS (SELECT 1) INSERT INTO dataset SELECT 1", "SELECT 1", "SELECT 'drop' FROM dataset",
-    "WITH dataset AS (SELECT 1) MERGE INTO t USING dataset ON true", "SET a=1", ""])
+    "WITH dataset AS (SELECT 1) MERGE INTO t USING dataset ON true", "SET a=1", "",
+    "SELECT TRANSFORM(id) USING 'cat' FROM dataset", "SELECT reflect('java.lang.System', 'exit') FROM dataset"])
 def test_user_sql_is_refused(spark, sql):
     with pytest.raises(filters.RejectedQuery):
         filters.sql_readonly(spark, sql, dataset=spark.range(1))
@@ -133,6 +134,7 @@ def test_search_wildcards_and_blank(spark):
     assert filters.search_text(df, "B", kinds).count() == 1
     assert filters.search_text(df, "a_c", kinds).count() == 1
     assert filters.search_text(df, "", kinds).count() == 3
+    assert filters.search_text(df, "\\", kinds).count() == 0
 
 
 def test_json_safe(spark):
