@@ -40,6 +40,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES) -> I
         first = last
 
 
+def slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """A string column in runs of rows of about ``limit`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, n = 0, len(column)
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + limit, "right")))
+        yield column.slice(first, last - first)
+        first = last
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every maximal run of true bytes within one text, and each text's first run (one more than texts)."""
     n = len(inside)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from tabulight.llm.flat import distinct_spans, flat_text, pieces
+from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices
 
 MARK = "▁"
 #: No pair of these two symbols can be merged.
@@ -28,7 +28,8 @@ NEVER = np.iinfo(np.int32).max
 #: Longer words (a word of the text is rarely longer) are merged one pair at a time with a heap: the same result, and no
 #: round over a long word for each of its merges.
 LONG_WORD = 512
-BATCH_BYTES = 12 << 20
+#: Texts whose words are merged together. A task's memory is some fifty times this.
+BATCH_BYTES = 5 << 20
 
 
 class MergeTable:
@@ -257,7 +258,8 @@ def encode(text: Column, model: str, add_end: bool = True) -> Column:
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
         table = MergeTable(loaded)
         for batch in batches:
-            yield encode_batch(table, batch, loaded.eos_id() if add_end else None)
+            for part in slices(batch, BATCH_BYTES):
+                yield encode_batch(table, part, loaded.eos_id() if add_end else None)
 
     return ids(text)
 
@@ -270,9 +272,9 @@ def decode(ids: Column, model: str) -> Column:
 
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
-            offsets, values = np.asarray(batch.offsets), np.asarray(batch.values)
-            yield pa.array(
-                [loaded.decode(values[a:b].tolist()) if valid else None
-                 for a, b, valid in zip(offsets[:-1], offsets[1:], batch.is_valid().to_pylist(), strict=True)], pa.string())
+            offsets, values, valid = np.asarray(batch.offsets), np.asarray(batch.values), batch.is_valid().to_pylist()
+            for first in range(0, len(batch), 500):
+                rows = range(first, min(first + 500, len(batch)))
+                yield pa.array([loaded.decode(values[offsets[i]: offsets[i + 1]].tolist()) if valid[i] else None for i in rows], pa.string())
 
     return text(ids)
