@@ -13,8 +13,10 @@ Rows
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulight.llm.flat import distinct_spans, flat_text, pieces
+from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices
 from tabulight.llm.pieces import spread
 from tabulight.llm.storage import kept
 
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
@@ -106,12 +108,59 @@ class Decoder:
         return out
 
 
+#: A space, if any, and letters: one word for the byte-level pattern, so the model can have it at once.
+LETTERS = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign for each byte in byte-level vocabularies: printable ones stand for themselves, the rest for 256 and up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether it is a byte-level tokenizer that changes no text and has the usual pattern."""
+    parts = json.loads(tokenizer.to_str())
+    first = parts["pre_tokenizer"] or {}
+    return parts["normalizer"] is None and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and not any(
+        set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
+
+
+def encode_all(tokenizer, texts: list[str], at_once: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of short texts, one after the other, and their numbers, a bounded number of texts at a time."""
+    ids, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for first in range(0, len(texts), at_once):
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts[first: first + at_once], add_special_tokens=False)]
+        size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(size[-1].sum())))
+    return np.concatenate(ids), np.concatenate(size)
+
+
+def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for stretches of text: plain words go to the tokenizer's model, without its search for words."""
+    signs, model = byte_signs(), tokenizer.model
+    plain = [LETTERS.fullmatch(w) is not None for w in words]
+    found = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(signs))] if p else None for w, p in zip(words, plain, strict=True)]
+    rest, count = encode_all(tokenizer, [w for w, p in zip(words, plain, strict=True) if not p])
+    size = np.fromiter((len(f) if p else 0 for f, p in zip(found, plain, strict=True)), np.int64, len(words))
+    mine = ~np.array(plain, bool)
+    size[mine] = count
+    out = np.empty(int(size.sum()), np.int32)
+    out[np.repeat(mine, size)] = rest
+    out[~np.repeat(mine, size)] = np.fromiter(chain.from_iterable(f for f in found if f is not None), np.int32, int(size[~mine].sum()))
+    return out, size
+
+
 def encode_texts(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of each text.
 
-    The tokenizer cuts between a word and a single space or line feed that another word follows, whatever stands further
-    away. So each distinct stretch between such cuts is encoded once a batch, and texts are put together from them.
+    A byte-level tokenizer cuts between a word and a single space or line feed that another word follows, whatever stands
+    further away. So each distinct stretch between such cuts is encoded once, and texts are put together from them.
+    Other tokenizers get whole texts.
     """
+    if not cuts_at_spaces(tokenizer):
+        return encode_all(tokenizer, [t or "" for t in column.to_pylist()], 64)
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for data, offsets in pieces(*flat_text(column), BATCH_BYTES):
         n = np.zeros(len(offsets) - 1, np.int64)
@@ -133,9 +182,7 @@ def encode_texts(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             starts = np.flatnonzero(opens)
             found, which = distinct_spans(data, starts, np.append(starts[1:], len(data)))
             words = [x.decode("utf-8", "replace") for x in found.to_pylist()]
-            encoded = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((i for e in encoded for i in e), np.int32, int(size.sum()))
+            flat, size = encode_words(tokenizer, words)
             total = np.concatenate([[0], np.cumsum(size[which])])
             first = np.searchsorted(starts, offsets)
             n = total[first[1:]] - total[first[:-1]]
@@ -161,11 +208,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str, ke
         key_type = None
         held: list[tuple] = []
         for batch in batches:
-            key_type = batch.column("key").type
-            ids, counts = encode_texts(loaded, batch.column("text"))
-            if end_id is not None:
-                ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32), counts + 1
-            held.append((batch.column("key"), counts, ids))
+            keys, done = batch.column("key"), 0
+            key_type = keys.type
+            for part_of in slices(batch.column("text"), BATCH_BYTES):
+                ids, counts = encode_texts(loaded, part_of)
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32), counts + 1
+                held.append((keys.slice(done, len(part_of)), counts, ids))
+                done += len(part_of)
             if sum(len(i) for _, _, i in held) >= BLOCK:
                 yield from cut(held, key_type, part, offset)
                 offset += sum(len(i) for _, _, i in held)
