@@ -129,6 +129,8 @@ def test_sentencepiece_column(spark, odd, nothing, docs):
         for r in rows:
             expected = model.encode(r.text or "", add_eos=True)
             assert r.ids == expected and r.back == model.decode(expected)
+        both = table.select(pieces.encode_and_decode(F.col("text"), PIECES).alias("x")).collect()
+        assert sorted((r.x.ids, r.x.text) for r in both) == sorted((r.ids, r.back) for r in rows)
     assert spark.range(1).select(pieces.decode(F.lit(None).cast("array<int>"), PIECES)).first()[0] is None
 
 
