@@ -29,7 +29,7 @@ from tabulight.llm.pieces import spread
 from tabulight.llm.storage import kept
 
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
