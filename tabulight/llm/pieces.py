@@ -29,7 +29,7 @@ NEVER = np.iinfo(np.int32).max
 #: round over a long word for each of its merges.
 LONG_WORD = 512
 #: Texts whose words are merged together. A task's memory is some fifty times this.
-BATCH_BYTES = 5 << 20
+BATCH_BYTES = 2 << 20
 
 
 class MergeTable:
@@ -264,6 +264,27 @@ def encode(text: Column, model: str, add_end: bool = True) -> Column:
     return ids(text)
 
 
+def decoded(model, ids: pa.Array) -> pa.Array:
+    offsets, values, valid = np.asarray(ids.offsets), np.asarray(ids.values), ids.is_valid().to_pylist()
+    return pa.array([model.decode(values[a:b].tolist()) if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid, strict=True)], pa.string())
+
+
+def encode_and_decode(text: Column, model: str, add_end: bool = True) -> Column:
+    """struct<ids, text>: the ids of a text as ``encode`` gives them, and what the library decodes from them, in one pass."""
+    @F.arrow_udf("struct<ids: array<int>, text: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import sentencepiece
+
+        loaded = sentencepiece.SentencePieceProcessor(model_file=model)
+        table = MergeTable(loaded)
+        for batch in batches:
+            for part in slices(batch, BATCH_BYTES):
+                ids = encode_batch(table, part, loaded.eos_id() if add_end else None)
+                yield pa.StructArray.from_arrays([ids, decoded(loaded, ids)], ["ids", "text"])
+
+    return both(text)
+
+
 def decode(ids: Column, model: str) -> Column:
     """The text that the library decodes from ids; null ids give null."""
     @F.arrow_udf("string")
@@ -272,9 +293,7 @@ def decode(ids: Column, model: str) -> Column:
 
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
-            offsets, values, valid = np.asarray(batch.offsets), np.asarray(batch.values), batch.is_valid().to_pylist()
             for first in range(0, len(batch), 500):
-                rows = range(first, min(first + 500, len(batch)))
-                yield pa.array([loaded.decode(values[offsets[i]: offsets[i + 1]].tolist()) if valid[i] else None for i in rows], pa.string())
+                yield decoded(loaded, batch.slice(first, 500))
 
     return text(ids)

@@ -73,9 +73,10 @@ def ids_sha256(ids: Column) -> Column:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = table(spark, sf_dir, "documents").select("doc_id", pieces.encode(F.col("text"), model).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"),
-                      F.sha2(pieces.decode(F.col("ids"), model).cast("binary"), 256).alias("decoded_sha256"))
+    found = table(spark, sf_dir, "documents").select("doc_id", pieces.encode_and_decode(F.col("text"), model).alias("found"))
+    ids = F.col("found.ids")
+    return found.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), ids_sha256(ids).alias("ids_sha256"),
+                        F.sha2(F.col("found.text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
