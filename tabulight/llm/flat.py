@@ -1,6 +1,6 @@
 """Text columns as flat byte arrays, so that numpy handles a batch of texts at once.
 
-Everything works in pieces of a few megabytes, so memory does not grow with the batch; only a single text that is
+Everything works in pieces of a megabyte, so memory does not grow with the batch; only a single text that is
 larger than a piece makes a larger one.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Words are separated by these bytes: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
