@@ -62,7 +62,7 @@ def _(t):
     return df.select("c_custkey", *[is_missing(df, "segment", m).alias(m.lower()) for m in ("M0", "M1", "M2", "M3")])
 
 
-@query("b08_project", "SELECT l_extendedprice, l_returnflag, l_linestatus FROM lineitem")
+@query("b08_project", "SELECT l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem")
 def _(t):
     return filters.project(t.lineitem, "l_extendedprice", ["l_returnflag", "l_linestatus", "l_shipdate"])
 

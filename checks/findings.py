@@ -54,7 +54,7 @@ H5 = f"""
       ({each(TEXTS, f'SELECT {{i}} AS i, chr(0) AS x, {chr(39)}{{c}}{chr(39)} AS "column", count(DISTINCT {{c}}) AS d FROM {TABLE}')})
       WHERE d BETWEEN 10 AND 100 ORDER BY d DESC, i LIMIT 1)"""
 
-H3 = gap_rows(TABLE, TEXTS[:2], "price")
+H3 = gap_rows(TABLE, TEXTS, "price")
 H6 = " UNION ALL ".join(f"SELECT * FROM ({h})" for h in (H1, H2, H3, H4, H5))
 
 
@@ -153,8 +153,9 @@ TYPES = {"order_no": "NUM", "ordered_on": "DATE", "price": "NUM", "refund": "NUM
       UNION ALL SELECT 3, 1, 'outliers', 'mostly_zero', CAST(count(*) AS DOUBLE), NULL FROM f,
           (SELECT quantile_cont(mostly_zero, 0.25) AS q1, quantile_cont(mostly_zero, 0.75) AS q3 FROM f)
         WHERE mostly_zero < q1 - 1.5 * (q3 - q1) OR mostly_zero > q3 + 1.5 * (q3 - q1) HAVING count(*) > 0
+      UNION ALL SELECT 4, 3, 'concentration', 'const_col', 100.0, 'same' FROM f HAVING sum(acctbal) > 0
       UNION ALL SELECT 5, 1, 'correlation', 'acctbal / mostly_zero', round(corr(acctbal, mostly_zero), 2), NULL FROM f HAVING abs(corr(acctbal, mostly_zero)) >= 0.7)
-    ORDER BY r, p LIMIT 5"""))
+    ORDER BY r, p"""))
 def _(t):
     types = {"c_custkey": "TEXT", "segment": "TEXT", "acctbal": "NUM", "mixed_code": "TEXT", "active_flag": "BOOL", "mostly_zero": "NUM",
              "const_col": "TEXT", "empty_col": "TEXT", "c_nationkey": "BOOL"}
@@ -167,13 +168,14 @@ NUMS = ["price", "refund", "order_no"]
 @query("h09_dashboard_findings_busy", busy(f"""
     SELECT CAST(row_number() OVER (ORDER BY r, p) AS INTEGER) AS seq, rule, subject, value, detail FROM (
       SELECT 3 AS r, {{i}} AS p, 'outliers' AS rule, "column" AS subject, CAST(total_outliers AS DOUBLE) AS value, NULL AS detail
-        FROM ({OUTLIERS}) WHERE "column" IN ('price', 'refund')
+        FROM ({OUTLIERS})
       UNION ALL SELECT 4, 0, 'concentration', "column", round(share_pct, 1), category FROM ({seg.dominant(TABLE, 'status', 'price')}) WHERE dominant
       UNION ALL SELECT 4, 1, 'concentration', "column", round(share_pct, 1), category FROM ({seg.dominant(TABLE, 'priority', 'price')}) WHERE dominant
+      UNION ALL SELECT 4, 2, 'concentration', "column", round(share_pct, 1), category FROM ({seg.dominant(TABLE, 'clerk', 'price')}) WHERE dominant
       UNION ALL SELECT 5, row_number() OVER (), 'correlation', var1 || ' / ' || var2, round(r, 2), CASE WHEN r > 0 THEN 'strong positive' ELSE 'strong negative' END
         FROM ({" UNION ALL ".join(st.r_sql(a, b, TABLE) for a, b in combinations(NUMS, 2))}) WHERE abs(r) >= 0.7
       UNION ALL SELECT 6, 0, 'trend', metric, change_pct, direction FROM ({ts.by_date(TABLE, 'ordered_on', 'price')}))
-    ORDER BY r, p LIMIT 5""".replace("{i}", "CASE \"column\" WHEN 'price' THEN 1 ELSE 2 END")))
+    ORDER BY r, p""".replace("{i}", "CASE \"column\" WHEN 'price' THEN 1 WHEN 'refund' THEN 2 ELSE 3 END")))
 def _(t):
     df = t.busy_orders.select("price", "refund", "order_no", "ordered_on", "status", "priority", "clerk")
     return findings.dashboard_findings(df, TYPES)

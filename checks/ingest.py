@@ -153,6 +153,13 @@ def _(t):
     return schema.schema_diff(schema.detect_schema(t.dirty_orders), schema.detect_schema(t.orders))
 
 
-@query("a12_sample_rows")
+@query("a10_detect_schema_iso", """
+    SELECT 'event_id' AS "column", 'NUM' AS type, 0 AS position UNION ALL SELECT 'at', 'DATE', 1 UNION ALL SELECT 'value', 'NUM', 2""")
 def _(t):
-    return schema.sample_rows(t.orders, 500)
+    return schema.detect_schema(t.events.selectExpr("event_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") || 'Z' as at", "value"))
+
+
+@query("a12_sample_rows", """
+    SELECT * FROM orders ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey LIMIT 500""")
+def _(t):
+    return schema.sample_rows(t.orders, 500, ["o_orderkey"])

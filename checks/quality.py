@@ -160,7 +160,7 @@ def _(t):
         SELECT 'l_quantity', var_samp(l_quantity) FROM lineitem UNION ALL
         SELECT 'l_extendedprice', var_samp(l_extendedprice) FROM lineitem UNION ALL
         SELECT 'l_discount', var_samp(l_discount) FROM lineitem UNION ALL
-        SELECT 'l_tax', var_samp(l_tax) FROM lineitem) QUALIFY rank <= 5
+        SELECT 'l_tax', var_samp(l_tax) FROM lineitem)
     UNION ALL SELECT 'date', 1, 'l_shipdate'
     UNION ALL SELECT 'id', 1, "column" FROM (SELECT * FROM (
         SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) / count(*) AS share FROM lineitem UNION ALL

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import over
 from checks.registry import each, query
+from checks.stats import WIDE_TEXTS, over_wider, wider
 from tabulight.operators import filters, quality, segments
 from tabulight.plans.profile import union_all
 
@@ -48,9 +49,9 @@ def shares(table: str, column: str) -> str:
 def concentration(table: str, column: str, position: int = 0) -> str:
     return f"""
         SELECT '{column}' AS "column", {position} AS position, max(k) AS unique_values, CAST(sum(n) AS BIGINT) AS total_records,
-               round(sum(pct) FILTER (WHERE rn <= 3), 2) AS top_3_pct, max(v) FILTER (WHERE rn = 1) AS top_value,
+               CASE WHEN max(k) >= 3 THEN round(sum(pct) FILTER (WHERE rn <= 3), 2) ELSE 0 END AS top_3_pct, max(v) FILTER (WHERE rn = 1) AS top_value,
                max(pct) FILTER (WHERE rn = 1) AS top_pct,
-               CASE WHEN round(sum(pct) FILTER (WHERE rn <= 3), 2) > 70 THEN 'High'
+               CASE WHEN max(k) < 3 THEN 'Low' WHEN round(sum(pct) FILTER (WHERE rn <= 3), 2) > 70 THEN 'High'
                     WHEN round(sum(pct) FILTER (WHERE rn <= 3), 2) > 40 THEN 'Medium' ELSE 'Low' END AS concentration
         FROM ({shares(table, column)}) HAVING max(k) BETWEEN 2 AND 50"""
 
@@ -108,6 +109,18 @@ def _(t):
     return segments.segment_gap(t.part, ["p_brand", "p_type", "p_name"], "p_retailprice")
 
 
+@query("f06_wide", over_wider(" UNION ALL ".join(f"SELECT * FROM ({analysis('wider', c, i, 'l_quantity')})" for i, c in enumerate(WIDE_TEXTS))))
+def _(t):
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), x["count"].cast("string"))), ", ")
+    df = segments.category_analysis(wider(t), WIDE_TEXTS, "l_quantity")
+    return df.withColumn("top_categories", listed("top_categories")).withColumn("bottom_categories", listed("bottom_categories"))
+
+
+@query("f07_wide", over_wider(" UNION ALL ".join(gap("wider", c, i, "l_quantity") for i, c in enumerate(WIDE_TEXTS))))
+def _(t):
+    return segments.segment_gap(wider(t), WIDE_TEXTS, "l_quantity")
+
+
 def dominant(table: str, column: str, metric: str) -> str:
     return f"""
         SELECT '{column}' AS "column", v AS category, round(100 * s / total, 2) AS share_pct, round(s, 2) AS top_sum,

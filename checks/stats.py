@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from checks.fixtures import over
 from checks.registry import each, query
 from tabulight.operators import stats
@@ -26,6 +28,29 @@ def _(t):
     return stats.stat_summary(t.lineitem, LINE)
 
 
+#: Twenty numbers, three dates and eight texts of one table.
+WIDE_NUMBERS = LINE + [f"n{i}" for i in range(12)]
+WIDE_DATES, WIDE_TEXTS = ["l_shipdate", "d1", "d2"], ["l_returnflag", "l_linestatus"] + [f"t{i}" for i in range(6)]
+MADE = ", ".join(
+    [f"l_partkey * {i + 1} + CAST(l_quantity AS BIGINT) * l_linenumber * {37 * (i % 5)} AS n{i}" for i in range(12)]
+    + ["l_shipdate + INTERVAL 40 DAYS AS d1", "l_shipdate + INTERVAL 400 DAYS AS d2"]
+    + [f"CASE WHEN l_quantity > {4 + 7 * i} THEN l_returnflag ELSE concat(l_linestatus, CAST(l_linenumber AS STRING)) END AS t{i}" for i in range(6)])
+WIDER = f"SELECT *, {MADE} FROM {{lineitem}}"
+
+
+def wider(t):
+    return t.spark.sql(WIDER, lineitem=t.lineitem)
+
+
+def over_wider(sql: str) -> str:
+    return f"WITH wider AS ({WIDER.replace('{lineitem}', 'lineitem')}) {sql}"
+
+
+@query("g01_wide", over_wider(f"""SELECT * EXCLUDE (position) REPLACE (round(variance, -4) AS variance) FROM ({each(WIDE_NUMBERS, SUMMARY.replace("lineitem", "wider"))})"""))
+def _(t):
+    return stats.stat_summary(wider(t), WIDE_NUMBERS).drop("position").withColumn("variance", F.round("variance", -4))
+
+
 @query("g02_notable_stats", f"""
     WITH s AS ({each(LINE, SUMMARY)})
     SELECT "column", 'high variability' AS note FROM s WHERE variability = 'High' UNION ALL
@@ -105,7 +130,7 @@ def pairs_sql(table: str, names: list[str]) -> str:
     return f"""
         SELECT strength, CAST(row_number() OVER (PARTITION BY strength ORDER BY CASE WHEN strength = 'weak' THEN 0 ELSE -abs(r) END, o) AS INTEGER) AS rank, var1, var2, r
         FROM (SELECT *, CASE WHEN r >= 0.5 THEN 'strong positive' WHEN r <= -0.5 THEN 'strong negative' WHEN abs(r) < 0.2 THEN 'weak' END AS strength FROM ({pairs}))
-        WHERE strength IS NOT NULL QUALIFY rank <= 10"""
+        WHERE strength IS NOT NULL"""
 
 
 @query("g08_correlation_pairs", over("wide_lineitem", pairs_sql("wide_lineitem", WIDE)))
@@ -113,9 +138,19 @@ def _(t):
     return stats.correlation_pairs(t.wide_lineitem, WIDE)
 
 
+@query("g07_wide", over_wider(" UNION ALL ".join(r_sql(a, b, "wider") for a in WIDE_NUMBERS for b in WIDE_NUMBERS)))
+def _(t):
+    return stats.correlation_matrix(wider(t), WIDE_NUMBERS)
+
+
+@query("g08_wide", over_wider(pairs_sql("wider", WIDE_NUMBERS)))
+def _(t):
+    return stats.correlation_pairs(wider(t), WIDE_NUMBERS)
+
+
 @query("g09_strong_correlations", over("wide_lineitem", f"""
     SELECT var1, var2, r, CASE WHEN r > 0 THEN 'strong positive' ELSE 'strong negative' END AS strength
-    FROM ({" UNION ALL ".join(r_sql(a, b, "wide_lineitem") for a, b in combinations(["l_quantity", "l_extendedprice", "net_price", "neg_price"], 2))})
+    FROM ({" UNION ALL ".join(r_sql(a, b, "wide_lineitem") for a, b in combinations(["l_quantity", "l_extendedprice", "net_price", "neg_price", "l_tax"], 2))})
     WHERE abs(r) >= 0.70"""))
 def _(t):
     return stats.strong_correlations(t.wide_lineitem, ["l_quantity", "l_extendedprice", "net_price", "neg_price", "l_tax"])
@@ -144,6 +179,11 @@ def _(t):
     return stats.zscore_anomalies(t.events, ["event_id", "user_id", "value"])
 
 
+@query("g11_wide", over_wider(zscores("wider", WIDE_NUMBERS)))
+def _(t):
+    return stats.zscore_anomalies(wider(t), WIDE_NUMBERS)
+
+
 def spikes(table: str, date: str, names: list[str]) -> str:
     return f"""
         SELECT "column", month, CASE WHEN gap > 0 THEN 'spike_detected' ELSE 'drop_detected' END AS type,
@@ -184,8 +224,8 @@ def _(t):
 
 def anomalies_sql(table: str, date: str, names: list[str]) -> str:
     return f"""
-        SELECT * FROM ({zscores(table, names[:5])}) UNION ALL SELECT * FROM ({zeros(table, names)}) UNION ALL SELECT * FROM ({negatives(table, names)})
-        UNION ALL SELECT "column", type, severity, value, pct FROM ({spikes(table, date, names[:2])})
+        SELECT * FROM ({zscores(table, names)}) UNION ALL SELECT * FROM ({zeros(table, names)}) UNION ALL SELECT * FROM ({negatives(table, names)})
+        UNION ALL SELECT "column", type, severity, value, pct FROM ({spikes(table, date, names)})
         UNION ALL SELECT "column", 'high_severity_outliers', severity, CAST(total_outliers AS DOUBLE), outlier_pct
                   FROM ({outlier_report(table, names)}) WHERE severity = 'HIGH'"""
 

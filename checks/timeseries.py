@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import stats as st
 from checks.fixtures import over
 from checks.registry import query
 from tabulight.operators import timeseries
@@ -51,6 +52,24 @@ def _(t):
     return timeseries.monthly(t.dirty_orders, "order_day", "price_text").select("month", F.round("mean", 4).alias("mean"), "count")
 
 
+def order_months(text: str) -> str:
+    return f"""
+        SELECT strftime(d, '%Y-%m') AS month, round(avg(p), 4) AS mean, count(*) AS count
+        FROM (SELECT {text} AS d, o_totalprice AS p FROM orders) GROUP BY 1"""
+
+
+@query("t01_monthly_us_dates", order_months("strptime(strftime(o_orderdate, '%m/%d/%Y'), '%m/%d/%Y')"))
+def _(t):
+    text = t.orders.selectExpr("date_format(o_orderdate, 'MM/dd/yyyy') as day", "o_totalprice")
+    return timeseries.monthly(text, "day", "o_totalprice").select("month", F.round("mean", 4).alias("mean"), "count")
+
+
+@query("t01_monthly_iso_t", order_months("o_orderdate"))
+def _(t):
+    text = t.orders.selectExpr("date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") as day", "o_totalprice")
+    return timeseries.monthly(text, "day", "o_totalprice").select("month", F.round("mean", 4).alias("mean"), "count")
+
+
 @query("t02_trend", over("busy_orders", f"SELECT * EXCLUDE (half_shift) FROM ({trends(BUSY)})"))
 def _(t):
     return timeseries.trend(t.busy_orders, "ordered_on", "price")
@@ -113,6 +132,11 @@ def _(t):
     return timeseries.trend_report(t.busy_orders, ["ordered_on"], ["order_no", "price", "refund"])
 
 
+@query("t06_wide", st.over_wider(report(*[months("wider", d, c) for d in st.WIDE_DATES for c in st.WIDE_NUMBERS])))
+def _(t):
+    return timeseries.trend_report(st.wider(t), st.WIDE_DATES, st.WIDE_NUMBERS)
+
+
 @query("t06_trend_counts", over("busy_orders", f"""
     SELECT count(*) FILTER (WHERE direction = 'upward') AS growth, count(*) FILTER (WHERE direction = 'downward') AS decline FROM ({BUSY_REPORT})"""))
 def _(t):

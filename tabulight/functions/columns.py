@@ -19,7 +19,7 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
-DATE_TEXT_LENGTHS = (8, 30)     # from 1/1/2020 to the longest month name with padding
+DATE_TEXT_LENGTHS = (8, 40)     # from 1/1/2020 to nanoseconds and a zone
 
 
 def data_type(df: DataFrame, name: str) -> T.DataType:
@@ -95,12 +95,20 @@ def text_timestamp_sql(e: str, formats=tuple(vocab.DATE_FORMATS)) -> str:
     Every format has a year of four digits; that and the shape tests keep the parser off prose.
     """
     low, high = DATE_TEXT_LENGTHS
-    tries = ", ".join(f"case when {e} rlike r'{shape}' then try_to_timestamp({e}, '{fmt}') end" for fmt, shape in formats)
+
+    def parsed(fmt: str) -> str:
+        if fmt != "ISO":
+            return f"try_to_timestamp({e}, '{fmt}')"
+        # a time with a zone is shown as the session's time, one without stays as it is
+        return f"case when {e} rlike r'(Z|[+-]\\d{{2}}:?\\d{{2}})$' then try_cast(regexp_replace({e}, r' ?([+-]\\d{{2}}):?(\\d{{2}})$', '$1:$2') as timestamp) else try_cast({e} as timestamp_ntz) end"
+
+    tries = ", ".join(f"case when {e} rlike r'{shape}' then cast({parsed(fmt)} as timestamp_ntz) end" for fmt, shape in formats)
     return (f"cast(case when length({e}) between {low} and {high} and {e} rlike r'\\d{{4}}' "
             f"then coalesce({tries}, null) end as timestamp_ntz)")
 
 
 def timestamp_sql(df: DataFrame, name: str) -> str:
+    """Any known format value by value: whether text is a date at all. ``plans.dates`` reads a column in one format."""
     if is_datetime(df, name):
         return f"cast({name_sql(name)} as timestamp_ntz)"
     return text_timestamp_sql(name_sql(name)) if is_text(df, name) else "cast(null as timestamp_ntz)"
@@ -142,10 +150,6 @@ def number(df: DataFrame, name: str) -> Column:
     return F.expr(number_sql(df, name))
 
 
-def timestamp(df: DataFrame, name: str) -> Column:
-    return F.expr(timestamp_sql(df, name))
-
-
 def value(df: DataFrame, name: str) -> Column:
     return F.expr(value_sql(df, name))
 

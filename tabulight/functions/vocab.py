@@ -42,6 +42,12 @@ DATE_FORMATS = [
     ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
     ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    # ISO 8601 with a time: a T or a space, with or without seconds, fractions and zone
+    ("ISO", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}:?\d{2})?$"),
+    ("d/M/yyyy H:m", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"),
+    ("M/d/yyyy H:m", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"),
+    ("d/M/yyyy h:m[:s] a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}(:\d{1,2})? [AP]M$"),
+    ("M/d/yyyy h:m[:s] a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}(:\d{1,2})? [AP]M$"),
 ]
 
 # --- column-name hints ------------------------------------------------------------

@@ -99,8 +99,8 @@ def keyword_search(df: DataFrame, question: str, columns: list[str]) -> DataFram
 
 
 def project(df: DataFrame, metric: str, categories: list[str]) -> DataFrame:
-    """The metric with at most two categorical columns."""
-    return df.select(col(metric), *[col(c) for c in categories[:2]])
+    """The metric with the categorical columns."""
+    return df.select(col(metric), *[col(c) for c in categories])
 
 
 def json_safe(df: DataFrame) -> DataFrame:

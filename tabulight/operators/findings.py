@@ -67,11 +67,11 @@ class Analysis:
 
     @cached_property
     def category_table(self) -> DataFrame:
-        return segments.category_table(self.df, self.categories[:5], self.metric)
+        return segments.category_table(self.df, self.categories, self.metric)
 
     @cached_property
     def segment_extremes(self) -> DataFrame:
-        return fetched(segments.segment_extremes(self.df, self.categories[:2], self.metric))
+        return fetched(segments.segment_extremes(self.df, self.categories, self.metric))
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -245,13 +245,15 @@ def executive_summary(df: DataFrame, classes: dict[str, list[str]] | None = None
     return Analysis(df, classes).summary
 
 
-def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | None = None, limit: int = 5) -> DataFrame:
-    """(seq, rule, subject, value, detail): at most five findings on the filtered rows, in rule order."""
+def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | None = None, limit: int | None = None) -> DataFrame:
+    """(seq, rule, subject, value, detail): findings on the filtered rows, in rule order; the first ``limit`` if given."""
     part = apply_filters(df, filters or {})
     kinds = lambda *t: [c for c in df.columns if schema.get(c) in t]
     nums, texts, dates = kinds("NUM"), kinds("TEXT", "MIXED"), kinds("DATE")
     place = lambda names: F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column"))
 
+    place_of = lambda name: F.array_position(F.array(*[F.lit(c) for c in nums]), F.col(name))
+
     def found(frame, rule, order, name, subject, v, detail=F.lit(None)):
         return frame.select(F.lit(rule).alias("rule_no"), order.cast("bigint").alias("place"), F.lit(name).alias("rule"),
                             subject.cast("string").alias("subject"), v.cast("double").alias("value"),
@@ -267,24 +269,25 @@ def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | No
         found(copies.where(repeated > 1), 2, F.lit(0), "duplicates", F.lit("rows"), F.round(repeated, 1)),
     ]
     if nums:
-        parts.append(found(stats.iqr_outliers(part, nums[:2], 11), 3, place(nums[:2]), "outliers", F.col("column"), F.col("total_outliers")))
-    for i, t in enumerate(texts[:2] if nums else []):
+        parts.append(found(stats.iqr_outliers(part, nums, 11), 3, place(nums), "outliers", F.col("column"), F.col("total_outliers")))
+    for i, t in enumerate(texts if nums else []):
         dominant = segments.dominant_category(part, t, nums[0]).where("dominant")
         parts.append(found(dominant, 4, F.lit(i), "concentration", F.col("column"), F.round("share_pct", 1), F.col("category")))
     if len(nums) >= 2:
         strong = stats.strong_correlations(part, nums).withColumn("column", F.col("var1"))
-        order = place(nums[:4]) * 4 + F.array_position(F.array(*[F.lit(c) for c in nums[:4]]), F.col("var2"))
+        order = place_of("var1") * len(nums) + place_of("var2")
         parts.append(found(strong, 5, order, "correlation", F.concat_ws(" / ", "var1", "var2"), F.round("r", 2), F.col("strength")))
     if dates and nums:
         moved = timeseries.trend_by_date(part, dates[0], nums[0])
         parts.append(found(moved, 6, F.lit(0), "trend", F.col("metric"), F.col("change_pct"), F.col("direction")))
     n = total.first()["n"]
-    first = fetched(union_all(parts).orderBy("rule_no", "place").limit(limit))
+    every = union_all(parts)                                                   # a few rows per column or pair of columns
+    first = fetched(every if limit is None else every.orderBy("rule_no", "place").limit(limit))
     if n == 0 or first.isEmpty():
         first = literal_rows(df, [
             (7, 0, "summary", "rows", float(n), f"{len(df.columns)} columns") if n else (8, 0, "no data", "rows", 0.0, None)
         ], first.schema)
-    seq = F.row_number().over(W.partitionBy().orderBy("rule_no", "place"))     # at most ``limit`` rows
+    seq = F.row_number().over(W.partitionBy().orderBy("rule_no", "place"))
     return first.select(seq.alias("seq"), "rule", "subject", "value", "detail")
 
 

@@ -12,6 +12,7 @@ from tabulight.functions.columns import (
 from tabulight.operators.rows import sample_values
 from tabulight.operators.schema import semantic_types
 from tabulight.operators.stats import iqr_outliers_basic
+from tabulight.plans.dates import dated_sql
 from tabulight.plans.profile import (
     column_profile, distinct_profile, fetched, literal_rows, union_all,
 )
@@ -231,7 +232,7 @@ def key_fields(df: DataFrame, schema: dict[str, str], distinct: DataFrame | None
     roles = [
         (F.lit("id"), (F.col("position") == F.col("id_at")) | (F.col("column") == F.col("fallback.column")), F.lit(1)),
         (F.lit("date"), F.col("position") == F.col("date_at"), F.lit(1)),
-        (F.lit("measure"), F.col("measure") & (F.col("place") <= 5), F.col("place")),
+        (F.lit("measure"), F.col("measure"), F.col("place")),
     ]
     return rows.select(F.inline(F.array_compact(F.array(*[
         F.when(test, F.struct(role.alias("role"), rank.alias("rank"), F.col("column"))) for role, test, rank in roles
@@ -317,7 +318,7 @@ def catalog_profile(df: DataFrame) -> DataFrame:
     distinct = distinct_profile(df, counted, lambda c: value_sql(df, c))
     small = [r["column"] for r in distinct.where("distinct_count <= 30").collect() if kinds[r["column"]] == "other"]
     values = column_profile(df, small, {    # at most 30 distinct values each, known from the count
-        "values": ("array<string>", lambda c: f"slice(array_sort(collect_set(cast({name_sql(c)} as string))), 1, 15)"),
+        "values": ("array<string>", lambda c: f"array_sort(collect_set(cast({name_sql(c)} as string)))"),
     }).drop("position")
     return (
         facts.join(F.broadcast(tags), "column").join(F.broadcast(distinct), "column", "left")
@@ -386,7 +387,7 @@ def forecast_safety(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 def date_range(df: DataFrame, name: str) -> DataFrame:
     """(first_date, last_date) as yyyy-MM-dd."""
-    day = timestamp_sql(df, name)
+    day = dated_sql(df, name)
     return df.agg(F.expr(f"date_format(min({day}), 'yyyy-MM-dd') as first_date"),
                   F.expr(f"date_format(max({day}), 'yyyy-MM-dd') as last_date"))
 

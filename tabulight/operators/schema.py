@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabulight.functions import vocab
 from tabulight.functions.columns import (
     col, data_type, is_boolean, is_datetime, is_numeric, is_text, name_sql, names_where, number_sql, strip_sql,
-    text_number_sql, text_timestamp_sql, texts_sql, timestamp_sql,
+    text_number_sql, texts_sql, timestamp_sql,
 )
+from tabulight.plans.dates import format_counts
 from tabulight.plans.profile import column_profile, distinct_profile, literal_rows
 
 NUM_SHARE, DATE_SHARE, MIXED_SHARE, MIXED_MIN = 0.90, 0.80, 0.20, 5
@@ -44,21 +45,20 @@ def column_classes(df: DataFrame) -> dict[str, list[str]]:
     return {k: [r["column"] for r in rows if r["class"] == k] for k in ("numeric", "date", "categorical")}
 
 
-def detect_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def detect_schema(df: DataFrame) -> DataFrame:
     """(column, type, position) with type NUM, TEXT, DATE, BOOL or MIXED."""
-    types = semantic_types(df, sample_rows)
+    types = semantic_types(df)
     return literal_rows(
         df, [(c, types[c], i) for i, c in enumerate(df.columns)], "column string, type string, position int"
     )
 
 
-def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, str]:
+def semantic_types(df: DataFrame) -> dict[str, str]:
     """Two scans at most: parse counts first, then distinct flags and date formats where still open."""
-    rows = df.limit(sample_rows) if sample_rows else df
     texts, integers = names_where(df, is_text), names_where(df, lambda d, c: isinstance(data_type(d, c), T.IntegralType))
     flag_word = lambda c: f"lower({strip_sql(name_sql(c))}) in ({texts_sql(vocab.BOOLEAN_WORDS)})"
     facts = {
-        r["column"]: r for r in column_profile(rows, texts + integers, {
+        r["column"]: r for r in column_profile(df, texts + integers, {
             "filled": ("bigint", lambda c: f"count({name_sql(c)})"),
             "numbers": ("bigint", lambda c: f"count({text_number_sql(name_sql(c)) if c in texts else name_sql(c)})"),
             "not_flags": ("bigint", lambda c: f"count_if(not {flag_word(c)})" if c in texts else f"count_if({name_sql(c)} not in (0, 1))"),
@@ -66,15 +66,12 @@ def semantic_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, s
     }
     # only spellings of a few words are left in these columns, so counting them is cheap
     maybe_flags = [c for c, f in facts.items() if f["filled"] and not f["not_flags"]]
-    distinct = distinct_profile(rows, maybe_flags, name_sql)
+    distinct = distinct_profile(df, maybe_flags, name_sql)
     flags = [r["column"] for r in distinct.collect() if r["distinct_count"] in (2, 3)] if maybe_flags else []
     dates = [c for c in texts if facts[c]["filled"] and c not in flags and facts[c]["numbers"] < NUM_SHARE * facts[c]["filled"]]
     date_counts = {}
     if dates:
-        formats = {f"f{i}": ("bigint", lambda c, f=f: f"count({text_timestamp_sql(name_sql(c), [f])})")
-                   for i, f in enumerate(vocab.DATE_FORMATS)}
-        date_counts = {r["column"]: max(r[k] for k in formats)
-                       for r in column_profile(rows, dates, formats).collect()}
+        date_counts = {c: max(counts) for c, counts in format_counts(df, dates).items()}
 
     def kind(c: str) -> str:
         if is_boolean(df, c) or c in flags:
@@ -107,22 +104,11 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Repeatable sample: the n rows with the smallest hash, whatever the partitioning.
+def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
+    """Repeatable sample: the n rows with the smallest MD5 of key and seed, whatever the partitioning.
 
-    Without ``n``: everything up to 100,000 rows, else 20 % within 5,000..20,000 rows. Hashes
-    are uniform, so a bound on the hash leaves little more than n rows to be ordered; should it
-    leave fewer, the whole table is ordered instead.
+    Rows with equal keys have equal hashes and follow each other by all their columns. Spark keeps
+    only n rows of each task, so nothing is ordered as a whole.
     """
-    total = df.count()
-    if n is None:
-        n = total if total <= 100_000 else min(20_000, max(5_000, int(0.2 * total)))
-    if n >= total:
-        return df
-    columns = [col(c) for c in df.columns]
-    key = F.xxhash64(*columns, F.lit(seed))
-    bound = int(-(2**63) + min(1.0, 1.2 * n / total) * (2**64 - 1))
-    few = df.where(key <= F.lit(min(bound, 2**63 - 1)))
-    if few.count() < n:
-        few = df
-    return few.orderBy(key, *columns).limit(n)
+    text = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    return df.orderBy(F.md5(text.cast("binary")), *[col(c) for c in df.columns]).limit(n)

@@ -123,7 +123,7 @@ def _performers(table: DataFrame) -> DataFrame:
 def category_analysis(df: DataFrame, categories: list[str], metric: str | None = None,
                       table: DataFrame | None = None) -> DataFrame:
     """One row per categorical column: concentration, top and rare values, best and worst group."""
-    table = category_table(df, categories[:5], metric) if table is None else table
+    table = category_table(df, categories, metric) if table is None else table
     name = F.struct("value", "count", "pct")
     by = lambda order: F.row_number().over(W.partitionBy("column").orderBy(order, "value"))
     lists = table.withColumn("most", by(F.desc("count"))).withColumn("least", by(F.asc("count"))).groupBy("column").agg(
@@ -136,7 +136,7 @@ def category_analysis(df: DataFrame, categories: list[str], metric: str | None =
 
 def segment_gap(df: DataFrame, categories: list[str], metric: str, allowed: tuple[int, int] = SEGMENT_VALUES) -> DataFrame:
     """Best and worst segment of each column by mean, with their gap."""
-    return _gaps(category_table(df, categories[:3], metric, allowed)).where("segments >= 2")
+    return _gaps(category_table(df, categories, metric, allowed)).where("segments >= 2")
 
 
 def _gaps(table: DataFrame) -> DataFrame:
@@ -279,40 +279,46 @@ def stacked_matrix(df: DataFrame, date: str, category: str, metric: str, filters
     return rows.groupBy("date").pivot("category", names).agg(F.sum("v")).na.fill(0.0).where(enough)
 
 
-def recommend_charts(df: DataFrame, schema: dict[str, str], filters: dict | None = None) -> DataFrame:
-    """(idx, type, x_column, y_column): up to six charts whose data is large enough.
+def recommend_charts(df: DataFrame, schema: dict[str, str], filters: dict | None = None, limit: int | None = None) -> DataFrame:
+    """(idx, type, x_column, y_column): the charts whose data is large enough, or the first ``limit`` of them.
 
-    One aggregate of the filtered table answers all size questions.
+    Sizes are asked up to the largest that makes a difference only: a few distinct values of each column.
     """
     nums, texts, dates = (_columns_of(df, schema, *t) for t in (("NUM",), ("TEXT", "MIXED"), ("DATE",)))
     rows = apply_filters(df, filters or {})
-    sized = dict.fromkeys(dates[:1] + texts[:3])
-    groups = lambda *cs: F.count_distinct(F.struct(*[col(c) for c in cs]))  # NULL is a group too
-    asked = [F.count("*").alias("n")] + [groups(c).alias(f"g{i}") for i, c in enumerate(sized)]
+    sized = dict.fromkeys(dates[:1] + texts)
+
+    def few(name: str, most: int, *cs: str) -> DataFrame:
+        """How many distinct values there are, up to ``most``: NULL is one too."""
+        return rows.select(*[value(df, c).alias(f"c{i}") for i, c in enumerate(cs)]).distinct().limit(most).agg(
+            F.count("*").alias("n"), F.count("c0").alias("filled")).select(F.lit(name).alias("of"), "n", "filled")
+
+    asked = [few(f"g{i}", PIE_SLICES + 1, c) for i, c in enumerate(sized)]
     if texts:
-        asked.append(F.count_distinct(col(texts[0])).alias("stack"))
+        asked.append(few("stack", 7, texts[0]))
     if dates and texts:
-        asked.append(groups(dates[0], texts[0]).alias("cells"))
-    facts = rows.agg(*asked).first()
-    size = {c: facts[f"g{i}"] or 0 for i, c in enumerate(sized)}
+        asked.append(few("cells", 5, dates[0], texts[0]))
+    asked.append(rows.limit(6).agg(F.count("*").alias("n"), F.count("*").alias("filled")).select(F.lit("rows").alias("of"), "n", "filled"))
+    facts = {r["of"]: r for r in union_all(asked).collect()}
+    size = {c: facts[f"g{i}"]["n"] for i, c in enumerate(sized)}
     charts = []
     if dates and nums and size[dates[0]] > 1:
         charts.append(("line", dates[0], nums[0]))
-    for c in texts[:3]:
+    for c in texts:
         if size[c] > 1:
             kind = "bar" if not nums or size[c] > PIE_SLICES else "pie"
             charts.append((kind, c, nums[0] if nums else "count"))
-    if len(nums) >= 2 and facts["n"] > 5:
+    if len(nums) >= 2 and facts["rows"]["n"] > 5:
         charts.append(("scatter", nums[0], nums[1]))
-    if dates and texts and nums and 2 <= facts["stack"] <= 5 and facts["cells"] > 4:
+    if dates and texts and nums and 2 <= facts["stack"]["filled"] <= 5 and facts["cells"]["n"] > 4:
         charts.append(("area", dates[0], nums[0]))
-    return literal_rows(df, [(i, *c) for i, c in enumerate(charts[:6], 1)],
+    return literal_rows(df, [(i, *c) for i, c in enumerate(charts if limit is None else charts[:limit], 1)],
                         "idx int, type string, x_column string, y_column string")
 
 
 def chart_data(df: DataFrame, schema: dict[str, str], charts: DataFrame, key: list[str],
                filters: dict | None = None) -> dict[int, DataFrame]:
-    """The data of each recommended chart (at most six rows are read to know which)."""
+    """The data of each recommended chart (one row per chart is read to know which)."""
     rows = apply_filters(df, filters or {})
     texts = _columns_of(df, schema, "TEXT", "MIXED")
     build = {

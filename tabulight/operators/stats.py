@@ -40,7 +40,7 @@ def quartiles(df: DataFrame, columns: list[str], approx: bool = False) -> dict[s
     return quantiles(df, columns, [0.25, 0.5, 0.75], numbers(df))
 
 
-def stat_summary(df: DataFrame, columns: list[str], limit: int = 10, approx: bool = False,
+def stat_summary(df: DataFrame, columns: list[str], limit: int | None = None, approx: bool = False,
                  quarts: dict | None = None) -> DataFrame:
     """One row per numeric column: moments, quartiles, mode and two shape labels."""
     columns = columns[:limit]
@@ -181,7 +181,7 @@ def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
     return union_all(frames)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], limit: int = 15) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """(var1, var2, r) for all ordered pairs, Pearson on rows where both exist; NULL if constant."""
     columns = columns[:limit]
     if not columns:
@@ -195,8 +195,8 @@ def correlation_matrix(df: DataFrame, columns: list[str], limit: int = 15) -> Da
     return upper.select(F.inline(mirrored))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], limit: int = 15, top: int = 10) -> DataFrame:
-    """(strength, rank, var1, var2, r): strong positive, strong negative and weak pairs."""
+def correlation_pairs(df: DataFrame, columns: list[str], limit: int | None = None, top: int | None = None) -> DataFrame:
+    """(strength, rank, var1, var2, r): all strong positive, strong negative and weak pairs, or the ``top`` of each."""
     columns = columns[:limit]
     if len(columns) < 2:
         return empty_like(df, "strength string, rank int, var1 string, var2 string, r double")
@@ -208,13 +208,12 @@ def correlation_pairs(df: DataFrame, columns: list[str], limit: int = 15, top: i
     ).where("strength is not null")
     by_size = F.when(F.col("strength") == "weak", 0.0).otherwise(-F.abs(r))
     rank = F.row_number().over(W.partitionBy("strength").orderBy(by_size, place))
-    return labelled.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select(
-        "strength", "rank", "var1", "var2", "r")
+    ranked = labelled.withColumn("rank", rank.cast("int")).select("strength", "rank", "var1", "var2", "r")
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def strong_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs among the first four numeric columns with |r| of 0.70 or more."""
-    columns = columns[:4]
+    """Pairs of numeric columns with |r| of 0.70 or more."""
     if len(columns) < 2:
         return empty_like(df, "var1 string, var2 string, r double, strength string")
     return _centred_pairs(df, columns, list(combinations(columns, 2))).where(F.abs("r") >= 0.70).withColumn(
@@ -241,7 +240,7 @@ def primary_metric_row(df: DataFrame, columns: list[str]) -> DataFrame:
     return literal_rows(df, [(primary_metric(df, columns),)], "metric string")
 
 
-def zscore_anomalies(df: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
+def zscore_anomalies(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """Columns with values more than three sample deviations from the mean."""
     columns = columns[:limit]
     v = numbers(df)
@@ -261,7 +260,7 @@ def zscore_anomalies(df: DataFrame, columns: list[str], limit: int = 5) -> DataF
     )
 
 
-def period_spikes(df: DataFrame, date: str, columns: list[str], limit: int = 2) -> DataFrame:
+def period_spikes(df: DataFrame, date: str, columns: list[str], limit: int | None = None) -> DataFrame:
     """Months whose mean is more than 50 % away from the mean of all monthly means."""
     means = monthly_means(df, date, columns[:limit])
     metric = W.partitionBy("metric")      # a few rows per metric: one for each month

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulight.functions.columns import number, number_sql, text_sql, timestamp, timestamp_sql
+from tabulight.functions.columns import number, number_sql, text_sql
+from tabulight.plans.dates import dated, dated_sql
 from tabulight.plans.profile import empty_like, inline_sql, struct_sql, union_all
 from tabulight.plans.ranking import with_position
 
@@ -24,7 +25,7 @@ def monthly_means(df: DataFrame, date: str, metrics: list[str]) -> DataFrame:
     if not metrics:
         return empty_like(df, EMPTY_MONTHS)
     wide = (
-        df.selectExpr(f"date_format({timestamp_sql(df, date)}, 'yyyy-MM') as month",
+        df.selectExpr(f"date_format({dated_sql(df, date)}, 'yyyy-MM') as month",
                       *[f"{number_sql(df, m)} as v{i}" for i, m in enumerate(metrics)])
         .where("month is not null").groupBy("month")
         .agg(*[F.expr(f"{f}(v{i}) as {f}{i}") for i in range(len(metrics)) for f in ("avg", "sum", "count")])
@@ -107,15 +108,14 @@ def _recent(changes: DataFrame) -> DataFrame:
 def trend_by_date(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Trend of the sum per raw date value: slope over the date index and change first to last."""
     sums = (
-        df.select(timestamp(df, date).alias("day"), number(df, metric).alias("v")).where("day is not null")
+        df.select(dated(df, date).alias("day"), number(df, metric).alias("v")).where("day is not null")
         .groupBy("day").agg(F.sum("v").alias("total")).where("total is not null")
     )
     day = F.col("day")
-    seconds = (F.unix_date(day.cast("date")).cast("double") * 86400 + F.hour(day) * 3600
-               + F.minute(day) * 60 + F.second(day))
+    micros = F.unix_micros(F.to_utc_timestamp(day.cast("timestamp"), F.current_timezone())).cast("double")
     first, last = F.min_by("total", "day"), F.max_by("total", "day")
     return (
-        with_position(sums, "day", seconds)
+        with_position(sums, "day", micros)
         .agg(F.count("*").alias("dates"), F.regr_slope("total", "position").alias("slope"),
              first.alias("first"), last.alias("last"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
         .where("dates >= 4 AND first > 0")
@@ -130,8 +130,8 @@ def trend_by_date(df: DataFrame, date: str, metric: str) -> DataFrame:
 
 
 def all_months(df: DataFrame, dates: list[str], metrics: list[str]) -> DataFrame:
-    """Monthly rows of the first two date and first three numeric columns."""
-    frames = [monthly_means(df, d, metrics[:3]) for d in dates[:2]]
+    """Monthly rows of every date and numeric column."""
+    frames = [monthly_means(df, d, metrics) for d in dates]
     return union_all(frames) if frames else empty_like(df, EMPTY_MONTHS)
 
 

@@ -1,14 +1,15 @@
 """Exact quantiles without gathering a column in one task.
 
 ``percentile`` keeps every distinct value of a group in one map on one executor, which does
-not hold for a large column. Here each wanted rank is first fenced in: a small mergeable
-sketch proposes fences around the rank, one scan counts the rows below every fence exactly,
-and the step repeats inside the fence while it holds more than ``FENCE_ROWS`` rows of more
-than one value. Only the rows between the final fences are grouped by value and ordered.
-
-The sketch steers how fast the fences close, never the result: the fences that enclose a
-rank are chosen by the exact counts, with the minimum and maximum as outermost fences.
-What reaches the driver is one row of counts per scan.
+not hold for a large column. Here each wanted rank is fenced in: a small mergeable sketch of
+the values between the fences proposes two values near the rank, and one scan counts exactly
+how many rows lie below each proposal and how many equal it. Either the rank falls on a
+proposal and is known, or the proposal becomes the new fence. Fences are no part of what they
+enclose, so a value that fills half a column is passed in one step. When ``FENCE_ROWS`` rows or
+fewer are left between the fences, they are grouped by value and ordered.
+
+The sketch steers how fast the fences close, never the result. What reaches the driver is one
+row of counts per scan.
 """
 
 from __future__ import annotations
@@ -25,28 +26,37 @@ SMALL_ROWS = 20_000      # below this a column is ordered as it is
 FENCE_ROWS = 1_000_000   # a fenced part may hold this many rows when it is ordered
 SKETCH_SIZE = 4096
 MARGIN = 0.004           # rank share kept on each side of the proposed fences
+STEP = 0.0005            # ranks closer than this share look for fences at the same places
 SKETCH_GROUPS = 64       # sketches are merged in two steps, so no task merges all of them
 COLUMNS_PER_SCAN = 24
 
 
 @dataclass(frozen=True)
 class Slot:
-    """The wanted rank (or two neighbouring ranks) of one column, fenced in by [low, high]."""
+    """A wanted rank of one column and the values strictly between its fences; None is no fence."""
 
     column: str
-    first: int
-    last: int
-    below: int           # rows < low
-    inside: int          # rows in [low, high]
-    low: float
-    high: float
+    rank: int
+    below: int           # rows up to the lower fence, it included
+    inside: int          # rows strictly between the fences
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None      # once it is known
 
     @property
-    def fence(self) -> tuple[str, float, float]:
+    def fence(self) -> tuple[str, float | None, float | None]:
         return self.column, self.low, self.high
 
     def holds(self, values: dict[str, str]) -> str:
-        return f"({values[self.column]} between {double_sql(self.low)} and {double_sql(self.high)})"
+        v = values[self.column]
+        tests = [f"{v} is not null"] + [f"{v} {sign} {double_sql(f)}" for sign, f in ((">", self.low), ("<", self.high)) if f is not None]
+        return "(" + " and ".join(tests) + ")"
+
+    @property
+    def shares(self) -> list[float]:
+        """Where to look between the fences: neighbouring ranks look at the same places."""
+        at = (self.rank - self.below) // (STEP * self.inside) * STEP
+        return [at - MARGIN, at + STEP + MARGIN]
 
 
 def _sketch(df: DataFrame, wanted: dict[str, str], extra: dict[str, str] = {}) -> DataFrame:
@@ -66,55 +76,56 @@ def _read_off(sketch: str, shares: list[float]) -> str:
 
 
 def _proposed(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[list[float]]:
-    """Two values around each slot's ranks, from a sketch of the rows inside its fences."""
+    """Two values around each slot's rank, from a sketch of the rows between its fences."""
     fences = {s.fence: s for s in slots}
     name = {fence: f"s{i}" for i, fence in enumerate(fences)}
     sketches = _sketch(df, {
         name[f]: f"case when {s.holds(values)} then {values[s.column]} end" for f, s in fences.items()})
-    row = sketches.selectExpr(*[
-        _read_off(name[s.fence], [(s.first - s.below) / s.inside - MARGIN, (s.last - s.below + 1) / s.inside + MARGIN])
-        + f" as f{i}" for i, s in enumerate(slots)]).first()
+    row = sketches.selectExpr(*[_read_off(name[s.fence], s.shares) + f" as f{i}" for i, s in enumerate(slots)]).first()
     return [list(row[i]) for i in range(len(slots))]
 
 
 def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str], proposed: list[list[float]]) -> list[Slot]:
-    """Move each slot to the tightest fences that the exact counts allow."""
+    """Each slot with its value, if that is one of the proposed, or else with closer fences."""
     wanted: dict[tuple[str, str, float], str] = {}
-    for s, (low, high) in zip(slots, proposed):
-        for test in ((s.column, "<", low), (s.column, "<=", high)):
-            wanted.setdefault(test, f"c{len(wanted)}")
+    for s, fences in zip(slots, proposed):
+        for f in fences:
+            for sign in ("<", "<="):
+                wanted.setdefault((s.column, sign, f), f"c{len(wanted)}")
     counts = df.agg(*[
         F.expr(f"count_if({values[c]} {sign} {double_sql(f)}) as {name}") for (c, sign, f), name in wanted.items()
     ]).first()
     closed = []
-    for s, (f, g) in zip(slots, proposed):
-        low, below, high, upto = s.low, s.below, s.high, s.below + s.inside
-        if counts[wanted[(s.column, "<", f)]] <= s.first and f > low:
-            low, below = f, counts[wanted[(s.column, "<", f)]]
-        if counts[wanted[(s.column, "<=", g)]] > s.last and g < high:
-            high, upto = g, counts[wanted[(s.column, "<=", g)]]
-        closed.append(Slot(s.column, s.first, s.last, below, upto - below, low, high))
+    for s, fences in zip(slots, proposed):
+        low, below, high, upto, value = s.low, s.below, s.high, s.below + s.inside, None
+        for f in fences:
+            less, most = counts[wanted[(s.column, "<", f)]], counts[wanted[(s.column, "<=", f)]]
+            if less <= s.rank < most:
+                value = f
+            elif s.rank < less and less <= upto:
+                high, upto = f, less
+            elif s.rank >= most and most >= below:
+                low, below = f, most
+        closed.append(Slot(s.column, s.rank, below, upto - below, low, high, value))
     return closed
 
 
-def _order(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> dict[Slot, tuple[float, float]]:
-    """Order the rows inside the fences and read off the ranks."""
+def _order(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> dict[Slot, float]:
+    """Order the rows between the fences and read off the ranks."""
+    fences = {s.fence: s for s in slots}
+    place = {fence: i for i, fence in enumerate(fences)}
     entries = ", ".join(
-        f"case when {s.holds(values)} then struct({i} as slot, {values[s.column]} as value) end" for i, s in enumerate(slots))
+        f"case when {s.holds(values)} then struct({place[f]} as slot, {values[s.column]} as value) end" for f, s in fences.items())
     counted = (
-        df.where(" or ".join(s.holds(values) for s in slots))
+        df.where(" or ".join(s.holds(values) for s in fences.values()))
         .selectExpr(f"inline(array_compact(array({entries})))").groupBy("slot", "value").agg(F.count("*").alias("n"))
     )
     upto = F.sum("n").over(W.partitionBy("slot").orderBy("value"))
-
-    def wanted(rank):
-        return F.element_at(F.array(*[F.lit(rank(s) - s.below) for s in slots]), F.col("slot") + 1)
-
-    rows = counted.withColumn("upto", upto).groupBy("slot").agg(
-        F.min(F.when(F.col("upto") > wanted(lambda s: s.first), F.col("value"))).alias("first"),
-        F.min(F.when(F.col("upto") > wanted(lambda s: s.last), F.col("value"))).alias("last"),
-    ).collect()
-    return {slots[r["slot"]]: (r["first"], r["last"]) for r in rows}
+    rows = counted.withColumn("upto", upto).groupBy("slot").agg(*[
+        F.min(F.when((F.col("slot") == place[s.fence]) & (F.col("upto") > s.rank - s.below), F.col("value"))).alias(f"v{i}")
+        for i, s in enumerate(slots)]).collect()
+    found = {r["slot"]: r for r in rows}
+    return {s: found[place[s.fence]][f"v{i}"] for i, s in enumerate(slots)}
 
 
 def quantiles(
@@ -134,42 +145,39 @@ def _quantiles(df, columns, probs, as_number, small_rows, fence_rows):
     values = {c: f"v{i}" for i, c in enumerate(columns)}
     shares = [x for p in probs for x in (p - MARGIN, p + MARGIN)]
     sizes = _sketch(
-        numbers, {f"s{i}": v for i, v in enumerate(values.values())},
-        {f"{n}{i}": f"{f}({v})" for i, v in enumerate(values.values()) for n, f in (("n", "count"), ("lo", "min"), ("hi", "max"))},
+        numbers, {f"s{i}": v for i, v in enumerate(values.values())}, {f"n{i}": f"count({v})" for i, v in enumerate(values.values())},
     ).selectExpr("*", *[f"{_read_off(f's{i}', shares)} as f{i}" for i in range(len(columns))]).drop(
         *[f"s{i}" for i in range(len(columns))]).first()
-    slots, weight, proposed = {}, {}, {}
+    slots: dict[tuple[str, int], Slot] = {}
+    proposed: dict[tuple[str, int], list[float]] = {}
+    places = {}
     for i, c in enumerate(columns):
         n = sizes[f"n{i}"]
         for j, p in enumerate(probs) if n else []:
             place = p * (n - 1)
-            first, last = math.floor(place), math.ceil(place)
-            slots[(c, p)] = Slot(c, first, last, 0, n, sizes[f"lo{i}"], sizes[f"hi{i}"])
-            weight[(c, p)] = place - first
-            proposed[(c, p)] = sizes[f"f{i}"][2 * j:2 * j + 2]
+            places[(c, p)] = place
+            for rank in (math.floor(place), math.ceil(place)):
+                slots.setdefault((c, rank), Slot(c, rank, 0, n))
+                proposed.setdefault((c, rank), sizes[f"f{i}"][2 * j:2 * j + 2])
 
-    limit, waiting, first_round = small_rows, list(slots), True
+    limit, first_round = small_rows, True
     while True:
-        waiting = [k for k in waiting if slots[k].low < slots[k].high and slots[k].inside > limit]
+        waiting = [k for k, s in slots.items() if s.value is None and s.inside > limit]
         if not waiting:
             break
         now = [slots[k] for k in waiting]
         fences = [proposed[k] for k in waiting] if first_round else _proposed(numbers, now, values)
-        closed = _close_in(numbers, now, values, fences)
-        moved = [k for k, s in zip(waiting, closed) if s.inside < slots[k].inside]
-        slots.update(zip(waiting, closed))
-        # fences that cannot move enclose neighbouring values only: ready to be ordered
-        limit, waiting, first_round = fence_rows, moved, False
+        slots.update(zip(waiting, _close_in(numbers, now, values, fences)))
+        limit, first_round = fence_rows, False
 
-    ranked = {s: (s.low, s.low) for s in slots.values() if s.low == s.high}
-    open_slots = [s for s in dict.fromkeys(slots.values()) if s.low < s.high]
-    if open_slots:
-        ranked.update(_order(numbers, open_slots, values))
+    left = [s for s in slots.values() if s.value is None]
+    ranked = _order(numbers, left, values) if left else {}
 
     def read(key):
-        if key not in slots:
+        if key not in places:
             return None
-        a, b = ranked[slots[key]]
-        return a if a == b else a + (b - a) * weight[key]
+        first, last = (slots[(key[0], rank)] for rank in (math.floor(places[key]), math.ceil(places[key])))
+        a, b = (s.value if s.value is not None else ranked[s] for s in (first, last))
+        return a if a == b else a + (b - a) * (places[key] - first.rank)
 
     return {c: [read((c, p)) for p in probs] for c in columns}

@@ -225,7 +225,7 @@ def test_forecast_safety(spark):
 def test_catalog_lists_values_up_to_thirty(spark):
     df = spark.createDataFrame([(f"v{i:02d}", f"w{i % 30:02d}") for i in range(31)], "many string, few string")
     got = by(quality.catalog_profile(df))
-    assert got["many"]["values"] is None and got["few"]["values"] == [f"w{i:02d}" for i in range(15)]
+    assert got["many"]["values"] is None and got["few"]["values"] == [f"w{i:02d}" for i in range(30)]
 
 
 # --- statistics ----------------------------------------------------------------------
@@ -239,6 +239,7 @@ def test_quartiles_interpolate(spark):
 @pytest.mark.parametrize("values", [
     [float(i) for i in range(1000)], [float(i % 3) for i in range(1000)], [5.0] * 900 + [float(i) for i in range(100)],
     [1.0] * 500 + [2.0] * 500, [2.0 ** (i % 200 - 100) for i in range(997)], [float("inf")] * 3 + [float("-inf")] * 3 + [0.0] * 5,
+    [0.0] * 499 + [i / 100 for i in range(1, 100)] + [1.0] * 499,
 ])
 def test_quantiles_with_tiny_fences(spark, values):
     import numpy as np
