@@ -38,7 +38,7 @@ def _(t):
     return repair.missing_preview(t.dirty_customer, "segment", ["c_custkey", "mixed_code"])
 
 
-FILLED = f"SELECT * REPLACE (CASE WHEN {GAP} THEN {MODE} ELSE segment END AS segment), {GAP} AS was_missing FROM dirty_customer"
+FILLED = f"SELECT * REPLACE (CASE WHEN {GAP} THEN {MODE} ELSE segment END AS segment), {GAP} AS was_missing, CASE WHEN {GAP} THEN segment END AS old_value FROM dirty_customer"
 
 
 @query("i02_fill_missing_mode", c(FILLED))
@@ -47,7 +47,7 @@ def _(t):
 
 
 def filled(value: str) -> str:
-    return c(f"""SELECT * REPLACE (coalesce(acctbal, {value}) AS acctbal), acctbal IS NULL AS was_missing FROM dirty_customer""")
+    return c(f"""SELECT * REPLACE (coalesce(acctbal, {value}) AS acctbal), acctbal IS NULL AS was_missing, CAST(NULL AS DOUBLE) AS old_value FROM dirty_customer""")
 
 
 @query("i02_fill_missing_mean", filled("(SELECT round(avg(acctbal), 2) FROM dirty_customer)"))
@@ -84,4 +84,11 @@ def _(t):
 def _(t):
     original = t.busy_orders.select("order_no", "price", "status")
     filled_table = repair.fill_missing(original, "price", "mean", schema={"price": "NUM"})
-    return repair.undo_fill(filled_table, original, "order_no", "price")
+    return repair.undo_fill(filled_table, "price")
+
+
+@query("i05_undo_repeated_keys", over("dirty_customer", """
+    SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 20 END AS k, segment, acctbal FROM dirty_customer"""))
+def _(t):
+    table = t.dirty_customer.selectExpr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 20 END AS k", "segment", "acctbal")
+    return repair.undo_fill(repair.fill_missing(table, "segment", "mode", schema={"segment": "TEXT"}), "segment")

@@ -74,8 +74,18 @@ def _(t):
     return rows.duplicate_rows(t.dirty_customer)
 
 
+NAN = """SELECT c_custkey % 50 AS k, CASE WHEN c_custkey % 3 = 0 THEN CAST('NaN' AS DOUBLE) WHEN c_custkey % 3 = 1 THEN NULL ELSE 1 END AS v FROM {customer}"""
+
+
+@query("c09_nan", f"""
+    SELECT k, CASE WHEN isnan(v) THEN NULL ELSE v END AS v FROM ({NAN.replace('{customer}', 'customer')})
+    QUALIFY count(*) OVER (PARTITION BY k, CASE WHEN isnan(v) THEN NULL ELSE v END) > 1""")
+def _(t):
+    return rows.duplicate_rows(t.spark.sql(NAN, customer=t.customer))
+
+
 @query("c10_scatter_points", over("dirty_customer", """
-    SELECT x, y FROM (SELECT acctbal AS x, mostly_zero AS y FROM dirty_customer ORDER BY c_custkey LIMIT 300)
-    WHERE x IS NOT NULL AND y IS NOT NULL"""))
+    SELECT acctbal AS x, mostly_zero AS y FROM dirty_customer WHERE acctbal IS NOT NULL AND mostly_zero IS NOT NULL
+    ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey, acctbal, mostly_zero LIMIT 300"""))
 def _(t):
     return rows.scatter_points(t.dirty_customer, "acctbal", "mostly_zero", ["c_custkey"])

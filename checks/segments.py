@@ -168,12 +168,18 @@ def _(t):
 
 
 @query("f11_series_fallback", """
-    SELECT CAST(o_orderdate AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS value FROM orders
-    GROUP BY o_orderdate ORDER BY o_orderdate LIMIT 15""")
+    SELECT strftime(o_orderdate, '%Y') AS label, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1""")
 def _(t):
     return segments.series(t.orders, ORDER_TYPES, None, "none")
 
 
+@query("f11_series_others", f"""
+    WITH g AS (SELECT o_custkey, {cents('o_totalprice')} AS v, row_number() OVER (ORDER BY {cents('o_totalprice')} DESC, o_custkey) AS rn FROM orders GROUP BY 1)
+    SELECT CASE WHEN rn <= 15 THEN CAST(o_custkey AS VARCHAR) ELSE 'Others' END AS label, round(sum(v), 2) AS value FROM g GROUP BY 1""")
+def _(t):
+    return segments.series(t.orders, ORDER_TYPES, "o_totalprice", "o_custkey").withColumn("value", F.round("value", 2))
+
+
 @query("f12_share_by_category", f"""
     WITH g AS (SELECT p_brand AS label, {cents('p_retailprice')} AS value FROM part GROUP BY 1),
          r AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS rn FROM g)
@@ -189,15 +195,15 @@ def _(t):
 
 
 @query("f13_frequency_by_category", over("dirty_customer", """
-    SELECT coalesce(segment, 'Missing') AS label, count(*) AS count FROM dirty_customer GROUP BY segment
-    ORDER BY count DESC, segment NULLS FIRST LIMIT 15"""))
+    SELECT CASE WHEN rn <= 15 THEN label ELSE 'Others' END AS label, CAST(sum(n) AS BIGINT) AS count FROM (
+      SELECT coalesce(segment, 'Missing') AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(segment, 'Missing')) AS rn
+      FROM dirty_customer GROUP BY 1) GROUP BY 1"""))
 def _(t):
     return segments.frequency_by_category(t.dirty_customer, "segment")
 
 
 @query("f14_timeline", f"""
-    SELECT CAST(o_orderdate AS VARCHAR) AS label, round({cents('o_totalprice')}, 2) AS value FROM orders GROUP BY o_orderdate
-    ORDER BY o_orderdate LIMIT 50""")
+    SELECT strftime(o_orderdate, '%Y') AS label, round({cents('o_totalprice')}, 2) AS value FROM orders GROUP BY 1""")
 def _(t):
     return segments.timeline(t.orders, "o_orderdate", "o_totalprice").withColumn("value", F.round("value", 2))
 
@@ -230,17 +236,26 @@ def _(t):
     return segments.kpis(t.orders.select(*PRICE_FIRST), PRICE_FIRST, filters.cross_filter(clicked, "o_orderpriority"))
 
 
-@query("f18_dashboard", """
-    SELECT 'charts' AS part, CAST(5 AS BIGINT) AS rows UNION ALL SELECT 'kpis', 4 UNION ALL
-    SELECT 'table', least(20, count(*)) FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%') UNION ALL
-    SELECT 'total', count(*) FROM orders WHERE o_orderstatus IN ('F') AND (o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%') UNION ALL
-    SELECT 'line points', least(50, count(DISTINCT o_orderdate)) FROM orders WHERE o_orderstatus = 'F'""")
+F18_WHERE = "WHERE o_orderstatus = 'F' AND (o_orderpriority ILIKE '%urgent%' OR o_orderstatus ILIKE '%urgent%')"
+
+
+@query("f18_dashboard", f"""
+    SELECT 'kpi' AS part, kpi AS a, coalesce("column", '') || coalesce(label, '') AS b, value FROM ({kpi_sql(F18_WHERE)}) UNION ALL
+    SELECT 'chart', 'line', 'o_orderdate o_totalprice', 1 UNION ALL SELECT 'chart', 'pie', 'o_orderpriority o_totalprice', 2 UNION ALL
+    SELECT 'chart', 'scatter', 'o_totalprice o_orderkey', 3 UNION ALL
+    SELECT 'line', strftime(o_orderdate, '%Y'), '', round({cents('o_totalprice')}, 2) FROM orders WHERE o_orderstatus = 'F' GROUP BY 2 UNION ALL
+    SELECT 'pie', o_orderpriority, '', round({cents('o_totalprice')}, 2) FROM orders WHERE o_orderstatus = 'F' GROUP BY 2 UNION ALL
+    SELECT 'table', '', '', o_orderkey FROM (SELECT o_orderkey FROM orders {F18_WHERE} ORDER BY o_orderkey LIMIT 20) UNION ALL
+    SELECT 'total', '', '', count(*) FROM orders {F18_WHERE}""")
 def _(t):
     orders, types = t.orders.select("o_totalprice", "o_orderkey", *list(PRICE_FIRST)[1:]), ORDER_TYPES
     d = segments.dashboard(orders, types, ["o_orderkey"], {"o_orderstatus": ["F"]}, "urgent")
     # one value of the status is left, so it gets no chart of its own and no area
-    size = lambda frame: frame.agg(F.count("*").alias("rows"))
-    shown = [("kpis", d["kpis"]), ("table", d["table"]), ("line points", d["chart_data"][1])]
-    return union_all([size(f).select(F.lit(n).alias("part"), "rows") for n, f in shown] + [
-        d["total"].select(F.lit("total").alias("part"), F.col("total_count").alias("rows")),
-        size(d["charts"]).select(F.lit("charts").alias("part"), (F.col("rows") + 2).alias("rows"))])
+    part = lambda frame, name, a, b, v: frame.select(
+        F.lit(name).alias("part"), a.cast("string").alias("a"), b.cast("string").alias("b"), F.round(v.cast("double"), 2).alias("value"))
+    none = F.lit("")
+    return union_all([
+        part(d["kpis"], "kpi", F.col("kpi"), F.concat(F.coalesce("column", none), F.coalesce("label", none)), F.col("value")),
+        part(d["charts"], "chart", F.col("type"), F.concat_ws(" ", "x_column", "y_column"), F.col("idx")),
+        part(d["chart_data"][1], "line", F.col("label"), none, F.col("value")), part(d["chart_data"][2], "pie", F.col("label"), none, F.col("value")),
+        part(d["table"], "table", none, none, F.col("o_orderkey")), part(d["total"], "total", none, none, F.col("total_count"))])

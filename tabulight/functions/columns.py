@@ -58,7 +58,8 @@ def name_sql(name: str) -> str:
 
 
 def text_sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """String literal; a dollar sign is escaped, since Spark would put a setting for ${name} before it parses."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 def texts_sql(texts) -> str:

@@ -133,6 +133,27 @@ def sql_readonly(spark: SparkSession, query: str, **views: DataFrame) -> DataFra
         raise RejectedQuery("scripts are not allowed")
     if not any(re.search(rf"\b{re.escape(v)}\b", text, re.IGNORECASE) for v in views):
         raise RejectedQuery("the query mentions none of the views: " + ", ".join(sorted(views)))
+    foreign = _relations(spark, text) - {v.lower() for v in views}
+    if foreign:
+        raise RejectedQuery("only the given views can be read, not " + ", ".join(sorted(foreign)))
+    before = {name: spark.table(name) for name in views if any(v.isTemporary for v in spark.catalog.listTables(pattern=name) if v.name.lower() == name.lower())}
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(text)
+    try:
+        return spark.sql(text)          # analysed here, so the views are not needed later
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, frame in before.items():
+            frame.createOrReplaceTempView(name)
+
+
+def _relations(spark: SparkSession, text: str) -> set[str]:
+    """The tables, views and paths that a query reads, its own WITH names left out. Spark's parser finds them."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    except Exception as problem:
+        raise RejectedQuery(str(problem).splitlines()[0]) from None
+    own = {name.strip().lower() for names in re.findall(r"\bCTE \[([^\]]*)\]", plan) for name in names.split(",")}
+    read = {", ".join(part.strip() for part in names.split(",")).lower() for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)}
+    return read - own

@@ -9,7 +9,7 @@ from tabulight.functions.columns import (
     count_if, data_type, is_datetime, is_floating, is_numeric, is_text, missing_sql, name_sql, names_where,
     number_sql, percent, severity, strip_sql, timestamp_sql, value, value_sql,
 )
-from tabulight.operators.rows import sample_values
+from tabulight.operators.rows import COPIES, repeated_rows, sample_values
 from tabulight.operators.schema import semantic_types
 from tabulight.operators.stats import iqr_outliers_basic
 from tabulight.plans.dates import dated_sql
@@ -83,23 +83,17 @@ def missing_panel(df: DataFrame, schema: dict[str, str], search: str = "", ascen
         F.sum("missing_count").over(W.partitionBy()).alias("total_missing"))
 
 
-def row_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies. Copies merge before the shuffle."""
-    return df.groupBy(*[value(df, c).alias(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
-
-
 def duplicate_count(df: DataFrame) -> DataFrame:
     """(rows, duplicates, duplicate_pct, severity): copies beyond the first of each row."""
     pct = percent(F.col("duplicates"), F.col("rows"))
-    return row_groups(df).agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
-    ).select("rows", "duplicates", pct.alias("duplicate_pct"), severity(pct, 10, 3).alias("severity"))
+    copies = repeated_rows(df).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicates"))
+    return copies.withColumn("rows", df.agg(F.count("*")).scalar()).select(
+        "rows", "duplicates", pct.alias("duplicate_pct"), severity(pct, 10, 3).alias("severity"))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """(duplicate_groups): distinct rows that occur more than once."""
-    return row_groups(df).agg(count_if(F.col("_copies") > 1).alias("duplicate_groups"))
+    return repeated_rows(df).agg(F.count("*").alias("duplicate_groups"))
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:

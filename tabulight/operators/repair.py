@@ -63,14 +63,15 @@ def _replacement(df: DataFrame, name: str, method: str, custom, schema: dict[str
 
 
 def fill_missing(df: DataFrame, name: str, method: str, custom=None, schema: dict[str, str] | None = None) -> DataFrame:
-    """The table with missing cells of one column replaced, plus a ``was_missing`` mark.
+    """The table with missing cells of one column replaced, plus a ``was_missing`` mark and the ``old_value``.
 
     The replacement is one value: a scalar subquery for mean and mode, a literal otherwise, so
     the fill itself is a projection without a shuffle.
     """
     new = _replacement(df, name, method, custom, schema or {})
     filled = F.when(_gap(df, name), new).otherwise(col(name)).alias(name)
-    return df.select(*[filled if c == name else col(c) for c in df.columns], _gap(df, name).alias("was_missing"))
+    return df.select(*[filled if c == name else col(c) for c in df.columns], _gap(df, name).alias("was_missing"),
+                     F.when(_gap(df, name), col(name)).alias("old_value"))
 
 
 def fill_preview(df: DataFrame, name: str, method: str, key: list[str], custom=None,
@@ -85,16 +86,10 @@ def fill_preview(df: DataFrame, name: str, method: str, key: list[str], custom=N
 
 def fill_summary(df: DataFrame, name: str, method: str, schema: dict[str, str], custom=None) -> DataFrame:
     """The missing panel as it looks after the repair."""
-    return missing_panel(fill_missing(df, name, method, custom, schema).drop("was_missing"), schema)
+    return missing_panel(fill_missing(df, name, method, custom, schema).drop("was_missing", "old_value"), schema)
 
 
-def undo_fill(filled: DataFrame, original: DataFrame, key: str, name: str) -> DataFrame:
-    """The filled table with exactly the marked cells set back to their original value.
-
-    Only marked rows are joined, with the missing rows of the original; the key is unique.
-    """
-    old = original.where(_gap(original, name)).select(col(key).alias("_key"), col(name).alias("_old"))
-    marked = filled.where("was_missing").join(old, col(key) == F.col("_key"), "left")
-    columns = [c for c in filled.columns if c != "was_missing"]
-    restored = marked.select(*[F.col("_old").alias(c) if c == name else col(c) for c in columns])
-    return filled.where("NOT was_missing").select(*[col(c) for c in columns]).unionByName(restored)
+def undo_fill(filled: DataFrame, name: str) -> DataFrame:
+    """The filled table with exactly the marked cells set back to their old value: a projection."""
+    columns = [c for c in filled.columns if c not in ("was_missing", "old_value")]
+    return filled.select(*[F.when(F.col("was_missing"), F.col("old_value")).otherwise(col(c)).alias(c) if c == name else col(c) for c in columns])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulight.functions.columns import col, data_type, names_where, number, text_sql, value_sql
+from tabulight.functions.columns import col, data_type, names_where, number, text_sql, value, value_sql
 from tabulight.operators.filters import apply_filters, search_text
 from tabulight.plans.profile import column_profile, fetched, literal_rows
 
 COPIES_PER_ROW = 100_000
+COPIES = "_copies"
 
 
 def head(df: DataFrame, n: int, key: list[str]) -> DataFrame:
@@ -109,30 +110,49 @@ def sample_values(df: DataFrame, k: int = 3) -> DataFrame:
     return literal_rows(df, samples, "column string, rank int, sample string")
 
 
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows that occur more than once, and how often (column COPIES); NaN equals NULL.
+
+    Rows are first counted by two 64-bit hashes, 16 bytes each in the shuffle. Only rows whose
+    hashes repeat are then grouped in full, so equal hashes of different rows do no harm.
+    """
+    rows = df.select(*[value(df, c).alias(c) for c in df.columns])
+    every = [col(c) for c in df.columns]
+    marked = rows.withColumn("_h1", F.xxhash64(*every)).withColumn("_h2", F.xxhash64(F.lit(1), *every))
+    again = marked.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return marked.join(again, ["_h1", "_h2"], "left_semi").groupBy(*every).agg(F.count("*").alias(COPIES)).where(F.col(COPIES) > 1)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Every copy of every fully duplicated row.
+    """Every copy of every fully duplicated row; NaN equals NULL and is shown as NULL.
 
-    Copies are counted with map-side merging and written out again from (row, count), so one
-    row that makes up a large part of the table never has to meet in one task: long counts are
-    cut into pieces that are spread before they are expanded.
+    Copies are counted and written out again from (row, count), so one row that makes up a
+    large part of the table never has to meet in one task: long counts are cut into pieces
+    that are spread before they are expanded.
     """
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_n")).where("_n > 1")
+    copies = repeated_rows(df).withColumnRenamed(COPIES, "_n")
     pieces = copies.withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES_PER_ROW).cast("long")))
     )
     size = F.least(F.lit(COPIES_PER_ROW), F.col("_n") - F.col("_piece"))
-    spread = pieces.withColumn("_size", size).drop("_n", "_piece").repartition(copies_partitions(df))
+    total = copies.agg(F.sum("_n")).first()[0] or 0
+    spread = pieces.withColumn("_size", size).drop("_n", "_piece").repartition(max(1, -(-total // COPIES_PER_ROW)))
     return (
         spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))))
         .select(*[col(c) for c in df.columns])
     )
 
 
-def copies_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def scatter_points(df: DataFrame, x: str, y: str, key: list[str], n: int = 300) -> DataFrame:
+    """(x, y) of n rows drawn from all rows that have both; none if the table has up to 5 rows.
+
+    Drawn are those with the smallest MD5 of their key.
+    """
+    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y"), F.md5(key_text(key).cast("binary")).alias("_draw"), *[
+        col(k).alias(f"_k{i}") for i, k in enumerate(key)]).where("x is not null and y is not null")
+    drawn = fetched(pairs.orderBy("_draw", *[f"_k{i}" for i in range(len(key))], "x", "y").limit(n).select("x", "y"))
+    return drawn if df.limit(6).count() > 5 else drawn.limit(0)
 
 
-def scatter_points(df: DataFrame, x: str, y: str, key: list[str], n: int = 300) -> DataFrame:
-    """At most n (x, y) pairs in key order, without pairs that have a NULL; none up to 5 rows."""
-    first = fetched(df.orderBy(*[col(k) for k in key]).limit(n).select(number(df, x).alias("x"), number(df, y).alias("y")))
-    return (first if first.count() > 5 else first.limit(0)).dropna()
+def key_text(key: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])

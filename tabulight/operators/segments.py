@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulight.functions.columns import col, number, number_sql, percent, text_sql, value, value_sql
 from tabulight.operators.filters import apply_filters, resolve_name, search_text
 from tabulight.operators.rows import drill_table, scatter_points
+from tabulight.plans.dates import dated
 from tabulight.plans.profile import column_profile, empty_like, fetched, literal_rows, union_all
 
 CATEGORY_VALUES = (2, 50)
@@ -213,10 +214,11 @@ def _shown(frame: DataFrame) -> DataFrame:
 
 def series(df: DataFrame, schema: dict[str, str], metric: str | None, dimension: str | None,
            filters: dict | None = None, kind: str = "bar") -> DataFrame:
-    """(label, value): metric sum (or row count) of the first 15 dimension values.
+    """(label, value): metric sum (or row count) per dimension value, every row in one of at most 15 points.
 
-    Dates and line charts go by label, everything else by size. A missing dimension falls
-    back to the first date, then the first text, then any column other than the metric.
+    Dates are gathered into days, weeks, months or years until they fit. Other columns show
+    their largest values and the sum of the rest as "Others"; a line goes by label. A missing dimension
+    falls back to the first date, then the first text, then any column other than the metric.
     """
     metric = resolve_name(metric, df.columns) if metric else None
     found = resolve_name(dimension, df.columns) if dimension and dimension != "none" else None
@@ -224,10 +226,44 @@ def series(df: DataFrame, schema: dict[str, str], metric: str | None, dimension:
         dates, texts = _columns_of(df, schema, "DATE"), _columns_of(df, schema, "TEXT", "MIXED")
         others = [c for c in df.columns if c != metric] or df.columns
         found, kind = (dates[0], "line") if dates else (texts[0], "bar") if texts else (others[0], kind)
-    sums = _sums(apply_filters(df, filters or {}), found, metric)
-    by_label = schema.get(found) == "DATE" or kind == "line"
-    order = [F.asc_nulls_first("key")] if by_label else [F.desc_nulls_last("value"), F.asc_nulls_first("key")]
-    return _shown(sums.orderBy(*order).limit(SERIES_POINTS))
+    rows = apply_filters(df, filters or {})
+    if schema.get(found) == "DATE":
+        return _shown(_by_time(rows, found, metric, SERIES_POINTS))
+    order = [F.asc_nulls_first("key")] if kind == "line" else [F.desc_nulls_last("value"), F.asc_nulls_first("key")]
+    return _with_others(_sums(rows, found, metric), order, SERIES_POINTS)
+
+
+def _with_others(sums: DataFrame, order: list[Column], points: int) -> DataFrame:
+    """(label, value): the first groups, and the sum of all others as one more when there are any."""
+    top = sums.orderBy(*order).limit(points + 1)
+    known = top.collect()
+    listed = _shown(literal_rows(sums, known[:points], top.schema))
+    if len(known) <= points:
+        return listed
+    keys = [r["key"] for r in known[:points]]
+    inside = F.coalesce(F.col("key").isin([k for k in keys if k is not None]), F.lit(None in keys))
+    return listed.unionByName(sums.where(~inside).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(
+        F.lit("Others").alias("label"), "value"))
+
+
+UNITS = (("day", "yyyy-MM-dd"), ("week", "yyyy-MM-dd"), ("month", "yyyy-MM"), ("year", "yyyy"))
+
+
+def _by_time(rows: DataFrame, date: str, metric: str | None, points: int) -> DataFrame:
+    """(key, value) per date, or per the first of day, week, month and year that has few enough groups (year has the last say).
+
+    A group's key is its first day, shown as far as the unit goes. All rows are in the groups, NULL dates in one of their own.
+    """
+    sums = _sums(rows, date, metric).withColumn("key", F.col("key").cast("string"))
+    if sums.limit(points + 1).count() <= points:
+        return fetched(sums).orderBy(F.asc_nulls_first("key"))
+    total = F.sum(number(rows, metric)) if metric else F.count("*").cast("double")
+    day = dated(rows, date)
+    for unit, shape in UNITS:
+        grouped = rows.groupBy(F.date_format(F.date_trunc(unit, day), shape).alias("key")).agg(total.alias("value"))
+        if unit == "year" or grouped.limit(points + 1).count() <= points:
+            return fetched(grouped).orderBy(F.asc_nulls_first("key"))
+    return sums
 
 
 def share_by_category(df: DataFrame, name: str, metric: str, filters: dict | None = None) -> DataFrame:
@@ -252,15 +288,15 @@ def share_by_category(df: DataFrame, name: str, metric: str, filters: dict | Non
 
 
 def frequency_by_category(df: DataFrame, name: str, limit: int = SERIES_POINTS, filters: dict | None = None) -> DataFrame:
-    """(label, count) of the most frequent values; NULL shows as "Missing"."""
-    counts = apply_filters(df, filters or {}).groupBy(value(df, name).alias("key")).agg(F.count("*").alias("count"))
-    return counts.orderBy(F.desc("count"), F.asc_nulls_first("key")).limit(limit).select(
-        F.coalesce(F.col("key").cast("string"), F.lit("Missing")).alias("label"), "count")
+    """(label, count) of the most frequent values, and of all others as "Others"; NULL shows as "Missing"."""
+    counts = apply_filters(df, filters or {}).groupBy(F.coalesce(value(df, name).cast("string"), F.lit("Missing")).alias("key")).agg(
+        F.count("*").alias("value"))
+    return _with_others(counts, [F.desc("value"), F.asc("key")], limit).select("label", F.col("value").cast("bigint").alias("count"))
 
 
 def timeline(df: DataFrame, date: str, metric: str, limit: int = TIMELINE_POINTS, filters: dict | None = None) -> DataFrame:
-    """(label, value): metric sum of the first 50 date values; needs more than one."""
-    points = fetched(_sums(apply_filters(df, filters or {}), date, metric).orderBy(F.asc_nulls_first("key")).limit(limit))
+    """(label, value): metric sum per date, or per day, week, month or year where those are too many; needs more than one."""
+    points = _by_time(apply_filters(df, filters or {}), date, metric, limit)
     return _shown(points if points.count() > 1 else points.limit(0))
 
 

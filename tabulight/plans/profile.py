@@ -45,7 +45,7 @@ def literal_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) -
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     kinds = [f.dataType for f in struct]
     simple = all(isinstance(k, (T.StringType, T.IntegerType, T.LongType, T.DoubleType, T.BooleanType)) for k in kinds)
-    if not rows or not simple or any(isinstance(v, str) and "${" in v for r in rows for v in r):
+    if not rows or not simple:
         return spark.createDataFrame(rows, struct)
     values = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds)) + ")" for r in rows)
     return spark.sql(f"select * from values {values} as t({', '.join(name_sql(f.name) for f in struct)})")

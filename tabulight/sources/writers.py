@@ -9,7 +9,9 @@ from tabulight.operators.rows import sort_by
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Every cell comes back as it was: outer white space stays, quotes are doubled, an empty text is \"\" and NULL is nothing."""
+    df.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""', nullValue="").csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,5 +40,5 @@ def export_filtered(
 
 
 def export_cleaned(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
-    """A repaired table without its repair mark."""
-    _write(df.drop("was_missing"), path, fmt, mode)
+    """A repaired table without its repair marks."""
+    _write(df.drop("was_missing", "old_value"), path, fmt, mode)

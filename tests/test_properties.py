@@ -30,7 +30,7 @@ def test_copies_and_counts(spark, data):
 def test_undo_restores_the_table(spark, data, method):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "k int, t string, n int")
     filled = repair.fill_missing(df, "t", method, "x", {"t": "TEXT"})
-    assert sorted(map(tuple, repair.undo_fill(filled, df, "k", "t").collect())) == [(i, *r) for i, r in enumerate(data)]
+    assert sorted(map(tuple, repair.undo_fill(filled, "t").collect())) == [(i, *r) for i, r in enumerate(data)]
 
 
 @FEW

@@ -94,14 +94,14 @@ def test_classes_need_ten_values(spark):
     assert schema.column_classes(ten)["numeric"] == ["c"]
 
 
-def test_sample_is_repeatable_and_whole_when_small(spark):
+def test_sample_is_repeatable(spark):
     df = spark.range(5000)
-    one = {r[0] for r in schema.sample_rows(df, 100).collect()}
-    two = {r[0] for r in schema.sample_rows(df.repartition(7), 100).collect()}
+    one = {r[0] for r in schema.sample_rows(df, 100, ["id"]).collect()}
+    two = {r[0] for r in schema.sample_rows(df.repartition(7), 100, ["id"]).collect()}
     assert one == two and len(one) == 100
-    assert schema.sample_rows(df).count() == 5000
+    assert schema.sample_rows(df, 9000, ["id"]).count() == 5000
     copies = spark.range(1000).select((F.col("id") % 2).alias("k"))
-    assert schema.sample_rows(copies, 300).count() == 300
+    assert schema.sample_rows(copies, 300, ["k"]).count() == 300
 
 
 # --- filters and rows ----------------------------------------------------------------
@@ -390,7 +390,7 @@ def test_fill_null_clears_blank_text(spark):
 def test_undo_restores_only_marked_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "a")], "k int, t string")
     filled = repair.fill_missing(df, "t", "custom", "a")
-    assert sorted(map(tuple, repair.undo_fill(filled, df, "k", "t").collect())) == [(1, "a"), (2, " "), (3, None), (4, "a")]
+    assert sorted(map(tuple, repair.undo_fill(filled, "t").collect())) == [(1, "a"), (2, " "), (3, None), (4, "a")]
 
 
 # --- questions -----------------------------------------------------------------------
