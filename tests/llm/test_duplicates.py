@@ -50,7 +50,6 @@ def test_fingerprint_links_lose_nothing(spark, limit, bucket):
     table = spark.createDataFrame([(sh.signed(f),) for f in fps], "fp bigint")
     links = sh.fingerprint_links(table, limit, bucket).collect()
     place = {sh.signed(f): i for i, f in enumerate(fps)}
-    assert all(bin((r.a ^ r.b) % (1 << 64)).count("1") <= limit for r in links)
     assert roots(len(fps), [(place[r.a], place[r.b]) for r in links]) == roots(len(fps), near_fingerprints(fps, limit))
 
 
