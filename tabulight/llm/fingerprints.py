@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulight.llm.flat import SPACE, flat_text, mix, pieces, runs, spans_hash, words
@@ -24,6 +25,7 @@ from tabulight.llm.flat import SPACE, flat_text, mix, pieces, runs, spans_hash,
 EXACT, LANES = 4, 256
 WIDTH = 8 * EXACT + 2 * LANES
 SHINGLE = 3
+PART_ROWS, MAX_PARTS = 2_000, 100_000
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,40 +125,29 @@ def remove(whole: Column, part: Column) -> Column:
     return _combined(-1)(whole, part)
 
 
-def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """The documents by part and key, and for each part the text that follows its last one.
 
-    Keys are cut at approximate quantiles into parts of about ``part_rows`` documents, so no task orders more than that (and
-    the rows that share a key). A part's follower is the first document of the next part that has any; the first of all follows the last.
+    Keys are cut at approximate quantiles into parts of about ``part_rows`` documents (more, if that made over MAX_PARTS), so
+    no task orders many more than that. A part's follower is the first document of the next part that has any; the first
+    of all follows the last. The driver gets one key for each part.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    count = rows.count()
-    parts = max(1, -(-count // part_rows))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts)) if parts > 1 else []
-    # Nulls go after all keys.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.aggregate(F.array(*(F.lit(c).cast("bigint") for c in cuts)).cast("array<bigint>"), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int")))
-    rows = rows.withColumn("part", part)
-    lowest = sorted(rows.groupBy("part").agg(F.min("doc_id")).collect())        # one row a part
-    if not lowest:
-        return rows, rows
-    follows = {own: (after, low) for (own, _), (after, low) in zip(lowest, lowest[1:] + lowest[:1], strict=True)}
-    test = F.lit(False)
-    places = F.create_map(*(x for own, (after, _) in follows.items() for x in (F.lit(after), F.lit(own))))
-    known = [low for _, low in follows.values() if low is not None]
-    if known:
-        test = F.col("doc_id").isin(known)
-    if len(known) < len(follows):
-        test = test | F.col("doc_id").isNull()
-    heads = rows.where(test)
-    if len(known) < len(follows):                                               # a part of null keys only
-        lone = [after for after, low in follows.values() if low is None]
-        heads = heads.where(F.col("doc_id").isNotNull() | F.col("part").isin(lone))
-    return rows, heads.withColumn("part", F.element_at(places, F.col("part")))
-
-
-def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = 20_000) -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("order", F.col("doc_id").cast("double"))
+    parts = min(MAX_PARTS, max(1, -(-rows.count() // part_rows)))
+    cuts = rows.agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    # Null keys are a part of their own, after all others.
+    edges = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="order", outputCol="part", handleInvalid="keep")
+    rows = cut.transform(rows).select(F.coalesce(F.col("part").cast("int"), F.lit(len(edges))).alias("part"), "doc_id", "text")
+    lowest = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min("doc_id")).collect())
+    follows = [(own, after, low) for (own, _), (after, low) in zip(lowest, lowest[1:] + lowest[:1], strict=True)]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(follows, f"own int, after int, low {kind}")       # at most MAX_PARTS rows
+    heads = rows.join(F.broadcast(wanted), (F.col("part") == F.col("after")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    return rows, heads.groupBy(F.col("own").alias("part")).agg(F.min("text").alias("text"))
+
+
+def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document with its fingerprint, that of its edited text, and their likeness.
 
     The edited text has the last quarter of the code points (rounded down) replaced by as many from the start of the next document,
@@ -165,7 +156,7 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part
     ``near_next``. An empty table gives an empty one.
     """
     rows, heads = with_next(docs, text, key, part_rows)
-    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("tail"), "doc_id", "text"))
+    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("tail"), F.lit(None).alias("doc_id"), "text"))
     ordered = both.repartition("part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "text")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
