@@ -29,6 +29,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 GROUP = 4_000
 ROUNDS = 60
 CLOSE = 1e-9
+#: With more sources than this their tilts are joined by a shuffle instead of a broadcast.
+BROADCAST_SOURCES = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -125,8 +127,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     carry = docs.columns if carry is None else carry
     quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
-    own = fresh(docs.columns, "_size", "_of", "_words", "_docs", "_target", "_mean", "_tilt", "_group", "_key", "_text")
-    size, of, words, count, target, mean, tilt, group, order_key, order_text = own
+    own = fresh(docs.columns, "_size", "_of", "_words", "_docs", "_target", "_mean", "_tilt", "_group", "_key", "_text", "_source")
+    size, of, words, count, target, mean, tilt, group, order_key, order_text, of_row = own
     sized = docs.withColumn(size, size_of(quoted(text)))
     narrow = kept(sized.select(quoted(source).alias("source"), F.col(size).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
@@ -136,13 +138,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         F.col("source").alias(of), F.col("words").alias(words), F.col("docs").alias(count), F.col("target").alias(target),
         F.col("mean").alias(mean), F.col("tilt").alias(tilt))
     names = fresh(carry, "size", "source_size", "target", "rate", "copies")
-    rows = sized.join(kept(plan), quoted(source).eqNullSafe(F.col(of)))
+    plan = kept(plan)
+    few = plan.count() <= BROADCAST_SOURCES                                     # a few dozen bytes each
+    sized = sized.withColumn(order_text, F.xxhash64(quoted(text))).withColumn(order_key, quoted(key)).withColumn(of_row, quoted(source))
+    sized = sized.select(*(quoted(c) for c in carry), size, order_text, order_key, of_row)
+    rows = sized.join(F.broadcast(plan) if few else plan, F.col(of_row).eqNullSafe(F.col(of)))
     tilted = F.exp(F.least(F.col(tilt) * F.col(size) / F.col(mean), F.lit(float(np.log(most)))))
     rate = F.when((F.col(size) == 0) | (F.col(mean) == 0), F.lit(1.0)).when(F.col(tilt) == float("inf"), F.lit(float(most))).otherwise(tilted)
     rows = rows.select(
         *(quoted(c) for c in carry), F.col(size).alias(names[0]), F.col(words).alias(names[1]), F.col(target).alias(names[2]), rate.alias(names[3]),
-        F.col(of), F.pmod(F.xxhash64(quoted(key)), F.ceil(F.col(count) / F.lit(GROUP))).alias(group), quoted(key).alias(order_key),
-        F.xxhash64(quoted(text)).alias(order_text))
+        F.col(of), F.pmod(F.xxhash64(order_key), F.ceil(F.col(count) / F.lit(GROUP))).alias(group), order_key, order_text)
     out = rows.select(*(quoted(c) for c in carry), *names[:4], F.lit(0).cast("bigint").alias(names[4])).schema
     order = [(names[0], "descending"), (order_key, "ascending"), (order_text, "ascending")]
 
