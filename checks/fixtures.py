@@ -52,9 +52,10 @@ DERIVED = {
           CASE WHEN doc_id % 6 = 0 THEN concat(lang, ' ') ELSE lang END AS lang,
           CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS STRING) ELSE source END AS source, n_chars
         FROM {documents}""",
-    # user turns, part of them replaced by questions about data
+    # the text of every turn, and for each user turn a question about data as well
     "questions": """
-        SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 16
+        SELECT conv_id, turn, text FROM {conversations} UNION ALL
+        SELECT conv_id, turn + 1000000 AS turn, CASE (conv_id * 7 + turn) % 12
             WHEN 0 THEN 'How many orders are there in total?'
             WHEN 1 THEN concat('Show top ', CAST(turn + 3 AS STRING), ' orders by o_totalprice')
             WHEN 2 THEN 'Plot a line chart of o_totalprice per month'
@@ -66,8 +67,7 @@ DERIVED = {
             WHEN 8 THEN 'smallest o_custkey!'
             WHEN 9 THEN 'next page'
             WHEN 10 THEN 'priority status custkey'
-            WHEN 11 THEN 'mean, avg or Total of twenty one items?'
-            ELSE text END AS text
+            ELSE 'mean, avg or Total of twenty one items?' END AS text
         FROM {conversations} WHERE role = 'user'""",
 }
 

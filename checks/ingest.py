@@ -92,9 +92,9 @@ def _(t):
 
 
 @query("a06_drop_empty", over("dirty_customer", """
-    SELECT segment, acctbal FROM dirty_customer WHERE segment IS NOT NULL OR acctbal IS NOT NULL"""))
+    SELECT * EXCLUDE (empty_col) FROM dirty_customer"""))
 def _(t):
-    return cleaning.drop_empty(t.dirty_customer.select("segment", "acctbal", "empty_col"))
+    return cleaning.drop_empty(t.dirty_customer)
 
 
 @query("a07_coerce_numeric", over("dirty_orders", """

@@ -189,15 +189,15 @@ def _(t):
     return quality.dataset_size(t.documents)
 
 
-@query("e17_schema_details", each(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], """
+@query("e17_schema_details", each(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], """
     SELECT '{c}' AS "column", {i} AS position,
-           CASE '{c}' WHEN 'o_orderdate' THEN 'DATE' WHEN 'o_orderkey' THEN 'INTEGER' WHEN 'o_custkey' THEN 'INTEGER' ELSE 'TEXT' END AS storage_type,
+           CASE '{c}' WHEN 'o_orderdate' THEN 'DATE' WHEN 'o_orderkey' THEN 'INTEGER' WHEN 'o_custkey' THEN 'INTEGER' WHEN 'o_totalprice' THEN 'REAL' ELSE 'TEXT' END AS storage_type,
            count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
            (SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM orders ORDER BY 1 LIMIT 3)) AS sample_values
     FROM orders"""))
 def _(t):
-    types = {"o_orderkey": "NUM", "o_custkey": "NUM", "o_orderdate": "DATE"}
-    return quality.schema_details(t.orders.drop("o_totalprice"), types).withColumn("sample_values", F.array_join("sample_values", ", "))
+    types = {"o_orderkey": "NUM", "o_custkey": "NUM", "o_totalprice": "NUM", "o_orderdate": "DATE"}
+    return quality.schema_details(t.orders, types).withColumn("sample_values", F.array_join("sample_values", ", "))
 
 
 NUMBER_PROFILE = """
@@ -301,24 +301,24 @@ def _(t):
 
 
 def samples(name: str, kind: str) -> str:
-    return f"""SELECT 'Schema Summary' AS section, '{name}' AS metric, '{kind} | Samples: ' || coalesce((SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v)
+    return f"""SELECT 'columns' AS section, '{name}' AS metric, '{kind}: ' || coalesce((SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v)
         FROM (SELECT DISTINCT {name} AS v FROM dirty_customer WHERE {name} IS NOT NULL ORDER BY 1 LIMIT 3)), 'None') AS value"""
 
 
 @query("e24_overview_report", c(f""", f AS ({FACTS})
-    SELECT 'Dataset Summary' AS section, 'Total Rows' AS metric, CAST(rows AS VARCHAR) AS value FROM f UNION ALL
-    SELECT 'Dataset Summary', 'Total Columns', '9' UNION ALL SELECT 'Dataset Summary', 'Dataset Size', label FROM f UNION ALL
-    SELECT 'Data Quality', 'Total Missing Values', CAST(missing_cells AS VARCHAR) FROM f UNION ALL
-    SELECT 'Data Quality', 'Missing Value Percentage', CAST(missing_pct AS VARCHAR) || '%' FROM f UNION ALL
-    SELECT 'Data Quality', 'Duplicate Record Count', CAST(duplicates AS VARCHAR) FROM f UNION ALL
-    SELECT 'Data Quality', 'Empty Columns', CAST(empty_columns AS VARCHAR) FROM f UNION ALL
-    SELECT 'Data Quality', 'Data Consistency', CAST(consistency_pct AS VARCHAR) || '%' FROM f UNION ALL
-    SELECT 'Column Distribution', 'Numeric Columns', '4' UNION ALL SELECT 'Column Distribution', 'Categorical Columns', '3' UNION ALL
-    SELECT 'Column Distribution', 'Date/Time Columns', '0' UNION ALL SELECT 'Column Distribution', 'Boolean Columns', '1' UNION ALL
-    SELECT 'Key Columns', 'Primary Identifier', CASE WHEN count(DISTINCT mixed_code) >= 0.7 * count(mixed_code) THEN 'mixed_code' ELSE
-      CASE WHEN 0.95 * count(*) <= count(DISTINCT c_custkey) THEN 'c_custkey' ELSE 'Not detected' END END FROM dirty_customer UNION ALL
-    SELECT 'Key Columns', 'Date Column', 'Not detected' UNION ALL
-    SELECT 'Key Columns', 'Main Measures', 'c_custkey, acctbal, mostly_zero, c_nationkey' UNION ALL
+    SELECT 'table' AS section, 'rows' AS metric, CAST(rows AS VARCHAR) AS value FROM f UNION ALL
+    SELECT 'table', 'columns', '9' UNION ALL SELECT 'table', 'size', label FROM f UNION ALL
+    SELECT 'quality', 'missing_cells', CAST(missing_cells AS VARCHAR) FROM f UNION ALL
+    SELECT 'quality', 'missing_pct', CAST(missing_pct AS VARCHAR) FROM f UNION ALL
+    SELECT 'quality', 'duplicates', CAST(duplicates AS VARCHAR) FROM f UNION ALL
+    SELECT 'quality', 'empty_columns', CAST(empty_columns AS VARCHAR) FROM f UNION ALL
+    SELECT 'quality', 'consistency_pct', CAST(consistency_pct AS VARCHAR) FROM f UNION ALL
+    SELECT 'types', 'numeric', '4' UNION ALL SELECT 'types', 'text', '3' UNION ALL
+    SELECT 'types', 'date', '0' UNION ALL SELECT 'types', 'boolean', '1' UNION ALL
+    SELECT 'keys', 'id', CASE WHEN count(DISTINCT mixed_code) >= 0.7 * count(mixed_code) THEN 'mixed_code' ELSE
+      CASE WHEN 0.95 * count(*) <= count(DISTINCT c_custkey) THEN 'c_custkey' ELSE 'none' END END FROM dirty_customer UNION ALL
+    SELECT 'keys', 'date', 'none' UNION ALL
+    SELECT 'keys', 'measures', 'c_custkey, acctbal, mostly_zero, c_nationkey' UNION ALL
     {" UNION ALL ".join(samples(n, k) for n, k in (("c_custkey", "INTEGER"), ("segment", "TEXT"), ("acctbal", "REAL"), ("mixed_code", "MIXED"),
                         ("active_flag", "BOOLEAN"), ("mostly_zero", "REAL"), ("const_col", "TEXT"), ("empty_col", "TEXT"), ("c_nationkey", "INTEGER")))}"""))
 def _(t):

@@ -1,50 +1,41 @@
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from checks import segments as seg, stats as st, timeseries as ts
 from checks.fixtures import over
 from checks.quality import c as dirty
 from checks.registry import query
+from tabulight.functions import vocab
 from tabulight.operators import questions
 from tabulight.plans.profile import union_all
 
 TYPES = {"o_orderkey": "NUM", "o_custkey": "NUM", "o_orderstatus": "TEXT", "o_totalprice": "NUM", "o_orderdate": "DATE",
          "o_orderpriority": "TEXT"}
-NUMBERS = dict(zip(
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(),
-    range(20))) | {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "hundred": 100, "thousand": 1000}
-SAME = {
-    "rows": "records record entries entry observations observation instances instance samples examples example items item lines line",
-    "highest": "best top maximum largest greatest most leading peak", "lowest": "worst bottom minimum smallest least fewest",
-    "average": "mean avg", "count": "total", "show": "display give send fetch get view list print provide output return",
-}
-WORDS = [(k, str(v)) for k, v in NUMBERS.items()] + [(w, k) for k, ws in SAME.items() for w in ws.split()]
-MAP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in WORDS) + "}"
+WORDS = {**vocab.NUMBER_WORDS, **vocab.SYNONYMS}
+MAP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in WORDS.items()) + "}"
 
 
 def norm(text: str) -> str:
     plain = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', ' ', 'g')"
-    phrased = f"regexp_replace({plain}, '\\b(how many|number of)\\b', 'count', 'g')"
+    phrased = plain
+    for phrase, word in vocab.SYNONYMS.items():
+        if " " in phrase:
+            phrased = f"regexp_replace({phrased}, '\\b{phrase}\\b', '{word}', 'g')"
     tokens = f"list_filter(string_split_regex({phrased}, '\\s+'), lambda t: t <> '')"
     return f"array_to_string(list_transform({tokens}, lambda t: coalesce(map_extract_value({MAP}, t), t)), ' ')"
 
 
-def listed(words: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+def listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-SHOW = listed("show display give send list print fetch get view see present output return render first last top bottom sample preview "
-              "example rows row records record entries entry data observations observation instances instance")
-AGGREGATE = listed("average avg mean sum total count max min maximum minimum highest lowest best worst largest smallest most least top "
-                   "bottom median mode std variance range percentage percent proportion ratio rate growth trend")
-CHART = listed("plot chart graph visualize visualise draw create bar pie line scatter column")
-META = listed("schema columns column describe description fields field datatypes datatype metadata structure info")
-INTENT = f"""CASE greatest(a, b, c, d) WHEN 0 THEN 'UNKNOWN' WHEN a THEN 'SHOW_DATA' WHEN b THEN 'AGGREGATION' WHEN c THEN 'VISUALIZATION' ELSE 'METADATA' END"""
-HITS = ", ".join(f"len(list_intersect(string_split(n, ' '), {ws})) AS {k}" for k, ws in zip("abcd", (SHOW, AGGREGATE, CHART, META)))
-STOPS = listed("""a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought
- used to of in on at by for with about from into through during before after above below between out off over under then once here there when
- where why how all both each more other such no nor not only same so than too very just me my myself we our you your he him his she her it its
- they them their what which who this that these those i and or but if as up any make go let please""")
+PLACES = dict(zip("abcd", vocab.INTENTS))
+INTENT = f"CASE greatest({', '.join(PLACES)}) WHEN 0 THEN 'UNKNOWN' " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in PLACES.items()) + " END"
+HITS = ", ".join(f"len(list_intersect(string_split(n, ' '), {listed(vocab.INTENTS[name])})) AS {k}" for k, name in PLACES.items())
+STOPS = listed(vocab.STOP_WORDS)
 NORMAL = f", q AS (SELECT conv_id, turn, text, {norm('text')} AS n FROM questions), k AS (SELECT *, {HITS} FROM q)"
 TERMS = f", q AS (SELECT conv_id, turn, {norm('text')} AS n FROM questions), w AS (SELECT conv_id, turn, unnest(regexp_extract_all(n, '[a-z0-9]+')) AS term FROM q), " \
         f"f AS (SELECT conv_id, turn, term, count(*) AS k FROM w WHERE len(term) > 1 AND NOT list_contains({STOPS}, term) GROUP BY ALL)"
@@ -69,11 +60,8 @@ def contains_any(words: list[str]) -> str:
 
 
 FAST = f"""
-    SELECT conv_id, turn, CASE
-        WHEN {contains_any(['plot', 'chart', 'scatter', 'histogram', 'visual', 'graph', 'donut', 'analyse visually'])} THEN 'query'
-        WHEN {contains_any(['show columns', 'list columns', 'describe', 'what columns', 'column names', 'data types', 'schema', 'metadata', 'what are the columns'])} THEN 'schema'
-        WHEN {contains_any('show,display,give,send,fetch,list,view,get,first,last,top,bottom,sample,preview,example,count,average,total,sum,minimum,maximum,highest,lowest,best,worst,filter,where,group by,order by,sort,distinct,unique,missing,null,duplicate,rows,records,entries,select,how many'.split(','))} THEN 'query'
-        END AS fast_intent
+    SELECT conv_id, turn, CASE WHEN {contains_any(vocab.CHART_PHRASES)} THEN 'query' WHEN {contains_any(vocab.SCHEMA_PHRASES)} THEN 'schema'
+        WHEN {contains_any(vocab.QUERY_PHRASES)} THEN 'query' END AS fast_intent
     FROM (SELECT *, lower(trim(text)) AS q FROM questions)"""
 
 
@@ -88,11 +76,9 @@ def _(t):
     return questions.tf_vectors(t.questions, ["conv_id", "turn"]).withColumn("tf", F.round("tf", 8))
 
 
-CONTEXT = ("o orderkey o custkey o orderstatus o totalprice o orderdate o orderpriority " * 5
-           + "o_orderkey NUM o_custkey NUM o_orderstatus TEXT o_totalprice NUM o_orderdate DATE o_orderpriority TEXT "
-           + "row rows record records data show display average count sum total highest lowest first last top bottom sample preview filter "
-             "sort group visualize chart graph plot schema column field missing null duplicate")
-SCHEMA = "o_orderkey NUM o_custkey NUM o_orderstatus TEXT o_totalprice NUM o_orderdate DATE o_orderpriority TEXT"
+NAME_WORDS = [w for c in TYPES for w in c.split("_")]
+SCHEMA = " ".join(f"{c} {kind}" for c, kind in TYPES.items())
+CONTEXT = " ".join([*NAME_WORDS * 5, SCHEMA, *vocab.CONTEXT_WORDS])
 
 
 def weights(name: str, text: str) -> str:
@@ -111,7 +97,7 @@ def _(t):
     return questions.cosine_to_context(t.questions, TYPES).select("conv_id", "turn", F.round("cosine", 8).alias("cosine"))
 
 
-NAMES = listed("o orderkey custkey orderstatus totalprice orderdate orderpriority")
+NAMES = listed(list(dict.fromkeys(NAME_WORDS)))
 OVERLAP = f"""len(list_intersect(list_distinct(regexp_extract_all(n, '[a-z0-9]+')), {NAMES})) / greatest(1, len(list_distinct(regexp_extract_all(n, '[a-z0-9]+'))))"""
 
 
@@ -120,20 +106,14 @@ def _(t):
     return questions.entity_overlap(t.questions, TYPES).select("conv_id", "turn", F.round("entity_overlap", 8).alias("entity_overlap"))
 
 
-def worded(pattern: str) -> str:
-    return "'(^|[^\\p{L}\\p{N}_])(" + pattern + ")($|[^\\p{L}\\p{N}_])'"
+def worded(patterns: list[str]) -> str:
+    """The patterns with word borders of all alphabets, which this regex engine knows for ASCII only."""
+    inner = [p.removeprefix(r"\b").removesuffix(r"\b").replace(r"\w", r"[\p{L}\p{N}_]") for p in patterns]
+    return "'(^|[^\\p{L}\\p{N}_])(" + "|".join(inner) + ")($|[^\\p{L}\\p{N}_])'"
 
 
-ON_TOPIC = worded(
-    r"show|display|give|send|fetch|get|list|print|view|see|(top|bottom|first|last)\s*(\d+)?|sample|preview|example|examples|count|sum|avg|average|mean"
-    r"|max|min|total|highest|lowest|best|worst|filter|where|group\s+by|order\s+by|sort|rank|distribution|trend|pattern|outlier|correlation|insight"
-    r"|missing|null|duplicate|unique|distinct|blank|empty|row|rows|record|records|entry|entries|column|columns|field|fields|dataset|table|data|database"
-    r"|compare|versus|vs|between|visuali[sz]e|chart|graph|plot|scatter|bar|pie|percentage|percent|proportion|share|ratio|year|month|date|quarter|period"
-    r"|\d+\s*(rows?|records?|entries|items?)")
-OFF_TOPIC = worded(
-    r"joke|funny|laugh|weather|forecast|prime minister|election|politics|cricket score|ipl|recipe|cooking|write (a |an )?(poem|story|essay|code|program|function)"
-    r"|translate|stock price|crypto|bitcoin|news|movie|film|song|music|chatgpt|openai|solve (this )?(math|equation|problem)|tell me a|who is the|what is [\p{L}\p{N}_]+coin")
-FOLLOW = "'yes','ok','okay','sure','next','more','show more','continue','go on','and','also','what about','explain','show next','next 10','next page'"
+ON_TOPIC, OFF_TOPIC = worded(vocab.DATASET_PATTERNS), worded(vocab.OFF_TOPIC_PATTERNS)
+FOLLOW = ", ".join(f"'{w}'" for w in vocab.FOLLOW_UPS)
 
 
 @query("j07_score_relevance", qs(TERMS + weights("ctx", CONTEXT) + weights("sch", SCHEMA) + f""",
@@ -150,14 +130,13 @@ def _(t):
     return questions.score_relevance(t.questions, TYPES).select("conv_id", "turn", "intent", "rule", F.round("score", 8).alias("score"), "decision")
 
 
+def routed(code: str, words: list[str]) -> str:
+    then = f"CASE WHEN {contains_any(vocab.PLAIN_ROW_PHRASES)} THEN 'head' ELSE 'top' END" if code == "rows" else f"'{code}'"
+    return f"WHEN {contains_any(words)} THEN {then}"
+
+
 @query("j08_route_question", qs(f"""
-    SELECT conv_id, turn, CASE
-        WHEN {contains_any(['count', 'how many', 'total rows', 'number of rows'])} THEN 'count'
-        WHEN {contains_any(['top', 'first', 'head', 'preview', 'show'])} THEN
-            CASE WHEN {contains_any(['first', 'preview', 'show all', 'show me'])} THEN 'head' ELSE 'top' END
-        WHEN {contains_any(['duplicate', 'repeated'])} THEN 'duplicates' WHEN {contains_any(['missing', 'null', 'empty', 'blank'])} THEN 'missing'
-        WHEN {contains_any(['unique', 'distinct'])} THEN 'distinct' WHEN {contains_any(['highest', 'max', 'largest', 'most'])} THEN 'highest'
-        WHEN {contains_any(['lowest', 'min', 'smallest', 'least'])} THEN 'lowest' WHEN {contains_any(['average', 'mean', 'avg'])} THEN 'average'
+    SELECT conv_id, turn, CASE {" ".join(routed(code, words) for code, words in vocab.ROUTES.items())}
         WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda w: len(w) > 2)) > 0 THEN 'search' ELSE 'preview' END AS op_code,
         coalesce(TRY_CAST(regexp_extract(q, 'top\\s*(\\d+)', 1) AS INTEGER), 10) AS n
     FROM (SELECT *, lower(trim(text)) AS q FROM questions)"""))
@@ -177,21 +156,29 @@ def _(t):
 def _(t):
     from checks.quality import TYPES as types
 
-    df = t.dirty_customer.drop("segment")
+    df = t.dirty_customer
     ask = lambda q: questions.answer(df, q, ["c_custkey"], types)
     row = lambda frame, name, a, b: frame.select(F.lit(name).alias("question"), a.cast("string").alias("a"), b.cast("string").alias("b"))
     return union_all([
         row(ask("average values"), "average", F.col("column"), F.col("average").cast("decimal(18,2)")),
         row(ask("How many are there?"), "count", F.lit(None), F.col("total_rows")),
         row(ask("unique active_flag"), "distinct", F.col("active_flag"), F.lit(None)),
-        row(questions.answer(df.select("c_custkey", "active_flag"), "lowest", ["c_custkey"], types), "lowest", F.col("active_flag"), F.col("c_custkey")),
+        row(questions.answer(df, "lowest", ["c_custkey"], types), "lowest", F.col("active_flag"), F.col("c_custkey")),
     ])
 
 
-@query("j09_suggest_questions", """
-    SELECT * FROM (VALUES (1, 'List the first 10 rows'), (2, 'How many rows are there?'), (3, 'Where is o_totalprice highest, by o_orderkey?'),
-        (4, 'How does o_totalprice differ between o_orderkey values?'), (5, 'How does o_totalprice move over o_orderdate?')) v(seq, question)""")
-def _(t):
-    from tabulight.operators.schema import semantic_types
+PRICE_NUMBERS, PRICE_TEXTS = ["order_no", "price", "refund"], ["status", "priority", "clerk"]
+
 
-    return questions.suggest_questions(t.orders, semantic_types(t.orders))
+@query("j09_suggest_questions", over("busy_orders", f"""
+    SELECT CAST(row_number() OVER (ORDER BY r, question) AS INTEGER) AS seq, about, question FROM (
+      SELECT 1 AS r, 'missing' AS about, 'Which rows have no price?' AS question FROM busy_orders HAVING count(*) > count(price) UNION ALL
+      SELECT 2, 'segments', 'Why is price higher for ' || best_segment || ' than for ' || worst_segment || ' in ' || "column" || '?'
+        FROM ({" UNION ALL ".join(seg.gap("busy_orders", c, 0, "price") for c in PRICE_TEXTS)}) UNION ALL
+      SELECT 3, 'correlation', 'Why do ' || var1 || ' and ' || var2 || ' move together?'
+        FROM ({" UNION ALL ".join(st.r_sql(a, b, "busy_orders") for a, b in combinations(PRICE_NUMBERS, 2))}) WHERE abs(r) >= 0.7 UNION ALL
+      SELECT 4, 'trend', 'What drives the ' || direction || ' trend of ' || metric || ' over ordered_on?'
+        FROM ({ts.trends(" UNION ALL ".join(ts.months("busy_orders", "ordered_on", c) for c in PRICE_NUMBERS))}) WHERE strength <> 'slight' UNION ALL
+      SELECT 5, 'outliers', 'Which rows have an extreme ' || "column" || '?' FROM ({st.outlier_report("busy_orders", PRICE_NUMBERS)}))"""))
+def _(t):
+    return questions.suggest_questions(t.busy_orders, seg.BUSY_TYPES)

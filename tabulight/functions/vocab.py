@@ -117,16 +117,20 @@ NUMBER_WORDS = {
     "fifty": "50", "hundred": "100", "thousand": "1000",
 }
 
-# canonical word -> the words that mean the same
+# word or phrase -> the word that stands for it
 SYNONYMS = {
-    "rows": ["records", "record", "entries", "entry", "observations", "observation", "instances",
-             "instance", "samples", "examples", "example", "items", "item", "lines", "line"],
-    "highest": ["best", "top", "maximum", "largest", "greatest", "most", "leading", "peak"],
-    "lowest": ["worst", "bottom", "minimum", "smallest", "least", "fewest"],
-    "average": ["mean", "avg"],
-    "count": ["how many", "total", "number of"],
-    "show": ["display", "give", "send", "fetch", "get", "view", "list", "print", "provide",
-             "output", "return"],
+    "records": "rows", "record": "rows", "entries": "rows", "entry": "rows", "observations": "rows",
+    "observation": "rows", "instances": "rows", "instance": "rows", "samples": "rows", "examples": "rows",
+    "example": "rows", "items": "rows", "item": "rows", "lines": "rows", "line": "rows",
+    "best": "highest", "top": "highest", "maximum": "highest", "largest": "highest", "greatest": "highest",
+    "most": "highest", "leading": "highest", "peak": "highest",
+    "worst": "lowest", "bottom": "lowest", "minimum": "lowest", "smallest": "lowest", "least": "lowest",
+    "fewest": "lowest",
+    "mean": "average", "avg": "average",
+    "how many": "count", "total": "count", "number of": "count",
+    "display": "show", "give": "show", "send": "show", "fetch": "show", "get": "show",
+    "view": "show", "list": "show", "print": "show", "provide": "show", "output": "show",
+    "return": "show",
 }
 
 # order decides ties
@@ -149,20 +153,24 @@ INTENTS = {
         "datatype", "metadata", "structure", "info"],
 }
 
-STOP_WORDS = """
-a an the is are was were be been being have has had do does did will would could should may
-might shall can need dare ought used to of in on at by for with about from into through during
-before after above below between out off over under then once here there when where why how all
-both each more other such no nor not only same so than too very just me my myself we our you
-your he him his she her it its they them their what which who this that these those i and or but
-if as up any make go let please
-""".split()
-
-CONTEXT_WORDS = """
-row rows record records data show display average count sum total highest lowest first last top
-bottom sample preview filter sort group visualize chart graph plot schema column field missing
-null duplicate
-""".split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need",
+    "dare", "ought", "used", "to", "of", "in", "on", "at", "by", "for", "with", "about", "from",
+    "into", "through", "during", "before", "after", "above", "below", "between", "out", "off",
+    "over", "under", "then", "once", "here", "there", "when", "where", "why", "how", "all", "both",
+    "each", "more", "other", "such", "no", "nor", "not", "only", "same", "so", "than", "too",
+    "very", "just", "me", "my", "myself", "we", "our", "you", "your", "he", "him", "his", "she",
+    "her", "it", "its", "they", "them", "their", "what", "which", "who", "this", "that", "these",
+    "those", "i", "and", "or", "but", "if", "as", "up", "any", "make", "go", "let", "please",
+]
+
+CONTEXT_WORDS = [
+    "row", "rows", "record", "records", "data", "show", "display", "average", "count", "sum",
+    "total", "highest", "lowest", "first", "last", "top", "bottom", "sample", "preview", "filter",
+    "sort", "group", "visualize", "chart", "graph", "plot", "schema", "column", "field", "missing",
+    "null", "duplicate",
+]
 
 FOLLOW_UPS = [
     "yes", "ok", "okay", "sure", "next", "more", "show more", "continue", "go on", "and", "also",

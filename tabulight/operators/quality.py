@@ -439,29 +439,29 @@ def overview_report(df: DataFrame, schema: dict[str, str] | None = None) -> Data
     schema = schema or semantic_types(df)
     parts = overview(df, schema)
     labels = [
-        ("Dataset Summary", "Total Rows", F.col("rows").cast("string")),
-        ("Dataset Summary", "Total Columns", F.col("total_columns").cast("string")),
-        ("Dataset Summary", "Dataset Size", F.col("label")),
-        ("Data Quality", "Total Missing Values", F.col("missing_cells").cast("string")),
-        ("Data Quality", "Missing Value Percentage", F.concat(F.col("missing_pct").cast("string"), F.lit("%"))),
-        ("Data Quality", "Duplicate Record Count", F.col("duplicates").cast("string")),
-        ("Data Quality", "Empty Columns", F.col("empty_columns").cast("string")),
-        ("Data Quality", "Data Consistency", F.concat(F.col("consistency_pct").cast("string"), F.lit("%"))),
+        ("table", "rows", F.col("rows").cast("string")),
+        ("table", "columns", F.col("total_columns").cast("string")),
+        ("table", "size", F.col("label")),
+        ("quality", "missing_cells", F.col("missing_cells").cast("string")),
+        ("quality", "missing_pct", F.col("missing_pct").cast("string")),
+        ("quality", "duplicates", F.col("duplicates").cast("string")),
+        ("quality", "empty_columns", F.col("empty_columns").cast("string")),
+        ("quality", "consistency_pct", F.col("consistency_pct").cast("string")),
     ]
     row = lambda s, m, v: F.struct(F.lit(s).alias("section"), m.alias("metric"), v.alias("value"))
     summary = parts["facts"].select(F.inline(F.array(*[row(s, F.lit(m), v) for s, m, v in labels])))
-    names = {"NUM": "Numeric Columns", "TEXT": "Categorical Columns", "DATE": "Date/Time Columns", "BOOL": "Boolean Columns"}
+    names = {"NUM": "numeric", "TEXT": "text", "DATE": "date", "BOOL": "boolean"}
     kinds = F.create_map(*[x for k, n in names.items() for x in (F.lit(k), F.lit(n))])
     types = parts["types"].where(F.col("type").isin(list(names))).select(
-        F.lit("Column Distribution").alias("section"), F.element_at(kinds, F.col("type")).alias("metric"),
+        F.lit("types").alias("section"), F.element_at(kinds, F.col("type")).alias("metric"),
         F.col("columns").cast("string").alias("value"))
     joined = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("role") == role, F.struct("rank", "column")))), lambda s: s["column"]), ", ")
     keys = parts["keys"].agg(joined("id").alias("id"), joined("date").alias("date"), joined("measure").alias("m")).select(
-        F.inline(F.array(*[row("Key Columns", F.lit(label), F.when(F.col(c) == "", "Not detected").otherwise(F.col(c)))
-                           for label, c in (("Primary Identifier", "id"), ("Date Column", "date"), ("Main Measures", "m"))])))
+        F.inline(F.array(*[row("keys", F.lit(label), F.when(F.col(c) == "", "none").otherwise(F.col(c)))
+                           for label, c in (("id", "id"), ("date", "date"), ("measures", "m"))])))
     samples = F.when(F.size("sample_values") == 0, "None").otherwise(F.array_join("sample_values", ", "))
     details = parts["schema_details"].select(
-        F.lit("Schema Summary").alias("section"), F.col("column").alias("metric"),
-        F.concat("storage_type", F.lit(" | Samples: "), samples).alias("value"))
+        F.lit("columns").alias("section"), F.col("column").alias("metric"),
+        F.concat("storage_type", F.lit(": "), samples).alias("value"))
     return union_all([summary, types, keys, details])

@@ -221,13 +221,16 @@ def strong_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def primary_metric(df: DataFrame, columns: list[str]) -> str | None:
-    """First column named like a metric, else the one with the largest variance (5+ values)."""
+    """First column named like a metric that has values, else the one with the largest variance (5+ values)."""
     if not columns:
         return None
+    v = numbers(df)
     named = [c for c in columns if any(h in c.lower() for h in vocab.METRIC_HINTS)]
+    if named:
+        filled = df.agg(*[F.expr(f"count({v(c)}) > 0 as f{i}") for i, c in enumerate(named)]).first()
+        named = [c for i, c in enumerate(named) if filled[f"f{i}"]]
     if named:
         return named[0]
-    v = numbers(df)
     spread = column_profile(df, columns, {
         "n": ("bigint", lambda c: f"count({v(c)})"),
         "variance": ("double", lambda c: f"var_samp({v(c)})"),

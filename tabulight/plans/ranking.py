@@ -13,18 +13,15 @@ from itertools import accumulate
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.session import checkpointed
-
 BUCKET_ROWS = 500_000
-MAX_BUCKETS = 4_000
+BROADCAST_BUCKETS = 4_000
 
 
 def with_position(df: DataFrame, key: str, order: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``position`` (0-based, by key). Keys are distinct; ``order`` is a double that never
     decreases as the key grows."""
-    df = checkpointed(df)       # read four times below
     total = df.count()
-    buckets = min(MAX_BUCKETS, -(-total // bucket_rows))
+    buckets = -(-total // bucket_rows)      # a bucket is ordered in one task, so their number follows the rows
     if buckets <= 1:
         return df.withColumn("position", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)) - 1)
     cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)])).first()[0]
@@ -37,7 +34,7 @@ def with_position(df: DataFrame, key: str, order: Column, bucket_rows: int = BUC
         [(b, starts[b]) for b in range(len(edges) - 1)], "_bucket int, _start bigint")
     numbered = cut.withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy(key)) - 1)
     return (
-        numbered.join(F.broadcast(start), "_bucket")    # at most MAX_BUCKETS rows
+        numbered.join(F.broadcast(start) if buckets <= BROADCAST_BUCKETS else start, "_bucket")
         .withColumn("position", F.col("_start") + F.col("_rank"))
         .drop("_bucket", "_order", "_rank", "_start")
     )

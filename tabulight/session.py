@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", name: str = "tabulight") -> SparkSession:
@@ -14,7 +13,7 @@ def local_session(cores: int | str = "*", name: str = "tabulight") -> SparkSessi
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", parallelism)
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"/tmp/{name}-shared")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -26,14 +25,10 @@ def local_session(cores: int | str = "*", name: str = "tabulight") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a session that sets none (a local one, as in tests) gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tabulight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -41,14 +36,3 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read from there from now on.
-
-    For intermediate results used several times: they survive lost executors and are not
-    computed again.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
