@@ -172,7 +172,7 @@ def test_unknown_words_fall_back_to_shorter_ngrams(spark):
     got = spark.createDataFrame([(t,) for t in tests], "text string").select("text", language.identify(F.col("text"), model).alias("x")).collect()
     assert {r.text: r.x.lang_pred for r in got} == tests
     score = {r.text: r.x.score for r in got}
-    assert score["日"] == 0.5 and score[""] == 0 and score["heute"] > 0.9
+    assert score["日"] == 0.5 and score[""] == 0 and score["heute"] > 0.8
 
 
 def test_languages_of_odd_rows(spark, odd, nothing):
