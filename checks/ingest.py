@@ -7,7 +7,7 @@ from checks.registry import each, query
 from tabulight.operators import schema
 from tabulight.plans.profile import literal_rows
 from tabulight.session import new_folder
-from tabulight.sources import cleaning, delimited
+from tabulight.sources import writers, cleaning, delimited
 
 CUSTOMER = ["c_custkey", "segment", "acctbal", "mixed_code", "active_flag", "mostly_zero", "const_col", "empty_col",
             "c_nationkey"]
@@ -53,6 +53,35 @@ def _(t):
     return delimited.read_delimited(t.spark, path, "txt")
 
 
+@query("a01_quoted", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def _(t):
+    path = new_folder(t.spark, "quoted")
+    writers.write_csv(t.documents, path)
+    return delimited.read_delimited(t.spark, path)
+
+
+@query("a01_multi_file", """
+    SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s, NULL AS p FROM orders UNION ALL
+    SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority FROM orders""")
+def _(t):
+    path = new_folder(t.spark, "several")
+    t.orders.selectExpr("o_orderkey as k", "o_orderstatus as s").write.option("header", True).csv(path)
+    t.orders.selectExpr("o_orderpriority as p", "o_orderstatus as s", "o_orderkey as k").write.mode("append").option("header", True).option("sep", ";").csv(path)
+    return delimited.read_delimited(t.spark, path).select("k", "s", "p")
+
+
+LONG_LINES = "CASE WHEN o_orderkey % 10 = 0 THEN concat(CAST(o_orderkey AS STRING), ',', o_orderstatus, ',more') ELSE concat(CAST(o_orderkey AS STRING), ',\"', o_orderstatus, ',x\"') END"
+
+
+@query("a01_rejected", f"SELECT 'rejected' AS what, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'read', count(*) FROM orders WHERE o_orderkey % 10 <> 0")
+def _(t):
+    path = new_folder(t.spark, "long")
+    lines = t.orders.selectExpr("o_orderkey as o", f"{LONG_LINES} as value").unionByName(t.spark.sql("select -1L as o, 'k,s' as value"))
+    lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)      # the header comes first in its file
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(delimited.rejected_lines(t.spark, path), "rejected").unionByName(count(delimited.read_delimited(t.spark, path), "read"))
+
+
 @query("a02_sniff_delimiter", """
     SELECT name AS name, sep AS separator
     FROM (VALUES ('comma', ','), ('pipe', '|'), ('semicolon', ';'), ('tab', chr(9))) AS v(name, sep)""")

@@ -1,13 +1,14 @@
-"""Delimited text files: separator and encoding detection, tolerant reading."""
+"""Delimited text files: separator, encoding and quoting per file, tolerant reading."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabulight.functions.columns import col
-from tabulight.plans.profile import union_all
 from tabulight.sources.cleaning import null_sentinels
 
 SEPARATORS = ["\t", ",", ";", "|"]   # order decides ties
@@ -15,17 +16,22 @@ SNIFF_LINES, SNIFF_BYTES = 15, 4096
 _BROKEN = "_broken_line"
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Most frequent separator in the first lines of the first 4 KB; comma when unreadable."""
-    try:
-        lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    except Exception:
-        return ","
-    head = "\n".join(lines)[:SNIFF_BYTES]
+def best_separator(head: str) -> str:
+    """The separator that the text has most of, tab when it has none."""
     counts = {s: head.count(s) for s in SEPARATORS}
     return max(SEPARATORS, key=lambda s: counts[s])
 
 
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """Most frequent separator in the first 15 lines and 4 KB of one file: the prefix is the rule, not a shortcut."""
+    lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    return best_separator("\n".join(lines)[:SNIFF_BYTES])
+
+
+def _encoding() -> Column:
+    return F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1").alias("encoding")
+
+
 def detect_encoding(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, encoding): UTF-8 when every line of the file is valid UTF-8, else ISO-8859-1.
 
@@ -33,9 +39,38 @@ def detect_encoding(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     never held as one value.
     """
     lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.col("value"))
-    return lines.groupBy("path").agg(
-        F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1").alias("encoding")
-    )
+    return lines.groupBy("path").agg(_encoding())
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What files must share to be read together."""
+
+    encoding: str
+    header: bytes
+    multi_line: bool
+
+    def separator(self, ext: str) -> str:
+        plain = self.header.decode(self.encoding, "replace")
+        outside = "".join(plain.split('"')[::2])            # separators inside quotes do not count
+        return "\t" if ext.lower() == "tsv" else best_separator(outside) if any(s in outside for s in SEPARATORS) else ","
+
+
+def layouts(spark: SparkSession, path: str) -> dict[Layout, list[str]]:
+    """The files by layout, in the order of their names (the driver gets one row per file).
+
+    A file has several lines in a cell if one of its lines has an odd number of quotes.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value", F.struct(
+        F.input_file_block_start(), F.monotonically_increasing_id()).alias("place"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("path").agg(
+        _encoding(), F.min_by(F.col("value").cast("binary"), "place").alias("header"), F.bool_or(quotes % 2 == 1).alias("multi_line"))
+    found: dict[Layout, list[str]] = {}
+    for r in sorted(files.collect(), key=lambda r: r["path"]):
+        header = bytes(r["header"]).removeprefix(b"\xef\xbb\xbf").rstrip(b"\r")
+        found.setdefault(Layout(r["encoding"], header, r["multi_line"]), []).append(unquote(r["path"]))
+    return found
 
 
 def read_delimited(
@@ -43,31 +78,44 @@ def read_delimited(
 ) -> DataFrame:
     """CSV, TSV or TXT with a header row, every column as text.
 
-    Lines with too many fields are dropped, lines with too few are padded with NULL, and
-    missing-value tokens become NULL.
+    Quoted cells may hold separators, doubled quotes and line breaks. Files of a folder may differ in encoding,
+    separator and columns: they are united by column name. Lines with too many fields are dropped
+    (``rejected_lines`` returns them), lines with too few are padded with NULL, and missing-value tokens
+    become NULL. Only files with line breaks in cells are read whole by one task each.
     """
-    sep = "\t" if ext.lower() == "tsv" else sniff_delimiter(spark, path)
-    encoded = detect_encoding(spark, path)
-    files = {"UTF-8": path}
-    if encoded.where("encoding != 'UTF-8'").limit(1).count():
-        files = {}
-        for r in encoded.collect():     # one row per file, as many as the listing on the driver
-            files.setdefault(r["encoding"], []).append(unquote(r["path"]))
-    df = union_all([_read(spark, paths, sep, encoding) for encoding, paths in files.items()])
+    parts = []
+    for layout, paths in layouts(spark, path).items():
+        raw, names, broken = _raw(spark, paths, layout, ext)
+        parts.append(raw.where(~broken).select(*[col(n) for n in names]))
+    if not parts:
+        return spark.read.option("header", True).csv(path)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return null_sentinels(df) if sentinels else df
 
 
-def _read(spark: SparkSession, paths: str | list[str], sep: str, encoding: str) -> DataFrame:
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
+def rejected_lines(spark: SparkSession, path: str, ext: str = "csv") -> DataFrame:
+    """(path, line): the lines that ``read_delimited`` drops since they have too many fields."""
+    parts = []
+    for layout, paths in layouts(spark, path).items():
+        raw, _, broken = _raw(spark, paths, layout, ext)
+        parts.append(raw.where(broken).select(F.input_file_name().alias("path"), F.col(_BROKEN).alias("line")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, line string")
+
+
+def _raw(spark: SparkSession, paths: list[str], layout: Layout, ext: str) -> tuple[DataFrame, list[str], Column]:
+    """All lines of the files, their column names, and the test for a line with too many fields."""
+    sep = layout.separator(ext)
+    reader = spark.read.options(sep=sep, encoding=layout.encoding, header=True, escape='"', multiLine=layout.multi_line)
     names = reader.csv(paths).columns
     fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     raw = (
         reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
-        .option("enforceSchema", True)
+        .option("enforceSchema", True).option("columnPruning", False)      # else unread cells are not counted
         .schema(f"{fields}, `{_BROKEN}` string").csv(paths)
     )
     # a broken line is short or long; separators inside quotes do not count
     outside_quotes = F.regexp_replace(F.col(_BROKEN), r'"[^"]*"', "")
     separators = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(sep), F.lit("")))
-    kept = raw.where(F.col(_BROKEN).isNull() | (separators < len(names)))
-    return kept.select(*[col(n) for n in names])
+    # Spark refuses to read broken lines alone, so the test reads a cell too
+    cell = F.coalesce(F.length(col(names[0])), F.lit(0)) >= 0
+    return raw, names, F.coalesce(separators >= len(names), F.lit(False)) & cell

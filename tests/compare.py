@@ -38,7 +38,7 @@ def compare(spark, con, sf_dir, fn, sql):
     rows = [tuple(r) for r in df.collect()]
     took = time.time() - start
     if sql is None:
-        return None, took, len(rows)
+        return "no SQL to compare with", took, len(rows)
     result = con.execute(sql)
     expected = table([d[0] for d in result.description], result.fetchall())
     actual = table(df.columns, rows)

@@ -20,9 +20,14 @@ def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+def test_every_query_has_sql():
+    """But for those of the training-data part that SQL cannot express: its own tests compare them with plain versions."""
+    assert all(name.startswith("op") or name == "pipeline" for name in set(QUERIES) - set(ORACLES))
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, con, name):
-    difference, _, _ = compare(spark, con, SF_DIR, QUERIES[name], ORACLES.get(name))
+    difference, _, _ = compare(spark, con, SF_DIR, QUERIES[name], ORACLES[name])
     assert difference is None
 
 

@@ -28,7 +28,7 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_unused_columns_are_not_read(spark):
-    text = plan(segments.series(spark.read.parquet(f"{SF_DIR}/orders.parquet"), {"o_orderpriority": "TEXT"}, "o_totalprice", "o_orderpriority"))
+    text = plan(segments.dominant_category(spark.read.parquet(f"{SF_DIR}/orders.parquet"), "o_orderpriority", "o_totalprice"))
     assert re.search(r"FileScan parquet \[o_totalprice#\d+,o_orderpriority#\d+\]", text)
 
 
@@ -51,7 +51,7 @@ def test_no_cartesian_products(spark, name):
 
 def test_copies_are_counted_before_the_shuffle(spark):
     text = plan(QUERIES["c09_duplicate_rows"](spark, SF_DIR))
-    assert text.index("RoundRobinPartitioning") < text.index("hashpartitioning")       # spread again after counting
+    assert re.search(r"hashpartitioning\(_h1#\d+L?, _h2", text)                        # rows are counted by their hashes
     assert "partial" in text or text.count("HashAggregate") >= 2
 
 
@@ -63,6 +63,6 @@ def test_questions_are_scored_without_a_shuffle(spark):
 def test_library_keeps_rows_off_the_driver():
     """No base table goes through pandas, RDDs, local checkpoints or an unnamed cross join."""
     root = pathlib.Path(__file__).parent.parent / "tabulight"
-    source = "\n".join(p.read_text() for p in root.rglob("*.py"))
-    for word in ("toPandas", "crossJoin", "localCheckpoint", ".rdd", "toLocalIterator", "udf("):
+    source = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts)
+    for word in ("toPandas", "crossJoin", "localCheckpoint", ".rdd", "toLocalIterator", "udf(", "mkdtemp", ".checkpoint("):
         assert word not in source

@@ -41,8 +41,9 @@ def test_sniffing(spark, tmp_path, text, sep):
     assert delimited.sniff_delimiter(spark, str(tmp_path / "f.txt")) == sep
 
 
-def test_unreadable_path_means_comma(spark, tmp_path):
-    assert delimited.sniff_delimiter(spark, str(tmp_path / "missing.txt")) == ","
+def test_unreadable_path_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        delimited.sniff_delimiter(spark, str(tmp_path / "missing.txt"))
 
 
 def test_names_are_clean_and_unique_ignoring_case():
@@ -384,7 +385,45 @@ def test_fill_errors(spark):
 def test_fill_null_clears_blank_text(spark):
     df = spark.createDataFrame([(1, "a"), (2, " "), (3, "None")], "k int, t string")
     got = repair.fill_missing(df, "t", "null", schema={"t": "TEXT"}).orderBy("k").collect()
-    assert [tuple(r) for r in got] == [(1, "a", False), (2, None, True), (3, None, True)]
+    assert [tuple(r) for r in got] == [(1, "a", False, None), (2, None, True, " "), (3, None, True, "None")]
+
+
+def test_dollar_signs_are_text(spark):
+    spark.conf.set("my.word", "X")
+    df = spark.createDataFrame([("${my.word}",), ("A",), ("B",)], "c string")
+    assert [r["sample"] for r in rows.sample_values(df).orderBy("rank").collect()] == ["${my.word}", "A", "B"]
+    assert filters.sql_readonly(spark, "SELECT count(*) AS n FROM t", t=df).first()["n"] == 3
+
+
+def test_user_sql_reads_the_given_views_only(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "k int")
+    df.write.parquet(str(tmp_path / "other"))
+    for text in (f"SELECT * FROM parquet.`{tmp_path}/other`, data", "SELECT * FROM data WHERE k IN (SELECT k FROM elsewhere)", "WITH a AS (SELECT * FROM b) SELECT * FROM a, data"):
+        with pytest.raises(filters.RejectedQuery):
+            filters.sql_readonly(spark, text, data=df)
+    spark.range(7).createOrReplaceTempView("data")
+    assert filters.sql_readonly(spark, "WITH a AS (SELECT k FROM data) SELECT * FROM a JOIN data USING (k)", data=df).count() == 1
+    assert spark.table("data").count() == 7            # the session's own view is back
+    spark.catalog.dropTempView("data")
+
+
+def test_dates_of_a_column_have_one_format(spark):
+    df = spark.createDataFrame([(f"{m:02d}/{d:02d}/2024", 1.0) for m in range(1, 13) for d in (3, 4, 25)], "day string, v double")
+    months = timeseries.monthly(df, "day", "v").collect()
+    assert [(r["month"], r["count"]) for r in months] == [(f"2024-{m:02d}", 3) for m in range(1, 13)]
+
+
+@pytest.mark.parametrize("text", ["2024-01-05T10:00:00", "2024-01-05 10:00", "2024-01-05T10:00:00.123456Z", "2024-01-05 11:00:00+01:00", "5/1/2024 10:00 AM"])
+def test_times_are_dates(spark, text):
+    df = spark.createDataFrame([(text, 1.0)] * 12, "at string, v double")
+    assert schema.semantic_types(df)["at"] == "DATE" and timeseries.monthly(df, "at", "v").first()["month"] == "2024-01"
+
+
+def test_quoted_cells_and_mixed_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,t\n1,"say ""hi"", ok"\n2,"two\nlines"\n3,  pad  \n')
+    (tmp_path / "b.csv").write_bytes("t;k\nc\u00e9;4\n".encode("latin-1"))
+    got = {r["k"]: r["t"] for r in delimited.read_delimited(spark, str(tmp_path)).collect()}
+    assert got == {"1": 'say "hi", ok', "2": "two\nlines", "3": "  pad  ", "4": "c\u00e9"}
 
 
 def test_undo_restores_only_marked_rows(spark):
