@@ -184,6 +184,10 @@ def _(t):
 @query("h10_full_report", busy(f"""
     SELECT 'overview' AS section, CAST(7 AS BIGINT) AS rows UNION ALL
     SELECT 'quality', {" + ".join(f"CAST(count(*) > count({c}) AS INTEGER)" for c in ALL)} FROM {TABLE} UNION ALL
+    SELECT 'size', 1 UNION ALL SELECT 'duplicates', 1 UNION ALL SELECT 'trend_counts', 1 UNION ALL
+    SELECT 'constant', {" + ".join(f"CAST(count(DISTINCT {c}) <= 1 AS INTEGER)" for c in ALL)} FROM {TABLE} UNION ALL
+    SELECT 'top_records', least(10, count(price)) FROM {TABLE} UNION ALL SELECT 'bottom_records', least(10, count(price)) FROM {TABLE} UNION ALL
+    SELECT 'notable', count(*) FILTER (WHERE variability = 'High') + count(*) FILTER (WHERE skewness <> 'Normal') FROM ({each(NUMERIC, st.SUMMARY.replace("lineitem", TABLE))}) UNION ALL
     SELECT 'statistics', 3 UNION ALL SELECT 'outliers', count(*) FROM ({OUTLIERS}) UNION ALL
     SELECT 'correlation', count(*) FROM ({PAIRS}) UNION ALL SELECT 'trends', count(*) FROM ({TRENDS}) UNION ALL
     SELECT 'categories', 3 UNION ALL SELECT 'performance', 1 UNION ALL

@@ -292,7 +292,7 @@ def dashboard_findings(df: DataFrame, schema: dict[str, str], filters: dict | No
 
 
 def full_report(df: DataFrame, classes: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """The twelve sections of the report (performance in two frames: records and segments).
+    """The sections of the report as frames (performance in several: means, records and segments).
 
     They share one Analysis, so every statistic is computed once.
     """
@@ -301,13 +301,17 @@ def full_report(df: DataFrame, classes: dict[str, list[str]] | None = None) -> d
                          "column string, class string, position int")
     performance = empty_like(df, "metric string, top_mean double, bottom_mean double, gap double")
     gaps = segments.segment_gap(df, [], "")
+    shown = [*([a.metric] if a.metric else []), *a.categories[:2]]             # a record shows two categories, as headings
+    best = worst = df.select(*[col(c) for c in shown]).limit(0)
     if a.metric:
         performance = rows.top_bottom_summary(df, a.metric)
+        best, worst = (pick(df, a.metric, 10, shown[1:]).select(*[col(c) for c in shown]) for pick in (rows.top_n, rows.bottom_n))
         gaps = segments.segment_gap(df, a.categories, a.metric)
     return {
-        "overview": shape, "quality": quality.missing_profile(df), "statistics": a.statistics, "outliers": a.outliers,
-        "correlation": a.correlations, "trends": a.trends,
+        "overview": shape, "size": quality.dataset_size(df), "quality": quality.missing_profile(df), "duplicates": a.duplicates,
+        "constant": quality.empty_and_constant(df), "statistics": a.statistics, "notable": stats.notable_stats(a.statistics), "outliers": a.outliers,
+        "correlation": a.correlations, "trends": a.trends, "trend_counts": timeseries.trend_counts(a.trends),
         "categories": segments.category_analysis(df, a.categories, a.metric, a.category_table),
-        "performance": performance, "segment_gaps": gaps, "anomalies": a.anomalies, "insights": a.insights,
+        "performance": performance, "top_records": best, "bottom_records": worst, "segment_gaps": gaps, "anomalies": a.anomalies, "insights": a.insights,
         "recommendations": a.recommendations, "summary": a.summary,
     }
