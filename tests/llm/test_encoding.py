@@ -32,6 +32,17 @@ def test_stretches_give_the_ids_of_whole_texts():
     assert counts.tolist() == [len(i) for i in whole] and ids.tolist() == [i for w in whole for i in w]
 
 
+@pytest.mark.parametrize("remembered", [0, 50, 10**6])
+def test_remembered_stretches(remembered, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    tokenizer, known = Tokenizer.from_file(BYTE_BPE), token_files.Known()
+    for seed in (5, 6, 7):
+        texts = odd_texts(300, seed)
+        ids, _ = token_files.encode_texts(tokenizer, pa.array(texts), known)
+        assert ids.tolist() == [i for e in tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert len(known.place) <= remembered
+
+
 def huffman_cost(counts):
     heap = [int(c) for c in counts if c]
     heapq.heapify(heap)
