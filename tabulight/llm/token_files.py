@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices
+from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices, tidied
 from tabulight.llm.pieces import spread
 from tabulight.llm.storage import kept
 
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Stretches of text whose ids a task remembers.
+REMEMBERED = 300_000
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
@@ -152,14 +154,40 @@ def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def encode_texts(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """The ids of stretches of text seen before, of REMEMBERED stretches at most."""
+
+    def __init__(self):
+        self.whole_texts: bool | None = None            # whether the tokenizer needs them
+        self.place: dict[bytes, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, tokenizer, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it each stretch has its own, and how many."""
+        place = np.fromiter(map(self.place.get, stretches, repeat(-1)), np.int64, len(stretches))
+        new = np.flatnonzero(place < 0)
+        words = [stretches[i] for i in new.tolist()]
+        flat, size = encode_words(tokenizer, [w.decode("utf-8", "replace") for w in words])
+        place[new] = len(self.size) + np.arange(len(new))
+        first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        if len(size) <= REMEMBERED:
+            self.place.update(zip(words, range(len(self.size), len(size)), strict=True))
+            self.flat, self.first, self.size = flat, first, size
+        return flat, first[place], size[place]
+
+
+def encode_texts(tokenizer, column: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of each text.
 
     A byte-level tokenizer cuts between a word and a single space or line feed that another word follows, whatever stands
     further away. So each distinct stretch between such cuts is encoded once, and texts are put together from them.
     Other tokenizers get whole texts.
     """
-    if not cuts_at_spaces(tokenizer):
+    known = known or Known()
+    if known.whole_texts is None:
+        known.whole_texts = not cuts_at_spaces(tokenizer)
+    if known.whole_texts:
         return encode_all(tokenizer, [t or "" for t in column.to_pylist()], 64)
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for data, offsets in pieces(*flat_text(column), BATCH_BYTES):
@@ -181,12 +209,11 @@ def encode_texts(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             opens[edges] = True
             starts = np.flatnonzero(opens)
             found, which = distinct_spans(data, starts, np.append(starts[1:], len(data)))
-            words = [x.decode("utf-8", "replace") for x in found.to_pylist()]
-            flat, size = encode_words(tokenizer, words)
+            flat, begin, size = known.encode(tokenizer, found.to_pylist())
             total = np.concatenate([[0], np.cumsum(size[which])])
             first = np.searchsorted(starts, offsets)
             n = total[first[1:]] - total[first[:-1]]
-            ids.append(flat[spread((np.cumsum(size) - size)[which], size[which])])
+            ids.append(flat[spread(begin[which], size[which])])
         counts.append(n)
     return np.concatenate(ids), np.concatenate(counts)
 
@@ -198,6 +225,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str, ke
     ordered = rows.repartitionByRange(parts, "key", "h").sortWithinPartitions("key", "h").select("key", "text")
     kind = rows.schema["key"].dataType.simpleString()
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -205,13 +233,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str, ke
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         loaded, part, offset = Tokenizer.from_file(tokenizer), TaskContext.get().partitionId(), 0
-        key_type = None
+        key_type, known = None, Known()
         held: list[tuple] = []
         for batch in batches:
             keys, done = batch.column("key"), 0
             key_type = keys.type
             for part_of in slices(batch.column("text"), BATCH_BYTES):
-                ids, counts = encode_texts(loaded, part_of)
+                ids, counts = encode_texts(loaded, part_of, known)
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32), counts + 1
                 held.append((keys.slice(done, len(part_of)), counts, ids))
@@ -256,6 +284,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     spark = docs.sparkSession
     blocks = kept(tokenized(docs, tokenizer, end_id, text, key))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -278,6 +307,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     base = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
     kind = blocks.schema["keys"].dataType.simpleString()
 
+    @tidied
     def code_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = [pack(ids, codes, lengths) for ids in loose(batch)]
@@ -302,6 +332,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     blocks = spark.read.parquet(f"{folder}/blocks")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
+    @tidied
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
         for whole in batches:
