@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.llm.flat import SPACE, flat_text, mix, pieces, runs, spans_hash, words
+from tabulight.llm.flat import SPACE, flat_text, mix, pieces, runs, spans_hash, tidied, words
 
 EXACT, LANES = 4, 256
 WIDTH = 8 * EXACT + 2 * LANES
@@ -99,6 +99,7 @@ def rows_of(column: pa.Array) -> np.ndarray:
 def fingerprint(text: Column) -> Column:
     """The fingerprint (binary) of a text; a null or empty text, or one of blank lines, has the empty multiset's (all zero)."""
     @F.arrow_udf("binary")
+    @tidied
     def of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield binary(of_texts(batch))
@@ -159,6 +160,7 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part
     both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("tail"), F.lit(None).alias("doc_id"), "text"))
     ordered = both.repartition("part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "text")
 
+    @tidied
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None                                                             # the last document, whose follower is not yet known
         for batch in batches:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.llm.flat import flat_text, mix, pieces, runs, spans_hash
+from tabulight.llm.flat import flat_text, mix, pieces, runs, spans_hash, tidied
 
 #: Character n-gram lengths, in the order of the lookup.
 LENGTHS = (4, 3, 2, 1)
@@ -66,6 +66,7 @@ class Levels:
     logs: dict[int, np.ndarray]
 
 
+@tidied
 def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (level 0) and n-grams per language, over the rows of a task."""
     letters = letter_table()
@@ -158,6 +159,7 @@ def identify(text: Column, model: Levels) -> Column:
     languages the first by name is taken.
     """
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @tidied
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = letter_table()
         names = pa.array([*model.languages, UNKNOWN], pa.string())

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.llm.flat import word_counts
+from tabulight.llm.flat import tidied, word_counts
 from tabulight.llm.storage import fresh, kept
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -36,6 +36,7 @@ BROADCAST_SOURCES = 200_000
 def size_of(text: Column) -> Column:
     """Number of words of a text (runs of anything but the six ASCII white space characters); null has none."""
     @F.arrow_udf("bigint")
+    @tidied
     def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(word_counts(batch))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices
+from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices, tidied
 
 MARK = "▁"
 #: No pair of these two symbols can be merged.
@@ -252,6 +252,7 @@ def encode(text: Column, model: str, add_end: bool = True) -> Column:
     ``model``: path of the model file on the executors. ``add_end``: the model's end id follows the last piece.
     """
     @F.arrow_udf("array<int>")
+    @tidied
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 
@@ -272,6 +273,7 @@ def decoded(model, ids: pa.Array) -> pa.Array:
 def encode_and_decode(text: Column, model: str, add_end: bool = True) -> Column:
     """struct<ids, text>: the ids of a text as ``encode`` gives them, and what the library decodes from them, in one pass."""
     @F.arrow_udf("struct<ids: array<int>, text: string>")
+    @tidied
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 
@@ -288,6 +290,7 @@ def encode_and_decode(text: Column, model: str, add_end: bool = True) -> Column:
 def decode(ids: Column, model: str) -> Column:
     """The text that the library decodes from ids; null ids give null."""
     @F.arrow_udf("string")
+    @tidied
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 

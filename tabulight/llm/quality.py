@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.llm.flat import SPACE, flat_text, mix, pieces, spans_hash
+from tabulight.llm.flat import SPACE, flat_text, mix, pieces, spans_hash, tidied
 from tabulight.llm.select import kth_largest
 from tabulight.llm.storage import fresh, kept
 
@@ -61,6 +61,7 @@ class Ratios:
 def score(text: Column, units: np.ndarray) -> Column:
     """Mean log ratio of a text's n-grams; null for a text without any (null, empty, blank)."""
     @F.arrow_udf("double")
+    @tidied
     def mean_ratio(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = [np.zeros(0)]
@@ -77,6 +78,7 @@ def score(text: Column, units: np.ndarray) -> Column:
 
 def counted(docs: DataFrame, buckets: int) -> dict[bool, np.ndarray]:
     """Counts per bucket over the texts marked ``target``, and over all texts. The driver gets at most two counts a bucket."""
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:

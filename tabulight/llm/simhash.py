@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.llm.flat import SPACE, flat_text, pieces, words
+from tabulight.llm.flat import SPACE, flat_text, pieces, tidied, words
 from tabulight.llm.graph import components
 from tabulight.llm.storage import fresh, kept
 
@@ -79,6 +79,7 @@ def simhash(text: Column, shingle: int = 3) -> Column:
     (all words if there are fewer), repeats included, hashed by XXH64 with seed 42. A null text or one without words has zero.
     """
     @F.arrow_udf("bigint")
+    @tidied
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = [fingerprint_piece(d, o, shingle) for d, o in pieces(*flat_text(batch))]
@@ -124,6 +125,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def bucket_links(limit: int):
     """From a bucket's fingerprints, links that connect the same of them as all links of the bucket do (fewer than members)."""
     @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
+    @tidied
     def links(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             offsets, fp = np.asarray(batch.offsets).astype(np.int64), np.asarray(batch.values).astype(np.int64)
