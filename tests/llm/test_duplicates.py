@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import lowest, near_fingerprints, roots, simhash
 from pyspark.sql import functions as F
 
-from tabulight.llm import embedding_dedup, fingerprints, graph, queries
+from tabulight.llm import embedding_dedup, fingerprints, graph, near_copies, queries
 from tabulight.llm import simhash as sh
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +64,39 @@ def test_one_of_each_group(odd, nothing):
     assert sh.one_of_each_group(nothing).count() == 0 and sh.near_duplicates(nothing).count() == 0
 
 
+def plain_near_copies(rows, least=0.8):
+    """doc_ids that stay, from all pairs of five-word shingle sets."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = lambda a, b: a == b or min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) / len(a | b) >= least
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    return sorted(set(lowest([k for k, _ in rows], root)))
+
+
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 1])
+@pytest.mark.parametrize("rounds", [near_copies.ROUNDS, 0])
+def test_planted_near_copies(spark, bucket, rounds):
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    line = " ".join(rng.choices(vocabulary, k=30))
+    rows = []
+    for group in range(25):
+        base = rng.choices(vocabulary, k=rng.choice([8, 60, 300]))
+        for copy in range(40 if group == 0 else 3):                     # Jaccard 0.7 to 1.0 with the base
+            edited = [w if rng.random() > copy % 3 * 0.02 else "edit" + str(rng.random()) for w in base]
+            rows.append((len(rows), " ".join(edited) + (f" {line}" if group % 2 else "")))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = plain_near_copies(rows)
+    assert sorted(r.doc_id for r in near_copies.one_of_each_group(table, bucket=bucket, rounds=rounds).collect()) == expected
+    assert len(expected) < len(sh.one_of_each_group(table).collect())
+
+
+def test_pipeline_stage_finds_near_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect()) == plain_near_copies([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def plain_vectors(rows, threshold=0.9):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     pairs = [(i, j) for i in ok for j in ok if j < i and len(rows[i][1]) == len(rows[j][1])
