@@ -7,6 +7,8 @@ recognised where its rule, an ordered list of identifiers, occurs in that sequen
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Public licence texts (or the notices that their authors recommend), normalised sentence by sentence.
@@ -83,7 +85,7 @@ RULES = (
     ("Unlicense", ("unlicense-grant",)),
 )
 # Every known sentence has one of these words; where a text has none, no sentence of it is looked up.
-CUES = ("licen", "permi", "redistribut", "warrant", "copyright", "domain")
+CUES = ("licen", "permi", "redistribut", "warrant", "copyright", "domain", "free", "2")
 
 #: A sentence ends with a stop, question or exclamation mark, colon or semicolon before white space, or with a blank line.
 #: Other line ends are white space: licence texts are wrapped.
@@ -92,6 +94,50 @@ SENTENCE_END = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r\n]*\n"
 LINE_END = rf"{SENTENCE_END}|\n"
 OTHER = "[^a-z0-9]+"
 
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+{}Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+# Notices that a sentence end cuts within, as their authors write them. The blank lines of the Apache notice hold a sign
+# where it is a comment, and then they end no sentence: the address is part of one.
+NOTICES = (
+    ("Apache-2.0", "apache-2-notice", APACHE.format("")),
+    ("Apache-2.0", "apache-2-notice", APACHE.format("http://www.apache.org/licenses/LICENSE-2.0\n\n").replace("\n", "\n# ")),
+    ("Apache-2.0", "apache-2-notice", APACHE.format("https://www.apache.org/licenses/LICENSE-2.0\n\n").replace("\n", "\n# ")),
+    ("GPL-2.0-or-later", "gpl-2-notice", GPL.format(";", ";", 2)),
+    ("GPL-2.0-or-later", "gpl-2-notice", GPL.format(";", ",", 2)),
+    ("GPL-3.0-or-later", "gpl-3-notice", GPL.format(":", ",", 3)),
+    ("GPL-3.0-or-later", "gpl-3-notice", GPL.format(";", ";", 3)),
+    ("MPL-2.0", "mpl-2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+)
+
+
+def normalised(notice: str) -> list[str]:
+    """The sentences of a notice, cut and normalised as those of a document."""
+    found = (re.sub(OTHER, " ", part.lower()).strip() for part in re.split(SENTENCE_END, notice))
+    return [words for words in found if words]
+
+
+def with_notices(sentences: dict[str, str], rules: tuple, notices: tuple) -> tuple[dict[str, str], tuple]:
+    """Sentences and rules, and an identifier for each further sentence of the notices, and their sequences as rules."""
+    names, more = {words: name for name, words in sentences.items()}, []
+    for licence, name, notice in notices:
+        parts = normalised(notice)
+        for words in parts:
+            taken = sum(n.startswith(f"{name}-") for n in names.values())
+            names.setdefault(words, f"{name}-{taken + 1}")
+        more.append((licence, tuple(names[words] for words in parts)))
+    return {name: words for words, name in names.items()}, (*rules, *more)
+
+
+SENTENCES, RULES = with_notices(SENTENCES, RULES, NOTICES)
+
 
 def identifiers(text: Column, cut: str, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""

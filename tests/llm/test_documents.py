@@ -55,6 +55,81 @@ def test_licenses(spark, odd, nothing):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "BSD-2-Clause": BSD2,
+    "BSD-3-Clause": BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.\n",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.\n",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.\n",
+    "CC0-1.0": "Licensed under CC0 1.0.\n",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.\n",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "MIT": MIT + "\n",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n",
+}
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_standard_notices(spark, sign):
+    assert sorted(NOTICES) == sorted({name for name, _ in licenses.RULES})
+    rows = [(name, "".join(f"{sign}{line}\n" for line in text.splitlines())) for name, text in NOTICES.items()]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {name: ["BSD-2-Clause", name] if name == "BSD-3-Clause" else [name] for name in NOTICES}
+
+
 @pytest.mark.parametrize("values", [[1.0], [2.0] * 3000, list(range(5000)), [0.1 * (i * 7919 % 3001) for i in range(4000)] + [None, float("nan")]])
 def test_kth_largest(spark, values):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
