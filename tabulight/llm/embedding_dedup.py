@@ -30,6 +30,8 @@ from tabulight.llm.simhash import forest
 from tabulight.llm.storage import kept
 
 BLOCK_VECTORS, BLOCK_QUERIES = 512, 2048
+#: Sample queries with links outside their first cell, from which their ranks alone decide on the number of visits.
+LINKED = 200
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -106,8 +108,8 @@ def fit(vectors: DataFrame, threshold: float, recall: float, sample: int, querie
     """Codebooks from a sample of at most ``sample`` vectors, visits from at most ``queries`` of them; None without vectors.
 
     Samples are those with the smallest hashes. The sample queries are compared with all vectors, in blocks: how far a query must go for
-    its last link is measured on the real data. Where no sample has a link outside its own cell, pairs are made: a vector and
-    another at the threshold from it.
+    its last link is measured on the real data. Where fewer than ``LINKED`` have a link outside their first cell, pairs are made as well, a
+    vector and another at the threshold from it, and the larger number of visits counts.
     """
     count, width = vectors.count(), wide(vectors)
     if not count:
@@ -137,15 +139,20 @@ def fit(vectors: DataFrame, threshold: float, recall: float, sample: int, querie
     # A query finds itself first: only those with another vector in a later cell, or with copies of others near, tell anything.
     rows = vectors.select("vector").mapInArrow(ranks, "query bigint, rank bigint").groupBy("query").agg(F.max("rank").alias("rank")).collect()
     found = sorted(r["rank"] for r in rows if r["rank"] > 1)
-    if not found:
+    wanted = lambda ranks: int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
+    visits = wanted(found) if found else 0
+    if len(found) < LINKED:                                             # too few to tell how far links go: not below pairs at the threshold
         noise = np.random.default_rng(0).normal(size=q.shape)
         noise -= (noise * q).sum(axis=1, keepdims=True) * q
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
         made = index.cell(threshold * q + np.sqrt(1 - threshold ** 2) * noise)
         a, b = index.distances(q)
-        total = (a[:, :, None] + b[:, None, :]).reshape(len(q), -1)
-        found = sorted((total < total[np.arange(len(q)), made][:, None]).sum(axis=1) + 1)
-    return Index(index.first, index.second, max(least, int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)])))
+        far = []
+        for i in range(len(q)):
+            total = (a[i][:, None] + b[i][None, :]).reshape(-1)
+            far.append((total < total[made[i]]).sum() + 1)
+        visits = max(visits, wanted(sorted(far)))
+    return Index(index.first, index.second, max(least, visits))
 
 
 def placed(vector: Column, index: Index) -> Column:

@@ -138,6 +138,23 @@ def test_recall_on_the_test_table(spark):
     assert 0.99 * links <= sum(r.n_links for r in got) <= links
 
 
+def test_rare_links_do_not_shorten_the_visits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(40, 24))
+    noise -= (noise * x[:40]).sum(axis=1, keepdims=True) * x[:40]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.99, size=(40, 1))
+    every = np.concatenate([x, cosine * x[:40] + np.sqrt(1 - cosine ** 2) * noise])
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows.tolist())), "node bigint, vector array<double>")
+    options = {"threshold": 0.9, "recall": 0.999, "sample": 20_000, "queries": 1_000, "per_cell": 6, "largest": 256, "least": 4}
+    without, rare = (embedding_dedup.fit(frame(rows), **options) for rows in (x, every))
+    assert rare.visits >= 0.5 * without.visits > 4
+    got = embedding_dedup.near_duplicates(frame(every).withColumnsRenamed({"node": "vec_id", "vector": "embedding"}), per_cell=6)
+    assert sum(r.n_links for r in got.collect()) >= 0.99 * ((every @ every.T >= 0.9).sum() - len(every))
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     index = embedding_dedup.Index(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
