@@ -486,3 +486,17 @@ def test_json_has_no_nan(spark, tmp_path):
 def test_unknown_format(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.export_cleaned(spark.range(1), str(tmp_path / "x"), "xlsx")
+
+
+def test_malformed_lines_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    import glob
+
+    from checks import ingest, load
+
+    monkeypatch.setattr(ingest, "new_folder", lambda session, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = {r.what: r.n for r in load().QUERIES["a01_rejected"](spark, "/root/testdata/sf0.01").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"rejected": 1500, "read": 13500} and len(glob.glob(f"{tmp_path}/long/part-*")) > 1
