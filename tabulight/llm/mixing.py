@@ -5,7 +5,8 @@ each source, and the rates depart as little as possible, by relative entropy, fr
 solution tilts exponentially: rate = min(most, exp(tilt of the source x size / mean size of the source)). The tilts solve the
 convex dual problem, by Newton steps within a bracket, for all sources at once. A step needs the number of documents of each
 source and size only. Rates then become whole copies: within small groups of a source, largest documents first, an extra copy
-is taken when the words owed reach half of the document, so a group's error is about half its smallest document.
+is taken when the words owed reach half of the document, so a group's error is about half its smallest document. A key that more documents
+than a group has share is dealt by the texts too, and such a text by the place in the table, so no key fills one group.
 
 Rows
     Null and empty texts have size 0 and are never taken more than once. A null source is a source of its own, after all others. A null
@@ -16,6 +17,8 @@ Rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +131,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     carry = docs.columns if carry is None else carry
     quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
-    own = fresh(docs.columns, "_size", "_of", "_words", "_docs", "_target", "_mean", "_tilt", "_group", "_key", "_text", "_source")
-    size, of, words, count, target, mean, tilt, group, order_key, order_text, of_row = own
+    own = fresh(docs.columns, "_size", "_of", "_words", "_docs", "_target", "_mean", "_tilt", "_group", "_key", "_text", "_source", "_salt", "_hot")
+    size, of, words, count, target, mean, tilt, group, order_key, order_text, of_row, salt, hot = own
     sized = docs.withColumn(size, size_of(quoted(text)))
     narrow = kept(sized.select(quoted(source).alias("source"), F.col(size).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
@@ -142,13 +145,27 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     plan = kept(plan)
     few = plan.count() <= BROADCAST_SOURCES                                     # a few dozen bytes each
     sized = sized.withColumn(order_text, F.xxhash64(quoted(text))).withColumn(order_key, quoted(key)).withColumn(of_row, quoted(source))
-    sized = sized.select(*(quoted(c) for c in carry), size, order_text, order_key, of_row)
+    names_of = docs.select(quoted(source).alias(of_row), F.xxhash64(quoted(key)).alias(hot), F.xxhash64(quoted(text)).alias(order_text))
+    crowded = lambda df, *by: kept(df.groupBy(*by).count().where(F.col("count") > GROUP).select(*by))
+    hot_keys = crowded(names_of, of_row, hot)
+    if hot_keys.isEmpty():
+        sized = sized.withColumn(salt, F.lit(0).cast("bigint"))
+    else:                                                                       # a row per GROUP documents at most
+        same = lambda a, b, by: reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by))
+        hot_rows = crowded(names_of.alias("r").join(F.broadcast(hot_keys.alias("h")), same("r", "h", (of_row, hot)), "left_semi"), of_row, hot, order_text)
+        one = lambda df: F.broadcast(df.withColumn("found", F.lit(True)))
+        sized = sized.withColumn(hot, F.xxhash64(order_key)).withColumn(salt, F.monotonically_increasing_id())
+        sized = sized.alias("r").join(one(hot_keys).alias("k"), same("r", "k", (of_row, hot)), "left").join(
+            one(hot_rows).alias("e"), same("r", "e", (of_row, hot, order_text)), "left")
+        spread = F.when(F.col("e.found"), F.xxhash64(F.col(f"r.{order_text}"), F.col(f"r.{salt}"))).when(F.col("k.found"), F.xxhash64(F.col(f"r.{order_text}")))
+        sized = sized.select("r.*", F.coalesce(spread, F.lit(0).cast("bigint")).alias("_spread")).drop(salt).withColumnRenamed("_spread", salt)
+    sized = sized.select(*(quoted(c) for c in carry), size, order_text, order_key, of_row, salt)
     rows = sized.join(F.broadcast(plan) if few else plan, F.col(of_row).eqNullSafe(F.col(of)))
     tilted = F.exp(F.least(F.col(tilt) * F.col(size) / F.col(mean), F.lit(float(np.log(most)))))
     rate = F.when((F.col(size) == 0) | (F.col(mean) == 0), F.lit(1.0)).when(F.col(tilt) == float("inf"), F.lit(float(most))).otherwise(tilted)
     rows = rows.select(
         *(quoted(c) for c in carry), F.col(size).alias(names[0]), F.col(words).alias(names[1]), F.col(target).alias(names[2]), rate.alias(names[3]),
-        F.col(of), F.pmod(F.xxhash64(order_key), F.ceil(F.col(count) / F.lit(GROUP))).alias(group), order_key, order_text)
+        F.col(of), F.pmod(F.xxhash64(order_key).bitwiseXOR(F.col(salt)), F.ceil(F.col(count) / F.lit(GROUP))).alias(group), order_key, order_text)
     out = rows.select(*(quoted(c) for c in carry), *names[:4], F.lit(0).cast("bigint").alias(names[4])).schema
     order = [(names[0], "descending"), (order_key, "ascending"), (order_text, "ascending")]
 

@@ -301,6 +301,16 @@ def test_mix_of_odd_rows(odd, nothing):
     assert mixing.mix(nothing)[0].count() == 0 and mixing.mix(odd.where("doc_id in (4, 5, 6)"))[0].count() == 3
 
 
+@pytest.mark.parametrize("text", ["'same few words'", "concat('text ', id)"])
+def test_mix_deals_a_repeated_key_to_many_groups(spark, monkeypatch, text):
+    monkeypatch.setattr(mixing, "GROUP", 100)
+    table = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS doc_id", f"{text} AS text", "'a' AS source", "'en' AS lang")
+    monkeypatch.setattr(mixing, "rounded", lambda rate, size: np.full(len(rate), len(rate), np.int64))
+    mixed, names = mixing.mix(table)
+    largest = [r[names[4]] for r in mixed.collect()]
+    assert len(largest) == 3000 and max(largest) < 200
+
+
 def test_fresh_names():
     assert fresh(["a", "B"], "a", "b", "b", "c") == ["_a", "_b", "__b", "c"]
 
