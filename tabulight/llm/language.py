@@ -185,6 +185,9 @@ def identify(text: Column, model: Levels) -> Column:
 
 
 def confident_only(docs: DataFrame, model: Levels, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least``; those without a letter go. All columns stay."""
+    """The documents whose language is known with at least ``least``; those without a letter go. All columns stay.
+
+    The share is one of summed likelihoods and near 1 for any text of a few dozen known words, texts of two languages included.
+    """
     found = identify(F.col(text), model)
     return docs.where((found["score"] >= least) & (found["lang_pred"] != UNKNOWN))
