@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,10 @@ class MergeTable:
         self.keys = np.array(keys, np.int64)
         self.ranks = np.array([found[k][0] for k in keys], np.int32)
         self.results = np.array([found[k][1] for k in keys], np.int32)
-        self.line_feed_is_alone = not any("\n" in p and len(p) > 1 for p in self.pieces)
+        #: Pairs of ASCII characters that some piece has; no merge joins any other two. A space stands for the mark.
+        self.joined = np.zeros((128, 128), bool)
+        for a, b in {(a, b) for p in self.pieces for a, b in pairwise(p.replace(MARK, " ")) if a < "\x80" and b < "\x80"}:
+            self.joined[ord(a), ord(b)] = True
         #: For most pairs there is no piece: one bit of a hashed key already says so.
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self._slot(self.keys)] = True
@@ -176,7 +180,10 @@ def merge_rounds(table: MergeTable, symbols: np.ndarray, first: np.ndarray) -> t
         place = np.cumsum(keep) - 1
         sym, word, at, rank, result = sym[keep], word[keep], at[keep], rank[keep], result[keep]
         changed = place[where]
-        changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
+        touched = np.zeros(len(sym), bool)
+        touched[changed] = True
+        touched[changed[changed > 0] - 1] = True
+        changed = np.flatnonzero(touched)
         rank[changed], result[changed] = pair_ranks(changed)
     if not done_at:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -193,6 +200,8 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def encode_words(table: MergeTable, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word, one after the other, and their number. Words are bytes with spaces for the marks."""
+    if not len(found):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     _, offsets, data = found.buffers()
     offsets = np.frombuffer(offsets, np.int64)[found.offset: found.offset + len(found) + 1]
     raw = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]]
@@ -213,8 +222,8 @@ def encode_words(table: MergeTable, found: pa.Array) -> tuple[np.ndarray, np.nda
     return ids.astype(np.int32), np.bincount(owner, count, len(found)).astype(np.int64)
 
 
-def encode_batch(table: MergeTable, column: pa.Array, end: int | None) -> pa.Array:
-    """The ids of each text."""
+def encode_batch(table: MergeTable, column: pa.Array, end: int | None, known=None) -> pa.Array:
+    """The ids of each text. ``known``: a memory of words, for callers that encode many batches (``token_files.Known``)."""
     text = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), MARK, " ")
     none, mark = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     text = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(text), 0), none, mark), text, none)
@@ -224,15 +233,16 @@ def encode_batch(table: MergeTable, column: pa.Array, end: int | None) -> pa.Arr
         if len(data):
             space = data == 0x20
             opens = np.append(True, space[1:] & ~space[:-1])
-            if table.line_feed_is_alone:
-                line = data == 0x0A
-                opens |= line
-                opens[1:] |= line[:-1]
+            ascii_pair = (data[:-1] < 0x80) & (data[1:] < 0x80)
+            opens[1:] |= ascii_pair & ~table.joined[data[:-1] & 0x7F, data[1:] & 0x7F]
             opens[offsets[:-1][offsets[:-1] < len(data)]] = True
             starts = np.flatnonzero(opens)
             found, which = distinct_spans(data, starts, np.append(starts[1:], len(data)))
-            ids, size = encode_words(table, found)
-            begin = np.cumsum(size) - size
+            if known is None:
+                ids, size = encode_words(table, found)
+                begin = np.cumsum(size) - size
+            else:
+                ids, begin, size = known.encode(found, lambda new: encode_words(table, pa.array(new, pa.large_binary())))
             word_of_text = np.searchsorted(starts, offsets)
             total = np.concatenate([[0], np.cumsum(size[which])])
             counts = total[word_of_text[1:]] - total[word_of_text[:-1]]

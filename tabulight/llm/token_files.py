@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain, repeat
 
 import numpy as np
@@ -31,7 +31,7 @@ from tabulight.llm.storage import kept
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
 BATCH_BYTES = 2 << 20
 #: Stretches of text whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
@@ -110,8 +110,11 @@ class Decoder:
         return out
 
 
+LETTER_OR_DIGIT, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER_OR_DIGIT[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SIGN[0x21:0x7F] = ~LETTER_OR_DIGIT[0x21:0x7F]
 #: A space, if any, and letters: one word for the byte-level pattern, so the model can have it at once.
-LETTERS = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])+")
 
 
 def byte_signs() -> dict[int, str]:
@@ -129,6 +132,14 @@ def cuts_at_spaces(tokenizer) -> bool:
         set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
 
 
+def sure_signs(tokenizer) -> np.ndarray:
+    """For each byte, whether it is a sign at which a word surely ends: one that no token found whole in texts has inside."""
+    found = SIGN.copy()
+    if not tokenizer.encode_special_tokens:
+        found[[b for t in json.loads(tokenizer.to_str())["added_tokens"] for b in t["content"].encode()]] = False
+    return found
+
+
 def encode_all(tokenizer, texts: list[str], at_once: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
     """The ids of short texts, one after the other, and their numbers, a bounded number of texts at a time."""
     ids, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -139,54 +150,74 @@ def encode_all(tokenizer, texts: list[str], at_once: int = 8_192) -> tuple[np.nd
     return np.concatenate(ids), np.concatenate(size)
 
 
-def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The same for stretches of text: plain words go to the tokenizer's model, without its search for words."""
-    signs, model = byte_signs(), tokenizer.model
-    plain = [LETTERS.fullmatch(w) is not None for w in words]
-    found = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(signs))] if p else None for w, p in zip(words, plain, strict=True)]
-    rest, count = encode_all(tokenizer, [w for w, p in zip(words, plain, strict=True) if not p])
-    size = np.fromiter((len(f) if p else 0 for f, p in zip(found, plain, strict=True)), np.int64, len(words))
-    mine = ~np.array(plain, bool)
-    size[mine] = count
-    out = np.empty(int(size.sum()), np.int32)
-    out[np.repeat(mine, size)] = rest
-    out[~np.repeat(mine, size)] = np.fromiter(chain.from_iterable(f for f in found if f is not None), np.int32, int(size[~mine].sum()))
+    signs = {byte: sign for byte, sign in byte_signs().items() if byte != 0x0A}
+    plain = np.fromiter((LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+    spelled = b"\n".join(w for w, p in zip(words, plain, strict=True) if p).decode("latin-1").translate(signs).split("\n") if plain.any() else []
+    model = tokenizer.model
+    found = [model.tokenize(w) for w in spelled]
+    rest, count = encode_all(tokenizer, [w.decode("utf-8", "replace") for w, p in zip(words, plain, strict=True) if not p])
+    size = np.empty(len(words), np.int64)
+    size[plain], size[~plain] = np.fromiter(map(len, found), np.int64, len(found)), count
+    out, mine = np.empty(int(size.sum()), np.int32), np.repeat(plain, size)
+    out[mine] = np.fromiter((t.id for w in found for t in w), np.int32, int(size[plain].sum()))
+    out[~mine] = rest
     return out, size
 
 
 class Known:
-    """The ids of stretches of text seen before, of REMEMBERED stretches at most."""
+    """The ids of stretches of text seen before. A full memory of REMEMBERED stretches is forgotten and begun anew."""
 
     def __init__(self):
         self.whole_texts: bool | None = None            # whether the tokenizer needs them
+        self.signs = SIGN
+        self.clear()
+
+    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        self.size = np.zeros(1 << 14, np.int64)
 
-    def encode(self, tokenizer, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An array of ids, and where in it each stretch has its own, and how many."""
+    def encode(self, found: pa.Array, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it each of the stretches (all different) has its own, and how many.
+
+        ``encode_new`` gives the ids of unknown stretches, one after the other, and their numbers.
+        """
+        if len(self.place) > REMEMBERED:
+            self.clear()
+        stretches = found.to_pylist()
         place = np.fromiter(map(self.place.get, stretches, repeat(-1)), np.int64, len(stretches))
         new = np.flatnonzero(place < 0)
-        words = [stretches[i] for i in new.tolist()]
-        flat, size = encode_words(tokenizer, [w.decode("utf-8", "replace") for w in words])
-        place[new] = len(self.size) + np.arange(len(new))
-        first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        if len(size) <= REMEMBERED:
-            self.place.update(zip(words, range(len(self.size), len(size)), strict=True))
-            self.flat, self.first, self.size = flat, first, size
-        return flat, first[place], size[place]
+        flat, size = encode_new([stretches[i] for i in new.tolist()])
+        n = len(self.place)
+        place[new] = n + np.arange(len(new))
+        self.place.update(zip((stretches[i] for i in new.tolist()), range(n, n + len(new)), strict=True))
+        self.flat = grown(self.flat, self.used, flat)
+        self.first = grown(self.first, n, self.used + np.cumsum(size) - size)
+        self.size = grown(self.size, n, size)
+        self.used += len(flat)
+        return self.flat, self.first[place], self.size[place]
+
+
+def grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` behind its first ``used`` values; its room doubles when it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(used, len(more)) + len(more), array.dtype)])
+    array[used: used + len(more)] = more
+    return array
 
 
 def encode_texts(tokenizer, column: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of each text.
 
-    A byte-level tokenizer cuts between a word and a single space or line feed that another word follows, whatever stands
-    further away. So each distinct stretch between such cuts is encoded once, and texts are put together from them.
-    Other tokenizers get whole texts.
+    A byte-level tokenizer cuts between a word and a single space or line feed that another word follows, and between a letter or digit
+    and a sign, whatever stands further away. So each distinct stretch between such cuts is encoded once, and texts are put
+    together from them. Other tokenizers get whole texts.
     """
-    known = known or Known()
+    known = Known() if known is None else known
     if known.whole_texts is None:
-        known.whole_texts = not cuts_at_spaces(tokenizer)
+        known.whole_texts, known.signs = not cuts_at_spaces(tokenizer), sure_signs(tokenizer)
     if known.whole_texts:
         return encode_all(tokenizer, [t or "" for t in column.to_pylist()], 64)
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -205,11 +236,12 @@ def encode_texts(tokenizer, column: pa.Array, known: Known | None = None) -> tup
             single[edges] = single[edges - 1] = False
             opens = single.copy()
             opens[1:] |= single[:-1] & (data[:-1] == 0x0A)
+            opens[1:] |= LETTER_OR_DIGIT[data[:-1]] & known.signs[data[1:]]
             opens[0] = True
             opens[edges] = True
             starts = np.flatnonzero(opens)
             found, which = distinct_spans(data, starts, np.append(starts[1:], len(data)))
-            flat, begin, size = known.encode(tokenizer, found.to_pylist())
+            flat, begin, size = known.encode(found, lambda new: encode_words(tokenizer, new))
             total = np.concatenate([[0], np.cumsum(size[which])])
             first = np.searchsorted(starts, offsets)
             n = total[first[1:]] - total[first[:-1]]
