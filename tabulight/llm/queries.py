@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabulight.llm import embedding_dedup, fingerprints, language, licenses, mixing, pieces, quality, simhash, token_files, warc
+from tabulight.llm import alignment, divergence, embedding_dedup, fingerprints, language, licenses, mixing, pieces, quality, simhash, token_files, warc
 from tabulight.llm.storage import kept, new_folder
 
 END_ID = 2
@@ -127,7 +127,40 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col(copies) * F.col(size)).alias("taken"), F.col(rate).alias("rate"), F.col(copies).alias("copies"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    vocab AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    size AS (SELECT lang, count(*)::HUGEINT AS v FROM vocab GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN vocab USING (lang, term) GROUP BY lang, source, term),
+    own AS (SELECT g.lang, g.source, t.term, coalesce(n.n, 0) AS n, sum(coalesce(n.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, v
+            FROM groups g JOIN vocab t USING (lang) JOIN size USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = t.term),
+    p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (total::HUGEINT + 2 * v) AS p FROM own),
+    whole AS (SELECT lang, term, sum(n)::HUGEINT AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total, any_value(v) AS v FROM own GROUP BY lang, term),
+    q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (total::HUGEINT + 2 * v) AS q FROM whole),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+              FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    found = alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_token_files, op2_embedding_near_duplicates, op3_license_scan, op4_document_fingerprints, op5_sentencepiece, op6_quality_classifier,
-    op7_simhash_near_duplicates, op8_warc_archives, op9_language_id, op10_source_mix)}
-ORACLES: dict[str, str] = {"op2_embedding_near_duplicates": OP2_SQL, "op3_license_scan": licenses.scan_sql(), "op8_warc_archives": OP8_SQL}
+    op7_simhash_near_duplicates, op8_warc_archives, op9_language_id, op10_source_mix, op11_source_divergence, op13_token_alignment)}
+ORACLES: dict[str, str] = {"op2_embedding_near_duplicates": OP2_SQL, "op3_license_scan": licenses.scan_sql(), "op8_warc_archives": OP8_SQL, "op11_source_divergence": OP11_SQL}
