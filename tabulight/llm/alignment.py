@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabulight.llm.flat import flat_text, slices, tidied
+from tabulight.llm.flat import flat_text, slices, tidied, worker_memory
 from tabulight.llm.pieces import MARK, MergeTable, encode_batch, spread
 from tabulight.llm.storage import kept
 from tabulight.llm.token_files import Known, byte_signs, encode_texts
@@ -199,7 +199,7 @@ def aligned_parts(docs: DataFrame, byte_level: str, pieces: str, part_bytes: int
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner, task, seq = Aligner(byte_level, pieces), TaskContext.get().partitionId(), 0
+        aligner, task, seq = worker_memory(("alignment", byte_level, pieces), lambda: Aligner(byte_level, pieces)), TaskContext.get().partitionId(), 0
         keys, columns, links, size = [], [], [], 0
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 

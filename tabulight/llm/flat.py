@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 from collections.abc import Callable, Iterator
 from functools import wraps
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,17 @@ def tidied(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
     return run
 
 
+def worker_memory(name: tuple, make: Callable):
+    """What ``make`` gave at its first call in this Python worker: later tasks of the worker find what earlier ones have learnt.
+
+    Functions reach a worker by value, each with its own globals, so it lies in a module of its own.
+    """
+    held = sys.modules.setdefault("_tabulight_worker", ModuleType("_tabulight_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices, tidied
+from tabulight.llm.flat import distinct_spans, flat_text, pieces, slices, spans_hash, tidied, worker_memory
 from tabulight.llm.pieces import spread
 from tabulight.llm.storage import kept
 
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
 BATCH_BYTES = 2 << 20
-#: Stretches of text whose ids a task remembers.
-REMEMBERED = 400_000
+#: Stretches of text whose ids a Python worker remembers (some 60 bytes each), and the bytes of the longest of them.
+REMEMBERED, LONGEST = 1_000_000, 64
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
@@ -167,7 +167,10 @@ def encode_words(tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 
 
 class Known:
-    """The ids of stretches of text seen before. A full memory of REMEMBERED stretches is forgotten and begun anew."""
+    """The ids of stretches of text seen before: a hash table in numpy arrays, whose entries are compared byte by byte.
+
+    Stretches of more than LONGEST bytes are not kept. A full memory of REMEMBERED stretches is forgotten and begun anew.
+    """
 
     def __init__(self):
         self.whole_texts: bool | None = None            # whether the tokenizer needs them
@@ -175,29 +178,75 @@ class Known:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.first, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
-        self.size = np.zeros(1 << 14, np.int64)
+        self.count = self.used = self.spelled = 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.hash, self.begin, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.bytes, self.flat = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32)
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of the entry with each hash, -1 if there is none."""
+        place, live, mask = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), np.uint64(len(self.slots) - 1)
+        slot = (hashes & mask).astype(np.int64)
+        while len(live):
+            at = self.slots[slot[live]]
+            same = (at >= 0) & (self.hash[at] == hashes[live])
+            place[live[same]] = at[same]
+            live = live[(at >= 0) & ~same]
+            slot[live] = slot[live] + 1 & int(mask)
+        return place
+
+    def enter(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """New entries into free slots; of those that want the same one, one gets it and the others go on."""
+        live, mask = np.arange(len(hashes)), len(self.slots) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(live):
+            free = live[self.slots[slot[live]] < 0]
+            self.slots[slot[free]] = places[free]
+            live = live[self.slots[slot[live]] != places[live]]
+            slot[live] = slot[live] + 1 & mask
 
     def encode(self, found: pa.Array, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An array of ids, and where in it each of the stretches (all different) has its own, and how many.
+        """An array of ids, and where in it each of the stretches (large_binary, all different) has its own, and how many.
 
         ``encode_new`` gives the ids of unknown stretches, one after the other, and their numbers.
         """
-        if len(self.place) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.clear()
-        stretches = found.to_pylist()
-        place = np.fromiter(map(self.place.get, stretches, repeat(-1)), np.int64, len(stretches))
-        new = np.flatnonzero(place < 0)
-        flat, size = encode_new([stretches[i] for i in new.tolist()])
-        n = len(self.place)
-        place[new] = n + np.arange(len(new))
-        self.place.update(zip((stretches[i] for i in new.tolist()), range(n, n + len(new)), strict=True))
+        data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+        edges = np.frombuffer(found.buffers()[1] or bytes(8), np.int64)[found.offset: found.offset + len(found) + 1]
+        length = np.diff(edges)
+        hashes = spans_hash(data, edges[:-1], edges[1:])
+        place = self.find(hashes)
+        there = np.flatnonzero(place >= 0)
+        there = there[self.length[place[there]] == length[there]]
+        differs = self.bytes[spread(self.begin[place[there]], length[there])] != data[spread(edges[there], length[there])]
+        wrong = np.zeros(len(place), bool)
+        wrong[np.repeat(there, length[there])[differs]] = True
+        known = np.zeros(len(place), bool)
+        known[there] = True
+        known &= ~wrong
+        unknown = np.flatnonzero(~known)
+        short = length[unknown] <= LONGEST
+        unknown, n = np.concatenate([unknown[short], unknown[~short]]), int(short.sum())     # those that are kept come first
+        flat, size = encode_new(found.take(pa.array(unknown)).to_pylist())
+        first = self.used + np.cumsum(size) - size
         self.flat = grown(self.flat, self.used, flat)
-        self.first = grown(self.first, n, self.used + np.cumsum(size) - size)
-        self.size = grown(self.size, n, size)
-        self.used += len(flat)
-        return self.flat, self.first[place], self.size[place]
+        out_first, out_size = self.first[place], self.size[place]
+        out_first[unknown], out_size[unknown] = first, size
+        kept_now, more = unknown[:n], np.arange(self.count, self.count + n)
+        self.hash = grown(self.hash, self.count, hashes[kept_now])
+        self.begin = grown(self.begin, self.count, self.spelled + np.cumsum(length[kept_now]) - length[kept_now])
+        self.length = grown(self.length, self.count, length[kept_now])
+        self.bytes = grown(self.bytes, self.spelled, data[spread(edges[kept_now], length[kept_now])])
+        self.first, self.size = grown(self.first, self.count, first[:n]), grown(self.size, self.count, size[:n])
+        self.count, self.used, self.spelled = self.count + n, self.used + int(size[:n].sum()), self.spelled + int(length[kept_now].sum())
+        if 2 * self.count > len(self.slots):
+            self.slots = np.full(4 << int(self.count).bit_length(), -1, np.int32)
+            self.enter(self.hash[: self.count], np.arange(self.count))
+        else:
+            self.enter(hashes[kept_now], more)
+        return self.flat, out_first, out_size
 
 
 def grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -265,7 +314,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str, ke
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         loaded, part, offset = Tokenizer.from_file(tokenizer), TaskContext.get().partitionId(), 0
-        key_type, known = None, Known()
+        key_type, known = None, worker_memory(("token_files", tokenizer), Known)
         held: list[tuple] = []
         for batch in batches:
             keys, done = batch.column("key"), 0

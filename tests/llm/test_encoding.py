@@ -40,7 +40,7 @@ def test_remembered_stretches(remembered, monkeypatch):
         texts = odd_texts(300, seed)
         ids, _ = token_files.encode_texts(tokenizer, pa.array(texts), known)
         assert ids.tolist() == [i for e in tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids]
-        assert len(known.place) <= remembered + 6_000               # a full memory is begun anew before the next batch
+        assert known.count <= remembered + 6_000               # a full memory is begun anew before the next batch
 
 
 def test_strings_of_special_tokens_as_plain_text():
