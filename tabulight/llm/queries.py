@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabulight.llm import alignment, divergence, embedding_dedup, fingerprints, language, licenses, mixing, pieces, quality, simhash, token_files, warc
+from tabulight.llm import alignment, divergence, embedding_dedup, fingerprints, language, licenses, mixing, passages, pieces, quality, simhash, token_files, warc
 from tabulight.llm.storage import kept, new_folder
 
 END_ID = 2
@@ -154,6 +154,22 @@ OP11_SQL = r"""
     SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+    hit AS (SELECT doc_id, i FROM w WHERE words IN (SELECT words FROM w GROUP BY words HAVING count(*) > 1)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM hit),
+    per AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+    kept AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
+                    coalesce(list_transform(list_filter(range(1, len(ws) + 1), lambda x: js IS NULL OR NOT list_contains(js, x)), lambda x: ws[x]), []) AS ks FROM d LEFT JOIN per USING (doc_id))
+    SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256 FROM kept"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     found = alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
@@ -162,5 +178,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_token_files, op2_embedding_near_duplicates, op3_license_scan, op4_document_fingerprints, op5_sentencepiece, op6_quality_classifier,
-    op7_simhash_near_duplicates, op8_warc_archives, op9_language_id, op10_source_mix, op11_source_divergence, op13_token_alignment)}
-ORACLES: dict[str, str] = {"op2_embedding_near_duplicates": OP2_SQL, "op3_license_scan": licenses.scan_sql(), "op8_warc_archives": OP8_SQL, "op11_source_divergence": OP11_SQL}
+    op7_simhash_near_duplicates, op8_warc_archives, op9_language_id, op10_source_mix, op11_source_divergence,
+    op12_repeated_passages, op13_token_alignment)}
+ORACLES: dict[str, str] = {"op2_embedding_near_duplicates": OP2_SQL, "op3_license_scan": licenses.scan_sql(), "op8_warc_archives": OP8_SQL, "op11_source_divergence": OP11_SQL,
+                            "op12_repeated_passages": OP12_SQL}
