@@ -31,7 +31,7 @@ from tabulight.llm.storage import kept
 BLOCK, CHECKPOINT, MAX_LENGTH = 1 << 16, 512, 20
 BATCH_BYTES = 2 << 20
 #: Stretches of text whose ids a Python worker remembers (some 60 bytes each), and the bytes of the longest of them.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 PART_ROWS = 8_000
 DECODE_BLOCKS = 64
 
@@ -180,9 +180,9 @@ class Known:
     def clear(self) -> None:
         self.count = self.used = self.spelled = 0
         self.slots = np.full(1 << 16, -1, np.int32)
-        self.hash, self.begin, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hash, self.begin, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.bytes, self.flat = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32)
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of the entry with each hash, -1 if there is none."""
@@ -232,7 +232,7 @@ class Known:
         flat, size = encode_new(found.take(pa.array(unknown)).to_pylist())
         first = self.used + np.cumsum(size) - size
         self.flat = grown(self.flat, self.used, flat)
-        out_first, out_size = self.first[place], self.size[place]
+        out_first, out_size = self.first[place].astype(np.int64), self.size[place].astype(np.int64)
         out_first[unknown], out_size[unknown] = first, size
         kept_now, more = unknown[:n], np.arange(self.count, self.count + n)
         self.hash = grown(self.hash, self.count, hashes[kept_now])

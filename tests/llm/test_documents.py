@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from compare import compare, connect
-from helpers import near_fingerprints, plain_targets, roots, simhash, words_of
+from helpers import plain_near_copies, plain_targets, words_of
 from pyspark.sql import functions as F
 
 from tabulight.llm import language, licenses, mixing, quality, queries, select, warc
@@ -330,11 +330,7 @@ def test_pipeline(spark, docs, labels):
     drawn = {r.doc_id for r in quality.resample(docs, labels).where("kept").collect()}
     assert {r.doc_id for r in good} == drawn and 0.7 * len(raw) < len(good) < len(raw)
     assert {r.doc_id for r in spoken} <= drawn and len(spoken) >= 0.98 * len(good)
-    root = roots(len(spoken), near_fingerprints([simhash(r.text) for r in spoken]))
-    groups = {}
-    for i, r in enumerate(root):
-        groups.setdefault(r, []).append(spoken[i].doc_id)
-    assert sorted(r.doc_id for r in unique) == sorted(min(g) for g in groups.values())
+    assert sorted(r.doc_id for r in unique) == plain_near_copies([(r.doc_id, r.text) for r in spoken])
     sizes, taken = {}, {}
     for r in unique:
         sizes[r.source] = sizes.get(r.source, 0) + words_of(r.text)
