@@ -85,7 +85,8 @@ def test_texts_with_a_common_key_that_are_no_copies(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(60)]
     sets = [[*rng.sample(base, 57), *(rng.getrandbits(63) for _ in range(k % 4 * 9))] for k in range(40)]
-    nodes = spark.createDataFrame([(i, len(s), 0, [5]) for i, s in enumerate(sets)], "node bigint, size bigint, fp bigint, bands array<bigint>")
+    nodes = spark.createDataFrame([(i, len(s), 0, [5], [0] * near_copies.WIDE) for i, s in enumerate(sets)],
+                                  "node bigint, size bigint, fp bigint, bands array<bigint>, few array<bigint>")
     table = spark.createDataFrame(list(enumerate(sets)), "node bigint, `all` array<bigint>")
     links = near_copies.links_of(nodes, lambda wanted: table.join(wanted, "node"), 0.8).collect()
     true = [(i, j) for i in range(40) for j in range(40) if i < j and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
@@ -103,15 +104,17 @@ def test_near_copies_of_other_columns(spark):
 
 
 def test_keys_reach_the_recall_that_is_stated():
-    """Sets of similarity 0.8 share a key in all but about 2 of 1,000 cases, and their fingerprints keep within the radius."""
+    """Sets of similarity 0.8 share a key in all but about 6 of 1,000 cases, and their fingerprints keep within the radius."""
     rng, missed, far = np.random.default_rng(1), 0, 0
     for _ in range(1500):
         values = rng.integers(0, 1 << 63, 220).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         a, b = np.sort(values[:180]), np.sort(np.concatenate([values[20:180], values[200:220]]))     # 160 of 200
-        _, fp, keys = near_copies.sketch(np.concatenate([a, b]), np.array([180, 180]))
+        _, fp, keys, few = near_copies.sketch(np.concatenate([a, b]), np.array([180, 180]))
         missed += not (keys[0] == keys[1]).any()
-        far += int(np.bitwise_count(fp[0] ^ fp[1])) > near_copies.RADIUS
-    assert missed <= 8 and far == 0
+        nibbles = [few[i].view(np.uint8) for i in (0, 1)]
+        differ = sum(int(((nibbles[0] ^ nibbles[1]) & mask > 0).sum()) for mask in (15, 240))
+        far += int(np.bitwise_count(fp[0] ^ fp[1])) > near_copies.RADIUS or differ > near_copies.APART
+    assert missed <= 20 and far <= 5
 
 
 def test_pipeline_stage_finds_near_copies(spark):
