@@ -140,7 +140,11 @@ def sql_readonly(spark: SparkSession, query: str, **views: DataFrame) -> DataFra
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
     try:
-        return spark.sql(text)          # analysed here, so the views are not needed later
+        found = spark.sql(text)         # analysed here, so the views are not needed later
+        foreign = _read_beyond(found._jdf.queryExecution().analyzed(), {v.lower() for v in views})
+        if foreign:
+            raise RejectedQuery("only the given views can be read, not " + ", ".join(sorted(foreign)))
+        return found
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
@@ -157,3 +161,22 @@ def _relations(spark: SparkSession, text: str) -> set[str]:
     own = {name.strip().lower() for names in re.findall(r"\bCTE \[([^\]]*)\]", plan) for name in names.split(",")}
     read = {", ".join(part.strip() for part in names.split(",")).lower() for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)}
     return read - own
+
+
+#: Leaves of an analysed plan that hold no table: constants, ranges, references to the query's own WITH parts.
+OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+
+
+def _read_beyond(plan, views: set[str]) -> set[str]:
+    """What an analysed query reads besides the views: names are resolved there, so a WITH part that bears a table's name hides nothing.
+
+    The walk ends at the given views, whatever they read themselves; it goes through WITH parts and subqueries.
+    """
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        name = plan.desc().identifier().table().lower()
+        return set() if plan.isTempView() and name in views else {name}
+    below = [seq.apply(i) for seq in (plan.children(), plan.subqueries()) for i in range(seq.size())]
+    if not below and kind not in OWN_LEAVES:
+        return {plan.simpleStringWithNodeId().split("\n")[0][:80]}
+    return set().union(*(_read_beyond(part, views) for part in below)) if below else set()

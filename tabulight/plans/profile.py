@@ -108,12 +108,19 @@ def _per_column(df: DataFrame, columns: list[str], as_value: AsSql, result: str)
         value_counts(df, c, as_value).agg(F.expr(result)).select(F.lit(c).alias("column"), "*") for c in columns])
 
 
+def narrow_sql(df: DataFrame, sql: str) -> str:
+    """A value to tell values apart by: itself, but for texts of more than 32 bytes their SHA-256, so that no long text is shuffled."""
+    if df.selectExpr(f"{sql} as value").schema["value"].dataType.simpleString() not in ("string", "binary"):
+        return sql
+    return f"if(octet_length({sql}) <= 32, concat(X'00', cast({sql} as binary)), concat(X'01', unhex(sha2(cast({sql} as binary), 256))))"
+
+
 def distinct_profile(df: DataFrame, columns: list[str], as_value: AsSql, approx: bool = False) -> DataFrame:
-    """(column, distinct_count) for non-null values; exact unless ``approx``."""
+    """(column, distinct_count) for non-null values; exact unless ``approx``. Long texts are told apart by their digests."""
     if approx or not columns:
         return column_profile(df, columns, {
             "distinct_count": ("bigint", lambda c: f"approx_count_distinct({as_value(c)})")}).drop("position")
-    return _per_column(df, columns, as_value, "count(*) as distinct_count")
+    return _per_column(df, columns, lambda c: narrow_sql(df, as_value(c)), "count(*) as distinct_count")
 
 
 def column_modes(df: DataFrame, columns: list[str], as_value: AsSql) -> DataFrame:

@@ -48,28 +48,38 @@ class Layout:
 
     encoding: str
     header: bytes
+    separator: str
     multi_line: bool
 
-    def separator(self, ext: str) -> str:
-        plain = self.header.decode(self.encoding, "replace")
-        outside = "".join(plain.split('"')[::2])            # separators inside quotes do not count
-        return "\t" if ext.lower() == "tsv" else best_separator(outside) if any(s in outside for s in SEPARATORS) else ","
 
+def header_separator(header: bytes, encoding: str, ext: str) -> str:
+    outside = "".join(header.decode(encoding, "replace").split('"')[::2])            # separators inside quotes do not count
+    return "\t" if ext.lower() == "tsv" else best_separator(outside) if any(s in outside for s in SEPARATORS) else ","
 
-def layouts(spark: SparkSession, path: str) -> dict[Layout, list[str]]:
+
+def _leaves_open(separator: str) -> Column:
+    """Whether a line has a quoted cell that does not end in it. A quote opens a cell only at its start: that in ``5" pipe`` is a plain sign."""
+    edge = "\\t" if separator == "\t" else "\\" + separator if separator == "|" else separator
+    closed = rf'(^|{edge})"[^"]*+(?:""[^"]*+)*+"(?={edge}|\r?$)'
+    return F.regexp_replace("value", closed, "$1").rlike(rf'(?:^|{edge})"')
+
+
+def layouts(spark: SparkSession, path: str, ext: str = "csv") -> dict[Layout, list[str]]:
     """The files by layout, in the order of their names (the driver gets one row per file).
 
-    A file has several lines in a cell if one of its lines has an odd number of quotes.
+    A file has several lines in a cell if one of its lines leaves a quoted cell open, with the separator of its header.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value", F.struct(
         F.input_file_block_start(), F.monotonically_increasing_id()).alias("place"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    quoted = F.contains("value", F.lit('"'))
     files = lines.groupBy("path").agg(
-        _encoding(), F.min_by(F.col("value").cast("binary"), "place").alias("header"), F.bool_or(quotes % 2 == 1).alias("multi_line"))
+        _encoding(), F.min_by(F.col("value").cast("binary"), "place").alias("header"),
+        *[F.bool_or(F.when(quoted, _leaves_open(s)).otherwise(False)).alias(f"open_{i}") for i, s in enumerate(SEPARATORS)])
     found: dict[Layout, list[str]] = {}
     for r in sorted(files.collect(), key=lambda r: r["path"]):
         header = bytes(r["header"]).removeprefix(b"\xef\xbb\xbf").rstrip(b"\r")
-        found.setdefault(Layout(r["encoding"], header, r["multi_line"]), []).append(unquote(r["path"]))
+        separator = header_separator(header, r["encoding"], ext)
+        found.setdefault(Layout(r["encoding"], header, separator, r[f"open_{SEPARATORS.index(separator)}"]), []).append(unquote(r["path"]))
     return found
 
 
@@ -84,8 +94,8 @@ def read_delimited(
     become NULL. Only files with line breaks in cells are read whole by one task each.
     """
     parts = []
-    for layout, paths in layouts(spark, path).items():
-        raw, names, broken = _raw(spark, paths, layout, ext)
+    for layout, paths in layouts(spark, path, ext).items():
+        raw, names, broken = _raw(spark, paths, layout)
         parts.append(raw.where(~broken).select(*[col(n) for n in names]))
     if not parts:
         return spark.read.option("header", True).csv(path)
@@ -96,15 +106,15 @@ def read_delimited(
 def rejected_lines(spark: SparkSession, path: str, ext: str = "csv") -> DataFrame:
     """(path, line): the lines that ``read_delimited`` drops since they have too many fields."""
     parts = []
-    for layout, paths in layouts(spark, path).items():
-        raw, _, broken = _raw(spark, paths, layout, ext)
+    for layout, paths in layouts(spark, path, ext).items():
+        raw, _, broken = _raw(spark, paths, layout)
         parts.append(raw.where(broken).select(F.input_file_name().alias("path"), F.col(_BROKEN).alias("line")))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, line string")
 
 
-def _raw(spark: SparkSession, paths: list[str], layout: Layout, ext: str) -> tuple[DataFrame, list[str], Column]:
+def _raw(spark: SparkSession, paths: list[str], layout: Layout) -> tuple[DataFrame, list[str], Column]:
     """All lines of the files, their column names, and the test for a line with too many fields."""
-    sep = layout.separator(ext)
+    sep = layout.separator
     reader = spark.read.options(sep=sep, encoding=layout.encoding, header=True, escape='"', multiLine=layout.multi_line)
     names = reader.csv(paths).columns
     fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)

@@ -60,6 +60,15 @@ def test_questions_are_scored_without_a_shuffle(spark):
         assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
 
 
+def test_no_long_text_is_shuffled_to_be_counted(spark):
+    """Distinct counts shuffle digests of long texts; a text column with many values is refused without an exchange of its values."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text")
+    text = plan(quality.distinct_counts(docs))
+    keys = [k for k in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text) if k]
+    assert keys and "sha2" in text and all("text#" not in k for k in keys)
+    assert "Exchange" not in plan(segments.category_table(docs, ["text"]))
+
+
 def test_library_keeps_rows_off_the_driver():
     """No base table goes through pandas, RDDs, local checkpoints or an unnamed cross join."""
     root = pathlib.Path(__file__).parent.parent / "tabulight"

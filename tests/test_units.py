@@ -426,6 +426,61 @@ def test_quoted_cells_and_mixed_files(spark, tmp_path):
     assert got == {"1": 'say "hi", ok', "2": "two\nlines", "3": "  pad  ", "4": "c\u00e9"}
 
 
+def test_a_lone_quote_leaves_a_file_to_many_tasks(spark, tmp_path):
+    lines = ["k,t", *(f'{i},{i}" pipe' if i % 1000 == 7 else f'{i},"quoted, ""{i}"""' for i in range(20_000))]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (layout,) = delimited.layouts(spark, str(tmp_path))
+    assert not layout.multi_line and layout.separator == ","
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = delimited.read_delimited(spark, str(tmp_path))
+        found = {r["k"]: r["t"] for r in read.collect()}
+        assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(found) == 20_000 and found["7"] == '7" pipe' and found["8"] == 'quoted, "8"'
+
+
+@pytest.mark.parametrize(("line", "separator", "is_open"), [
+    ('a,"b', ",", True), ('"a', ",", True), ('a,"b""', ",", True), ('a,"b","c', ",", True), ('a,"b"', ",", False), ('"a","b","c"', ",", False), ('"a ""b""",c', ",", False),
+    ('a,5" pipe', ",", False), ('a;"b', ",", False), ('a;"b', ";", True), ('a|"b', "|", True), ('a|"b"|c', "|", False), ('a\t"b', "\t", True), ('"",""', ",", False), ('""",a', ",", True)])
+def test_lines_that_leave_a_cell_open(spark, line, separator, is_open):
+    assert spark.createDataFrame([(line,)], "value string").select(delimited._leaves_open(separator)).first()[0] is is_open
+
+
+@pytest.mark.parametrize("text", [
+    "WITH secret AS (SELECT * FROM secret) SELECT secret.* FROM secret, data",
+    "WITH a AS (WITH secret AS (SELECT * FROM secret) SELECT * FROM secret) SELECT a.* FROM a, data",
+    "SELECT * FROM data WHERE k IN (WITH secret AS (SELECT k FROM secret) SELECT k FROM secret)",
+    "WITH data2 AS (SELECT * FROM data), secret AS (SELECT s.* FROM secret s) SELECT * FROM data2, secret"])
+def test_a_with_name_opens_no_foreign_view(spark, text):
+    spark.range(3).withColumnRenamed("id", "k").createOrReplaceTempView("secret")
+    data = spark.createDataFrame([(1, "a")], "k bigint, t string")
+    with pytest.raises(filters.RejectedQuery):
+        filters.sql_readonly(spark, text, data=data)
+    spark.catalog.dropTempView("secret")
+    over = spark.range(2).withColumnRenamed("id", "k")
+    over.createOrReplaceTempView("inner_view")
+    own = spark.table("inner_view").where("k >= 0")                    # a given view may itself read others
+    ok = "WITH data AS (SELECT k FROM data) SELECT count(*) AS n FROM data WHERE k IN (SELECT max(k) FROM data) UNION ALL SELECT 1"
+    assert filters.sql_readonly(spark, ok, data=own).count() == 2
+    spark.catalog.dropTempView("inner_view")
+
+
+def test_columns_with_few_values_are_never_refused(spark):
+    rows = spark.range(20_000).selectExpr("id % 50 AS a", "id % 51 AS b", "concat('text number ', id) AS c", "cast(id % 2 as string) AS d", "cast(id as double) AS m")
+    found = segments.category_table(rows, ["a", "b", "c", "d"], "m")
+    assert {(r["column"], r["values"]) for r in found.select("column", "values").distinct().collect()} == {("a", 50), ("d", 2)}
+    assert segments._admitted(rows, ["a", "c", "d"], 50) == ["a", "d"] and segments._admitted(rows, [], 50) == []
+
+
+def test_distinct_long_texts(spark):
+    long = "x" * 40
+    rows = spark.createDataFrame([(long,), (long,), (long + "y",), ("x",), (None,), ("",), ("X" * 32,)], "t string")
+    assert quality.distinct_counts(rows).first()["distinct_count"] == 5
+
+
 def test_undo_restores_only_marked_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "a")], "k int, t string")
     filled = repair.fill_missing(df, "t", "custom", "a")
