@@ -23,21 +23,27 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidied(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function over batches, giving its memory back to the system when it ends.
+    """The function over batches, giving its memory back to the system when it ends, and what an earlier task left when it begins.
 
     Python workers wait for the next task with all the memory they ever needed; there may be several of them beside an executor.
     """
     @wraps(function)
     def run(batches: Iterator) -> Iterator:
+        give_back()
         try:
             yield from function(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.llm.flat import tidied, word_counts
+from tabulight.llm.flat import give_back, tidied, word_counts
 from tabulight.llm.storage import fresh, kept
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -170,6 +170,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     order = [(names[0], "descending"), (order_key, "ascending"), (order_text, "ascending")]
 
     def take(part: pa.Table) -> pa.Table:
+        give_back()                                                             # of the group before
         part = part.sort_by(order)
         copies = rounded(part.column(names[3]).to_numpy(), part.column(names[0]).to_numpy())
         return part.drop_columns([of, group, order_key, order_text]).append_column(names[4], pa.array(copies))
