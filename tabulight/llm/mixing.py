@@ -170,7 +170,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     order = [(names[0], "descending"), (order_key, "ascending"), (order_text, "ascending")]
 
     def take(part: pa.Table) -> pa.Table:
-        give_back()                                                             # of the group before
+        if part.nbytes > 1 << 20:
+            give_back()                                                         # what the group before took
         part = part.sort_by(order)
         copies = rounded(part.column(names[3]).to_numpy(), part.column(names[0]).to_numpy())
         return part.drop_columns([of, group, order_key, order_text]).append_column(names[4], pa.array(copies))
