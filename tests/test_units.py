@@ -1,6 +1,10 @@
 """Edge cases on small frames; expected values are worked out by hand."""
 
+import random
+
+import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from tabulight.functions.columns import is_missing
@@ -426,6 +430,37 @@ def test_quoted_cells_and_mixed_files(spark, tmp_path):
     assert got == {"1": 'say "hi", ok', "2": "two\nlines", "3": "  pad  ", "4": "c\u00e9"}
 
 
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_line_breaks_in_cells_are_read_split_by_split(spark, tmp_path, eol):
+    """As one task reads them, also where splits end within a record, and one record spans several splits."""
+    draw = random.Random(3)
+    cells = ["x", "", '5" pipe', '"a, b"', '"two\nlines"', '"say ""hi""\n\n""there"""', '"q\n"', '""', '"x" tail']
+    row = lambda i: f"{i},{draw.choice(cells)},{draw.choice(cells)}"
+    lines = ["k,t,u", *map(row, range(1500)), '-1,"long ' + "z\n" * 3000 + 'end",u', *map(row, range(1500, 2000)), "3", "", '4,"open\nto the end']
+    (tmp_path / "f.csv").write_bytes("\n".join(lines).replace("\n", eol).encode())
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        (layout,) = delimited.layouts(spark, str(tmp_path))
+        got = delimited.read_delimited(spark, str(tmp_path), sentinels=False)
+        tasks, found = delimited.records(spark, [str(tmp_path)], layout), sorted(map(repr, got.collect()))
+        used = tasks.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path))
+    assert layout.multi_line and used > 8 and found == sorted(map(repr, whole.collect())) and len(found) == 2003
+
+
+@given(st.lists(st.tuples(st.booleans(), st.booleans()), max_size=12), st.booleans())
+def test_states_of_lines(ways, start):
+    state, plain = start, [start]
+    for outside, inside in ways:
+        state = inside if state else outside
+        plain.append(state)
+    assert delimited._states(np.array([w[0] for w in ways], bool), np.array([w[1] for w in ways], bool), start).tolist() == plain
+
+
 def test_a_lone_quote_leaves_a_file_to_many_tasks(spark, tmp_path):
     lines = ["k,t", *(f'{i},{i}" pipe' if i % 1000 == 7 else f'{i},"quoted, ""{i}"""' for i in range(20_000))]
     (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
