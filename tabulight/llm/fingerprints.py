@@ -4,28 +4,29 @@ A document is a multiset of paragraphs (its lines without outer white space, bla
 and a document's fingerprint is the sum of its paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs does not
 matter, and ``add`` and ``remove`` update a fingerprint by a paragraph alone.
 
-A vector has two parts. The first lanes are hashes of the whole paragraph, modulo 2^64: equal multisets are equal there, and others
-are not. The other lanes, modulo 2^16, sketch what the paragraph says: each of its runs of three words adds 1 or takes 1
+A vector has two parts. The first eight lanes are the 64-bit words of the whole paragraph's BLAKE2b digest, modulo 2^64: equal multisets
+are equal there, and different ones agree in all 512 bits only by chance. The other lanes, modulo 2^16, sketch what the paragraph says: each of its runs of three words adds 1 or takes 1
 from one lane. Sums of sketches are the sketch of the sum, so the angle between two documents' lanes estimates how much
 they share, also where paragraphs differ in a few words only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabulight.llm.flat import SPACE, flat_text, mix, pieces, runs, spans_hash, tidied, words
 
-EXACT, LANES = 4, 256
+EXACT, LANES = 8, 256
 WIDTH = 8 * EXACT + 2 * LANES
 SHINGLE = 3
-PART_ROWS, MAX_PARTS = 2_000, 100_000
+PART_ROWS, MAX_PARTS, SAMPLED_PER_PART = 2_000, 100_000, 8
+START = 32
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,10 +44,10 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(starts):
         return exact, sketch
     starts, ends = places[solid[starts]], places[solid[ends] - 1] + 1            # without outer white space
-    base = spans_hash(data, starts, ends)
+    whole = memoryview(np.ascontiguousarray(data))
+    digests = b"".join(hashlib.blake2b(whole[a:b], digest_size=8 * EXACT).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    for lane in range(EXACT):
-        exact[owner[heads], lane] = np.add.reduceat(mix(base + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), heads)
+    exact[owner[heads]] = np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, EXACT), heads, axis=0)
     begin, end, _ = words(data, offsets)
     hashes = spans_hash(data, begin, end)
     paragraph = np.searchsorted(starts, begin, "right") - 1
@@ -126,26 +127,54 @@ def remove(whole: Column, part: Column) -> Column:
     return _combined(-1)(whole, part)
 
 
+def _part_of(cuts: pa.Table) -> Callable[[Column, Column], Column]:
+    """The number of cuts (key, start of text), in order and null keys last, that are not above a row's."""
+    keys = cuts.column("doc_id").combine_chunks().drop_null().to_numpy(zero_copy_only=False)
+    begins = np.array([*cuts.column("start").to_pylist(), None], object)[:-1]
+
+    @F.arrow_udf("int")
+    def part(key: pa.Array, start: pa.Array) -> pa.Array:
+        known = key.is_valid().to_numpy(zero_copy_only=False)
+        low, high = np.full(len(key), len(keys)), np.full(len(key), len(begins))
+        values = key.drop_null().to_numpy(zero_copy_only=False)
+        low[known], high[known] = np.searchsorted(keys, values, "left"), np.searchsorted(keys, values, "right")
+        tied = np.flatnonzero(low < high)                                       # rows with the key of a cut: their text decides
+        tied = tied[np.argsort(low[tied], kind="stable")]
+        found = low.copy()
+        for same in np.split(tied, np.flatnonzero(np.diff(low[tied])) + 1) if len(tied) else []:
+            a, b = low[same[0]], high[same[0]]
+            texts = np.array([*start.take(pa.array(same)).to_pylist(), None], object)[:-1]
+            found[same] = a + np.searchsorted(begins[a:b], texts, "right")
+        return pa.array(found, pa.int32())
+
+    return part
+
+
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """The documents by part and key, and for each part the text that follows its last one.
 
-    Keys are cut at approximate quantiles into parts of about ``part_rows`` documents (more, if that made over MAX_PARTS), so
-    no task orders many more than that. A part's follower is the first document of the next part that has any; the first
-    of all follows the last. The driver gets one key for each part.
+    Documents are cut at sampled places of their order (key, nulls last, then text) into parts of about ``part_rows`` (more, if that made
+    over MAX_PARTS), so no task orders many more than that. The key may be of any type with an order. Rows of one key, or without
+    one, are cut by the start of their texts; only those that agree there as well stay in one part, through which
+    they stream. A part's follower is the first document of the next part that has any; the first of all follows
+    the last. The driver gets SAMPLED_PER_PART places for each part.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("order", F.col("doc_id").cast("double"))
-    parts = min(MAX_PARTS, max(1, -(-rows.count() // part_rows)))
-    cuts = rows.agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
-    # Null keys are a part of their own, after all others.
-    edges = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="order", outputCol="part", handleInvalid="keep")
-    rows = cut.transform(rows).select(F.coalesce(F.col("part").cast("int"), F.lit(len(edges))).alias("part"), "doc_id", "text")
-    lowest = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min("doc_id")).collect())
-    follows = [(own, after, low) for (own, _), (after, low) in zip(lowest, lowest[1:] + lowest[:1], strict=True)]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    wanted = docs.sparkSession.createDataFrame(follows, f"own int, after int, low {kind}")       # at most MAX_PARTS rows
-    heads = rows.join(F.broadcast(wanted), (F.col("part") == F.col("after")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    return rows, heads.groupBy(F.col("own").alias("part")).agg(F.min("text").alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("start", F.substring("text", 1, START))
+    n = rows.count()
+    parts = min(MAX_PARTS, max(1, -(-n // part_rows)))
+    part = F.lit(0)
+    if parts > 1:
+        drawn = rows.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(1, n // (SAMPLED_PER_PART * parts)))) == 0)
+        places = drawn.select("doc_id", "start").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "start").toArrow()
+        every = max(1, len(places) // parts)
+        part = _part_of(places.take(pa.array(range(every, len(places), every), pa.int64())))(F.col("doc_id"), F.col("start"))
+    rows = rows.withColumn("part", part)
+    least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")).alias("least"))
+    order = W.orderBy("part")                                                   # over at most MAX_PARTS rows
+    own = F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    wanted = least.select(F.col("part").alias("after"), own.alias("own"), F.col("least.doc_id").alias("low"), F.col("least.start").alias("low_start"))
+    heads = rows.join(F.broadcast(wanted), (F.col("part") == F.col("after")) & F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("start") == F.col("low_start")))
+    return rows.drop("start"), heads.groupBy(F.col("own").alias("part")).agg(F.min("text").alias("text"))
 
 
 def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part_rows: int = PART_ROWS) -> DataFrame:
@@ -153,11 +182,13 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part
 
     The edited text has the last quarter of the code points (rounded down) replaced by as many from the start of the next document,
     or all of it. Documents follow each other by key, nulls last, rows with one key by text; the first follows the last. A null
-    text is empty. Columns: ``doc_id``, ``n_chars``, ``edited`` (text), ``fingerprint``, ``edited_fingerprint`` (binary), ``near_edited``,
-    ``near_next``. An empty table gives an empty one.
+    text is empty. Columns: ``doc_id`` (in the key's type), ``n_chars``, ``edited`` (text), ``fingerprint``, ``edited_fingerprint`` (binary),
+    ``near_edited``, ``near_next``; other columns of the table are not read, so their names may clash. Very long texts make a piece of their
+    own. Repeated rows are rows of their own. An empty table gives an empty one.
     """
     rows, heads = with_next(docs, text, key, part_rows)
-    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("tail"), F.lit(None).alias("doc_id"), "text"))
+    kind = rows.schema["doc_id"].dataType
+    both = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("tail"), F.lit(None).cast(kind).alias("doc_id"), "text"))
     ordered = both.repartition("part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "text")
 
     @tidied
@@ -188,7 +219,6 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", part
             binary(before), binary(after), pa.array(likeness(before, after)), pa.array(likeness(before, following)),
         ], ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return ordered.mapInArrow(
-        edit, "doc_id bigint, n_chars bigint, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
-
-
+    return ordered.mapInArrow(edit, T.StructType([
+        T.StructField("doc_id", kind), T.StructField("n_chars", T.LongType()), T.StructField("edited", T.StringType()), T.StructField("fingerprint", T.BinaryType()),
+        T.StructField("edited_fingerprint", T.BinaryType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]))

@@ -1,7 +1,9 @@
 """Near duplicates (2, 7), their components, and fingerprints (4), against plain versions."""
 
 import hashlib
+import math
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -232,3 +234,90 @@ def test_fingerprints_are_sums_of_paragraphs(spark):
         f("").alias("empty"), f(None).alias("null"), f(" \n\t").alias("blank"), fingerprints.remove(f(a), f(a)).alias("zero")).first()
     assert row.abc == row.cab == row.sum and row.less == row.ac and row.aa != row.a and row.a != row.ac
     assert row.empty == row.null == row.blank == row.zero == bytearray(fingerprints.WIDTH)
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(v):
+    v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & M64
+    v = (v ^ v >> 27) * 0x94D049BB133111EB & M64
+    return v ^ v >> 31
+
+
+def plain_word(word):
+    total, power = len(word) * 0xD6E8FEB86659FD93, 1
+    for byte in word:
+        power = power * 0x9E3779B97F4A7C15 & M64
+        total += (byte + 1) * power
+    return plain_mix(total & M64)
+
+
+def plain_fingerprint(text):
+    """(exact lanes, sketch lanes) paragraph by paragraph, word by word."""
+    exact, sketch = [0] * fingerprints.EXACT, [0] * fingerprints.LANES
+    for line in text.encode().split(b"\n"):
+        line = line.strip(b" \t\n\v\f\r")
+        if not line:
+            continue
+        digest = hashlib.blake2b(line, digest_size=64).digest()
+        exact = [(x + int.from_bytes(digest[8 * i: 8 * i + 8], "little")) & M64 for i, x in enumerate(exact)]
+        hashes = [plain_word(w) for w in re.split(rb"[ \t\n\v\f\r]+", line)]
+        for at in range(max(1, len(hashes) - 2)):
+            value = 0
+            for k in range(3):
+                value = plain_mix(value * 3 + (hashes[at + k] if at + k < len(hashes) else 0) & M64)
+            sketch[value % len(sketch)] += 1 - 2 * (value >> 63)
+    return exact, [(x + 0x8000) % 0x10000 - 0x8000 for x in sketch]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    dot, norm = sum(x * y for x, y in zip(a[1], b[1])), math.sqrt(sum(x * x for x in a[1]) * sum(y * y for y in b[1]))
+    return min(1.0, max(0.0, dot / norm)) if norm else 0.0
+
+
+def test_fingerprints_and_likeness_of_documents(docs):
+    """The whole result against a version that goes word by word."""
+    got = fingerprints.compare_edits(docs, part_rows=50).orderBy("doc_id").collect()
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    plain = [plain_fingerprint(t) for t in texts]
+    for i, r in enumerate(got):
+        edited = plain_fingerprint(r.edited)
+        for raw, (exact, sketch) in ((r.fingerprint, plain[i]), (r.edited_fingerprint, edited)):
+            assert bytes(raw) == b"".join(x.to_bytes(8, "little") for x in exact) + b"".join((x & 0xFFFF).to_bytes(2, "little") for x in sketch)
+        assert math.isclose(r.near_edited, plain_likeness(plain[i], edited), abs_tol=1e-12)
+        assert math.isclose(r.near_next, plain_likeness(plain[i], plain[(i + 1) % len(plain)]), abs_tol=1e-12)
+
+
+def test_different_texts_have_different_fingerprints(spark):
+    line = bytearray(b"ab" * 40_000)
+    line[5], line[5 + 65_536] = ord("x"), ord("y")
+    swapped = bytearray(line)
+    swapped[5], swapped[5 + 65_536] = line[5 + 65_536], line[5]
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4_096))
+    texts = [line.decode(), swapped.decode(), thue, thue.translate({97: "b", 98: "a"})]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprints.fingerprint(F.col("t")).alias("f")).collect()
+    assert len({bytes(r.f) for r in found}) == 4
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "decimal(20,2)", "date", "timestamp", "binary"])
+def test_keys_of_any_type(spark, kind):
+    as_key = {"date": "date_add(date'2020-01-01', cast(k as int))", "timestamp": "timestamp_seconds(k * 1000003)", "binary": "cast(printf('%04d', k) as binary)",
+              "string": "printf('doc-%04d', k)"}.get(kind, f"cast(k as {kind})")
+    rows = spark.range(60).selectExpr("id as k", "concat('text ', id, ' of ', 1000 - id) as text").orderBy("text")
+    got = fingerprints.compare_edits(rows.selectExpr(f"{as_key} as doc_id", "text"), part_rows=9)
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    plain = edits([(k, f"text {k} of {1000 - k}") for k in range(60)])
+    assert [hashlib.sha256(r.edited.encode()).hexdigest() for r in got.orderBy("doc_id").collect()] == [e for _, _, e in plain]
+
+
+def test_rows_of_one_key_are_cut(spark):
+    """Rows without a key, and of one key, go to many parts; their order is that of their texts."""
+    rows = spark.range(900).selectExpr("case when id < 300 then null when id < 600 then 7 else id end as doc_id", "concat(sha2(cast(id as string), 256), ' tail') as text")
+    parts, _ = fingerprints.with_next(rows, part_rows=30)
+    for one in ("doc_id is null", "doc_id = 7"):
+        assert parts.where(one).select("part").distinct().count() > 4
+    got = sorted((r.doc_id or -1, r.n_chars, hashlib.sha256(r.edited.encode()).hexdigest()) for r in fingerprints.compare_edits(rows, part_rows=30).collect())
+    assert got == sorted((k or -1, n, h) for k, n, h in edits(sorted(((r.doc_id, r.text) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
