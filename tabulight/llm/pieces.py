@@ -30,7 +30,7 @@ NEVER = np.iinfo(np.int32).max
 #: round over a long word for each of its merges.
 LONG_WORD = 512
 #: Texts whose words are merged together. A task's memory is some fifty times this.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
 
 
 class MergeTable:
@@ -269,7 +269,7 @@ def encode(text: Column, model: str, add_end: bool = True) -> Column:
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
         table = MergeTable(loaded)
         for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
+            for part in slices(batch, SLICE_BYTES):
                 yield encode_batch(table, part, loaded.eos_id() if add_end else None)
 
     return ids(text)
@@ -290,7 +290,7 @@ def encode_and_decode(text: Column, model: str, add_end: bool = True) -> Column:
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
         table = MergeTable(loaded)
         for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
+            for part in slices(batch, SLICE_BYTES):
                 ids = encode_batch(table, part, loaded.eos_id() if add_end else None)
                 yield pa.StructArray.from_arrays([ids, decoded(loaded, ids)], ["ids", "text"])
 
