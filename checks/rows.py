@@ -43,6 +43,19 @@ def _(t):
     return rows.page(t.orders, 3, 20, "o_totalprice", "DESC", ["o_orderkey"])
 
 
+@query("c05_page_deep", "SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity FROM lineitem "
+       "ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 50 OFFSET 30000")
+def _(t):
+    return rows.page(t.lineitem, 601, 50, "l_shipdate", "DESC", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_quantity")
+
+
+@query("c05_page_deep_nulls", over("dirty_customer", """
+    SELECT segment, c_custkey FROM dirty_customer ORDER BY segment DESC NULLS LAST, c_custkey NULLS FIRST LIMIT 40 OFFSET 160"""))
+def _(t):
+    return rows.page(t.dirty_customer, 5, 40, "segment", "DESC", ["c_custkey"]).select("segment", "c_custkey")
+
+
 @query("c06_drill_table", """
     WITH m AS (SELECT * FROM orders WHERE o_orderstatus = 'F' AND (o_orderstatus ILIKE '%urgent%' OR o_orderpriority ILIKE '%urgent%'))
     SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM m) AS total_count FROM m

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulight.functions.columns import col, data_type, names_where, number, text_sql, value, value_sql
@@ -10,6 +12,8 @@ from tabulight.plans.profile import column_profile, fetched, literal_rows
 
 COPIES_PER_ROW = 100_000
 COPIES = "_copies"
+#: So many rows may be skipped by one task; a page beyond is looked up between this many cuts at a time.
+PAGED_ROWS, PAGE_CUTS, DRAW_SEED = 10_000, 64, 7
 
 
 def head(df: DataFrame, n: int, key: list[str]) -> DataFrame:
@@ -42,24 +46,81 @@ def top_bottom_summary(df: DataFrame, metric: str, n: int = 10) -> DataFrame:
     )
 
 
-def _order(df: DataFrame, sort: str | None, direction: str, key: list[str]) -> list[Column]:
-    order = []
-    if sort in df.columns:
-        order.append(col(sort).desc() if direction.upper() == "DESC" else col(sort).asc())
-    return order + [col(k) for k in key]
+def _terms(df: DataFrame, sort: str | None, direction: str, key: list[str]) -> list[tuple[Column, bool]]:
+    """(column, descending) in the order of their weight."""
+    chosen = [(col(sort), direction.upper() == "DESC")] if sort in df.columns else []
+    return chosen + [(col(k), False) for k in key]
+
+
+def _order(terms: list[tuple[Column, bool]]) -> list[Column]:
+    return [c.desc() if down else c.asc() for c, down in terms]
 
 
 def sort_by(df: DataFrame, sort: str, direction: str = "ASC", key: list[str] = ()) -> DataFrame:
     """Ascending unless DESC is asked for; an unknown column leaves the order alone."""
-    order = _order(df, sort, direction, list(key)) if sort in df.columns else []
-    return df.orderBy(*order) if order else df
+    return df.orderBy(*_order(_terms(df, sort, direction, list(key)))) if sort in df.columns else df
 
 
 def page(df: DataFrame, page: int = 1, size: int = 20, sort: str | None = None,
          direction: str = "ASC", key: list[str] = ()) -> DataFrame:
-    order = _order(df, sort, direction, list(key))
-    ordered = df.orderBy(*order) if order else df
-    return ordered.offset((max(1, page) - 1) * size).limit(size)
+    """One page of the rows in order; a deep one is looked up in a counted range, so no task holds all rows before it."""
+    terms, skipped = _terms(df, sort, direction, list(key)), (max(1, page) - 1) * size
+    if skipped > PAGED_ROWS and terms and all(isinstance(f.dataType, T.AtomicType) for f in df.select(*[c for c, _ in terms]).schema):
+        df, skipped = _range_of(df, terms, skipped, size)
+    return (df.orderBy(*_order(terms)) if terms else df).offset(skipped).limit(size)
+
+
+def _ahead(terms: list[tuple[Column, bool]], cut: Column) -> Column:
+    """Whether a row comes before the cut, a struct of key values. Fields of structs compare as rows are ordered: NULL first, or last descending."""
+    earlier, same = F.lit(False), F.lit(True)
+    for i, (c, down) in enumerate(terms):
+        x, at = F.struct(c.alias("k")), F.struct(cut[f"k{i}"].alias("k"))
+        earlier, same = earlier | (same & (x > at if down else x < at)), same & x.eqNullSafe(at)
+    return earlier
+
+
+def _before(terms: list[tuple[Column, bool]], values: tuple, cut: list[Column]) -> Column:
+    """The same for one known cut, in comparisons that reach the file scan."""
+    earlier, same = F.lit(False), F.lit(True)
+    for (c, down), value_, at in zip(terms, values, cut):
+        if value_ is None:
+            ahead = c.isNotNull() if down else F.lit(False)
+        else:
+            ahead = F.coalesce(c > at, F.lit(False)) if down else c.isNull() | (c < at)
+        earlier, same = earlier | (same & ahead), same & c.eqNullSafe(at)
+    return earlier
+
+
+def _range_of(df: DataFrame, terms: list[tuple[Column, bool]], skipped: int, size: int) -> tuple[DataFrame, int]:
+    """Rows around a page, and how many of them come before it.
+
+    Rows drawn at random cut the order, one scan counts the rows between the cuts, and the two cuts
+    around the page enclose it; again until few rows are left. The draw decides how fast that goes, not the result.
+    Rows that no term tells apart stay together.
+    """
+    keys = [c.alias(f"k{i}") for i, (c, _) in enumerate(terms)]
+    order = _order([(F.col(f"k{i}"), down) for i, (_, down) in enumerate(terms)])
+    kinds = [f.dataType for f in df.select(*keys).schema]
+    rows, left = df, None
+    while left is None or left > PAGED_ROWS + 2 * size:
+        drawn = rows.select(*keys, F.rand(DRAW_SEED).alias("draw")).orderBy("draw").limit(PAGE_CUTS).orderBy(*order).collect()
+        cuts = [[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(kind) for v, kind in zip(r, kinds)] for r in drawn]
+        if not cuts:
+            break
+        known = F.array(*[F.struct(*[v.alias(f"k{i}") for i, v in enumerate(cut)]) for cut in cuts])
+        place = F.size(F.filter(known, lambda cut: ~_ahead(terms, cut)))
+        found = {r["place"]: r["count"] for r in rows.groupBy(place.alias("place")).count().collect()}
+        before = list(accumulate(found.get(i, 0) for i in range(len(cuts) + 1)))        # rows before cut i; the last is all rows
+        first = max((i for i in range(len(cuts)) if 0 < before[i] <= skipped), default=None)
+        last = min((i for i in range(len(cuts)) if skipped + size <= before[i] < before[-1]), default=None)
+        if first is None and last is None:
+            break
+        left = (before[-1] if last is None else before[last]) - (0 if first is None else before[first])
+        if last is not None:
+            rows = rows.where(_before(terms, drawn[last], cuts[last]))
+        if first is not None:
+            rows, skipped = rows.where(~_before(terms, drawn[first], cuts[first])), skipped - before[first]
+    return rows, skipped
 
 
 def drill_table(

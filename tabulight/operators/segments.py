@@ -262,23 +262,29 @@ def _with_others(sums: DataFrame, order: list[Column], points: int) -> DataFrame
 
 
 UNITS = (("day", "yyyy-MM-dd"), ("week", "yyyy-MM-dd"), ("month", "yyyy-MM"), ("year", "yyyy"))
+YEARS = (5, 10, 25, 50, 100, 1000)
 
 
 def _by_time(rows: DataFrame, date: str, metric: str | None, points: int) -> DataFrame:
-    """(key, value) per date, or per the first of day, week, month and year that has few enough groups (year has the last say).
+    """(key, value) per date, or per the first of day, week, month, year and 5 to 1,000 years that has few enough groups.
 
     A group's key is its first day, shown as far as the unit goes. All rows are in the groups, NULL dates in one of their own.
+    Rows are summed by day once; all larger units come from the days.
     """
     sums = _sums(rows, date, metric).withColumn("key", F.col("key").cast("string"))
-    if sums.limit(points + 1).count() <= points:
-        return fetched(sums).orderBy(F.asc_nulls_first("key"))
+    known = sums.limit(points + 1).collect()
+    if len(known) <= points:
+        return literal_rows(rows, known, sums.schema).orderBy(F.asc_nulls_first("key"))
     total = F.sum(number(rows, metric)) if metric else F.count("*").cast("double")
-    day = dated(rows, date)
-    for unit, shape in UNITS:
-        grouped = rows.groupBy(F.date_format(F.date_trunc(unit, day), shape).alias("key")).agg(total.alias("value"))
-        if unit == "year" or grouped.limit(points + 1).count() <= points:
-            return fetched(grouped).orderBy(F.asc_nulls_first("key"))
-    return sums
+    days = rows.groupBy(F.date_trunc("day", dated(rows, date)).alias("day")).agg(total.alias("value"))
+    keys = [F.date_format(F.date_trunc(unit, "day"), shape) for unit, shape in UNITS]
+    keys += [F.lpad((F.floor(F.year("day") / n) * n).cast("string"), 4, "0") for n in YEARS]
+    units = days.select(F.posexplode(F.array(*keys)).alias("unit", "key"), "value").groupBy("unit", "key").agg(F.sum("value").alias("value"))
+    counted = units.withColumn("n", F.count("*").over(W.partitionBy("unit")))
+    fitting = counted.where((F.col("n") <= points) | (F.col("unit") == len(keys) - 1)).collect()
+    unit = min(r["unit"] for r in fitting)
+    chosen = [(r["key"], r["value"]) for r in fitting if r["unit"] == unit]
+    return literal_rows(rows, chosen, "key string, value double").orderBy(F.asc_nulls_first("key"))
 
 
 def share_by_category(df: DataFrame, name: str, metric: str, filters: dict | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ literals, so the second scan is a plain filter or conditional count.
 from __future__ import annotations
 
 from itertools import combinations
+from math import isfinite
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -15,13 +16,13 @@ from tabulight.functions.columns import (
     double_sql, number, number_sql, percent, severity, text_sql,
 )
 from tabulight.operators.timeseries import monthly_means
-from tabulight.plans.profile import (
-    column_modes, column_profile, empty_like, inline_sql, literal_rows, struct_sql, union_all,
-)
+from tabulight.plans.gram import SUMS, pair_sums
+from tabulight.plans.profile import column_modes, column_profile, empty_like, inline_sql, literal_rows, struct_sql
 from tabulight.plans.quantiles import quantiles
 
 ANOMALY_SCHEMA = "column string, type string, severity string, value double, pct double"
-PAIRS_PER_SCAN = 28
+#: Pairs of eight columns, each with itself too; the generated code of more would be too large.
+AGGREGATED_PAIRS = 36
 
 
 def numbers(df: DataFrame):
@@ -143,42 +144,57 @@ def outlier_rows(df: DataFrame, name: str, quarts: dict | None = None) -> DataFr
 def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """(var1, var2, r): values are shifted by their column mean, then multiplied and summed.
 
-    Shifting keeps the sums small, and one scan covers many pairs. A pair with NULLs gets its
-    own sums over the rows where both values exist.
+    Shifting keeps the sums small. One scan finds the means and one more all sums: as aggregates for a
+    few pairs, as products of matrices beyond. A pair with NULLs gets its own sums over the rows where
+    both values exist. Constant columns and those with infinite values have no r.
     """
     v = numbers(df)
     facts = df.agg(F.count("*").alias("n"), *[
         F.expr(f"{f.format(v(c))} as {k}{i}") for i, c in enumerate(columns)
         for k, f in (("m", "avg({})"), ("c", "count({})"), ("e", "min({0}) = max({0})"))
     ]).first()
-    constant = {c for i, c in enumerate(columns) if facts[f"e{i}"]}
-    full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
-    shifted = df.selectExpr(*[f"{v(c)} - {double_sql(facts[f'm{i}'] or 0.0)} as d{i}" for i, c in enumerate(columns)])
+    if not facts["n"]:
+        return literal_rows(df, [(a, b, None) for a, b in pairs], "var1 string, var2 string, r double")
+    endless = {c for i, c in enumerate(columns) if not isfinite(facts[f"m{i}"] or 0.0)}
+    unknown = endless | {c for i, c in enumerate(columns) if facts[f"e{i}"]}
+    shifted = df.selectExpr(*[
+        f"double(null) as d{i}" if c in endless else f"{v(c)} - {double_sql(facts[f'm{i}'] or 0.0)} as d{i}"
+        for i, c in enumerate(columns)])
+    if len(pairs) <= AGGREGATED_PAIRS:
+        full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
+        return _aggregated_pairs(shifted, columns, pairs, unknown, full)
+    place = {c: i for i, c in enumerate(columns)}
+    sums = pair_sums(shifted, [(place[a], place[b]) for a, b in pairs])
+    names = f"array({', '.join(text_sql(c) for c in columns)})"
+    known = f"array({', '.join(str(c not in unknown).lower() for c in columns)})"
+    return sums.selectExpr(f"{names}[a] as var1", f"{names}[b] as var2",
+                           f"case when {known}[a] and {known}[b] then {_pearson_sql(*SUMS)} end as r")
+
+
+def _pearson_sql(n: str, sx: str, sy: str, xx: str, yy: str, xy: str) -> str:
+    cross = f"({xy} - try_divide({sx} * {sy}, {n}))"
+    spread = " * ".join(f"sqrt(greatest({square} - try_divide({s} * {s}, {n}), 0))" for square, s in ((xx, sx), (yy, sy)))
+    return f"case when {spread} > 0 then round(greatest(-1D, least(1D, {cross} / ({spread}))), 4) end"
+
+
+def _aggregated_pairs(
+    shifted: DataFrame, columns: list[str], pairs: list[tuple[str, str]], unknown: set[str], full: set[str],
+) -> DataFrame:
     at = {c: f"d{i}" for i, c in enumerate(columns)}
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        sums: dict[str, str] = {}       # aggregate SQL -> its name, so equal sums are asked once
-
-        def total(e: str) -> str:
-            return sums.setdefault(f"sum({e})", f"t{len(sums)}")
-
-        rows = []
-        for a, b in pairs[start:start + PAIRS_PER_SCAN]:
-            x, y, n = at[a], at[b], "1"
-            if not (a in full and b in full):
-                x, y = f"case when {at[b]} is not null then {at[a]} end", f"case when {at[a]} is not null then {at[b]} end"
-                n = f"if({at[a]} is null or {at[b]} is null, 0, 1)"
-            n, sx, sy = total(n), total(x), total(y)
-            cross = f"({total(f'{at[a]} * {at[b]}')} - try_divide({sx} * {sy}, {n}))"
-            spread = "sqrt(greatest({} - try_divide({} * {}, {}), 0)) * sqrt(greatest({} - try_divide({} * {}, {}), 0))".format(
-                total(f"({x}) * ({x})"), sx, sx, n, total(f"({y}) * ({y})"), sy, sy, n)
-            rows.append(struct_sql(
-                var1=text_sql(a), var2=text_sql(b),
-                r="double(null)" if {a, b} & constant else
-                f"case when {spread} > 0 then round(greatest(-1D, least(1D, {cross} / ({spread}))), 4) end"))
-        wide = shifted.agg(*[F.expr(f"{e} as {name}") for e, name in sums.items()])
-        frames.append(wide.selectExpr(inline_sql(rows)))
-    return union_all(frames)
+    sums: dict[str, str] = {}       # aggregate SQL -> its name, so equal sums are asked once
+
+    def total(e: str) -> str:
+        return sums.setdefault(f"sum({e})", f"t{len(sums)}")
+
+    rows = []
+    for a, b in pairs:
+        x, y, n = at[a], at[b], "1"
+        if not (a in full and b in full):
+            x, y = f"case when {at[b]} is not null then {at[a]} end", f"case when {at[a]} is not null then {at[b]} end"
+            n = f"if({at[a]} is null or {at[b]} is null, 0, 1)"
+        r = _pearson_sql(total(n), total(x), total(y), total(f"({x}) * ({x})"), total(f"({y}) * ({y})"), total(f"{at[a]} * {at[b]}"))
+        rows.append(struct_sql(var1=text_sql(a), var2=text_sql(b), r="double(null)" if {a, b} & unknown else r))
+    return shifted.agg(*[F.expr(f"{e} as {name}") for e, name in sums.items()]).selectExpr(inline_sql(rows))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:

@@ -37,6 +37,23 @@ def test_top_rows_are_not_globally_sorted(spark):
         assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, SF_DIR))
 
 
+def test_deep_page_is_a_range_of_few_rows(spark, monkeypatch):
+    """The rows before a deep page are counted, not gathered: what is sorted lies between two cuts."""
+    from tabulight.operators import rows
+    monkeypatch.setattr(rows, "PAGED_ROWS", 500)
+    line = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    terms = rows._terms(line, "l_extendedprice", "ASC", ["l_orderkey", "l_linenumber"])
+    around, skipped = rows._range_of(line, terms, 3000, 20)
+    assert around.count() <= 540 and 0 <= skipped <= 520
+    assert "TakeOrderedAndProject" in plan(rows.page(line, 151, 20, "l_extendedprice", "ASC", ["l_orderkey", "l_linenumber"]))
+
+
+def test_correlation_of_many_columns_is_one_scan(spark):
+    line = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").selectExpr("*", *[f"l_partkey % {i + 3} as n{i}" for i in range(40)])
+    text = plan(stats.correlation_matrix(line, [f"n{i}" for i in range(40)]))
+    assert text.count("FileScan") == 1 and "MapInArrow" in text
+
+
 def test_outlier_limits_are_literals(spark):
     text = plan(stats.outlier_rows(spark.read.parquet(f"{SF_DIR}/events.parquet"), "value"))
     assert "Exchange" not in text and text.count("FileScan") == 1

@@ -284,6 +284,54 @@ def test_correlation_edge_cases(spark):
     assert len(r) == 16
 
 
+def test_correlation_of_many_columns_equals_that_of_few(spark):
+    """Ten columns go through matrices, three of them through aggregates; NULLs, constants, infinite values and an empty table."""
+    draw = random.Random(3)
+    data = [[draw.random() if draw.random() < 0.8 else None for _ in range(8)] + [5.0, draw.choice([1.0, float("inf")])] for _ in range(200)]
+    df = spark.createDataFrame(data, ", ".join(f"c{i} double" for i in range(10))).repartition(5)
+    wide = {(a["var1"], a["var2"]): a["r"] for a in stats.correlation_matrix(df, df.columns).collect()}
+    assert len(wide) == 100 and wide["c0", "c0"] == 1.0
+    assert all(r is None for pair, r in wide.items() if {"c8", "c9"} & set(pair))
+    for few in (["c0", "c1", "c2"], ["c3", "c8", "c9"]):
+        narrow = {(a["var1"], a["var2"]): a["r"] for a in stats.correlation_matrix(df, few).collect()}
+        assert narrow == {pair: wide[pair] for pair in narrow} and len(narrow) == 9
+    for i, j in ((0, 1), (2, 7)):
+        both = np.array([(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None])
+        assert wide[f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=6e-5)
+    empty = stats.correlation_matrix(df.limit(0), df.columns).collect()
+    assert len(empty) == 100 and all(r["r"] is None for r in empty)
+
+
+@pytest.mark.parametrize("sort, direction", [("k", "ASC"), ("k", "DESC"), ("v", "DESC"), ("v", "ASC"), ("s", "ASC"), ("raw", "DESC")])
+def test_deep_pages_equal_a_sorted_list(spark, monkeypatch, sort, direction):
+    """NULL and NaN keys, a value that fills half the table, and pages across and beyond the end."""
+    monkeypatch.setattr(rows, "PAGED_ROWS", 20)
+    draw = random.Random(5)
+    data = [(i, draw.choice([None, 1, 1, 1, draw.randrange(50)]), draw.choice([None, float("nan"), -0.0, 0.0, draw.random()]),
+             draw.choice([None, "", "é", "z" * draw.randrange(9)]), bytes([draw.randrange(9)])) for i in range(700)]
+    df = spark.createDataFrame(data, "id int, k int, v double, s string, raw binary").repartition(4)
+    ordered = [r["id"] for r in rows.sort_by(df, sort, direction, ["id"]).collect()]
+    for number, size in ((2, 30), (5, 100), (12, 60), (7, 100), (30, 100)):
+        got = [r["id"] for r in rows.page(df, number, size, sort, direction, ["id"]).collect()]
+        assert got == ordered[(number - 1) * size:number * size]
+
+
+def test_deep_page_of_equal_keys_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(rows, "PAGED_ROWS", 20)
+    df = spark.range(300).selectExpr("id", "if(id % 10 = 0, 2, 1) as k")
+    assert {r["k"] for r in rows.page(df, 5, 50, "k").collect()} == {1} and rows.page(df, 6, 50, "k").count() == 50
+    assert rows.page(df.limit(0), 5, 50, "k").count() == 0
+
+
+def test_dates_always_fit_the_points(spark):
+    """Days, weeks, months, years and larger units; each row in a point, whatever the span."""
+    for days, label in ((10, "2000-01-01"), (60, "1999-12-27"), (400, "2000-01"), (4000, "2000"), (14600, "2000"), (60000, "2000")):
+        df = spark.sql(f"select date_add(date'2000-01-01', cast(id as int)) as d, 1.0 as v from range({days}) union all select null, 1.0")
+        got = segments.series(df, {"d": "DATE", "v": "NUM"}, "v", "d").collect()
+        assert len(got) <= 15 and sum(r["value"] for r in got) == days + 1
+        assert got[0]["label"] == "Null" and got[1]["label"] == label
+
+
 def test_primary_metric(spark):
     df = spark.createDataFrame([(i, i * 10.0, 1) for i in range(6)], "a int, b double, c int")
     assert stats.primary_metric(df, ["a", "b", "c"]) == "b" and stats.primary_metric(df, []) is None
