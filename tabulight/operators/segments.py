@@ -231,7 +231,7 @@ def series(df: DataFrame, schema: dict[str, str], metric: str | None, dimension:
            filters: dict | None = None, kind: str = "bar") -> DataFrame:
     """(label, value): metric sum (or row count) per dimension value, every row in one of at most 15 points.
 
-    Dates are gathered into days, weeks, months or years until they fit. Other columns show
+    Dates are gathered into days, weeks, months, years or more until they fit. Other columns show
     their largest values and the sum of the rest as "Others"; a line goes by label. A missing dimension
     falls back to the first date, then the first text, then any column other than the metric.
     """
