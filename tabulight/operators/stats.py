@@ -16,7 +16,7 @@ from tabulight.functions.columns import (
     double_sql, number, number_sql, percent, severity, text_sql,
 )
 from tabulight.operators.timeseries import monthly_means
-from tabulight.plans.gram import SUMS, pair_sums
+from tabulight.plans.gram import pair_sums
 from tabulight.plans.profile import (
     column_modes, column_profile, empty_like, inline_sql, literal_rows, struct_sql, union_all,
 )
@@ -146,11 +146,13 @@ def outlier_rows(df: DataFrame, name: str, quarts: dict | None = None) -> DataFr
 def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """(var1, var2, r): values are shifted by their column mean, then multiplied and summed.
 
-    Shifting keeps the sums small. One scan finds the means and one more all sums: as aggregates for a
-    few pairs, as products of matrices beyond. A pair with NULLs gets its own sums over the rows where
+    Shifting keeps the sums small. For a few pairs one scan finds the means and one more all sums; beyond, one scan
+    multiplies matrices. A pair with NULLs gets its own sums over the rows where
     both values exist. Constant columns and those with infinite values have no r.
     """
     v = numbers(df)
+    if len(pairs) > AGGREGATED_PAIRS:
+        return _multiplied_pairs(df.selectExpr(*[f"{v(c)} as d{i}" for i, c in enumerate(columns)]), columns, pairs)
     facts = df.agg(F.count("*").alias("n"), *[
         F.expr(f"{f.format(v(c))} as {k}{i}") for i, c in enumerate(columns)
         for k, f in (("m", "avg({})"), ("c", "count({})"), ("e", "min({0}) = max({0})"))
@@ -162,15 +164,17 @@ def _centred_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
     shifted = df.selectExpr(*[
         f"double(null) as d{i}" if c in endless else f"{v(c)} - {double_sql(facts[f'm{i}'] or 0.0)} as d{i}"
         for i, c in enumerate(columns)])
-    if len(pairs) <= AGGREGATED_PAIRS:
-        full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
-        return _aggregated_pairs(shifted, columns, pairs, unknown, full)
+    full = {c for i, c in enumerate(columns) if facts[f"c{i}"] == facts["n"]}
+    return _aggregated_pairs(shifted, columns, pairs, unknown, full)
+
+
+def _multiplied_pairs(values: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     place = {c: i for i, c in enumerate(columns)}
-    sums = pair_sums(shifted, [(place[a], place[b]) for a, b in pairs])
     names = f"array({', '.join(text_sql(c) for c in columns)})"
-    known = f"array({', '.join(str(c not in unknown).lower() for c in columns)})"
-    return sums.selectExpr(f"{names}[a] as var1", f"{names}[b] as var2",
-                           f"case when {known}[a] and {known}[b] then {_pearson_sql(*SUMS)} end as r")
+    varies = " and ".join(f"l{v} < h{v} and l{v} > double('-inf') and h{v} < double('inf') and {v * 2} > 0" for v in "xy")
+    r = "xy / (sqrt(xx) * sqrt(yy))"
+    return pair_sums(values, [(place[a], place[b]) for a, b in pairs]).selectExpr(
+        f"{names}[a] as var1", f"{names}[b] as var2", f"case when {varies} then round(greatest(-1D, least(1D, nanvl({r}, null))), 4) end as r")
 
 
 def _pearson_sql(n: str, sx: str, sy: str, xx: str, yy: str, xy: str) -> str:
