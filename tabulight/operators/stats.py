@@ -25,6 +25,8 @@ from tabulight.plans.quantiles import quantiles
 ANOMALY_SCHEMA = "column string, type string, severity string, value double, pct double"
 #: Pairs of eight columns, each with itself too; the generated code of more would be too large.
 AGGREGATED_PAIRS = 36
+#: Columns whose moments one aggregate asks for; the generated code of more is too long for the JVM to optimise.
+MOMENT_COLUMNS = 5
 
 
 def numbers(df: DataFrame):
@@ -56,7 +58,7 @@ def stat_summary(df: DataFrame, columns: list[str], limit: int | None = None, ap
         "variance": ("double", lambda c: f"var_samp({v(c)})"),
         "min": ("double", lambda c: f"min({v(c)})"),
         "max": ("double", lambda c: f"max({v(c)})"),
-    })
+    }, MOMENT_COLUMNS)
     quarter_rows = literal_rows(
         df, [(c, *quarts[c]) for c in columns], "column string, q1 double, median double, q3 double"
     )

@@ -15,9 +15,11 @@ row of counts per scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabulight.functions.columns import double_sql
@@ -85,21 +87,40 @@ def _proposed(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> list[
     return [list(row[i]) for i in range(len(slots))]
 
 
+def _counts(df: DataFrame, places: dict[str, list[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """How many values of a column lie below each of its places, and how many below or at it; in one scan, by Arrow batches.
+
+    Hundreds of counts would be one method of generated code that the JVM leaves unoptimised.
+    """
+    columns = list(places)
+    edges = [np.array(places[n]) for n in columns]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((2, len(e)), np.int64) for e in edges]
+        for batch in batches:
+            for found, e, column in zip(total, edges, batch.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                for row, side in zip(found, ("right", "left")):     # edges up to the value; edges below it
+                    row += np.cumsum(np.bincount(np.searchsorted(e, x, side), minlength=len(e) + 1))[:-1]
+        at = [(c, i, *found[:, i]) for c, found in enumerate(total) for i in range(found.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*at)], names=["c", "i", "less", "most"])
+
+    rows = df.select(*columns).mapInArrow(counted, "c bigint, i bigint, less bigint, most bigint").groupBy("c", "i").agg(
+        F.sum("less").alias("less"), F.sum("most").alias("most")).collect()
+    return {(columns[r["c"]], float(edges[r["c"]][r["i"]])): (r["less"], r["most"]) for r in rows}
+
+
 def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str], proposed: list[list[float]]) -> list[Slot]:
     """Each slot with its value, if that is one of the proposed, or else with closer fences."""
-    wanted: dict[tuple[str, str, float], str] = {}
+    wanted: dict[str, set[float]] = {}
     for s, fences in zip(slots, proposed):
-        for f in fences:
-            for sign in ("<", "<="):
-                wanted.setdefault((s.column, sign, f), f"c{len(wanted)}")
-    counts = df.agg(*[
-        F.expr(f"count_if({values[c]} {sign} {double_sql(f)}) as {name}") for (c, sign, f), name in wanted.items()
-    ]).first()
+        wanted.setdefault(values[s.column], set()).update(fences)
+    counts = _counts(df, {name: sorted(fences) for name, fences in wanted.items()})
     closed = []
     for s, fences in zip(slots, proposed):
         low, below, high, upto, value = s.low, s.below, s.high, s.below + s.inside, None
         for f in fences:
-            less, most = counts[wanted[(s.column, "<", f)]], counts[wanted[(s.column, "<=", f)]]
+            less, most = counts[values[s.column], f]
             if less <= s.rank < most:
                 value = f
             elif s.rank < less and less <= upto:
@@ -110,16 +131,32 @@ def _close_in(df: DataFrame, slots: list[Slot], values: dict[str, str], proposed
     return closed
 
 
+def _inside(df: DataFrame, fences: list[tuple[str, float | None, float | None]]) -> DataFrame:
+    """(slot, value): the values strictly between fences (column, low, high), with the fences' place in the list."""
+    columns = list(dict.fromkeys(c for c, _, _ in fences))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = {c: a.drop_null().to_numpy(zero_copy_only=False) for c, a in zip(columns, batch.columns)}
+            for slot, (c, low, high) in enumerate(fences):
+                x = arrays[c]
+                keep = np.ones(len(x), bool)
+                if low is not None:
+                    keep &= x > low
+                if high is not None:
+                    keep &= x < high
+                x = x[keep] + 0.0                                   # -0.0 is 0.0
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), slot, np.int32)), pa.array(x)], names=["slot", "value"])
+
+    return df.select(*columns).mapInArrow(between, "slot int, value double")
+
+
 def _order(df: DataFrame, slots: list[Slot], values: dict[str, str]) -> dict[Slot, float]:
     """Order the rows between the fences and read off the ranks."""
     fences = {s.fence: s for s in slots}
     place = {fence: i for i, fence in enumerate(fences)}
-    entries = ", ".join(
-        f"case when {s.holds(values)} then struct({place[f]} as slot, {values[s.column]} as value) end" for f, s in fences.items())
-    counted = (
-        df.where(" or ".join(s.holds(values) for s in fences.values()))
-        .selectExpr(f"inline(array_compact(array({entries})))").groupBy("slot", "value").agg(F.count("*").alias("n"))
-    )
+    counted = _inside(df, [(values[c], low, high) for c, low, high in fences]).groupBy("slot", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("slot").orderBy("value"))
     rows = counted.withColumn("upto", upto).groupBy("slot").agg(*[
         F.min(F.when((F.col("slot") == place[s.fence]) & (F.col("upto") > s.rank - s.below), F.col("value"))).alias(f"v{i}")
