@@ -70,27 +70,26 @@ def page(df: DataFrame, page: int = 1, size: int = 20, sort: str | None = None,
     return (df.orderBy(*_order(terms)) if terms else df).offset(skipped).limit(size)
 
 
-def _ahead(terms: list[tuple[Column, bool]], cut: Column) -> Column:
-    """Whether a row comes before the cut, a struct of key values. Fields of structs compare as rows are ordered: NULL first, or last descending."""
-    earlier, same = F.lit(False), F.lit(True)
-    for i, (c, down) in enumerate(terms):
-        x, at = F.struct(c.alias("k")), F.struct(cut[f"k{i}"].alias("k"))
-        earlier, same = earlier | (same & (x > at if down else x < at)), same & x.eqNullSafe(at)
-    return earlier
-
-
 def _before(terms: list[tuple[Column, bool]], values: tuple, cut: list[Column]) -> Column:
-    """The same for one known cut, in comparisons that reach the file scan."""
-    earlier, same = F.lit(False), F.lit(True)
-    for (c, down), value_, at in zip(terms, values, cut):
+    """Whether a row comes before the known cut, NULL first, or last descending; in comparisons that reach the file scan."""
+    earlier = F.lit(False)
+    for (c, down), value_, at in reversed(list(zip(terms, values, cut))):
         if value_ is None:
             ahead = c.isNotNull() if down else F.lit(False)
         else:
             ahead = F.coalesce(c > at, F.lit(False)) if down else c.isNull() | (c < at)
-        earlier, same = earlier | (same & ahead), same & c.eqNullSafe(at)
+        earlier = ahead | (c.eqNullSafe(at) & earlier)
     return earlier
 
 
+def _place(before: list[Column], first: int = 0) -> Column:
+    """How many cuts are not after a row, by halving: it is compared with six of 64."""
+    if not before:
+        return F.lit(first)
+    middle = len(before) // 2
+    return F.when(before[middle], _place(before[:middle], first)).otherwise(_place(before[middle + 1:], first + middle + 1))
+
+
 def _range_of(df: DataFrame, terms: list[tuple[Column, bool]], skipped: int, size: int) -> tuple[DataFrame, int]:
     """Rows around a page, and how many of them come before it.
 
@@ -107,8 +106,7 @@ def _range_of(df: DataFrame, terms: list[tuple[Column, bool]], skipped: int, siz
         cuts = [[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(kind) for v, kind in zip(r, kinds)] for r in drawn]
         if not cuts:
             break
-        known = F.array(*[F.struct(*[v.alias(f"k{i}") for i, v in enumerate(cut)]) for cut in cuts])
-        place = F.size(F.filter(known, lambda cut: ~_ahead(terms, cut)))
+        place = _place([_before(terms, r, cut) for r, cut in zip(drawn, cuts)])
         found = {r["place"]: r["count"] for r in rows.groupBy(place.alias("place")).count().collect()}
         before = list(accumulate(found.get(i, 0) for i in range(len(cuts) + 1)))        # rows before cut i; the last is all rows
         first = max((i for i in range(len(cuts)) if 0 < before[i] <= skipped), default=None)
