@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+#: Where the columns of a whole pipeline run in the same workers: numpy holds some fifty to a hundred bytes for each of these.
+PART_BYTES = 1 << 18
 #: Words are separated by these bytes: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -81,6 +83,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES) -> I
         first = last
 
 
+def text_pieces(column: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of a string column, in runs of rows of about ``limit`` bytes: no copy of a whole batch is made."""
+    for part in slices(column, limit):
+        yield flat_text(part)
+
+
 def slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
     """A string column in runs of rows of about ``limit`` bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -151,8 +159,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: in
 
 def word_counts(column: pa.Array) -> np.ndarray:
     """Number of words of each text."""
-    data, offsets = flat_text(column)
-    parts = [np.diff(words(d, o)[2]) for d, o in pieces(data, offsets)]
+    parts = [np.diff(words(d, o)[2]) for d, o in text_pieces(column)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulight.llm.flat import flat_text, mix, pieces, runs, spans_hash, tidied
+from tabulight.llm.flat import mix, runs, spans_hash, text_pieces, tidied
 
 #: Character n-gram lengths, in the order of the lookup.
 LENGTHS = (4, 3, 2, 1)
@@ -73,7 +73,7 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         done = 0
-        for data, offsets in pieces(*flat_text(batch.column("text"))):
+        for data, offsets in text_pieces(batch.column("text")):
             points, starts, ends, first = text_words(data, offsets, letters)
             own = langs[done: done + len(offsets) - 1]
             done += len(offsets) - 1
@@ -165,7 +165,7 @@ def identify(text: Column, model: Levels) -> Column:
         names = pa.array([*model.languages, UNKNOWN], pa.string())
         for batch in batches:
             best, share = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for data, offsets in pieces(*flat_text(batch)):
+            for data, offsets in text_pieces(batch):
                 points, starts, ends, first = text_words(data, offsets, letters)
                 none, size = np.diff(first) == 0, np.diff(first)
                 if not model.languages or none.all():

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.llm.flat import flat_text, mix, pieces, tidied
+from tabulight.llm.flat import mix, text_pieces, tidied
 from tabulight.llm.graph import components
 from tabulight.llm.simhash import BITS, pivots, shingle_spans
 from tabulight.llm.storage import fresh, kept
@@ -60,8 +60,8 @@ def shingles(text: Column, size: int) -> Column:
     @tidied
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [lists(*distinct_shingles(d, o, size)) for d, o in pieces(*flat_text(batch))]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+            for data, offsets in text_pieces(batch):
+                yield lists(*distinct_shingles(data, offsets, size))
 
     return found(text)
 
@@ -93,14 +93,12 @@ def sketches(text: Column, size: int) -> Column:
     @tidied
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = []
-            for data, offsets in pieces(*flat_text(batch)):
+            for data, offsets in text_pieces(batch):
                 hashes, count = distinct_shingles(data, offsets, size)
                 sums, fp, keys, few = sketch(hashes, count)
-                parts.append(pa.StructArray.from_arrays(
+                yield pa.StructArray.from_arrays(
                     [pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(count.astype(np.int64)), pa.array(fp.view(np.int64)),
-                     *(lists(x.reshape(-1), np.where(count > 0, x.shape[1], 0)) for x in (keys, few))], fields=list(kind)))
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+                     *(lists(x.reshape(-1), np.where(count > 0, x.shape[1], 0)) for x in (keys, few))], fields=list(kind))
 
     return found(text)
 

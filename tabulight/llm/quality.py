@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulight.llm.flat import SPACE, flat_text, mix, pieces, spans_hash, tidied
+from tabulight.llm.flat import SPACE, mix, spans_hash, text_pieces, tidied
 from tabulight.llm.select import kth_largest
 from tabulight.llm.storage import fresh, kept
 
@@ -65,7 +65,7 @@ def score(text: Column, units: np.ndarray) -> Column:
     def mean_ratio(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = [np.zeros(0)]
-            for data, offsets in pieces(*flat_text(batch)):
+            for data, offsets in text_pieces(batch):
                 grams, count = ngrams(data, offsets, len(units))
                 total = np.concatenate([[0], np.cumsum(units[grams])])
                 end = np.cumsum(count)
@@ -84,7 +84,7 @@ def counted(docs: DataFrame, buckets: int) -> dict[bool, np.ndarray]:
         for batch in batches:
             target = np.asarray(batch.column("target").fill_null(False).to_numpy(zero_copy_only=False), bool)
             done = 0
-            for data, offsets in pieces(*flat_text(batch.column("text"))):
+            for data, offsets in text_pieces(batch.column("text")):
                 grams, n = ngrams(data, offsets, buckets)
                 total[0] += np.bincount(grams, minlength=buckets)
                 total[1] += np.bincount(grams[np.repeat(target[done: done + len(n)], n)], minlength=buckets)

@@ -354,3 +354,18 @@ def test_pipeline_stages_of_odd_rows(spark, rows, request):
         result = function(spark, table, SF)
         assert result.count() <= 2 * table.count()
         assert name.startswith("Sentence") or result.columns == table.columns
+
+
+def test_parts_of_a_column_are_cut_before_they_are_copied():
+    """Rows in order, whole texts, nulls as empty; only a text larger than a part makes a larger one."""
+    import pyarrow as pa
+    from tabulight.llm.flat import flat_text, text_pieces
+
+    texts = ["a" * 30, None, "", "ü" * 40, "b" * 500, "c", None] * 9
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        parts = list(text_pieces(column, 100))
+        assert b"".join(d.tobytes() for d, _ in parts) == flat_text(column)[0].tobytes()
+        sizes = [int(n) for _, o in parts for n in np.diff(o)]
+        assert sizes == [len((t or "").encode()) for t in texts] and max(len(d) for d, o in parts if len(o) > 2) <= 100
+    assert list(text_pieces(pa.array([], pa.string()))) == []
