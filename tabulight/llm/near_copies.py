@@ -1,15 +1,17 @@
 """Near copies of texts: pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more, by fingerprints and pivot distances.
 
-Each text gets, in one pass, its SimHash fingerprint of five-word shingles and ``BANDS`` keys, each of the minima of its shingles under ``ROWS``
-hash functions. Texts that share a key are candidates: two of similarity 0.8 share none in 6 of 1,000 cases, of 0.85 in 1 of 7,000. So many minima
-to a key keep texts apart that have no more in common than a long passage. (Blocks of fingerprint bits cannot give the candidates: two
-fingerprints at similarity 0.8 differ by 10 bits on average.) Texts with equal sets of shingles are one node. A pair is discarded if a coordinate of the pivot table, the distances of its fingerprints to reference fingerprints, differs by more than
-``RADIUS``, then if the fingerprints do or if more than ``APART`` of their 224 minima differ; survivors are verified on all their shingles.
-
-RADIUS is 3.6 standard deviations beyond the mean of fingerprints at similarity 0.8 (9.7 bits, deviation 2.9), so 2 of 10,000 such pairs are lost by it, and 6 of 1,000 by APART
-(42 minima, deviation 5.8): 12 of 1,000 with the keys, 2 of 1,000 at similarity 0.82, and none to speak of beyond.
-
-Nodes with a common key are compared with some of them, not all with all: first with one, then with some four others, sixteen and so on, and only
+Each text gets, in one pass, the SimHash fingerprint of its five-word shingles: ``WORDS`` words of 64 bits, and of each bit its majority, the shingles that set it
+less those that do not. The fingerprint is cut into blocks of 128 bits. The pivots of a block are 128 reference fingerprints (rows of a Walsh matrix
+with some columns turned round) and their opposites; a block's distance to a pivot counts each bit that differs by its majority. A key is the nearest pivots of ``NEAREST``
+blocks, under ``BANDS`` choices of columns, and texts that share a key are candidates: two of similarity 0.8 share none in 1 of 1,000 cases, of 0.85 in hardly any; two
+with nothing in common share one in 6 of a million. (Fingerprints at similarity 0.8 differ by 15 of 100 bits, but hardly in those with large
+majorities, which decide what pivot is nearest; equal blocks of bits would need some 300 keys for as much at as few chance pairs.) Texts with equal sets of shingles are one node.
+
+A pair is discarded if a coordinate of the pivot table of its first words differs by more than
+``RADIUS``, then if the words do or if more than ``APART`` bits of the others differ; survivors are verified on all their shingles.
+RADIUS is 3.6 standard deviations beyond the mean at similarity 0.8 (9.7 bits, deviation 2.9), and so is APART (145 bits, deviation 11): 4 of 10,000 such pairs are lost by them.
+
+Nodes with a common key are compared with some of them, not all with all: first with one, then with some sixteen others, 256 and so on, and only
 where no link has connected them by then. A group of copies is connected after a turn or two, so its pairs never meet; texts
 that share a key without being copies are all compared in the end.
 """
@@ -28,11 +30,19 @@ from tabulight.llm.graph import components
 from tabulight.llm.simhash import BITS, pivots, shingle_spans
 from tabulight.llm.storage import fresh, kept
 
-BANDS, ROWS, RADIUS = 28, 8, 20
-#: Four bits of each minimum, sixteen of them in a number; of how many minima two texts may differ.
-WIDE, APART = BANDS * ROWS // 16, 56
-#: Odd factors, one for each hash function of the minima.
-FACTORS = mix(np.arange(1, BANDS * ROWS + 1)) | np.uint64(1)
+WORDS, BLOCK = 16, 128
+BANDS, NEAREST, RADIUS = 96, 3, 20
+#: Words beside the first one; by how many of their bits two texts may differ.
+WIDE, APART = WORDS - 1, 186
+#: How many times more nodes of a key are compared with the others in each turn.
+STEP = 16
+#: Keys of so many nodes are sent to all tasks.
+FEW_NODES = 50_000
+#: How often the columns of all blocks are turned round, and which.
+TURNS = BANDS * NEAREST * BLOCK // (WORDS * BITS)
+TURNED = (1 - 2 * (mix(np.arange(1, TURNS * WORDS * BITS + 1)) & np.uint64(1)).astype(np.float32)).reshape(TURNS, WORDS * BITS)
+#: Odd factors that make the words of a shingle from its hash.
+FACTORS = mix(np.arange(1, WORDS + 1)) | np.uint64(1)
 
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,27 +76,59 @@ def shingles(text: Column, size: int) -> Column:
     return found(text)
 
 
+def majorities(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each text (rows, none of them without shingles) and bit of the fingerprint, the shingles that set it less those that do not."""
+    first, size = np.cumsum(count) - count, -(-count // 255)                # bits are added up in bytes, at most 255 of them
+    begin = np.cumsum(size) - size
+    edges = np.repeat(first, size) + 255 * (np.arange(size.sum()) - np.repeat(begin, size))
+    ones, low = np.zeros((len(count), WORDS, 8, 8), np.int32), np.uint64(0x0101010101010101)
+    for k, factor in enumerate(FACTORS):
+        word = mix(hashes * factor) if k else hashes
+        for shift in range(8):
+            lanes = np.add.reduceat((word >> np.uint64(shift)) & low, edges).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[:, k, :, shift] = np.add.reduceat(lanes, begin, axis=0, dtype=np.int32)
+    return 2 * ones.reshape(len(count), WORDS * BITS) - count.astype(np.int32)[:, None]
+
+
+def walsh(size: int) -> np.ndarray:
+    """The Walsh matrix of a power of two."""
+    rows = np.ones((1, 1), np.float32)
+    while len(rows) < size:
+        rows = np.block([[rows, rows], [rows, -rows]])
+    return rows
+
+
+def pivot_keys(over: np.ndarray) -> np.ndarray:
+    """The keys of texts (rows) from the majorities of their bits: the nearest pivots of each ``NEAREST`` blocks, with the key's number."""
+    near, pivots_of_block = [], walsh(BLOCK)
+    for turned in TURNED:
+        distance = (over * turned).reshape(-1, BLOCK) @ pivots_of_block     # the less, the farther; a pivot's opposite has the same with another sign
+        best = np.abs(distance).argmax(axis=1)
+        near.append((2 * best + (distance[np.arange(len(best)), best] < 0)).reshape(len(over), -1))
+    near = np.concatenate(near, axis=1).reshape(len(over), BANDS, NEAREST)
+    keys = np.broadcast_to(np.arange(BANDS), near.shape[:2])
+    for k in range(NEAREST):
+        keys = keys * (2 * BLOCK) + near[:, :, k]
+    return keys.astype(np.uint64)
+
+
 def sketch(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text's shingles: two hashes of the set (rows), the fingerprint; of those with shingles the keys of the bands and the bits of the minima."""
+    """Of each text's shingles: two hashes of the set (rows), the fingerprint's first word; of those with shingles the keys and the other words."""
     first, full = np.cumsum(count) - count, count > 0
-    sums, fp = np.zeros((2, len(count)), np.uint64), np.zeros((len(count), BITS), bool)
+    sums, fp = np.zeros((2, len(count)), np.uint64), np.zeros(len(count), np.uint64)
     if not full.any():
-        return sums, np.zeros(len(count), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, WIDE), np.uint64)
+        return sums, fp, np.zeros((0, BANDS), np.uint64), np.zeros((0, WIDE), np.uint64)
     edges = first[full]
     for row, salt in zip(sums, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
         row[full] = np.add.reduceat(mix(hashes + np.uint64(salt)), edges)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
-    fp[full] = 2 * np.add.reduceat(bits, edges, axis=0, dtype=np.int32) > count[full, None]
-    keys, few = np.zeros((len(edges), BANDS), np.uint64), np.zeros((len(edges), WIDE), np.uint64)
-    for k, factor in enumerate(FACTORS):
-        least = mix(np.minimum.reduceat(hashes * factor, edges) + np.uint64(k))
-        keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least)
-        few[:, k // 16] |= (least & np.uint64(15)) << np.uint64(4 * (k % 16))
-    return sums, np.packbits(fp, axis=1).reshape(-1).view(">u8").astype(np.uint64), keys, few
+    over = majorities(hashes, count[full])
+    bits = np.packbits(over > 0, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    fp[full] = bits[:, 0]
+    return sums, fp, pivot_keys(over.astype(np.float32)), np.ascontiguousarray(bits[:, 1:])
 
 
 def sketches(text: Column, size: int) -> Column:
-    """struct<h1, h2, size, fp, bands, few>: two hashes of the set of shingles, its size, the fingerprint, the keys of the bands, the minima's bits."""
+    """struct<h1, h2, size, fp, bands, few>: two hashes of the set of shingles, its size, the fingerprint's first word, the keys, the other words."""
     kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("few", pa.list_(pa.int64()))])
 
     @F.arrow_udf("struct<h1: bigint, h2: bigint, size: bigint, fp: bigint, bands: array<bigint>, few: array<bigint>>")
@@ -117,15 +159,9 @@ def not_too_far(x: Column, y: Column, radius: int) -> Column:
     return (reduce(F.greatest, far) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius)
 
 
-def minima_apart(x: str, y: str) -> Column:
-    """How many of the minima of two columns of bits differ."""
-    def apart(i: int) -> Column:
-        differ = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
-        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2))
-        return F.bit_count(differ.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return reduce(lambda a, b: a + b, map(apart, range(WIDE)))
+def bits_apart(x: str, y: str) -> Column:
+    """How many bits of two columns of words differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(WIDE)))
 
 
 def share(node: Column) -> Column:
@@ -151,32 +187,47 @@ def links_of(nodes: DataFrame, sets_of, least: float, radius: int = RADIUS) -> D
 
     ``sets_of`` gives ``node``, ``all`` for a frame of nodes. All links are true ones.
     """
-    named = nodes.select("node", "size", "fp", F.posexplode("bands").alias("band", "key"))
-    sizes = named.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    found = kept(named.join(sizes, ["band", "key"]).select("band", "key", "node", "size", "fp", "n"))
+    named = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = kept(named.join(sizes, "key").select("key", "node", "n"))
     # What a group of copies was made from shares more keys with them than they do with each other, so the node with most company is asked first.
     company = found.groupBy("node").agg(F.sum("n").alias("company"))
-    rank = F.struct((-F.col("company")).alias("company"), share(F.col("node")).alias("share"), "node").alias("rank")
-    shared = found.join(company, "node").join(nodes.select("node", "few"), "node")
-    shared = kept(shared.select("band", "key", "node", "size", "fp", "few", "n", share(F.col("node")).alias("share"), rank))
-    sets = kept(sets_of(shared.select("node").distinct()))
-    links, turn, most = nodes.sparkSession.createDataFrame([], "a bigint, b bigint"), 0, None
-    while most is None or 4 ** (turn - 1) < most:
-        rows = labelled(shared, links) if turn else shared.withColumn("label", F.col("node"))
-        several = rows.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("open"), F.min("rank").alias("first")).where("open").drop("open")
-        rows = kept(rows.join(several, ["band", "key"]))
-        most = rows.agg(F.max("n")).first()[0]
+    told = kept(company.join(nodes.select("node", "size", "fp", "few"), "node"))
+    shared = kept(found.join(told, "node").select("key", "node", F.col("size").cast("int").alias("size"), "fp", F.col("n").cast("int").alias("n")))
+    rank = F.struct((-F.col("company")).alias("company"), share(F.col("node")).alias("share"), "node")
+    firsts = kept(found.join(company, "node").groupBy("key").agg(F.min(rank).alias("first")).select("key", F.col("first.node").alias("first")))
+    words = lambda name: told.select(F.col("node").alias(name), F.col("few").alias(f"few_{name}"))
+    links, sets, turn, most = nodes.sparkSession.createDataFrame([], "a bigint, b bigint"), None, 0, None
+    while most is None or STEP ** (turn - 1) < most:
+        if turn == 0:
+            rows = shared.withColumn("label", F.col("node"))
+            some = rows.join(firsts, "key").where(F.col("node") == F.col("first")).drop("first")
+            most = rows.agg(F.max("n")).first()[0]
+        else:
+            rows = labelled(rows.drop("label"), links)
+            several = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
+            rows = kept(rows.join(several, "key"))
+            most = rows.agg(F.max("n")).first()[0]
+            place = share(F.col("node")) * F.col("n")
+            some = rows.where((place >= (STEP ** (turn - 1) if turn > 1 else 0)) & (place < STEP ** turn))
         if most is None:
             break
-        place = F.col("share") * F.col("n")
-        some = rows.where(F.col("rank") == F.col("first")) if turn == 0 else rows.where((place >= (4 ** (turn - 1) if turn > 1 else 0)) & (place < 4 ** turn))
         x, y = rows.alias("x"), some.alias("y")
         near = (F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-6) & (F.col("x.label") != F.col("y.label"))
-        near &= not_too_far(F.col("x.fp"), F.col("y.fp"), radius) & (minima_apart("x.few", "y.few") <= APART)
-        pair = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & near)
+        near &= not_too_far(F.col("x.fp"), F.col("y.fp"), radius)
+        pair = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
         pair = pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        links = kept(links.unionByName(verified(pair, sets, least)))
+        pair = kept(pair.join(words("a"), "a").join(words("b"), "b").where(bits_apart("few_a", "few_b") <= APART).select("a", "b"))
         turn += 1
+        if pair.isEmpty():
+            continue
+        # Most nodes meet others by chance only, so the shingles are asked for when a pair has passed.
+        ends = pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()
+        ends = kept(ends.join(sets, "node", "left_anti") if sets else ends)
+        if not ends.isEmpty():
+            more = kept(sets_of(ends))
+            sets = sets.unionByName(more) if sets else more
+        links = kept(links.unionByName(verified(pair, sets, least)))
     return links
 
 
@@ -203,10 +254,14 @@ def one_of_each_group(docs: DataFrame, text: str = "text", key: str = "doc_id",
     nodes = kept(marked.select(F.monotonically_increasing_id().alias("node"), "first", "size", "fp", "bands", "few"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """The shingles again, from the texts: only few nodes need them."""
+        """The shingles again, from the texts: only the nodes of pairs that passed need them."""
         own = nodes.join(wanted, "node").select(F.col("node").alias(node_of), F.col("first.t1").alias(t1), F.col("first.t2").alias(t2))
-        texts = docs.select(F.col(text).alias(text), *(c.alias(n) for n, c in tags.items())).dropDuplicates([t1, t2])
-        return texts.join(own, [t1, t2]).select(F.col(node_of).alias("node"), shingles(F.col(text), shingle).alias("all"))
+        texts = docs.select(F.col(text).alias(text), *(c.alias(n) for n, c in tags.items()))
+        if wanted.count() <= FEW_NODES:                             # no text but theirs is shuffled
+            texts = texts.join(F.broadcast(own), [t1, t2]).dropDuplicates([t1, t2])
+        else:
+            texts = texts.dropDuplicates([t1, t2]).join(own, [t1, t2])
+        return texts.select(F.col(node_of).alias("node"), shingles(F.col(text), shingle).alias("all"))
 
     roots = components(links_of(nodes, sets_of, least, radius))
     owner = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

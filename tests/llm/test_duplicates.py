@@ -8,6 +8,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from helpers import lowest, near_fingerprints, plain_near_copies, roots, simhash
 from pyspark.sql import functions as F
 
@@ -119,6 +120,43 @@ def test_keys_reach_the_recall_that_is_stated():
     assert missed <= 20 and far <= 20
 
 
+def plain_words(text):
+    """All words of the fingerprint of a text's different five-word shingles: one bit at a time."""
+    ws = text.lower().split()
+    hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in {" ".join(ws[i: i + 5]) for i in range(max(1, len(ws) - 4))}], np.uint64)
+    words = [hashes, *(near_copies.mix(hashes * f) for f in near_copies.FACTORS[1:])]
+    return [[2 * int((w >> np.uint64(b) & np.uint64(1)).sum()) - len(w) for b in range(64)] for w in words]
+
+
+def test_keys_are_nearest_pivots_of_the_fingerprint(spark):
+    """Candidates come from the SimHash fingerprint: its words, and keys by the distances of its blocks to the reference fingerprints."""
+    texts = ["one", "One two three four five six", " ".join(f"w{i % 290}" for i in range(700))]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(near_copies.sketches(F.col("text"), 5).alias("s")).select("s.*").collect()
+    table, size = near_copies.walsh(near_copies.BLOCK), near_copies.BLOCK
+    assert (table @ table.T == size * np.eye(size)).all() and set(np.unique(table)) == {-1, 1}
+    for text, row in zip(texts, found, strict=True):
+        over = plain_words(text)
+        assert [row.fp, *row.few] == [sh.signed(sum(1 << b for b in range(64) if w[b] > 0)) for w in over]
+        flat, near = np.array(over).reshape(-1), []
+        for turned in near_copies.TURNED:
+            for block in range(len(flat) // size):
+                place = slice(block * size, block * size + size)
+                pivots = [s * p * turned[place] for p in table for s in (1, -1)]
+                distance = [np.abs(flat[place])[p * flat[place] < 0].sum() for p in pivots]     # bits that differ, by their majorities
+                near.append(int(np.argmin(distance)))
+        assert [k & 0xFFFFFF for k in row.bands] == [a << 16 | b << 8 | c for a, b, c in zip(*[iter(near)] * 3, strict=True)]
+        assert [k >> 24 for k in row.bands] == list(range(near_copies.BANDS))
+
+
+def test_fingerprints_of_near_copies_keep_within_the_bits_allowed():
+    rng, far = np.random.default_rng(2), 0
+    for _ in range(600):
+        values = rng.integers(0, 1 << 63, 220).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        _, _, _, few = near_copies.sketch(np.concatenate([values[:180], values[20:180], values[200:]]), np.array([180, 180]))
+        far += int(np.bitwise_count(few[0] ^ few[1]).sum()) > near_copies.APART
+    assert far <= 3
+
+
 def test_pipeline_stage_finds_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
