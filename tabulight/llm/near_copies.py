@@ -9,7 +9,8 @@ majorities, which decide what pivot is nearest; equal blocks of bits would need
 
 A pair is discarded if a coordinate of the pivot table of its first words differs by more than
 ``RADIUS``, then if the words do or if more than ``APART`` bits of the others differ; survivors are verified on all their shingles.
-RADIUS is 3.6 standard deviations beyond the mean at similarity 0.8 (9.7 bits, deviation 2.9), and so is APART (145 bits, deviation 11): 4 of 10,000 such pairs are lost by them.
+RADIUS is 3.6 standard deviations beyond the mean at similarity 0.8 (9.7 bits, deviation 2.9), and so is APART (145 bits, deviation 11): 4 of 10,000 such pairs are lost by them. The first
+``NARROW`` of the other words are looked at before pairs are written down.
 
 Nodes with a common key are compared with some of them, not all with all: first with one, then with some sixteen others, 256 and so on, and only
 where no link has connected them by then. A group of copies is connected after a turn or two, so its pairs never meet; texts
@@ -38,6 +39,8 @@ WIDE, APART = WORDS - 1, 186
 STEP = 16
 #: Keys of so many nodes are sent to all tasks.
 FEW_NODES = 50_000
+#: Words that rows of keys carry, to discard pairs before they are written; by how many of their bits two texts may differ (3.8 deviations).
+NARROW, NARROW_APART = 3, 48
 #: How often the columns of all blocks are turned round, and which.
 TURNS = BANDS * NEAREST * BLOCK // (WORDS * BITS)
 TURNED = (1 - 2 * (mix(np.arange(1, TURNS * WORDS * BITS + 1)) & np.uint64(1)).astype(np.float32)).reshape(TURNS, WORDS * BITS)
@@ -193,7 +196,8 @@ def links_of(nodes: DataFrame, sets_of, least: float, radius: int = RADIUS) -> D
     # What a group of copies was made from shares more keys with them than they do with each other, so the node with most company is asked first.
     company = found.groupBy("node").agg(F.sum("n").alias("company"))
     told = kept(company.join(nodes.select("node", "size", "fp", "few"), "node"))
-    shared = kept(found.join(told, "node").select("key", "node", F.col("size").cast("int").alias("size"), "fp", F.col("n").cast("int").alias("n")))
+    shared = kept(found.join(told, "node").select("key", "node", F.col("size").cast("int").alias("size"), "fp", F.col("n").cast("int").alias("n"),
+                                                   *(F.col("few")[i].alias(f"w{i}") for i in range(NARROW))))
     rank = F.struct((-F.col("company")).alias("company"), share(F.col("node")).alias("share"), "node")
     firsts = kept(found.join(company, "node").groupBy("key").agg(F.min(rank).alias("first")).select("key", F.col("first.node").alias("first")))
     words = lambda name: told.select(F.col("node").alias(name), F.col("few").alias(f"few_{name}"))
@@ -215,6 +219,7 @@ def links_of(nodes: DataFrame, sets_of, least: float, radius: int = RADIUS) -> D
         x, y = rows.alias("x"), some.alias("y")
         near = (F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-6) & (F.col("x.label") != F.col("y.label"))
         near &= not_too_far(F.col("x.fp"), F.col("y.fp"), radius)
+        near &= reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(NARROW))) <= NARROW_APART
         pair = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
         pair = pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pair = kept(pair.join(words("a"), "a").join(words("b"), "b").where(bits_apart("few_a", "few_b") <= APART).select("a", "b"))
