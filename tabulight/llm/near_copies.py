@@ -12,9 +12,10 @@ A pair is discarded if a coordinate of the pivot table of its first words differ
 RADIUS is 3.6 standard deviations beyond the mean at similarity 0.8 (9.7 bits, deviation 2.9), and so is APART (145 bits, deviation 11): 4 of 10,000 such pairs are lost by them. The first
 ``NARROW`` of the other words are looked at before pairs are written down.
 
-Nodes with a common key are compared with some of them, not all with all: first with one, then with some sixteen others, 256 and so on, and only
-where no link has connected them by then. A group of copies is connected after a turn or two, so its pairs never meet; texts
-that share a key without being copies are all compared in the end.
+Nodes with a common key are compared with some of them, not all with all. First each node meets one other, the node with most company in any of its keys; then those of a key
+meet some sixteen of them, 256 and so on, each pair once, and only where no link has connected them by then. A group of copies is connected after a turn or two, so its pairs
+never meet. Before the second turn the shingles are counted of the nodes that still have anything to meet: those that a node shares with none of the others bound its similarity to
+all of them, so texts of one origin that are no copies, each with much of its own, do not meet either. All other texts that share a key are compared in the end.
 """
 
 from __future__ import annotations
@@ -162,9 +163,21 @@ def not_too_far(x: Column, y: Column, radius: int) -> Column:
     return (reduce(F.greatest, far) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius)
 
 
-def bits_apart(x: str, y: str) -> Column:
-    """How many bits of two columns of words differ."""
-    return reduce(lambda a, b: a + b, (F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(WIDE)))
+def bits_apart(x: Column, y: Column, words: int) -> Column:
+    """How many bits of two arrays of words differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(words)))
+
+
+def alone(sets: DataFrame) -> DataFrame:
+    """``node``, ``own``: how many shingles each of the ``sets`` (``node``, ``all``) has that no other of them has; no row for none."""
+    counts = sets.select("node", F.explode("all").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return counts.where("n = 1").groupBy("node").agg(F.count("*").cast("int").alias("own"))
+
+
+def similar_at_most(x: str, y: str) -> tuple[Column, Column]:
+    """Bounds of two sets of ``size`` shingles, ``own`` of which the other cannot have: the most that they share, and the least that they have together."""
+    size, own = (lambda side: F.col(f"{side}.size")), (lambda side: F.col(f"{side}.own"))
+    return F.least(size(x) - own(x), size(y) - own(y)), F.greatest(size(x) + own(y), size(y) + own(x))
 
 
 def share(node: Column) -> Column:
@@ -197,43 +210,49 @@ def links_of(nodes: DataFrame, sets_of, least: float, radius: int = RADIUS) -> D
     company = found.groupBy("node").agg(F.sum("n").alias("company"))
     told = kept(company.join(nodes.select("node", "size", "fp", "few"), "node"))
     shared = kept(found.join(told, "node").select("key", "node", F.col("size").cast("int").alias("size"), "fp", F.col("n").cast("int").alias("n"),
-                                                   *(F.col("few")[i].alias(f"w{i}") for i in range(NARROW))))
+                                                   F.slice("few", 1, NARROW).alias("few"), F.lit(0).alias("own")))
     rank = F.struct((-F.col("company")).alias("company"), share(F.col("node")).alias("share"), "node")
-    firsts = kept(found.join(company, "node").groupBy("key").agg(F.min(rank).alias("first")).select("key", F.col("first.node").alias("first")))
-    words = lambda name: told.select(F.col("node").alias(name), F.col("few").alias(f"few_{name}"))
-    links, sets, turn, most = nodes.sparkSession.createDataFrame([], "a bigint, b bigint"), None, 0, None
-    while most is None or STEP ** (turn - 1) < most:
-        if turn == 0:
-            rows = shared.withColumn("label", F.col("node"))
-            some = rows.join(firsts, "key").where(F.col("node") == F.col("first")).drop("first")
-            most = rows.agg(F.max("n")).first()[0]
-        else:
-            rows = labelled(rows.drop("label"), links)
-            several = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
-            rows = kept(rows.join(several, "key"))
-            most = rows.agg(F.max("n")).first()[0]
-            place = share(F.col("node")) * F.col("n")
-            some = rows.where((place >= (STEP ** (turn - 1) if turn > 1 else 0)) & (place < STEP ** turn))
-        if most is None:
-            break
-        x, y = rows.alias("x"), some.alias("y")
-        near = (F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-6) & (F.col("x.label") != F.col("y.label"))
-        near &= not_too_far(F.col("x.fp"), F.col("y.fp"), radius)
-        near &= reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(NARROW))) <= NARROW_APART
-        pair = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
-        pair = pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pair = kept(pair.join(words("a"), "a").join(words("b"), "b").where(bits_apart("few_a", "few_b") <= APART).select("a", "b"))
-        turn += 1
-        if pair.isEmpty():
-            continue
-        # Most nodes meet others by chance only, so the shingles are asked for when a pair has passed.
-        ends = pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()
-        ends = kept(ends.join(sets, "node", "left_anti") if sets else ends)
-        if not ends.isEmpty():
-            more = kept(sets_of(ends))
-            sets = sets.unionByName(more) if sets else more
-        links = kept(links.unionByName(verified(pair, sets, least)))
-    return links
+    firsts = found.join(company, "node").groupBy("key").agg(F.min(rank).alias("first"))
+    asked = found.join(firsts, "key").groupBy("node").agg(F.min("first").alias("first")).select("node", F.col("first.node").alias("first")).where("node <> first")
+
+    def near(x: str, y: str, words: int, apart: int) -> Column:
+        both, together = similar_at_most(x, y)
+        return (both >= F.lit(least) * together - 1e-6) & not_too_far(F.col(f"{x}.fp"), F.col(f"{y}.fp"), radius) & (bits_apart(F.col(f"{x}.few"), F.col(f"{y}.few"), words) <= apart)
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that all words of the fingerprint let pass."""
+        side = lambda name: told.select(F.col("node").alias(name), F.struct("size", "fp", "few", F.lit(0).alias("own")).alias(f"of_{name}"))
+        return kept(pairs.join(side("a"), "a").join(side("b"), "b").where(near("of_a", "of_b", WIDE, APART)).select("a", "b"))
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    # Most nodes meet others by chance only, so the shingles are asked for when a pair has passed.
+    pair = passed(asked.select(*ordered("node", "first")).distinct())
+    sets = kept(sets_of(pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()))
+    links, rows, turn = kept(verified(pair, sets, least)), shared, 1
+    while True:
+        rows = labelled(rows, links)
+        several = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
+        rows = rows.join(several, "key")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", NARROW, NARROW_APART)
+        if turn == 1:
+            rows = kept(rows)
+            rows = kept(rows.alias("x").join(rows.alias("y"), apart, "left_semi"))
+            ends = kept(rows.select("node").distinct())
+            missing = kept(ends.join(sets, "node", "left_anti"))
+            if not missing.isEmpty():
+                sets = sets.unionByName(kept(sets_of(missing)))
+            rows = rows.drop("own").join(alone(sets.join(ends, "node")), "node", "left").fillna(0, ["own"])
+        rows = kept(rows)
+        most = rows.agg(F.max("n")).first()[0]
+        if most is None or STEP ** (turn - 1) >= most:
+            return links
+        place = share(F.col("node")) * F.col("n")
+        some = rows.where((place >= (STEP ** (turn - 1) if turn > 1 else 0)) & (place < STEP ** turn))
+        after = F.struct(share(F.col("x.node")), F.col("x.node")) > F.struct(share(F.col("y.node")), F.col("y.node"))     # else they met when x was among the some
+        pair = passed(rows.alias("x").join(some.alias("y"), apart & after).select(*ordered("x.node", "y.node")).distinct())
+        links, rows, turn = kept(links.unionByName(verified(pair, sets, least))), rows.drop("label"), turn + 1
 
 
 def hashable(frame: DataFrame, name: str) -> Column:

@@ -96,6 +96,21 @@ def test_texts_with_a_common_key_that_are_no_copies(spark):
     assert {(r.a, r.b) for r in links} <= set(true) and roots(40, [(r.a, r.b) for r in links]) == roots(40, true)
 
 
+def test_a_family_of_texts_that_are_no_copies_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """250 texts of one origin that share all keys: 40 are its copies, the others are linked with nothing. Pairs grow with the texts, not with their square."""
+    rng, pairs, verified = random.Random(8), [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pair, *more: pairs.append(pair.count()) or verified(pair, *more))
+    base = [rng.getrandbits(63) for _ in range(60)]
+    sets = [base] + [[*rng.sample(base, 60 - own), *(rng.getrandbits(63) for _ in range(own))] for own in [3] * 40 + [12] * 209]
+    nodes = spark.createDataFrame([(i, 60, 0, [5, 6, 7, *([8] if i == 0 else []), *([8 + i] if i else [])], [0] * near_copies.WIDE) for i in range(250)] + [(250, 9, 0, [8], [0] * near_copies.WIDE)],
+                                  "node bigint, size bigint, fp bigint, bands array<bigint>, few array<bigint>")
+    table = spark.createDataFrame([*enumerate(sets), (250, base[:9])], "node bigint, `all` array<bigint>")
+    links = near_copies.links_of(nodes, lambda wanted: table.join(wanted, "node"), 0.8).collect()
+    found = roots(251, [(r.a, r.b) for r in links])
+    assert [i for i in range(251) if found[i] == found[0]] == list(range(41)) and len(set(found)) == 211
+    assert sum(pairs) <= 10 * 250                                     # all of them: 31,125
+
+
 def test_near_copies_of_other_columns(spark):
     """Map, struct and binary columns, int and string keys, equal rows many times, nulls."""
     for kind in ("int", "string"):
