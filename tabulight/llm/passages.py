@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabulight.llm.flat import SPACE, flat_text, mix, runs, tidied
 from tabulight.llm.pieces import spread
-from tabulight.llm.storage import kept
+from tabulight.llm.storage import kept, new_folder, remove_folder
 
 #: Words of an anchor, bytes of text in a part, words compiled into an automaton.
 ANCHOR, PART, AUTOMATON = 8, 4 << 20, 300_000
@@ -72,6 +72,17 @@ def packed(docs: DataFrame, part_bytes: int) -> DataFrame:
     return docs.mapInArrow(pack, f"part bigint, keys array<{kind}>, sizes array<bigint>, texts binary")
 
 
+def dealt(parts: DataFrame) -> DataFrame:
+    """The parts, kept as they are dealt by ``part``, so that groupings by it shuffle the texts no more."""
+    conf = parts.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")                 # an adaptive plan does not tell how its rows are dealt
+    try:
+        return kept(parts.repartition(int(conf.get("spark.sql.shuffle.partitions")), "part"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 class Words:
     """The words of a part: their places, their numbers among the part's different words, a hash of each."""
 
@@ -177,9 +188,13 @@ def grouped_pairs(rows: pa.Table, kind: int) -> np.ndarray:
 
 def confirmed(parts: DataFrame, window: int, anchor: int) -> DataFrame:
     """``part``, ``kind``, ``v``, ``h``: the regions (kind 0) and, in other regions, the windows (kind 1) of a part that repeat."""
-    rows = kept(part_regions(parts, window, anchor))
+    spark = parts.sparkSession
+    folder = new_folder(spark, "regions")                           # in columns a third of a checkpoint's bytes
+    part_regions(parts, window, anchor).write.parquet(folder)
+    rows = spark.read.parquet(folder)
     anchors = rows.groupBy("v").agg(F.sum("n").alias("all"), (F.min("h") != F.max("h")).alias("mixed")).where("all > 1").select("v", "mixed")
     shared = kept(rows.join(anchors, "v"))
+    remove_folder(spark, folder)
     mixed = shared.where("mixed").select("v", "h", "part", "n")
     counts = mixed.groupBy("v", "h").agg(F.sum("n").alias("all"), F.min("part").alias("one"))
     known = kept(mixed.join(counts, ["v", "h"]).select("v", "h", "part", (F.col("all") > 1).alias("twice"), (F.col("part") == F.col("one")).alias("first")))
@@ -252,7 +267,7 @@ def located(number: np.ndarray, different: int, first: np.ndarray, spans: list[t
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 35, anchor: int = ANCHOR, part_bytes: int = PART, automaton: int = AUTOMATON) -> DataFrame:
     """One row per text: its key, ``n_words``, ``n_removed``, and ``kept``: the words outside repeating windows, one space apart."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    parts = kept(packed(rows, part_bytes))
+    parts = dealt(packed(rows, part_bytes))
     told = confirmed(parts, window, anchor).withColumnRenamed("part", "of_part")
     kind = rows.schema["key"].dataType.simpleString()
 

@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulight.llm import passages, queries
+from tabulight.llm.storage import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -75,3 +78,15 @@ def test_passage_longer_than_an_automaton():
 def test_many_different_words_have_wider_signs():
     raw, width = passages.spell(np.arange(300_000), 300_000)
     assert width == 4 and len(raw) == 4 * 300_000 and len({raw[i: i + 4] for i in range(0, len(raw), 4)}) == 300_000
+
+
+def test_regions_leave_nothing_and_texts_are_dealt_once(spark):
+    """The shared folder ends with the packed texts and what repeats, not with all regions, and the texts are not shuffled again by part."""
+    rng, folder = random.Random(5), Path(shared_folder(spark).removeprefix("file:"))
+    texts = [" ".join(f"w{rng.randrange(100_000)}" for _ in range(6_000)) for _ in range(50)]
+    size, there = sum(map(len, texts)), set(folder.rglob("*"))
+    found = passages.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert found.agg(F.sum("n_words"), F.sum("n_removed")).first() == (300_000, 0)
+    assert sum(f.stat().st_size for f in set(folder.rglob("*")) - there if f.is_file()) < 0.8 * size
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(part#" in line]
