@@ -14,8 +14,9 @@ RADIUS is 3.6 standard deviations beyond the mean at similarity 0.8 (9.7 bits, d
 
 Nodes with a common key are compared with some of them, not all with all. First each node meets one other, the node with most company in any of its keys; then those of a key
 meet some sixteen of them, 256 and so on, each pair once, and only where no link has connected them by then. A group of copies is connected after a turn or two, so its pairs
-never meet. Before the second turn the shingles are counted of the nodes that still have anything to meet: those that a node shares with none of the others bound its similarity to
-all of them, so texts of one origin that are no copies, each with much of its own, do not meet either. All other texts that share a key are compared in the end.
+never meet. Before the second turn the shingles are read of the nodes that still have anything to meet. Those that a node shares with none of the others bound its similarity to
+all of them, and an odd sketch (for each of ``64 * ODD`` places whether an odd number of the shingles fall on it) that of two: places that differ are no more than the shingles that do.
+So texts of one origin that are no copies do not meet either, and nothing is lost by it. All other texts that share a key are compared in the end.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulight.llm.flat import mix, text_pieces, tidied
 from tabulight.llm.graph import components
 from tabulight.llm.simhash import BITS, pivots, shingle_spans
-from tabulight.llm.storage import fresh, kept
+from tabulight.llm.storage import fresh, kept, let_go
 
 WORDS, BLOCK = 16, 128
 BANDS, NEAREST, RADIUS = 96, 3, 20
@@ -42,6 +43,8 @@ STEP = 16
 FEW_NODES = 50_000
 #: Words that rows of keys carry, to discard pairs before they are written; by how many of their bits two texts may differ (3.8 deviations).
 NARROW, NARROW_APART = 3, 48
+#: Words of the odd sketch; 512 places tell apart sets that differ by up to some 500 shingles.
+ODD = 8
 #: How often the columns of all blocks are turned round, and which.
 TURNS = BANDS * NEAREST * BLOCK // (WORDS * BITS)
 TURNED = (1 - 2 * (mix(np.arange(1, TURNS * WORDS * BITS + 1)) & np.uint64(1)).astype(np.float32)).reshape(TURNS, WORDS * BITS)
@@ -149,6 +152,26 @@ def sketches(text: Column, size: int) -> Column:
     return found(text)
 
 
+def odd_sketch(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each set (rows) and place whether an odd number of its shingles fall on the place."""
+    place = np.repeat(np.arange(len(count)) * (64 * ODD), count) + (mix(hashes) & np.uint64(64 * ODD - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(count) * 64 * ODD).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8").astype(np.uint64).reshape(len(count), ODD)
+
+
+def odd_sketches(hashes: Column) -> Column:
+    """array<bigint>: the ``ODD`` words of the odd sketch of a set of shingles."""
+    @F.arrow_udf("array<bigint>")
+    @tidied
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            count = batch.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = odd_sketch(batch.flatten().to_numpy(zero_copy_only=False).view(np.uint64), count)
+            yield lists(words.reshape(-1), np.full(len(count), ODD))
+
+    return found(hashes)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose sets of shingles (``node``, ``all``) are similar enough."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("all").alias(f"all_{name}"))
@@ -230,29 +253,44 @@ def links_of(nodes: DataFrame, sets_of, least: float, radius: int = RADIUS) -> D
     # Most nodes meet others by chance only, so the shingles are asked for when a pair has passed.
     pair = passed(asked.select(*ordered("node", "first")).distinct())
     sets = kept(sets_of(pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()))
-    links, rows, turn = kept(verified(pair, sets, least)), shared, 1
-    while True:
+    links, own, odd = kept(verified(pair, sets, least)), F.coalesce("own", F.lit(0)).alias("own"), odd_sketches(F.col("all")).alias("odd")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", NARROW, NARROW_APART)
+    differ = (F.col("x.size") + F.col("y.size")) * ((1 - least) / (1 + least)) + 1e-6      # shingles that only one of two sets so similar has, at most
+
+    def undecided(rows: DataFrame) -> DataFrame:
+        """The rows of keys that hold several labels."""
         rows = labelled(rows, links)
         several = rows.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
-        rows = rows.join(several, "key")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y", NARROW, NARROW_APART)
-        if turn == 1:
-            rows = kept(rows)
-            rows = kept(rows.alias("x").join(rows.alias("y"), apart, "left_semi"))
-            ends = kept(rows.select("node").distinct())
-            missing = kept(ends.join(sets, "node", "left_anti"))
-            if not missing.isEmpty():
-                sets = sets.unionByName(kept(sets_of(missing)))
-            rows = rows.drop("own").join(alone(sets.join(ends, "node")), "node", "left").fillna(0, ["own"])
-        rows = kept(rows)
-        most = rows.agg(F.max("n")).first()[0]
-        if most is None or STEP ** (turn - 1) >= most:
-            return links
+        return kept(rows.join(several, "key"))
+
+    def unmet(rows: DataFrame, apart: Column) -> DataFrame:
+        """The rows that another one of their key may be similar to."""
+        return kept(rows.alias("x").join(rows.alias("y"), apart, "left_semi"))
+
+    let_go(nodes.sparkSession)
+    rows = unmet(undecided(shared), apart)
+    ends = kept(rows.select("node").distinct())
+    missing = kept(ends.join(sets, "node", "left_anti"))
+    if not missing.isEmpty():
+        sets = sets.unionByName(kept(sets_of(missing)))
+    open_sets = kept(sets.join(ends, "node"))
+    told_more = open_sets.select("node", odd).join(alone(open_sets), "node", "left").select("node", own, "odd")
+    apart &= bits_apart(F.col("x.odd"), F.col("y.odd"), ODD) <= differ
+    rows = unmet(kept(rows.drop("own").join(told_more, "node")), apart)
+    # How many of a key are left; from now on the same, since it tells whose turn it is.
+    rows, turn = kept(rows.drop("n").join(rows.groupBy("key").agg(F.count("*").cast("int").alias("n")), "key")), 1
+    let_go(nodes.sparkSession)
+    while (most := rows.agg(F.max("n")).first()[0]) is not None:
         place = share(F.col("node")) * F.col("n")
         some = rows.where((place >= (STEP ** (turn - 1) if turn > 1 else 0)) & (place < STEP ** turn))
         after = F.struct(share(F.col("x.node")), F.col("x.node")) > F.struct(share(F.col("y.node")), F.col("y.node"))     # else they met when x was among the some
         pair = passed(rows.alias("x").join(some.alias("y"), apart & after).select(*ordered("x.node", "y.node")).distinct())
-        links, rows, turn = kept(links.unionByName(verified(pair, sets, least))), rows.drop("label"), turn + 1
+        links = kept(links.unionByName(verified(pair, sets, least)))
+        if STEP ** turn >= most:
+            break
+        rows, turn = unmet(undecided(rows.drop("label")), apart), turn + 1
+        let_go(nodes.sparkSession)
+    return links
 
 
 def hashable(frame: DataFrame, name: str) -> Column:
@@ -287,7 +325,9 @@ def one_of_each_group(docs: DataFrame, text: str = "text", key: str = "doc_id",
             texts = texts.dropDuplicates([t1, t2]).join(own, [t1, t2])
         return texts.select(F.col(node_of).alias("node"), shingles(F.col(text), shingle).alias("all"))
 
-    roots = components(links_of(nodes, sets_of, least, radius))
+    links = links_of(nodes, sets_of, least, radius)
+    let_go(docs.sparkSession)
+    roots = components(links)
     owner = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winner = kept(owner.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.t1").alias(t1), F.col("first.t2").alias(t2)))
     return docs.withColumns(tags).dropDuplicates([t1, t2]).join(winner, [t1, t2], "left_semi").drop(t1, t2)

@@ -30,6 +30,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark delete the shuffles and kept frames that nothing refers to any more, and a small driver's heap may be long in filling."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame, computed once and read from the shared folder from now on.
 

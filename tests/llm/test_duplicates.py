@@ -111,6 +111,36 @@ def test_a_family_of_texts_that_are_no_copies_is_not_compared_in_all_pairs(spark
     assert sum(pairs) <= 10 * 250                                     # all of them: 31,125
 
 
+def test_a_family_whose_texts_have_little_of_their_own_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """240 texts of an origin that is not among them, each with 6 shingles of its own, too few to keep it from any other, and 6 of the origin's missing; only a group of copies is linked."""
+    rng, pairs, verified = random.Random(9), [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pair, *more: pairs.append(pair.count()) or verified(pair, *more))
+    base = [rng.getrandbits(63) for _ in range(60)]
+    sets = [[*rng.sample(base, 54), *(rng.getrandbits(63) for _ in range(6))] for _ in range(240)]
+    sets += [[*sets[0][1:], rng.getrandbits(63)] for _ in range(10)]
+    nodes = spark.createDataFrame([(i, 60, 0, [5, 6, 7], [0] * near_copies.WIDE) for i in range(250)], "node bigint, size bigint, fp bigint, bands array<bigint>, few array<bigint>")
+    table = spark.createDataFrame([*enumerate(sets)], "node bigint, `all` array<bigint>")
+    found = roots(250, [(r.a, r.b) for r in near_copies.links_of(nodes, lambda wanted: table.join(wanted, "node"), 0.8).collect()])
+    true = roots(250, [(i, j) for i in range(250) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})])
+    assert found == true and len(set(found)) > 100
+    assert sum(pairs) <= 10 * 250                                     # all of them: 31,125
+
+
+def test_odd_sketches_differ_in_no_more_places_than_sets_in_shingles(spark):
+    rng, share = np.random.default_rng(3), []
+    for size, own in ((1, 0), (1, 1), (40, 5), (146, 30), (300, 90), (3000, 1200)):
+        both = rng.integers(0, 1 << 63, size + 2 * own).astype(np.uint64)
+        a, b = both[: size + own], np.concatenate([both[:size], both[size + own:]])
+        words = near_copies.odd_sketch(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        apart = int(np.bitwise_count(words[0] ^ words[1]).sum())
+        assert apart <= 2 * own
+        share.append(apart / max(1, 2 * own))
+        rows = spark.createDataFrame([(0, a.view(np.int64).tolist()), (1, []), (2, b.view(np.int64).tolist())], "id int, s array<bigint>").coalesce(1)
+        told = [r.o for r in rows.select("id", near_copies.odd_sketches(F.col("s")).alias("o")).orderBy("id").collect()]
+        assert told == [words[0].view(np.int64).tolist(), [0] * near_copies.ODD, words[1].view(np.int64).tolist()]
+    assert min(share[2:5]) > 0.7
+
+
 def test_near_copies_of_other_columns(spark):
     """Map, struct and binary columns, int and string keys, equal rows many times, nulls."""
     for kind in ("int", "string"):
