@@ -1,39 +1,58 @@
-"""Near-duplicate vectors by cosine, found with an inverted multi-index.
+"""Near-duplicate vectors by cosine, found with inverted multi-indexes.
 
-The halves of the normalised vectors get a codebook each; a cell of the index is a pair of codewords, one of each half. Every vector lies
-in the cell of its nearest codewords. As a query, it visits cells in the order of the sum of its two halves' squared distances
-(multi-sequence traversal: the halves' codewords are sorted by distance, and the next cell is always a neighbour of one
-already visited). How many cells are visited is fitted: the fewest with which the wanted share of a sample of queries finds
-all its links, as a comparison with all vectors shows. All pairs of a query and a vector in a visited cell are verified in double precision.
+Each of ``TABLES`` tables is an inverted multi-index over the components of the normalised vectors in an order of its own: the halves get
+a codebook each, and a cell is a pair of codewords, one of each half. A vector lies in the cells nearest to it by the sum of its two halves' squared
+distances (multi-sequence traversal: the halves' codewords are sorted by distance, and the next cell is always a neighbour of one
+already visited). Two vectors meet if they lie in a common cell of any table. How many cells a vector visits is fitted: the fewest with which
+the wanted share of a sample of queries meets all its links, as a comparison with all vectors shows. All pairs that meet are verified in
+double precision (in single precision where that leaves no doubt).
 
-A pair is found if either vector visits the other's cell. Links are counted, not listed: a task compares a block of a cell's vectors with
-a block of the queries that visit the cell, and returns counts and the links of a spanning forest. Large cells are cut
-into blocks, so that no task gets more.
+Links are counted, not listed: a task compares the vectors of some cells, counts a pair in its first common cell only, and returns counts and the links of a
+spanning forest. Cells of many vectors are cut into blocks, and each pair of blocks is a part of its own, so that no task gets more.
+The copies of the vectors that lie in the cells are shuffled in turns, as many bytes a turn as ``TURN_BYTES`` or ``TURN_SHARE`` times the vectors
+themselves; each turn's shuffle is deleted before the next but one, so disk does not grow with the number of visits.
 
 Rows
-    Equal vectors are compared once, as one vector with many copies. Vectors that are null, empty or zero, or hold a null or non-finite
-    component, link with nothing, nor do vectors of different lengths. Keys may be null or repeated: each row is a vector. A null key
+    Equal vectors are compared once, as one vector with many copies; they are told by two 64-bit hashes. Vectors that are null, empty or zero, or hold a null or
+    non-finite component, link with nothing, nor do vectors of different lengths. Keys may be null or repeated: each row is a vector. A null key
     never becomes a component's id unless all its keys are null. An empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabulight.llm.flat import tidied
 from tabulight.llm.graph import components
 from tabulight.llm.simhash import forest
-from tabulight.llm.storage import kept
-
-BLOCK_VECTORS, BLOCK_QUERIES = 512, 2048
+from tabulight.llm.storage import kept, let_go
+
+TABLES = 6
+#: Vectors of a cell that are compared as one block, and rows of it that are multiplied at once at most; pairs at once.
+BLOCK_VECTORS, BLOCK_QUERIES, PAIRS = 8192, 2048, 1 << 20
+#: Bytes of copies shuffled in a turn: the larger of these, the second times the bytes of the vectors.
+TURN_BYTES, TURN_SHARE = 256 << 20, 1.5
+#: Bytes of a part of a turn, of a row of packed vectors, and of copies gathered before they are written.
+PART_BYTES, PACK_BYTES, GATHER_BYTES = 8 << 20, 1 << 20, 8 << 20
 #: Sample queries with links outside their first cell, from which their ranks alone decide on the number of visits.
 LINKED = 200
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of doubles scaled to length one."""
+    scale = np.abs(rows).max(axis=1, keepdims=True, initial=0)
+    rows = rows / np.where(scale > 0, scale, 1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of doubles from a list column, zeros after the end of shorter vectors; scaled to length one."""
     offsets, values = np.asarray(column.offsets).astype(np.int64), np.asarray(column.values, float)
@@ -41,9 +60,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     out = np.zeros((len(size), width))
     place = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], size)
     out[np.repeat(np.arange(len(size)), size), place] = values[offsets[0]: offsets[-1]]
-    scale = np.abs(out).max(axis=1, keepdims=True, initial=0)
-    out /= np.where(scale > 0, scale, 1)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+    return unit(out)
 
 
 def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -51,6 +68,14 @@ def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T, 0)
 
 
+def nearest(distances: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the ``n`` smallest values of each row, smallest first."""
+    if n >= distances.shape[1]:
+        return distances.argsort(axis=1, kind="stable")
+    some = np.sort(np.argpartition(distances, n - 1, axis=1)[:, :n], axis=1)
+    return np.take_along_axis(some, np.take_along_axis(distances, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
+
+
 def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     """Centres of the rows by Lloyd's algorithm, from evenly spaced rows of the sample."""
     centres = x[np.linspace(0, len(x) - 1, size).astype(int)].copy()
@@ -64,25 +89,21 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Codebooks of the two halves, and the number of cells that a query visits."""
+    """Codebooks of the two halves of the components, in the order ``order`` (as they are, without one)."""
 
     first: np.ndarray
     second: np.ndarray
-    visits: int = 1
+    order: np.ndarray | None = None
 
     @property
-    def width(self) -> int:
-        return self.first.shape[1] + self.second.shape[1]
+    def cells(self) -> int:
+        return len(self.first) * len(self.second)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
+        x = x if self.order is None else x[:, self.order]
         return squares(x[:, :half], self.first), squares(x[:, half:], self.second)
 
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        """The cell of each vector."""
-        a, b = self.distances(x)
-        return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
-
     def traverse(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The ``visits`` nearest cells of each query, nearest first.
 
@@ -90,142 +111,419 @@ class Index:
         with (i + 1) (j + 1) <= visits can be among the nearest, since all cells with smaller i and j come before.
         """
         a, b = self.distances(x)
-        left, right = a.argsort(axis=1, kind="stable"), b.argsort(axis=1, kind="stable")
-        i, j = np.divmod(np.arange(len(self.first) * len(self.second)), len(self.second))
-        near = (i + 1) * (j + 1) <= visits
-        i, j = i[near], j[near]
-        rows = np.arange(len(x))[:, None]
-        total = a[rows, left[:, i]] + b[rows, right[:, j]]
+        left, right = nearest(a, visits), nearest(b, visits)
+        below = np.minimum(visits // (np.arange(left.shape[1]) + 1), right.shape[1])
+        i = np.repeat(np.arange(left.shape[1]), below)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(below) - below, below)
+        total = np.take_along_axis(a, left, axis=1)[:, i] + np.take_along_axis(b, right, axis=1)[:, j]
         order = total.argsort(axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(left[:, i] * len(self.second) + right[:, j], order, axis=1)
 
 
-def wide(vectors: DataFrame) -> int:
-    return vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+@dataclass(frozen=True)
+class Tables:
+    """The tables, and the number of cells that a vector lies in, over all of them."""
 
+    tables: tuple[Index, ...]
+    width: int
+    visits: int = 0
 
-def fit(vectors: DataFrame, threshold: float, recall: float, sample: int, queries: int, per_cell: int, largest: int, least: int) -> Index | None:
+    @property
+    def cells(self) -> int:
+        return self.tables[0].cells
+
+    @property
+    def each(self) -> int:
+        return self.visits // len(self.tables)
+
+    @property
+    def kind(self) -> str:
+        """Type of a cell's number in its table."""
+        return "<u2" if self.cells <= 1 << 16 else "<u4"
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The cells of each vector in each table, one table after the other."""
+        out = np.zeros((len(x), self.visits), self.kind)
+        for done in range(0, len(x), 1024):
+            for t, table in enumerate(self.tables):
+                out[done: done + 1024, t * self.each: (t + 1) * self.each] = table.traverse(x[done: done + 1024], self.each)
+        return out
+
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """Numbers of the cells among those of all tables."""
+        return places.astype(np.int32) + np.repeat(np.arange(len(self.tables), dtype=np.int32) * self.cells, self.each)
+
+    def meeting(self, x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many cells a table two vectors, rows ``i`` of ``x`` and ``j`` of ``y``, must visit to meet."""
+        out, left, visits = np.full(len(i), self.cells), np.arange(len(i)), 4
+        while len(left) and visits < self.cells:
+            most = np.maximum.outer(np.arange(visits), np.arange(visits)).astype(np.int32) + 1 if visits <= 256 else None
+            step = max(1, (1 << 22) // visits ** 2) if visits <= 256 else 64
+            for done in range(0, len(left), step):
+                at = left[done: done + step]
+                (rows, one), (others, two) = np.unique(i[at], return_inverse=True), np.unique(j[at], return_inverse=True)
+                for table in self.tables:
+                    a, b = table.traverse(x[rows], visits)[one], table.traverse(y[others], visits)[two]
+                    if most is None:
+                        met = np.array([min((np.maximum(k, m) + 1).min(initial=self.cells), self.cells) for p, q in zip(a, b, strict=True)
+                                        for _, k, m in [np.intersect1d(p, q, assume_unique=True, return_indices=True)]])
+                    else:
+                        met = np.where(a[:, :, None] == b[:, None, :], most, self.cells).min(axis=(1, 2))
+                    out[at] = np.minimum(out[at], met)
+            left = left[out[left] >= self.cells]
+            visits *= 4
+        return out
+
+
+def sampled(vectors: DataFrame, count: int, sample: int) -> pa.Array:
+    """The vectors with the smallest hashes."""
+    order = lambda rows: rows.orderBy(F.xxhash64("vector"), "node").limit(sample).select("vector").toArrow().column(0).combine_chunks()
+    share = 1.5 * (sample + 100) / count
+    if share < 1:                                                       # so that a task orders only a few more than are wanted
+        found = order(vectors.where(F.xxhash64("vector") < F.lit(int(share * 2 ** 64) - 2 ** 63)))
+        if len(found) == sample:
+            return found
+    return order(vectors)
+
+
+def fit(vectors: DataFrame, threshold: float, recall: float, sample: int, queries: int, per_cell: int, largest: int, least: int) -> Tables | None:
     """Codebooks from a sample of at most ``sample`` vectors, visits from at most ``queries`` of them; None without vectors.
 
     Samples are those with the smallest hashes. The sample queries are compared with all vectors, in blocks: how far a query must go for
     its last link is measured on the real data. Where fewer than ``LINKED`` have a link outside their first cell, pairs are made as well, a
     vector and another at the threshold from it, and the larger number of visits counts.
     """
-    count, width = vectors.count(), wide(vectors)
+    count, width = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not count:
         return None
-    order = vectors.orderBy(F.xxhash64("vector"), "node")
-    x = matrix(order.limit(sample).select("vector").toArrow().column(0).combine_chunks(), width)
+    x = matrix(sampled(vectors, count, sample), width)
     size = int(np.clip(np.ceil(np.sqrt(count / per_cell)), 2, largest))
-    half = max(1, width // 2)
-    index = Index(codebook(x[:, :half], size), codebook(x[:, half:], size) if width > half else np.zeros((1, 0)))
+    half, rng, tables = max(1, width // 2), np.random.default_rng(0), []
+    for t in range(TABLES):
+        order = rng.permutation(width) if t else None
+        y = np.roll(x if order is None else x[:, order], t * (len(x) // (size * TABLES)), axis=0)  # each begins from rows of its own
+        tables.append(Index(codebook(y[:, :half], size), codebook(y[:, half:], size) if width > half else np.zeros((1, 0)), order))
+    index = Tables(tuple(tables), width)
     q = x[:queries]
 
+    @tidied
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(len(q), np.int64)
         for batch in batches:
-            y = matrix(batch.column("vector"), width)
-            for done in range(0, len(y), 4096):
-                part = y[done: done + 4096]
+            column = batch.column("vector")
+            for done in range(0, len(column), 2048):
+                part = matrix(column.slice(done, 2048), width)
                 near, other = np.nonzero(q @ part.T >= threshold)
-                a, b = index.distances(q)
-                own, base = index.cell(part), len(index.second)
-                mine = a[near, own[other] // base] + b[near, own[other] % base]
-                for i in np.unique(near):
-                    total = np.sort((a[i][:, None] + b[i][None, :]).reshape(-1))
-                    last[i] = max(last[i], np.searchsorted(total, mine[near == i].max()) + 1)
+                np.maximum.at(last, near, index.meeting(q, near, part, other))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(last)], ["query", "rank"])
 
-    # A query finds itself first: only those with another vector in a later cell, or with copies of others near, tell anything.
+    # A query finds itself first: only those with another vector in a later cell tell anything.
     rows = vectors.select("vector").mapInArrow(ranks, "query bigint, rank bigint").groupBy("query").agg(F.max("rank").alias("rank")).collect()
     found = sorted(r["rank"] for r in rows if r["rank"] > 1)
     wanted = lambda ranks: int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
     visits = wanted(found) if found else 0
     if len(found) < LINKED:                                             # too few to tell how far links go: not below pairs at the threshold
-        noise = np.random.default_rng(0).normal(size=q.shape)
+        noise = rng.normal(size=q.shape)
         noise -= (noise * q).sum(axis=1, keepdims=True) * q
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
-        made = index.cell(threshold * q + np.sqrt(1 - threshold ** 2) * noise)
-        a, b = index.distances(q)
-        far = []
-        for i in range(len(q)):
-            total = (a[i][:, None] + b[i][None, :]).reshape(-1)
-            far.append((total < total[made[i]]).sum() + 1)
-        visits = max(visits, wanted(sorted(far)))
-    return Index(index.first, index.second, max(least, visits))
-
-
-def placed(vector: Column, index: Index) -> Column:
-    """array<int>: the cell of a vector, and then the cells that it visits."""
-    @F.arrow_udf("array<int>")
-    def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        every = np.arange(len(q))
+        visits = max(visits, wanted(sorted(index.meeting(q, every, threshold * q + np.sqrt(1 - threshold ** 2) * noise, every))))
+    return Tables(index.tables, width, min(max(-(-least // TABLES), visits), index.cells) * TABLES)
+
+
+def packed(vectors: DataFrame, index: Tables, kind: str) -> DataFrame:
+    """Many vectors of one length a row, as bytes: ``size``, ``node``, ``copies``, ``vector`` (components of type ``kind``), ``places``."""
+    @tidied
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+            offsets, values = np.asarray(batch.column("vector").offsets).astype(np.int64), np.asarray(batch.column("vector").values)
+            sizes = np.diff(offsets)
+            for size in np.unique(sizes):
+                at, step = np.flatnonzero(sizes == size), max(64, PACK_BYTES // int(size * np.dtype(kind).itemsize + 100))
+                for done in range(0, len(at), step):
+                    part = at[done: done + step]
+                    raw = values[offsets[part][:, None] + np.arange(size)].astype(kind)
+                    x = np.zeros((len(part), index.width))
+                    x[:, :size] = raw
+                    row = [node[part].astype("<i8"), copies[part].astype("<i8"), raw, index.places(unit(x))]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(size)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in row)],
+                                                     ["size", "node", "copies", "vector", "places"])
+
+    return vectors.select("node", "copies", "vector").mapInArrow(pack, "size int, node binary, copies binary, vector binary, places binary")
+
+
+def crowds(packs: DataFrame, index: Tables) -> np.ndarray:
+    """How many vectors lie in each cell of each table."""
+    n, chunk = index.cells * len(index.tables), 1 << 14
+
+    @tidied
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(n, np.int64)
         for batch in batches:
-            out = [np.zeros((0, index.visits + 1), np.int32)]
-            x = matrix(batch, index.width)
-            for done in range(0, len(x), 1024):
-                part = x[done: done + 1024]
-                out.append(np.concatenate([index.cell(part)[:, None], index.traverse(part, index.visits)], axis=1).astype(np.int32))
-            flat = np.concatenate(out)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1)))
-
-    return cells(vector)
-
-
-def linked(vectors: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """``node``, ``n`` (linked copies found), ``other`` (null, or a node linked with this one) from all visited blocks."""
-    spread = kept(vectors.select("node", "copies", "vector", placed(F.col("vector"), index).alias("cells")))
-    own, visited = F.element_at("cells", 1), F.slice("cells", 2, index.visits)
-    # One row a cell: how many blocks its vectors and its queries are dealt to.
-    size = spread.groupBy(own.alias("cell")).agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("vector_blocks"))
-    asked = spread.select(F.explode(visited).alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    blocks = kept(size.join(asked, "cell"))
-    block = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(f"{name}_blocks")).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_blocks") - 1))
-    members = spread.withColumn("cell", own).join(blocks, "cell").withColumn("vb", block("vector")).withColumn("qb", every("query"))
-    queries = spread.withColumn("cell", F.explode(visited)).join(blocks, "cell").withColumn("qb", block("query")).withColumn("vb", every("vector"))
-    columns = ["cell", "vb", "qb", "node", "copies", "vector", "cells"]
-    both = members.select(*columns, F.lit(True).alias("stored")).unionByName(queries.select(*columns, F.lit(False).alias("stored")))
+            for places in batch.column("places"):
+                found += np.bincount(index.keys(np.frombuffer(places.as_buffer(), index.kind).reshape(-1, index.visits)).reshape(-1), minlength=n)
+        parts = [(c, found[c * chunk: (c + 1) * chunk]) for c in range(-(-n // chunk))]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts]), pa.array([p.astype("<i8").tobytes() for _, p in parts], pa.binary())], ["chunk", "n"])
 
+    def total(group: pa.Table) -> pa.Table:
+        every = sum(np.frombuffer(x.as_buffer(), "<i8") for x in group.column("n"))
+        return pa.table([group.column("chunk").slice(0, 1), pa.array([every.tobytes()], pa.binary())], ["chunk", "n"])
+
+    rows = packs.select("places").mapInArrow(count, "chunk bigint, n binary").groupBy("chunk").applyInArrow(total, "chunk bigint, n binary").collect()
+    out = np.zeros(n, np.int64)
+    for r in rows:
+        out[r["chunk"] * chunk: r["chunk"] * chunk + len(r["n"]) // 8] = np.frombuffer(r["n"], "<i8")
+    return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Which part of which turn compares a cell: cells of one part each, and cells cut into blocks with a part for each pair of blocks."""
+
+    part: np.ndarray                                                    # of each cell, -1 for those cut into blocks
+    large: np.ndarray                                                   # cells cut into blocks, ascending
+    blocks: np.ndarray                                                  # of each of those
+    first: np.ndarray                                                   # part of each one's first pair of blocks
+    turns: int
+
+    @staticmethod
+    def of(crowd: np.ndarray, each: int, turn_bytes: float, partitions: int) -> Plan:
+        """``each``: bytes of a vector's copy. Copies are dealt to parts of about equal size, four a partition and turn at least."""
+        large = np.flatnonzero(crowd > BLOCK_VECTORS)
+        blocks = -(-crowd[large] // BLOCK_VECTORS)
+        small = np.where(crowd > BLOCK_VECTORS, 0, crowd) * each
+        total = int(small.sum() + (crowd[large] * blocks * each).sum())
+        turns = max(1, int(np.ceil(total / turn_bytes)))
+        of_part = max(1, min(PART_BYTES, total // (4 * partitions * turns)))
+        part = (np.cumsum(small) - small) // of_part
+        part[crowd == 0] = part[large] = -1
+        squared = blocks * blocks
+        return Plan(part.astype(np.int64), large, blocks, int(part.max(initial=0)) + 1 + np.cumsum(squared) - squared, turns)
+
+    def copies(self, keys: np.ndarray, node: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+        """Row, part and side of the copies of one turn. Sides: 0 all are compared, 1 with 2. A part gets one copy, however many of its cells a vector lies in."""
+        part = self.part[keys]
+        row, at = np.nonzero((part >= 0) & (part % self.turns == turn))
+        row, part = np.divmod(np.unique(row * (int(self.part.max()) + 1) + part[row, at]), int(self.part.max()) + 1)
+        out = [(row, part, np.zeros(len(row), np.int32))]
+        if len(self.large):
+            place = np.searchsorted(self.large, keys).clip(max=len(self.large) - 1)
+            row, at = np.nonzero(self.large[place] == keys)
+            place = place[row, at]
+            n = self.blocks[place]
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, place, n = (np.repeat(v, n) for v in (row, place, n))
+            own = node[row] % n                                         # ids of a task ascend, and so are dealt evenly
+            part = self.first[place] + np.minimum(own, other) * n + np.maximum(own, other)
+            side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int32)
+            now = part % self.turns == turn
+            out.append((row[now], part[now], side[now]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def inside(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of a part that vectors lie in: row and cell."""
+        if part > self.part.max():
+            cell = self.large[np.searchsorted(self.first, part, "right") - 1]
+            return np.arange(len(keys)), np.full(len(keys), cell)
+        row, at = np.nonzero(self.part[keys] == part)
+        return row, keys[row, at]
+
+
+def dealt(packs: DataFrame, index: Tables, plan: Plan, turn: int, kind: str) -> DataFrame:
+    """The copies of one turn: ``part``, ``side``, ``size``, and as bytes ``node``, ``copies``, ``vector``, ``places``."""
+    columns = ["node", "copies", "vector", "places"]
+
+    def written(size: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        part, side, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((side, part))
+        part, side = part[order], side[order]
+        begin = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (side[1:] != side[:-1])))
+        ends = np.append(begin, len(part))
+        blobs = []
+        for values in rest:
+            data = np.ascontiguousarray(values[order])
+            offsets = (ends * (data.nbytes // len(data))).astype(np.int32)
+            blobs.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]))
+        sizes = pa.array(np.full(len(begin), size, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(side[begin]), sizes, *blobs], ["part", "side", "size", *columns])
+
+    @tidied
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bytes_held, last = [], 0, None
+        for batch in batches:
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                if held and (size != last or bytes_held > GATHER_BYTES):
+                    yield written(last, held)
+                    held, bytes_held = [], 0
+                last = size
+                node, copies = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for c in ("node", "copies"))
+                vector = np.frombuffer(batch.column("vector")[i].as_buffer(), kind).reshape(len(node), size)
+                places = np.frombuffer(batch.column("places")[i].as_buffer(), index.kind).reshape(len(node), -1)
+                step = max(1, GATHER_BYTES // (index.visits * (vector.itemsize * size + 100)))
+                for done in range(0, len(node), step if len(plan.large) else len(node)):
+                    some = slice(done, done + step if len(plan.large) else None)
+                    row, part, side = plan.copies(index.keys(places[some]), node[some], turn)
+                    if len(row):
+                        row = row + done
+                        held.append([part, side, node[row], copies[row], vector[row], places[row]])
+                        bytes_held += sum(x.nbytes for x in held[-1])
+                    if bytes_held > GATHER_BYTES:
+                        yield written(last, held)
+                        held, bytes_held = [], 0
+        if held:
+            yield written(last, held)
+
+    return packs.mapInArrow(deal, "part bigint, side int, size int, node binary, copies binary, vector binary, places binary")
+
+
+class Comparison:
+    """Links among vectors of one length, each counted in the first cell that its vectors have in common."""
+
+    def __init__(self, x: np.ndarray, keys: np.ndarray, threshold: float) -> None:
+        self.x, self.narrow, self.keys, self.threshold = x, x.astype(np.float32), keys, threshold
+        self.doubt = (x.shape[1] + 16) * 1.2e-7                         # more than single precision can be wrong by
+
+    def links(self, rows: np.ndarray, others: np.ndarray, key: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of ``rows`` with ``others`` (if ``same``, those after each row in the same list) that no cell before ``key`` counts."""
+        done = 0
+        while done < len(rows):
+            beyond = others[done:] if same else others
+            part = rows[done: done + int(np.clip(min(PAIRS // max(1, len(beyond)), max(128, len(rows) // 4)), 1, BLOCK_QUERIES))]
+            done += len(part)
+            near = self.narrow[part] @ self.narrow[beyond].T
+            mask = near >= self.threshold - self.doubt
+            if np.count_nonzero(mask) > 8 * len(part):
+                self.clear(mask, part, beyond, key)
+            a, b = np.nonzero(mask)
+            if same:
+                a, b = a[b > a], b[b > a]
+            certain = near[a, b] >= self.threshold + self.doubt
+            a, b = part[a], beyond[b]
+            unsure = np.flatnonzero(~certain)
+            for some in range(0, len(unsure), 1 << 14):
+                at = unsure[some: some + (1 << 14)]
+                certain[at] = (self.x[a[at]] * self.x[b[at]]).sum(axis=1) >= self.threshold
+            a, b = a[certain], b[certain]
+            for some in range(0, len(a), 1 << 14):
+                i, j = a[some: some + (1 << 14)], b[some: some + (1 << 14)]
+                ours = self.keys[i]
+                counted = ~(np.where(ours < key, ours, -1)[:, :, None] == self.keys[j][:, None, :]).any(axis=(1, 2))
+                yield i[counted], j[counted]
+
+    def clear(self, mask: np.ndarray, rows: np.ndarray, others: np.ndarray, key: int) -> None:
+        """Take pairs out that a cell before counts, for the cells that most of the vectors lie in: only then are there too many pairs to look at each."""
+        sample = self.keys[others[:: -(-len(others) // 64)]]
+        found, n = np.unique(sample[sample < key], return_counts=True)
+        for cell in found[np.argsort(-n, kind="stable")][:8]:
+            mask[np.ix_((self.keys[rows] == cell).any(axis=1), (self.keys[others] == cell).any(axis=1))] = False
+            if not mask.any():
+                break
+
+
+def compared(copies: DataFrame, index: Tables, plan: Plan, threshold: float, kind: str) -> DataFrame:
+    """``node``, ``n`` (linked copies found), ``other`` (null, or a node linked with this one) from all parts of a turn."""
     def compare(group: pa.Table) -> pa.Table:
-        stored = np.asarray(group.column("stored").to_numpy(), bool)
-        node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-        vector = group.column("vector").combine_chunks()
-        size, x = np.diff(np.asarray(vector.offsets)), matrix(vector, index.width)
-        cells = np.asarray(group.column("cells").combine_chunks().values).reshape(len(node), -1)
-        m, q = np.flatnonzero(stored), np.flatnonzero(~stored)
-        a, b = np.nonzero((x[q] @ x[m].T >= threshold) & (node[q][:, None] != node[m][None, :]) & (size[q][:, None] == size[m][None, :]))
-        a, b = q[a], m[b]
-        # The other one counts this link itself if it visits this one's cell.
-        alone = ~(cells[b, 1:] == cells[a, :1]).any(axis=1)
-        found = np.bincount(a, copies[b], len(node)) + np.bincount(b[alone], copies[a[alone]], len(node))
-        root = forest(len(node), a, b)
-        take = np.flatnonzero((found > 0) | (root != np.arange(len(node))))
-        return pa.table([pa.array(node[take]), pa.array(found[take].astype(np.int64)), pa.array(node[root[take]])], ["node", "n", "other"])
-
-    return both.groupBy("cell", "vb", "qb").applyInArrow(compare, "node bigint, n bigint, other bigint")
+        nodes, counts, roots, sizes = [], [], [], group.column("size").to_numpy()
+        for size in np.unique(sizes):
+            rows = group.filter(pa.array(sizes == size))
+            whole = lambda name, kind, rows=rows: np.frombuffer(b"".join(x.as_buffer() for x in rows.column(name)), kind)
+            (node, mine), copies = np.unique(whole("node", "<i8"), return_inverse=True), whole("copies", "<i8")
+            side = np.repeat(rows.column("side").to_numpy(), [len(x.as_buffer()) // 8 for x in rows.column("node")])
+            keys = index.keys(whole("places", index.kind).reshape(len(mine), -1))
+            work = Comparison(unit(whole("vector", kind).reshape(len(mine), size).astype(float)), keys, threshold)
+            found, edges, held = np.zeros(len(node), np.int64), [], []
+
+            def count(found=found, edges=edges, held=held, mine=mine, node=node, copies=copies) -> None:
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                one, two = mine[a], mine[b]
+                found += (np.bincount(one, copies[b], len(node)) + np.bincount(two, copies[a], len(node))).astype(np.int64)
+                root = forest(len(node), one, two)
+                at = np.flatnonzero(root != np.arange(len(node)))
+                edges.append((at, root[at]))
+                held.clear()
+
+            def jobs(keys=keys, side=side) -> Iterator[tuple]:
+                row, key = plan.inside(group.column("part")[0].as_py(), keys)
+                if side.any():
+                    yield np.flatnonzero(side == 1), np.flatnonzero(side == 2), int(key[0]), False
+                    return
+                order = key.argsort(kind="stable")
+                row, key = row[order], key[order]
+                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
+                    if b - a > 1:
+                        yield row[a:b], row[a:b], int(key[a]), True
+
+            for job in jobs():
+                for links in work.links(*job):
+                    if len(links[0]):
+                        held.append(links)
+                if sum(len(a) for a, _ in held[-64:]) > PAIRS or len(held) > 4096:
+                    count()
+            if held:
+                count()
+            root = forest(len(node), *(np.concatenate(x) for x in zip(*edges, strict=True))) if edges else np.arange(len(node))
+            take = np.flatnonzero(found)
+            nodes.append(node[take])
+            counts.append(found[take])
+            roots.append(node[root[take]])
+        return pa.table([pa.array(np.concatenate(x)) for x in (nodes, counts, roots)], ["node", "n", "other"])
+
+    return copies.groupBy("part").applyInArrow(compare, "node bigint, n bigint, other bigint")
+
+
+def clear_away(spark: SparkSession, wait: float = 0) -> None:
+    """Have Spark delete what nothing refers to any more. Some objects go at a second collection only, and the cleaner works beside the jobs: ``wait`` gives it seconds."""
+    for _ in range(2):
+        gc.collect()
+        let_go(spark)
+        time.sleep(wait)
+
+
+def linked(packs: DataFrame, index: Tables, threshold: float, kind: str) -> DataFrame:
+    """``node``, ``n``, ``other`` of all cells, in as many turns as the copies need."""
+    spark = packs.sparkSession
+    crowd, item = crowds(packs, index), np.dtype(kind).itemsize
+    vectors, amount = packs.agg(F.sum(F.octet_length("node") / 8).cast("bigint"), F.sum(F.octet_length("vector").cast("bigint"))).first()
+    each = int(amount / vectors + index.visits * np.dtype(index.kind).itemsize + 20)
+    plan = Plan.of(crowd, each, max(TURN_BYTES, TURN_SHARE * amount), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = []
+    for turn in range(plan.turns):
+        found.append(kept(compared(dealt(packs, index, plan, turn, kind), index, plan, threshold, kind)))
+        if plan.turns > 1:
+            clear_away(spark, 0.5)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.9, recall: float = 0.999, sample: int = 20_000,
                     queries: int = 1_000, per_cell: int = 48, largest: int = 256, least: int = 4) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other rows linked directly), ``component_id`` (smallest key reachable), ``kept``.
 
-    ``recall``: the share of the sample queries with links in other cells whose own visits find them all (both sides' visits find
-    more). ``least``: cells visited at least. ``per_cell``: vectors in a cell, about, until the codebooks reach ``largest`` codewords.
+    ``recall``: the share of the sample queries with links in other cells that meet them all in the cells visited.
+    ``least``: cells visited at least, over all tables. ``per_cell``: vectors in a cell, about, if each lay in one, until the codebooks reach ``largest`` codewords.
     """
-    v = F.col(vector).cast("array<double>")
+    kind = "<f4" if table.select(F.col(vector).alias("v")).schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    v = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
     rows = table.select(F.col(key).alias("vec_id"), F.when(good, v).alias("vector"))
-    nodes = kept(rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")).withColumn(
+    hashed = rows.where("vector is not null").select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
+    nodes = kept(hashed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("vector").alias("vector")).withColumn(
         "node", F.monotonically_increasing_id()))
+    clear_away(table.sparkSession)
     index = fit(nodes, threshold, recall, sample, queries, per_cell, largest, least)
     alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     if index is None:
         return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    found = kept(linked(nodes, index, threshold))
+    packs = kept(packed(nodes, index, kind))
+    nodes = kept(nodes.drop("vector"))                                  # the vectors lie in the packs now
+    clear_away(table.sparkSession)
+    found = linked(packs, index, threshold, kind)
+    del packs
     count = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = nodes.join(count, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(lowest, "root").select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    every = rows.join(kept(known), "vector").select("vec_id", "n_links", "component_id").unionByName(alone)
+    known = known.join(lowest, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    every = hashed.drop("vector").join(kept(known), ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

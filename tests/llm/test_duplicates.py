@@ -1,9 +1,12 @@
 """Near duplicates (2, 7), their components, and fingerprints (4), against plain versions."""
 
+import contextlib
 import hashlib
 import math
 import random
 import re
+import threading
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabulight.llm import embedding_dedup, fingerprints, graph, near_copies, queries
 from tabulight.llm import simhash as sh
+from tabulight.llm.storage import let_go
 
 SF = "/root/testdata/sf0.001"
 
@@ -241,6 +245,47 @@ def test_blocks_of_a_large_cell(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got.collect()) == plain_vectors(rows)
 
 
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_vectors_in_turns(spark, monkeypatch, element):
+    for name, value in (("BLOCK_VECTORS", 24), ("TURN_BYTES", 1 << 17), ("TURN_SHARE", 0.5), ("PART_BYTES", 1 << 15), ("PACK_BYTES", 1 << 12), ("GATHER_BYTES", 1 << 11), ("PAIRS", 256)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    plans, of = [], embedding_dedup.Plan.of
+    monkeypatch.setattr(embedding_dedup.Plan, "of", staticmethod(lambda *a: plans.append(of(*a)) or plans[-1]))
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(5, 7))
+    rows = [(i, (centres[i % 5] + (0.01 if i % 5 else 0.2) * rng.normal(size=7)).tolist()) for i in range(150)]
+    rows += [(i, v[:6]) for i, v in rows[:20]] + [(200 + i, rng.normal(size=7).tolist()) for i in range(40)] + [(300, [0.0, 1.0]), (301, [-0.0, 1.0])]
+    rows = [(k, np.array(v, np.float32 if element == "float" else float).astype(float).tolist()) for k, v in rows]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id bigint, embedding array<{element}>"), per_cell=4)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == plain_vectors(rows)
+    assert plans[0].turns > 1 and len(plans[0].large)
+
+
+def test_disk_does_not_hold_a_copy_of_a_vector_for_each_visit(spark):
+    """Vectors without links visit the most cells."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[:50] = x[50:100] * 1.01 + 0.01
+    table = spark.createDataFrame(list(enumerate(x.astype(float).tolist())), "vec_id bigint, embedding array<float>")
+    places = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    used = lambda: sum(f.stat().st_size for top in places for f in Path(top).rglob("shuffle_*") if f.exists())
+    let_go(spark)
+    before, most, over = used(), [], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            with contextlib.suppress(OSError):
+                most.append(used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    got = embedding_dedup.near_duplicates(table).agg(F.sum("n_links"), F.count("*")).first()
+    over.set()
+    watcher.join()
+    assert tuple(got) == (100, 6000)
+    assert max(most) < 20 * x.nbytes
+
+
 def test_recall_on_the_test_table(spark):
     got = queries.op2_embedding_near_duplicates(spark, "/root/testdata/sf0.1").collect()
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
