@@ -24,7 +24,6 @@ import gc
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulight.llm.flat import tidied
 from tabulight.llm.graph import components
 from tabulight.llm.simhash import forest
-from tabulight.llm.storage import kept, let_go
+from tabulight.llm.storage import kept, let_go, new_folder, remove_folder
 
 TABLES = 6
 #: Vectors of a cell that are compared as one block, and rows of it that are multiplied at once at most; pairs at once.
@@ -72,6 +71,12 @@ def nearest(distances: np.ndarray, n: int) -> np.ndarray:
     """The columns of the ``n`` smallest values of each row, smallest first."""
     if n >= distances.shape[1]:
         return distances.argsort(axis=1, kind="stable")
+    if n <= 8:                                                          # quicker than a partition
+        left, rows, out = distances.copy(), np.arange(len(distances)), np.zeros((len(distances), n), np.int64)
+        for k in range(n):
+            out[:, k] = left.argmin(axis=1)
+            left[rows, out[:, k]] = np.inf
+        return out
     some = np.sort(np.argpartition(distances, n - 1, axis=1)[:, :n], axis=1)
     return np.take_along_axis(some, np.take_along_axis(distances, some, axis=1).argsort(axis=1, kind="stable"), axis=1)
 
@@ -257,7 +262,6 @@ def crowds(packs: DataFrame, index: Tables) -> np.ndarray:
     """How many vectors lie in each cell of each table."""
     n, chunk = index.cells * len(index.tables), 1 << 14
 
-    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n, np.int64)
         for batch in batches:
@@ -303,9 +307,8 @@ class Plan:
 
     def copies(self, keys: np.ndarray, node: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
         """Row, part and side of the copies of one turn. Sides: 0 all are compared, 1 with 2. A part gets one copy, however many of its cells a vector lies in."""
-        part = self.part[keys]
-        row, at = np.nonzero((part >= 0) & (part % self.turns == turn))
-        row, part = np.divmod(np.unique(row * (int(self.part.max()) + 1) + part[row, at]), int(self.part.max()) + 1)
+        row, at = np.nonzero(((self.part >= 0) & (self.part % self.turns == turn))[keys])
+        row, part = np.divmod(np.unique(row * (int(self.part.max()) + 1) + self.part[keys[row, at]]), int(self.part.max()) + 1)
         out = [(row, part, np.zeros(len(row), np.int32))]
         if len(self.large):
             place = np.searchsorted(self.large, keys).clip(max=len(self.large) - 1)
@@ -348,7 +351,6 @@ def dealt(packs: DataFrame, index: Tables, plan: Plan, turn: int, kind: str) ->
         sizes = pa.array(np.full(len(begin), size, np.int32))
         return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(side[begin]), sizes, *blobs], ["part", "side", "size", *columns])
 
-    @tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bytes_held, last = [], 0, None
         for batch in batches:
@@ -389,11 +391,14 @@ class Comparison:
         done = 0
         while done < len(rows):
             beyond = others[done:] if same else others
-            part = rows[done: done + int(np.clip(min(PAIRS // max(1, len(beyond)), max(128, len(rows) // 4)), 1, BLOCK_QUERIES))]
+            part = rows[done: done + int(np.clip(min(PAIRS // max(1, len(beyond)), max(512, len(rows) // 4)), 1, BLOCK_QUERIES))]
             done += len(part)
             near = self.narrow[part] @ self.narrow[beyond].T
             mask = near >= self.threshold - self.doubt
-            if np.count_nonzero(mask) > 8 * len(part):
+            n = np.count_nonzero(mask)
+            if n == 0 or same and n == len(part) and self.threshold <= 1:   # nothing, or each row with itself
+                continue
+            if n > 8 * len(part):
                 self.clear(mask, part, beyond, key)
             a, b = np.nonzero(mask)
             if same:
@@ -481,19 +486,18 @@ def clear_away(spark: SparkSession, wait: float = 0) -> None:
         time.sleep(wait)
 
 
-def linked(packs: DataFrame, index: Tables, threshold: float, kind: str) -> DataFrame:
-    """``node``, ``n``, ``other`` of all cells, in as many turns as the copies need."""
-    spark = packs.sparkSession
+def linked(packs: DataFrame, index: Tables, threshold: float, kind: str, folder: str) -> DataFrame:
+    """``node``, ``n``, ``other`` of all cells, in as many turns as the copies need, written to ``folder``."""
+    spark, schema = packs.sparkSession, "node bigint, n bigint, other bigint"
     crowd, item = crowds(packs, index), np.dtype(kind).itemsize
     vectors, amount = packs.agg(F.sum(F.octet_length("node") / 8).cast("bigint"), F.sum(F.octet_length("vector").cast("bigint"))).first()
     each = int(amount / vectors + index.visits * np.dtype(index.kind).itemsize + 20)
     plan = Plan.of(crowd, each, max(TURN_BYTES, TURN_SHARE * amount), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = []
     for turn in range(plan.turns):
-        found.append(kept(compared(dealt(packs, index, plan, turn, kind), index, plan, threshold, kind)))
+        compared(dealt(packs, index, plan, turn, kind), index, plan, threshold, kind).write.mode("append").parquet(folder)
         if plan.turns > 1:
             clear_away(spark, 0.5)
-    return reduce(DataFrame.unionByName, found)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.9, recall: float = 0.999, sample: int = 20_000,
@@ -518,12 +522,15 @@ def near_duplicates(table: DataFrame, vector: str = "embedding", key: str = "vec
     packs = kept(packed(nodes, index, kind))
     nodes = kept(nodes.drop("vector"))                                  # the vectors lie in the packs now
     clear_away(table.sparkSession)
-    found = linked(packs, index, threshold, kind)
+    folder = new_folder(table.sparkSession, "links")
+    found = linked(packs, index, threshold, kind, folder)
     del packs
     count = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = nodes.join(count, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
     known = known.join(lowest, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    every = hashed.drop("vector").join(kept(known), ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    known = kept(known)
+    remove_folder(table.sparkSession, folder)
+    every = hashed.drop("vector").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
