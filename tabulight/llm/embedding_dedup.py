@@ -388,9 +388,9 @@ class Comparison:
 
     def links(self, rows: np.ndarray, others: np.ndarray, key: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links of ``rows`` with ``others`` (if ``same``, those after each row in the same list) that no cell before ``key`` counts."""
-        done = 0
+        done, before = 0, None
         while done < len(rows):
-            beyond = others[done:] if same else others
+            begin, beyond = done, others[done:] if same else others
             part = rows[done: done + int(np.clip(min(PAIRS // max(1, len(beyond)), max(512, len(rows) // 4)), 1, BLOCK_QUERIES))]
             done += len(part)
             near = self.narrow[part] @ self.narrow[beyond].T
@@ -398,8 +398,14 @@ class Comparison:
             n = np.count_nonzero(mask)
             if n == 0 or same and n == len(part) and self.threshold <= 1:   # nothing, or each row with itself
                 continue
-            if n > 8 * len(part):
-                self.clear(mask, part, beyond, key)
+            exact = False
+            if n > 8 * len(part):                                       # too many pairs to look at each
+                before = before or self.before(rows, others, key)
+                exact = before[0]
+                for ours, theirs in before[1]:
+                    mask &= ours[begin:done] @ theirs[begin if same else 0:].T == 0
+                    if not mask.any():
+                        break
             a, b = np.nonzero(mask)
             if same:
                 a, b = a[b > a], b[b > a]
@@ -412,18 +418,29 @@ class Comparison:
             a, b = a[certain], b[certain]
             for some in range(0, len(a), 1 << 14):
                 i, j = a[some: some + (1 << 14)], b[some: some + (1 << 14)]
+                if exact:
+                    yield i, j
+                    continue
                 ours = self.keys[i]
                 counted = ~(np.where(ours < key, ours, -1)[:, :, None] == self.keys[j][:, None, :]).any(axis=(1, 2))
                 yield i[counted], j[counted]
 
-    def clear(self, mask: np.ndarray, rows: np.ndarray, others: np.ndarray, key: int) -> None:
-        """Take pairs out that a cell before counts, for the cells that most of the vectors lie in: only then are there too many pairs to look at each."""
-        sample = self.keys[others[:: -(-len(others) // 64)]]
-        found, n = np.unique(sample[sample < key], return_counts=True)
-        for cell in found[np.argsort(-n, kind="stable")][:8]:
-            mask[np.ix_((self.keys[rows] == cell).any(axis=1), (self.keys[others] == cell).any(axis=1))] = False
-            if not mask.any():
-                break
+    def before(self, rows: np.ndarray, others: np.ndarray, key: int) -> tuple[bool, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which of the cells before ``key`` each one lies in, as columns of ones, 512 cells a matrix, those of most vectors first; and whether that is all such cells."""
+        ours, theirs = self.keys[rows], self.keys[others]
+        found, n = np.unique(theirs[theirs < key], return_counts=True)
+        most = max(512, (1 << 24) // max(len(rows), len(others)))
+        some = found[np.argsort(-n, kind="stable")][:most]
+
+        def lies_in(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+            place = np.searchsorted(cells, keys).clip(max=len(cells) - 1)
+            row, at = np.nonzero(cells[place] == keys)
+            out = np.zeros((len(keys), len(cells)), np.float32)
+            out[row, place[row, at]] = 1
+            return out
+
+        parts = [np.sort(some[done: done + 512]) for done in range(0, len(some), 512)]
+        return len(found) <= most, [(lies_in(ours, cells), lies_in(theirs, cells)) for cells in parts]
 
 
 def compared(copies: DataFrame, index: Tables, plan: Plan, threshold: float, kind: str) -> DataFrame:
